@@ -190,3 +190,59 @@ SELECT strftime(d.date, '%Y-%m') AS month,
 FROM daily d LEFT JOIN macro_indicators mi ON d.date = mi.date
 GROUP BY 1 ORDER BY 1
 """)
+
+
+def smart_sql(state=None, holiday=None, ticker=None, commodity=None, category=None,
+              year=None, date_start=None, date_end=None, include_macro=False) -> str:
+    """Row-level SQL of the smart query for given arguments (literals inline)."""
+    cols = ["s.date", "p.name AS product", "p.category AS product_category", "s.quantity",
+            "s.unit_price", "s.revenue", "s.profit", "s.source"]
+    joins = ["FROM sales s JOIN products p ON s.product_id = p.id"]
+    where = []
+    if state:
+        joins.append("LEFT JOIN regions r ON s.region_id = r.id")
+        cols.append("r.state")
+        where.append(f"lower(r.state) = '{state.strip().lower()}'")
+    if holiday:
+        joins.append("JOIN holidays h ON s.date = h.date")
+        where.append(f"h.name ILIKE '%{holiday}%'")
+        cols += ["h.name AS holiday_name", "h.is_public"]
+    if ticker:
+        joins.append(f"LEFT JOIN stock_prices sp ON s.date = sp.date AND sp.ticker = '{ticker.upper()}'")
+        cols += ["sp.close AS stock_close", "sp.volume AS stock_volume"]
+    if commodity:
+        joins.append("LEFT JOIN commodity_prices cp ON strftime(s.date, '%Y-%m') = strftime(cp.date, '%Y-%m') "
+                     f"AND cp.commodity_name ILIKE '%{commodity}%'")
+        cols += ["cp.commodity_name", "cp.price_usd AS commodity_price_usd",
+                 "cp.price_yoy_pct AS commodity_yoy_change"]
+    if include_macro:
+        joins.append("LEFT JOIN macro_indicators mi ON s.date = mi.date")
+        cols += ["mi.usd_inr", "mi.inflation_india", "mi.interest_india"]
+    if category:
+        where.append(f"p.category = '{category}'")
+    if year:
+        where.append(f"year(s.date) = {int(year)}")
+    if date_start:
+        where.append(f"s.date >= DATE '{date_start}'")
+    if date_end:
+        where.append(f"s.date <= DATE '{date_end}'")
+    sql = "SELECT " + ", ".join(cols) + "\n" + "\n".join(joins)
+    if where:
+        sql += "\nWHERE " + " AND ".join(where)
+    return sql + "\nORDER BY s.date"
+
+
+SMART_CASES = {
+    "smart_base": {},
+    "smart_holiday": {"holiday": "Diwali"},
+    "smart_stock": {"category": "end_product", "ticker": "nvda", "year": 1998},
+    "smart_commodity": {"commodity": "al"},
+    "smart_macro": {"date_start": "1997-01-01", "date_end": "1998-12-31", "include_macro": True},
+    "smart_state": {"state": "NATION_3"},
+    "smart_all": {"state": "NATION_7", "holiday": "new year", "ticker": "SAMSUNG",
+                  "commodity": "copper", "category": "end_product", "year": 1999,
+                  "date_start": "1999-01-01", "date_end": "1999-06-30", "include_macro": True},
+}
+
+for _name, _args in SMART_CASES.items():
+    q(_name, smart_sql(**_args))

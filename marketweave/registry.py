@@ -10,7 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracle
 from .plans import analytics as an
+from .plans import smart_query as sq
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -25,4 +27,7 @@ QUERIES: dict[str, QueryFn] = {
     "macro_sales_trend": an.macro_sales_trend,
 }
 
+for _name, _args in oracle.SMART_CASES.items():
+    QUERIES[_name] = (lambda a: lambda s, d: sq.smart_query(s, d, **a))(_args)
+
 FLAGSHIP = "holiday_sales_summary"
