@@ -246,3 +246,132 @@ SMART_CASES = {
 
 for _name, _args in SMART_CASES.items():
     q(_name, smart_sql(**_args))
+
+
+# ---------------------------------------------------------------------------
+# Time series
+# ---------------------------------------------------------------------------
+q("calendar_features", """
+SELECT o_orderkey AS order_id, CAST(o_orderdate AS DATE) AS date,
+       CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month,
+       CAST(weekofyear(o_orderdate) AS INTEGER) AS week,
+       CAST(isodow(o_orderdate) - 1 AS INTEGER) AS day_of_week,
+       CAST(quarter(o_orderdate) AS INTEGER) AS quarter,
+       strftime(o_orderdate, '%Y-%m') AS month_key,
+       CASE WHEN h.date IS NULL THEN 0 ELSE 1 END AS is_holiday
+FROM orders LEFT JOIN (SELECT DISTINCT date FROM holidays) h ON CAST(o_orderdate AS DATE) = h.date
+""")
+
+_LAG_ROLL = """
+       lag(sales, 7) OVER w AS sales_lag_7,
+       lag(sales, 30) OVER w AS sales_lag_30,
+       CASE WHEN count(sales) OVER w7 = 7
+            THEN round(CAST(sum(sales) OVER w7 AS DOUBLE) / 7.0, 4) END AS sales_rolling_7_mean
+"""
+
+q("lag_rolling_features", f"""
+SELECT date, sales, {_LAG_ROLL}
+FROM (SELECT date, revenue AS sales FROM daily)
+WINDOW w AS (ORDER BY date), w7 AS (ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)
+""")
+
+q("lag_rolling_by_region", f"""
+SELECT region, date, sales, {_LAG_ROLL}
+FROM (SELECT r.region, s.date, CAST(sum(s.revenue) AS DECIMAL(38,4)) AS sales
+      FROM sales s LEFT JOIN regions r ON s.region_id = r.id GROUP BY 1, 2)
+WINDOW w AS (PARTITION BY region ORDER BY date),
+       w7 AS (PARTITION BY region ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)
+""")
+
+q("ffill_stock_daily", """
+SELECT d.date, d.revenue AS total_revenue,
+       last_value(n.close IGNORE NULLS) OVER w AS nvidia_close,
+       last_value(sm.close IGNORE NULLS) OVER w AS samsung_close
+FROM daily d
+LEFT JOIN stock_prices n ON d.date = n.date AND n.ticker = 'NVDA'
+LEFT JOIN stock_prices sm ON d.date = sm.date AND sm.ticker = 'SAMSUNG'
+WINDOW w AS (ORDER BY d.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+""")
+
+_CAL = """
+, cal AS (
+  SELECT CAST(unnest(generate_series(min(CAST(o_orderdate AS DATE)), max(CAST(o_orderdate AS DATE)), INTERVAL 1 DAY)) AS DATE) AS date
+  FROM orders
+)
+"""
+
+_COMMODITY_COLS = [("Aluminum", "price_aluminum"), ("Copper", "price_copper"), ("Nickel", "price_nickel"),
+                   ("Crude oil, Brent", "price_crude_oil"), ("Natural gas, US", "price_natural_gas")]
+
+
+def _pivot_mean(alias=""):
+    return ",\n".join(
+        f"round(CAST(sum(CASE WHEN commodity_name = '{n}' THEN price_usd END) AS DOUBLE) / "
+        f"count(CASE WHEN commodity_name = '{n}' THEN price_usd END), 4) AS {c}"
+        for n, c in _COMMODITY_COLS)
+
+
+_CWIDE = f"""
+, cwide AS (
+  SELECT date, {_pivot_mean()}
+  FROM commodity_prices
+  WHERE commodity_name IN ({", ".join("'" + n + "'" for n, _ in _COMMODITY_COLS)})
+  GROUP BY date
+)
+"""
+
+q("gapfill_commodity_daily", _CAL + _CWIDE + f"""
+SELECT cal.date, {", ".join(f"last_value(cw.{c} IGNORE NULLS) OVER w AS {c}" for _, c in _COMMODITY_COLS)}
+FROM cal LEFT JOIN cwide cw ON cal.date = cw.date
+WINDOW w AS (ORDER BY cal.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+""")
+
+q("commodity_pivot", _CWIDE + """
+SELECT * FROM cwide
+""")
+
+q("annual_to_daily", _CAL + """
+SELECT cal.date, CAST(year(cal.date) AS INTEGER) AS year, a.value AS inflation_india
+FROM cal LEFT JOIN annual_inflation a ON year(cal.date) = a.year
+""")
+
+q("annual_extend", """
+, ext AS (
+  SELECT CAST(unnest(generate_series((SELECT max(year) FROM annual_interest) + 1,
+                                     (SELECT max(year(o_orderdate)) FROM orders))) AS INTEGER) AS year
+)
+SELECT year, last_value(value IGNORE NULLS) OVER (ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS interest_rate,
+       is_extended
+FROM (SELECT year, value, 0 AS is_extended FROM annual_interest
+      UNION ALL SELECT year, NULL, 1 FROM ext)
+""")
+
+q("linear_extrapolate", """
+, fit AS (
+  SELECT regr_slope(CAST(value AS DOUBLE), year - 2000.0) AS slope,
+         regr_intercept(CAST(value AS DOUBLE), year - 2000.0) AS intercept
+  FROM annual_inflation WHERE year BETWEEN 1995 AND 2000 AND value IS NOT NULL
+), ext AS (
+  SELECT CAST(unnest(generate_series((SELECT max(year) FROM annual_inflation) + 1,
+                                     (SELECT max(year(o_orderdate)) FROM orders))) AS INTEGER) AS year
+)
+SELECT year, round(CAST(value AS DOUBLE), 2) AS value, 0 AS is_extrapolated FROM annual_inflation
+UNION ALL
+SELECT ext.year, round(fit.slope * (ext.year - 2000.0) + fit.intercept, 2), 1 FROM ext, fit
+""")
+
+
+def _wide(src, last):
+    cols = ", ".join(f'max(CASE WHEN year = {y} THEN value END) AS "{y}"' for y in range(1995, last + 1))
+    return f"SELECT 'India' AS country, '{src}' AS indicator, {cols} FROM annual_{src}"
+
+
+q("unpivot_years", f"""
+, inf_wide AS ({_wide('inflation', 2000)})
+, int_wide AS ({_wide('interest', 1999)})
+, inf_long AS (SELECT * FROM inf_wide UNPIVOT INCLUDE NULLS (inflation_india FOR year IN (COLUMNS('^[0-9]+$'))))
+, int_long AS (SELECT * FROM int_wide UNPIVOT INCLUDE NULLS (interest_india FOR year IN (COLUMNS('^[0-9]+$'))))
+SELECT coalesce(a.country, b.country) AS country, CAST(coalesce(a.year, b.year) AS INTEGER) AS year,
+       a.inflation_india, b.interest_india
+FROM inf_long a FULL OUTER JOIN int_long b ON a.country = b.country AND a.year = b.year
+""")

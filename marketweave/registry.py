@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracle
 from .plans import analytics as an
 from .plans import smart_query as sq
+from .plans import timeseries as ts
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +26,16 @@ QUERIES: dict[str, QueryFn] = {
     "stock_sales_corr": lambda s, d: an.stock_sales_corr(s, d, "NVDA"),
     "commodity_impact": lambda s, d: an.commodity_impact(s, d, "Copper", "end_product"),
     "macro_sales_trend": an.macro_sales_trend,
+    "calendar_features": ts.calendar_features,
+    "lag_rolling_features": ts.lag_rolling_features,
+    "lag_rolling_by_region": ts.lag_rolling_by_region,
+    "ffill_stock_daily": ts.ffill_stock_daily,
+    "gapfill_commodity_daily": ts.gapfill_commodity_daily,
+    "commodity_pivot": ts.commodity_wide,
+    "annual_to_daily": ts.annual_to_daily,
+    "annual_extend": ts.annual_extend,
+    "linear_extrapolate": ts.linear_extrapolate,
+    "unpivot_years": ts.unpivot_years,
 }
 
 for _name, _args in oracle.SMART_CASES.items():
