@@ -14,6 +14,7 @@ from . import oracle
 from .plans import analytics as an
 from .plans import smart_query as sq
 from .plans import timeseries as ts
+from .plans import reports as rp
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +37,13 @@ QUERIES: dict[str, QueryFn] = {
     "annual_extend": ts.annual_extend,
     "linear_extrapolate": ts.linear_extrapolate,
     "unpivot_years": ts.unpivot_years,
+    "region_month_pivot": rp.region_month_pivot,
+    "category_distribution": rp.category_distribution,
+    "category_outliers": rp.category_outliers,
+    "latest_100": rp.latest_100,
+    "first_15": rp.first_15,
+    "latest_per_ticker": rp.latest_per_ticker,
+    "null_to_zero_rounded": rp.null_to_zero_rounded,
 }
 
 for _name, _args in oracle.SMART_CASES.items():
