@@ -439,3 +439,276 @@ SELECT d.date, CAST(round(d.revenue, 2) AS DECIMAL(38,2)) AS total_revenue,
        CAST(coalesce(sp.volume, 0) AS DECIMAL(38,4)) AS stock_volume
 FROM daily d LEFT JOIN stock_prices sp ON d.date = sp.date AND sp.ticker = 'NVDA'
 """)
+
+
+# ---------------------------------------------------------------------------
+# Ingestion / cleaning
+# ---------------------------------------------------------------------------
+_RAW_UPDATED = """
+, lop AS (
+  SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
+)
+, raw_updated AS (
+  SELECT
+    CASE WHEN o_orderpriority = '5-LOW' AND l_returnflag = 'R' THEN 'Order Date'
+         WHEN o_orderpriority = '2-HIGH' THEN strftime(o_orderdate, '%m/%d/%Y %H:%M')
+         WHEN o_orderpriority = '3-MEDIUM' THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || '+05:30'
+         WHEN o_orderpriority = '4-NOT SPECIFIED' AND l_returnflag = 'N' THEN NULL
+         WHEN o_orderpriority = '4-NOT SPECIFIED' AND l_returnflag = 'A' THEN 'not a date'
+         ELSE strftime(o_orderdate, '%Y-%m-%d') END AS order_date,
+    CASE WHEN o_orderpriority = '5-LOW' AND l_returnflag = 'R' THEN 'Product' ELSE p_name END AS product,
+    CASE WHEN o_orderpriority = '5-LOW' AND l_returnflag = 'R' THEN 'Quantity Ordered'
+         WHEN o_orderpriority = '1-URGENT' AND l_returnflag = 'R' THEN 'abc'
+         ELSE CAST(l_quantity AS VARCHAR) END AS quantity_ordered,
+    CASE WHEN o_orderpriority = '5-LOW' AND l_returnflag = 'R' THEN 'Price Each'
+         WHEN o_orderpriority = '1-URGENT' AND l_returnflag = 'N' THEN ''
+         ELSE CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS VARCHAR) END AS price_each
+  FROM lop WHERE l_linestatus = 'F'
+)
+, parsed AS (
+  SELECT coalesce(CAST(try_strptime(order_date, '%Y-%m-%d') AS DATE),
+                  CAST(try_strptime(order_date, '%m/%d/%Y %H:%M') AS DATE),
+                  CAST(timezone('UTC', try_strptime(order_date, '%Y-%m-%d %H:%M:%S%z')) AS DATE)) AS date,
+         product,
+         TRY_CAST(quantity_ordered AS DECIMAL(18,4)) AS quantity,
+         TRY_CAST(price_each AS DECIMAL(18,4)) AS unit_price,
+         CAST(TRY_CAST(quantity_ordered AS DECIMAL(18,4)) * TRY_CAST(price_each AS DECIMAL(18,4)) AS DECIMAL(18,4)) AS revenue
+  FROM raw_updated
+  WHERE order_date IS NULL OR order_date <> 'Order Date'
+)
+"""
+
+q("sales_clean", _RAW_UPDATED + """
+SELECT date, product, 'end_product' AS category, quantity, unit_price, revenue,
+       CAST(NULL AS DECIMAL(18,4)) AS profit, CAST(NULL AS BIGINT) AS region_id, 'updated_sales' AS source
+FROM parsed WHERE date IS NOT NULL
+""")
+
+q("null_profile", _RAW_UPDATED + """
+, counts AS (
+  SELECT count(*) AS total_rows,
+         count_if(date IS NULL) AS date, count_if(product IS NULL) AS product,
+         count_if(quantity IS NULL) AS quantity, count_if(unit_price IS NULL) AS unit_price,
+         count_if(revenue IS NULL) AS revenue
+  FROM parsed
+)
+SELECT column_name, null_count, total_rows, total_rows - null_count AS non_null_count
+FROM counts UNPIVOT (null_count FOR column_name IN (date, product, quantity, unit_price, revenue))
+""")
+
+q("product_catalog", _RAW_UPDATED + """
+, ec AS (
+  SELECT DISTINCT p_name AS name,
+         CASE p_type WHEN 'ECONOMY' THEN 'Electronics' WHEN 'STANDARD' THEN 'ELECTRONICS'
+                     WHEN 'SMALL' THEN 'accessories' WHEN 'MEDIUM' THEN 'Office'
+                     WHEN 'LARGE' THEN 'Furniture' WHEN 'PROMO' THEN 'Toys' END AS raw_category
+  FROM lop WHERE l_linestatus = 'O'
+)
+, allp AS (
+  SELECT name, coalesce(CASE lower(trim(raw_category)) WHEN 'electronics' THEN 'end_product'
+                             WHEN 'accessories' THEN 'component' WHEN 'office' THEN 'end_product' END,
+                        'end_product') AS category, 0 AS src FROM ec
+  UNION ALL
+  SELECT DISTINCT product AS name, 'end_product' AS category, 1 AS src FROM parsed WHERE date IS NOT NULL
+)
+, firsts AS (
+  SELECT name, category FROM (
+    SELECT *, row_number() OVER (PARTITION BY name ORDER BY src, category) AS rn FROM allp WHERE name IS NOT NULL)
+  WHERE rn = 1
+)
+, ids AS (SELECT row_number() OVER (ORDER BY name) AS id, name, category FROM firsts)
+, per_name AS (SELECT p_name AS name, count(*) AS n_lines FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
+SELECT ids.id, ids.name, ids.category, coalesce(per_name.n_lines, 0) AS n_lines
+FROM ids LEFT JOIN per_name USING (name)
+""")
+
+q("commodity_tagging", """
+, tagged AS (
+  SELECT *, CASE WHEN commodity_name IN ('Aluminum', 'Copper', 'Nickel', 'Tin', 'Silver', 'Gold', 'Platinum', 'Lithium')
+                 THEN 'electronics_raw_material'
+                 WHEN commodity_name IN ('Crude oil, Brent', 'Crude oil, WTI', 'Natural gas, US', 'Coal, Australian')
+                 THEN 'energy_cost' ELSE 'other' END AS relevant_for
+  FROM commodity_prices
+)
+SELECT relevant_for, count(*) AS n_rows, count(DISTINCT commodity_name) AS n_commodities,
+       min(date) AS first_date, max(date) AS last_date
+FROM tagged GROUP BY relevant_for
+""")
+
+# ---------------------------------------------------------------------------
+# Data quality
+# ---------------------------------------------------------------------------
+q("duplicate_keys", """
+SELECT l_orderkey AS order_id, l_linenumber AS line_number, count(*) AS n_copies
+FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1
+""")
+
+q("orphan_keys", """
+SELECT 'lineitem.l_partkey -> part' AS "check",
+       (SELECT count(*) FROM lineitem WHERE l_partkey IS NOT NULL AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey IS NOT NULL)) AS n_violations
+UNION ALL SELECT 'lineitem.l_orderkey -> orders',
+       (SELECT count(*) FROM lineitem WHERE l_orderkey IS NOT NULL AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey IS NOT NULL))
+UNION ALL SELECT 'orders.o_custkey -> customer',
+       (SELECT count(*) FROM orders WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey IS NOT NULL))
+UNION ALL SELECT 'customer.c_nationkey -> nation',
+       (SELECT count(*) FROM customer WHERE c_nationkey IS NOT NULL AND c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey IS NOT NULL))
+UNION ALL SELECT 'sales not null (date, product_id, revenue)',
+       (SELECT count(*) FROM sales WHERE date IS NULL OR product_id IS NULL OR revenue IS NULL)
+UNION ALL SELECT 'stock_prices unique (date, ticker)',
+       (SELECT count(*) FROM (SELECT date, ticker FROM stock_prices GROUP BY 1, 2 HAVING count(*) > 1))
+UNION ALL SELECT 'commodity_prices unique (date, commodity_name)',
+       (SELECT count(*) FROM (SELECT date, commodity_name FROM commodity_prices GROUP BY 1, 2 HAVING count(*) > 1))
+""")
+
+_REQUESTS = """
+, req_raw AS (
+  SELECT o_orderkey AS request_id, '' AS state,
+         CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'North' WHEN 'BUILDING' THEN 'East'
+              WHEN 'FURNITURE' THEN 'South' WHEN 'MACHINERY' THEN 'West' ELSE 'Central' END AS region,
+         CASE month(o_orderdate) WHEN 11 THEN 'Diwali' WHEN 1 THEN 'new year' WHEN 12 THEN 'Christmas' ELSE '' END AS holiday,
+         CASE o_orderstatus WHEN 'F' THEN 'nvda' WHEN 'O' THEN 'SAMSUNG' ELSE 'xyz' END AS ticker,
+         CASE o_orderstatus WHEN 'O' THEN 'copper' WHEN 'P' THEN 'oil' ELSE '' END AS commodity,
+         CASE o_orderpriority WHEN '1-URGENT' THEN 'Electronics' WHEN '2-HIGH' THEN 'Accessories'
+              WHEN '3-MEDIUM' THEN 'Office' WHEN '4-NOT SPECIFIED' THEN '' ELSE 'Toys' END AS category,
+         CASE WHEN o_orderpriority = '3-MEDIUM' THEN NULL
+              ELSE CAST(year(o_orderdate) + CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 0 END AS INTEGER) END AS year,
+         CASE WHEN o_orderpriority = '2-HIGH' THEN ''
+              WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'P' THEN 'not-a-date'
+              ELSE strftime(CAST(o_orderdate AS DATE) + INTERVAL 90 DAY, '%Y-%m-%d') END AS date
+  FROM orders LEFT JOIN customer ON o_custkey = c_custkey
+)
+, req_clean AS (
+  SELECT request_id, nullif(trim(region), '') AS region, nullif(trim(holiday), '') AS holiday,
+         upper(nullif(trim(ticker), '')) AS ticker, nullif(trim(commodity), '') AS commodity,
+         nullif(trim(category), '') AS category, year, nullif(trim(date), '') AS date,
+         CAST(try_strptime(nullif(trim(date), ''), '%Y-%m-%d') AS DATE) AS req_date
+  FROM req_raw
+)
+, req_checked AS (
+  SELECT *, concat_ws(';',
+           CASE WHEN category IS NOT NULL AND category NOT IN ('Electronics', 'Accessories', 'Office') THEN 'category' END,
+           CASE WHEN region IS NOT NULL AND region NOT IN ('North', 'East', 'South', 'West') THEN 'region' END,
+           CASE WHEN ticker IS NOT NULL AND ticker NOT IN ('NVDA', 'SAMSUNG', 'SONY') THEN 'ticker' END,
+           CASE WHEN date IS NOT NULL AND req_date IS NULL THEN 'date_format' END,
+           CASE WHEN req_date IS NOT NULL AND req_date > DATE '2001-09-30' THEN 'date_range' END,
+           CASE WHEN year IS NOT NULL AND (year < 1995 OR year > 2001) THEN 'year' END) AS err
+  FROM req_clean
+)
+"""
+
+q("request_validation", _REQUESTS + """
+SELECT request_id, CASE WHEN err = '' THEN 1 ELSE 0 END AS is_valid,
+       CASE WHEN err = '' THEN 0 ELSE length(err) - length(replace(err, ';', '')) + 1 END AS n_errors,
+       nullif(err, '') AS errors
+FROM req_checked
+""")
+
+q("context_fallback", _REQUESTS + """
+, vreq AS (
+  SELECT *, CASE lower(category) WHEN 'electronics' THEN 'end_product' WHEN 'accessories' THEN 'component'
+                 WHEN 'office' THEN 'end_product' END AS cat_stored
+  FROM req_checked WHERE err = ''
+)
+, rows_ AS (
+  SELECT s.date, s.order_id, s.product_id, s.quantity, s.revenue, p.category, CAST(year(s.date) AS INTEGER) AS yr
+  FROM sales s JOIN products p ON s.product_id = p.id
+)
+, keys AS (SELECT DISTINCT holiday, ticker, commodity, cat_stored, year FROM vreq)
+, kr AS (
+  SELECT k.*, r.* FROM keys k JOIN rows_ r ON r.category = k.cat_stored AND r.yr = k.year
+  UNION ALL
+  SELECT k.*, r.* FROM keys k JOIN rows_ r ON r.category = k.cat_stored WHERE k.year IS NULL
+  UNION ALL
+  SELECT k.*, r.* FROM keys k JOIN rows_ r ON r.yr = k.year WHERE k.cat_stored IS NULL
+  UNION ALL
+  SELECT k.*, r.* FROM keys k CROSS JOIN rows_ r WHERE k.cat_stored IS NULL AND k.year IS NULL
+)
+, l1rows AS (
+  SELECT kr.* FROM kr
+  LEFT JOIN holidays h ON kr.holiday IS NOT NULL AND h.date = kr.date AND h.name ILIKE '%' || kr.holiday || '%'
+  LEFT JOIN commodity_prices c ON kr.commodity IS NOT NULL AND c.date = CAST(date_trunc('month', kr.date) AS DATE)
+                               AND c.commodity_name ILIKE '%' || kr.commodity || '%'
+  WHERE kr.holiday IS NULL OR h.name IS NOT NULL
+)
+, l1 AS (
+  SELECT holiday, ticker, commodity, cat_stored, year, count(*) AS n1,
+         max(date) AS d1
+  FROM l1rows GROUP BY ALL
+)
+, l1last AS (
+  SELECT holiday, ticker, commodity, cat_stored, year, revenue AS rev1 FROM (
+    SELECT *, row_number() OVER (PARTITION BY holiday, ticker, commodity, cat_stored, year
+                                 ORDER BY date DESC, order_id DESC, product_id DESC, quantity DESC, revenue DESC) AS rn
+    FROM l1rows) WHERE rn = 1
+)
+, l2 AS (
+  SELECT category, yr, count(*) AS n2, max(date) AS d2 FROM rows_ GROUP BY ALL
+)
+, l2last AS (
+  SELECT category, yr, revenue AS rev2 FROM (
+    SELECT *, row_number() OVER (PARTITION BY category, yr ORDER BY date DESC, order_id DESC, product_id DESC,
+                                 quantity DESC, revenue DESC) AS rn FROM rows_) WHERE rn = 1
+)
+, l3 AS (
+  SELECT category, count(*) AS n3, max(date) AS d3 FROM rows_ GROUP BY ALL
+)
+, l3last AS (
+  SELECT category, revenue AS rev3 FROM (
+    SELECT *, row_number() OVER (PARTITION BY category ORDER BY date DESC, order_id DESC, product_id DESC,
+                                 quantity DESC, revenue DESC) AS rn FROM rows_) WHERE rn = 1
+)
+, l2any AS (SELECT yr, count(*) AS n2, max(date) AS d2 FROM rows_ GROUP BY ALL)
+, l2anylast AS (
+  SELECT yr, revenue AS rev2 FROM (
+    SELECT *, row_number() OVER (PARTITION BY yr ORDER BY date DESC, order_id DESC, product_id DESC,
+                                 quantity DESC, revenue DESC) AS rn FROM rows_) WHERE rn = 1
+)
+, l4 AS (
+  SELECT least(count(*), 100) AS n4, max(date) AS d4 FROM rows_
+)
+, l4last AS (
+  SELECT revenue AS rev4 FROM rows_ ORDER BY date DESC, order_id DESC, product_id DESC, quantity DESC, revenue DESC LIMIT 1
+)
+, joined AS (
+  SELECT v.request_id, v.cat_stored, v.req_date, v.ticker,
+         l1.n1, l1.d1, l1last.rev1,
+         CASE WHEN v.cat_stored IS NULL AND v.year IS NULL THEN (SELECT count(*) FROM rows_)
+              WHEN v.cat_stored IS NULL THEN l2any.n2
+              WHEN v.year IS NULL THEN l3.n3 ELSE l2.n2 END AS n2,
+         CASE WHEN v.cat_stored IS NULL AND v.year IS NULL THEN (SELECT d4 FROM l4)
+              WHEN v.cat_stored IS NULL THEN l2any.d2
+              WHEN v.year IS NULL THEN l3.d3 ELSE l2.d2 END AS d2,
+         CASE WHEN v.cat_stored IS NULL AND v.year IS NULL THEN (SELECT rev4 FROM l4last)
+              WHEN v.cat_stored IS NULL THEN l2anylast.rev2
+              WHEN v.year IS NULL THEN l3last.rev3 ELSE l2last.rev2 END AS rev2,
+         l3.n3, l3.d3, l3last.rev3,
+         (SELECT n4 FROM l4) AS n4, (SELECT d4 FROM l4) AS d4, (SELECT rev4 FROM l4last) AS rev4
+  FROM vreq v
+  LEFT JOIN l1 ON l1.holiday IS NOT DISTINCT FROM v.holiday AND l1.ticker IS NOT DISTINCT FROM v.ticker
+              AND l1.commodity IS NOT DISTINCT FROM v.commodity AND l1.cat_stored IS NOT DISTINCT FROM v.cat_stored
+              AND l1.year IS NOT DISTINCT FROM v.year
+  LEFT JOIN l1last ON l1last.holiday IS NOT DISTINCT FROM v.holiday AND l1last.ticker IS NOT DISTINCT FROM v.ticker
+              AND l1last.commodity IS NOT DISTINCT FROM v.commodity AND l1last.cat_stored IS NOT DISTINCT FROM v.cat_stored
+              AND l1last.year IS NOT DISTINCT FROM v.year
+  LEFT JOIN l2 ON l2.category = v.cat_stored AND l2.yr = v.year
+  LEFT JOIN l2last ON l2last.category = v.cat_stored AND l2last.yr = v.year
+  LEFT JOIN l2any ON v.cat_stored IS NULL AND l2any.yr = v.year
+  LEFT JOIN l2anylast ON v.cat_stored IS NULL AND l2anylast.yr = v.year
+  LEFT JOIN l3 ON l3.category = v.cat_stored
+  LEFT JOIN l3last ON l3last.category = v.cat_stored
+)
+, pick AS (
+  SELECT request_id, req_date, ticker,
+         CASE WHEN coalesce(n1, 0) > 0 THEN 1 WHEN coalesce(n2, 0) > 0 THEN 2
+              WHEN cat_stored IS NOT NULL AND coalesce(n3, 0) > 0 THEN 3 ELSE 4 END AS level_used,
+         n1, d1, rev1, n2, d2, rev2, n3, d3, rev3, n4, d4, rev4
+  FROM joined
+)
+SELECT p.request_id, p.level_used,
+       CAST(CASE level_used WHEN 1 THEN n1 WHEN 2 THEN n2 WHEN 3 THEN n3 ELSE n4 END AS BIGINT) AS sample_size,
+       CASE level_used WHEN 1 THEN d1 WHEN 2 THEN d2 WHEN 3 THEN d3 ELSE d4 END AS context_date,
+       CASE level_used WHEN 1 THEN rev1 WHEN 2 THEN rev2 WHEN 3 THEN rev3 ELSE rev4 END AS context_revenue,
+       CASE WHEN level_used = 1 THEN sp.close END AS stock_close,
+       coalesce(p.req_date, CASE level_used WHEN 1 THEN d1 WHEN 2 THEN d2 WHEN 3 THEN d3 ELSE d4 END) AS basis_date
+FROM pick p LEFT JOIN stock_prices sp ON p.level_used = 1 AND sp.date = p.d1 AND sp.ticker = p.ticker
+""")

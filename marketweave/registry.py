@@ -15,6 +15,9 @@ from .plans import analytics as an
 from .plans import smart_query as sq
 from .plans import timeseries as ts
 from .plans import reports as rp
+from .plans import ingest as ig
+from .plans import requests as rq
+from .plans import quality_checks as qc
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +47,14 @@ QUERIES: dict[str, QueryFn] = {
     "first_15": rp.first_15,
     "latest_per_ticker": rp.latest_per_ticker,
     "null_to_zero_rounded": rp.null_to_zero_rounded,
+    "sales_clean": ig.sales_clean,
+    "null_profile": ig.null_profile,
+    "product_catalog": ig.product_catalog,
+    "commodity_tagging": ig.commodity_tagging,
+    "duplicate_keys": qc.duplicate_line_keys,
+    "orphan_keys": qc.orphan_keys,
+    "request_validation": rq.request_validation,
+    "context_fallback": rq.context_fallback,
 }
 
 for _name, _args in oracle.SMART_CASES.items():
