@@ -712,3 +712,115 @@ SELECT p.request_id, p.level_used,
        coalesce(p.req_date, CASE level_used WHEN 1 THEN d1 WHEN 2 THEN d2 WHEN 3 THEN d3 ELSE d4 END) AS basis_date
 FROM pick p LEFT JOIN stock_prices sp ON p.level_used = 1 AND sp.date = p.d1 AND sp.ticker = p.ticker
 """)
+
+
+# ---------------------------------------------------------------------------
+# Feature table (M1), one-hots (G5), ordered split
+# ---------------------------------------------------------------------------
+_REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+_CATS = ["component", "end_product", "raw_material"]
+
+
+def _lvl(v):
+    return "".join(ch if ch.isalnum() else "_" for ch in v)
+
+
+_ONE_HOTS = ",\n".join(
+    [f"CASE WHEN p.category = '{c}' THEN 1 ELSE 0 END AS Category_{_lvl(c)}" for c in _CATS]
+    + [f"CASE WHEN r.region = '{g}' THEN 1 ELSE 0 END AS Region_{_lvl(g)}" for g in _REGIONS])
+
+q("one_hot", f"""
+SELECT s.order_id, s.product_id, s.revenue, {_ONE_HOTS}
+FROM sales s LEFT JOIN products p ON s.product_id = p.id LEFT JOIN regions r ON s.region_id = r.id
+""")
+
+q("train_test_split", """
+, ranked AS (
+  SELECT o_orderkey AS order_id, CAST(o_orderdate AS DATE) AS date,
+         row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS row_rank, count(*) OVER () AS n
+  FROM orders
+)
+SELECT order_id, date, row_rank, CASE WHEN row_rank > n - CAST(ceil(0.2 * n) AS BIGINT) THEN 1 ELSE 0 END AS is_test
+FROM ranked
+""")
+
+_FEATURES = ["month", "week", "day_of_week", "quarter", "is_holiday", "sales_lag_7", "sales_lag_30",
+             "sales_rolling_7_mean", "nvidia_close", "samsung_close", "inflation_india", "interest_rate",
+             "lithium_price_usd", "price_aluminum", "price_copper", "price_crude_oil"]
+
+q("feature_table", _CAL + _CWIDE + f"""
+, lr AS (
+  SELECT date, CAST(lag(revenue, 7) OVER w AS DOUBLE) AS sales_lag_7,
+         CAST(lag(revenue, 30) OVER w AS DOUBLE) AS sales_lag_30,
+         CASE WHEN count(revenue) OVER w7 = 7 THEN round(CAST(sum(revenue) OVER w7 AS DOUBLE) / 7.0, 4) END
+           AS sales_rolling_7_mean
+  FROM daily
+  WINDOW w AS (ORDER BY date), w7 AS (ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)
+)
+, st AS (
+  SELECT d.date,
+         last_value(n.close IGNORE NULLS) OVER w AS nvidia_close,
+         last_value(sm.close IGNORE NULLS) OVER w AS samsung_close
+  FROM daily d
+  LEFT JOIN stock_prices n ON d.date = n.date AND n.ticker = 'NVDA'
+  LEFT JOIN stock_prices sm ON d.date = sm.date AND sm.ticker = 'SAMSUNG'
+  WINDOW w AS (ORDER BY d.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+)
+, gf AS (
+  SELECT cal.date,
+         last_value(cw.price_aluminum IGNORE NULLS) OVER w AS price_aluminum,
+         last_value(cw.price_copper IGNORE NULLS) OVER w AS price_copper,
+         last_value(cw.price_crude_oil IGNORE NULLS) OVER w AS price_crude_oil
+  FROM cal LEFT JOIN cwide cw ON cal.date = cw.date
+  WINDOW w AS (ORDER BY cal.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+)
+, ext AS (
+  SELECT CAST(unnest(generate_series((SELECT max(year) FROM annual_interest) + 1,
+                                     (SELECT max(year(o_orderdate)) FROM orders))) AS INTEGER) AS year
+)
+, intr AS (
+  SELECT year, CAST(last_value(value IGNORE NULLS) OVER (ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                    AS DOUBLE) AS interest_rate
+  FROM (SELECT year, value FROM annual_interest UNION ALL SELECT year, NULL FROM ext)
+)
+, fit AS (
+  SELECT regr_slope(CAST(value AS DOUBLE), year - 2000.0) AS slope,
+         regr_intercept(CAST(value AS DOUBLE), year - 2000.0) AS intercept
+  FROM annual_inflation WHERE year BETWEEN 1995 AND 2000 AND value IS NOT NULL
+)
+, lext AS (
+  SELECT CAST(unnest(generate_series((SELECT max(year) FROM annual_inflation) + 1,
+                                     (SELECT max(year(o_orderdate)) FROM orders))) AS INTEGER) AS year
+)
+, lith AS (
+  SELECT year, round(CAST(value AS DOUBLE), 2) AS lithium_price_usd FROM annual_inflation
+  UNION ALL
+  SELECT lext.year, round(fit.slope * (lext.year - 2000.0) + fit.intercept, 2) FROM lext, fit
+)
+, dfe AS (
+  SELECT cal.date,
+         CAST(month(cal.date) AS INTEGER) AS month, CAST(weekofyear(cal.date) AS INTEGER) AS week,
+         CAST(isodow(cal.date) - 1 AS INTEGER) AS day_of_week, CAST(quarter(cal.date) AS INTEGER) AS quarter,
+         CASE WHEN hd.date IS NULL THEN 0 ELSE 1 END AS is_holiday,
+         lr.sales_lag_7, lr.sales_lag_30, lr.sales_rolling_7_mean,
+         st.nvidia_close, st.samsung_close,
+         CAST(ai.value AS DOUBLE) AS inflation_india, intr.interest_rate, lith.lithium_price_usd,
+         gf.price_aluminum, gf.price_copper, gf.price_crude_oil
+  FROM cal
+  LEFT JOIN (SELECT DISTINCT date FROM holidays) hd ON cal.date = hd.date
+  LEFT JOIN lr ON cal.date = lr.date
+  LEFT JOIN st ON cal.date = st.date
+  LEFT JOIN gf ON cal.date = gf.date
+  LEFT JOIN annual_inflation ai ON year(cal.date) = ai.year
+  LEFT JOIN intr ON year(cal.date) = intr.year
+  LEFT JOIN lith ON year(cal.date) = lith.year
+)
+SELECT s.date, s.order_id, s.product_id, s.revenue AS sales,
+       {", ".join("dfe." + f for f in _FEATURES)},
+       {_ONE_HOTS}
+FROM sales s
+LEFT JOIN products p ON s.product_id = p.id
+LEFT JOIN regions r ON s.region_id = r.id
+LEFT JOIN dfe ON s.date = dfe.date
+WHERE {" AND ".join("dfe." + f + " IS NOT NULL" for f in _FEATURES)}
+""")

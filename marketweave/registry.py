@@ -18,6 +18,7 @@ from .plans import reports as rp
 from .plans import ingest as ig
 from .plans import requests as rq
 from .plans import quality_checks as qc
+from .plans import features as fe
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +56,9 @@ QUERIES: dict[str, QueryFn] = {
     "orphan_keys": qc.orphan_keys,
     "request_validation": rq.request_validation,
     "context_fallback": rq.context_fallback,
+    "one_hot": fe.one_hot_lines,
+    "train_test_split": fe.order_split,
+    "feature_table": fe.feature_table,
 }
 
 for _name, _args in oracle.SMART_CASES.items():
