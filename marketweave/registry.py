@@ -19,6 +19,8 @@ from .plans import ingest as ig
 from .plans import requests as rq
 from .plans import quality_checks as qc
 from .plans import features as fe
+from .plans import model as ml
+from .plans import forecast as fc
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +61,14 @@ QUERIES: dict[str, QueryFn] = {
     "one_hot": fe.one_hot_lines,
     "train_test_split": fe.order_split,
     "feature_table": fe.feature_table,
+    # Model fits and forecasts: no SQL oracle (rows-only check); their
+    # numeric behaviour is covered by tests/ (synthetic recovery, shapes).
+    "ols_predict": ml.ols_predict,
+    "ols_mae": ml.ols_mae,
+    "score_requests": ml.score_requests,
+    "forecast_90d": lambda s, d: fc.forecast(s, d, 90),
+    "forecast_components": lambda s, d: fc.forecast_components(s, d, 90),
+    "forecast_by_region": lambda s, d: fc.forecast_by_region(s, d, 90),
 }
 
 for _name, _args in oracle.SMART_CASES.items():
