@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import calendar_columns
+from ..operators import windows as W
 from ..session import scratch_path
 from . import features as fe
 from . import requests as rq
@@ -25,7 +26,9 @@ ORDER = ["date", "order_id", "product_id", "sales"]
 WARNING = ("Prediction based on historical patterns. "
            "Accuracy decreases further from the training range.")
 
-_FITTED: dict[str, tuple[PipelineModel, list[str]]] = {}
+# One fit per (session, input folder) and process: the model is trained once
+# and served many times (K3), like the reference's saved model.
+_FITTED: dict[tuple, tuple] = {}
 
 
 def model_columns(spark: SparkSession, sf_dir: str) -> list[str]:
@@ -60,26 +63,31 @@ def fit_sales_model(spark: SparkSession, sf_dir: str, save: bool = True):
         path = scratch_path(spark, "models/sales_ols")
         model.write().overwrite().save(path)
         model = PipelineModel.load(path)
-    _FITTED[sf_dir] = (model, cols)
+    _FITTED[_key(spark, sf_dir)] = (model, cols, data)
     return model, cols, data
 
 
-def _fitted(spark, sf_dir):
-    if sf_dir not in _FITTED:
+def _key(spark, sf_dir):
+    return (spark.sparkContext.applicationId, sf_dir)
+
+
+def fitted(spark: SparkSession, sf_dir: str):
+    """(model, columns, split rows), fitted on first use in this application."""
+    if _key(spark, sf_dir) not in _FITTED:
         fit_sales_model(spark, sf_dir)
-    return _FITTED[sf_dir]
+    return _FITTED[_key(spark, sf_dir)]
 
 
 def ols_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M2: predictions for the held-out rows."""
-    model, cols, data = fit_sales_model(spark, sf_dir)
+    model, cols, data = fitted(spark, sf_dir)
     pred = model.transform(data.filter("is_test = 1"))
     return pred.select(*ORDER, F.round("prediction", 4).alias("prediction"))
 
 
 def ols_mae(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3 + A16: mean absolute error on the last 20 % (one row)."""
-    model, cols, data = fit_sales_model(spark, sf_dir)
+    model, cols, data = fitted(spark, sf_dir)
     pred = model.transform(data)
     return pred.groupBy().agg(
         F.count_if(F.col("is_test") == 0).alias("n_train"),
@@ -99,9 +107,10 @@ def request_features(spark: SparkSession, sf_dir: str, cols: list[str]) -> DataF
     """
     ctx = rq.context_fallback(spark, sf_dir)
     req = rq.valid_requests(spark, sf_dir).select("request_id", "holiday", "ticker", "cat_stored", "region")
-    daily = fe.daily_features(spark, sf_dir)
     market = ["inflation_india", "interest_rate", "lithium_price_usd",
               "price_aluminum", "price_copper", "price_crude_oil"]
+    # As-of values: last known value on or before each day (one row per day).
+    daily = W.ffill(fe.daily_features(spark, sf_dir), market, ["date"])
     last_day = daily.agg(F.max("date").alias("_last"))
     r = (ctx.join(req, "request_id")
             .withColumn("_one", F.lit(1))
@@ -128,7 +137,7 @@ def request_features(spark: SparkSession, sf_dir: str, cols: list[str]) -> DataF
 
 def score_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M5: one prediction per valid request, rounded to 2 decimals."""
-    model, cols = _fitted(spark, sf_dir)
+    model, cols, _ = fitted(spark, sf_dir)
     feats = request_features(spark, sf_dir, cols)
     pred = model.transform(feats)
     return pred.select(
