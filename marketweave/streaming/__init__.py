@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The reference has no stream source, watermark, window or state: every input
+is a static file and every load replaces a table. Nothing is registered
+here; incremental loads are batch writes (``sources.sinks.write_table``).
+"""
