@@ -3,9 +3,10 @@
 ``row_number().over(Window.orderBy(...))`` moves every row into one task.
 Here the rows are range-partitioned by the order (a distributed sort), each
 row gets its partition-local position from ``monotonically_increasing_id``
-(partition index in the upper 31 bits), the sorted rows are checkpointed to
-the shared folder so that position is fixed, and the per-partition counts
-(one row per partition: a proven bound) become offsets.
+(partition index in the upper 31 bits), the sorted rows are written once to
+the shared checkpoint folder so that position is fixed (a lineage cut that
+survives executor loss), and the per-partition counts (one row per
+partition: a proven bound) become offsets.
 """
 
 from __future__ import annotations
@@ -15,16 +16,15 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import materialize
 
 _LOW_BITS = (1 << 33) - 1
 
 
 def global_rank(df: DataFrame, order_by: Sequence[str | Column], name: str = "rank") -> DataFrame:
     """Add a 1-based consecutive rank in ``order_by`` (give a unique tie-break)."""
-    checkpoint_dir(df.sparkSession)
     s = df.orderBy(*order_by).withColumn("_mid", F.monotonically_increasing_id())
-    s = s.checkpoint(eager=True)
+    s = materialize(s, "rank")
     s = s.withColumn("_pid", F.shiftright("_mid", 33)).withColumn(
         "_local", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)))
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))

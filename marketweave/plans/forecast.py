@@ -24,6 +24,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from ..sources import catalog as cat
 from . import timeseries as ts
 
@@ -74,7 +75,9 @@ def daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _fit_single(spark, sf_dir, days):
     if days > MAX_DAYS:
         raise ValueError(f"Maximum forecast is {MAX_DAYS} days.")
-    hist = daily_series(spark, sf_dir)
+    # One row per day (bounded); written once because the fit, the residual
+    # spread and the bounds all read it.
+    hist = materialize(daily_series(spark, sf_dir), "daily_series")
     bounds = hist.agg(F.min("ds").alias("first"), F.max("ds").alias("last")).first()
     origin = bounds["first"].isoformat()
     names = _holiday_names(spark)

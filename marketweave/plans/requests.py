@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import blank_to_null, map_values
 from ..operators.quality import error_list
+from ..session import materialize
 from ..sources import catalog as cat
 from ..sources.tables import read_table
 
@@ -110,41 +111,47 @@ def valid_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALL = "*"
 
 
-def _last_struct():
-    """Tie-broken 'last row of the day' key and payload."""
-    return (F.struct("order_id", "product_id", "quantity", "revenue"),
-            F.struct("revenue", "profit", "quantity"))
+def _sales_with_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = cat.sales(spark, sf_dir).select("date", "order_id", "product_id", "quantity", "revenue")
+    p = cat.products(spark, sf_dir).select(F.col("id").alias("product_id"), "category")
+    return s.join(p, "product_id")
 
 
 def day_category_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(date, cat_key, year_key, n, last) with cat_key / year_key also '*'.
+    """(date, cat_key, year_key, n) with cat_key / year_key also '*'.
 
-    One row per (day, category) of sales, expanded to the four
-    (category | *, year | *) combinations: bounded by days x categories x 4.
+    A hash aggregate (counts only) to one row per (day, category), expanded
+    to the four (category | *, year | *) combinations: bounded by
+    days x categories x 4.
     """
-    s = cat.sales(spark, sf_dir).select("date", "order_id", "product_id", "quantity", "revenue", "profit")
-    p = cat.products(spark, sf_dir).select(F.col("id").alias("product_id"), "category")
-    key, payload = _last_struct()
-    dc = (s.join(p, "product_id")
-            .groupBy("date", "category")
-            .agg(F.count(F.lit(1)).alias("n"), F.max_by(F.struct(key.alias("k"), payload.alias("v")), key)
-                 .alias("last")))
-    dc = dc.withColumn("year", F.year("date").cast("string"))
+    dc = (_sales_with_category(spark, sf_dir).groupBy("date", "category")
+          .agg(F.count(F.lit(1)).alias("n"))
+          .withColumn("year", F.year("date").cast("string")))
     combos = F.array(
         F.struct(F.col("category").alias("c"), F.col("year").alias("y")),
         F.struct(F.col("category").alias("c"), F.lit(ALL).alias("y")),
         F.struct(F.lit(ALL).alias("c"), F.col("year").alias("y")),
         F.struct(F.lit(ALL).alias("c"), F.lit(ALL).alias("y")))
-    x = dc.select("date", "n", "last", F.explode(combos).alias("kk"))
+    x = dc.select("date", "n", F.explode(combos).alias("kk"))
     return (x.groupBy("date", F.col("kk.c").alias("cat_key"), F.col("kk.y").alias("year_key"))
-             .agg(F.sum("n").alias("n"), F.max_by("last", "last.k").alias("last")))
+             .agg(F.sum("n").alias("n")))
 
 
-def _level_from_summary(dcx: DataFrame) -> DataFrame:
-    """Per (cat_key, year_key): row count and the latest row (max date, then tie-break)."""
-    return (dcx.groupBy("cat_key", "year_key")
-               .agg(F.sum("n").alias("n"),
-                    F.max_by(F.struct("date", "last"), F.struct("date", "last.k")).alias("latest")))
+def last_rows(spark: SparkSession, sf_dir: str, wanted: DataFrame) -> DataFrame:
+    """Last sales row (D10 tie-break) of each wanted (date, cat_key).
+
+    Only rows on the wanted days are read past the date filter (a semi join
+    with a small, distinct day list), so the struct ``max_by`` - which cannot
+    use hash aggregation - never runs over the whole fact.
+    """
+    days = wanted.select("date").distinct()
+    s = _sales_with_category(spark, sf_dir).join(F.broadcast(days), "date", "left_semi")
+    key = F.struct("order_id", "product_id", "quantity", "revenue")
+    per_cat = s.groupBy("date", F.col("category").alias("cat_key")).agg(
+        F.max_by("revenue", key).alias("revenue"))
+    per_day = s.groupBy("date").agg(F.max_by("revenue", key).alias("revenue")).withColumn(
+        "cat_key", F.lit(ALL))
+    return per_cat.unionByName(per_day).join(wanted.distinct(), ["date", "cat_key"], "left_semi")
 
 
 def context_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +161,8 @@ def context_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
         "request_id", "holiday", "ticker", "commodity", "cat_stored", "year", "req_date")
     req = req.withColumn("cat_key", F.coalesce("cat_stored", F.lit(ALL))).withColumn(
         "year_key", F.coalesce(F.col("year").cast("string"), F.lit(ALL)))
-    dcx = day_category_summary(spark, sf_dir)
+    # Bounded (days x categories x 4) and read by every level: write it once.
+    dcx = materialize(day_category_summary(spark, sf_dir), "day_category")
 
     # ---- level 1: (holiday, ticker, commodity, category, year) -----------
     keys = req.select("holiday", "ticker", "commodity", "cat_key", "year_key").distinct()
@@ -165,8 +173,7 @@ def context_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
               .groupBy("holiday", "date").agg(F.count(F.lit(1)).alias("m_h")))
     cp = cat.commodity_prices(spark, sf_dir).select(F.col("date").alias("month"), "commodity_name")
     cpat = keys.select("commodity").where("commodity IS NOT NULL").distinct()
-    cmatch = (cp.join(F.broadcast(cpat),
-                      F.expr("commodity_name ILIKE concat('%', commodity, '%')"))
+    cmatch = (cp.join(F.broadcast(cpat), F.expr("commodity_name ILIKE concat('%', commodity, '%')"))
               .groupBy("commodity", "month").agg(F.count(F.lit(1)).alias("m_c")))
     k1 = keys.join(dcx, ["cat_key", "year_key"])
     k1 = (k1.join(hmatch, ["holiday", "date"], "left")
@@ -175,24 +182,21 @@ def context_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
             .join(cmatch, ["commodity", "month"], "left")
             .withColumn("w", F.col("n") * F.coalesce("m_h", F.lit(1)) * F.coalesce("m_c", F.lit(1))))
     l1 = (k1.groupBy("holiday", "ticker", "commodity", "cat_key", "year_key")
-            .agg(F.sum("w").alias("n1"),
-                 F.max_by(F.struct("date", "last"), F.struct("date", "last.k")).alias("latest1")))
-    sp = cat.stock_prices(spark, sf_dir).select("date", "ticker", F.col("close").alias("close1"))
-    l1 = (l1.withColumn("d1", F.col("latest1.date"))
-            .join(sp.withColumnRenamed("date", "d1"), ["d1", "ticker"], "left"))
-
-    # ---- levels 2 / 3: (category, year) / (category) ------------------------
-    lv = _level_from_summary(dcx)
-    l2 = lv.select("cat_key", "year_key", F.col("n").alias("n2"), F.col("latest").alias("latest2"))
-    l3 = lv.filter(F.col("year_key") == ALL).select(
-        "cat_key", F.col("n").alias("n3"), F.col("latest").alias("latest3"))
-    # ---- level 4: most recent 100 rows overall -------------------------------
+            .agg(F.sum("w").alias("n1"), F.max("date").alias("d1")))
+    sp = cat.stock_prices(spark, sf_dir).select(F.col("date").alias("d1"), "ticker",
+                                                 F.col("close").alias("close1"))
+    l1 = l1.join(sp, ["d1", "ticker"], "left")
+
+    # ---- levels 2 / 3 / 4 ----------------------------------------------------
+    lv = dcx.groupBy("cat_key", "year_key").agg(F.sum("n").alias("n"), F.max("date").alias("d"))
+    l2 = lv.select("cat_key", "year_key", F.col("n").alias("n2"), F.col("d").alias("d2"))
+    l3 = lv.filter(F.col("year_key") == ALL).select("cat_key", F.col("n").alias("n3"), F.col("d").alias("d3"))
     l4 = lv.filter((F.col("cat_key") == ALL) & (F.col("year_key") == ALL)).select(
-        F.lit(1).alias("_one"), F.least(F.col("n"), F.lit(100)).alias("n4"), F.col("latest").alias("latest4"))
+        F.lit(1).alias("_one"), F.least(F.col("n"), F.lit(100)).alias("n4"), F.col("d").alias("d4"))
 
     # Absent arguments are NULL in both tables: match them null-safely.
     kcols = ["holiday", "ticker", "commodity", "cat_key", "year_key"]
-    l1 = l1.select(*[F.col(c).alias(f"_k_{c}") for c in kcols], "n1", "latest1", "close1")
+    l1 = l1.select(*[F.col(c).alias(f"_k_{c}") for c in kcols], "n1", "d1", "close1")
     cond = [req[c].eqNullSafe(l1[f"_k_{c}"]) for c in kcols]
     r = (req.join(l1, cond, "left").drop(*[f"_k_{c}" for c in kcols])
             .join(l2, ["cat_key", "year_key"], "left")
@@ -203,15 +207,20 @@ def context_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     use2 = F.coalesce(F.col("n2"), F.lit(0)) > 0
     use3 = F.col("cat_stored").isNotNull() & (F.coalesce(F.col("n3"), F.lit(0)) > 0)
     level = F.when(use1, 1).when(use2, 2).when(use3, 3).otherwise(4)
-    latest = (F.when(use1, F.col("latest1")).when(use2, F.col("latest2"))
-               .when(use3, F.col("latest3")).otherwise(F.col("latest4")))
+    ctx_date = (F.when(use1, F.col("d1")).when(use2, F.col("d2"))
+                 .when(use3, F.col("d3")).otherwise(F.col("d4")))
     size = (F.when(use1, F.col("n1")).when(use2, F.col("n2"))
              .when(use3, F.col("n3")).otherwise(F.col("n4")))
-    out = r.select("request_id", level.alias("level_used"), size.cast("long").alias("sample_size"),
-                   latest.alias("_l"), F.when(use1, F.col("close1")).alias("stock_close"), "req_date")
-    return out.select(
-        "request_id", "level_used", "sample_size",
-        F.col("_l.date").alias("context_date"),
-        F.col("_l.last.v.revenue").alias("context_revenue"),
-        "stock_close",
-        F.coalesce("req_date", F.col("_l.date")).alias("basis_date"))
+    # Levels 1-3 are restricted to the request category (or all), level 4 never.
+    ctx_cat = F.when(use1 | use2 | use3, F.col("cat_key")).otherwise(F.lit(ALL))
+    out = materialize(r.select(
+        "request_id", level.alias("level_used"), size.cast("long").alias("sample_size"),
+        ctx_date.alias("context_date"), ctx_cat.alias("_cat"),
+        F.when(use1, F.col("close1")).alias("stock_close"), "req_date"), "context")
+    lr = last_rows(spark, sf_dir, out.select(F.col("context_date").alias("date"),
+                                             F.col("_cat").alias("cat_key")).distinct())
+    lr = lr.select(F.col("date").alias("context_date"), F.col("cat_key").alias("_cat"),
+                   F.col("revenue").alias("context_revenue"))
+    return (out.join(lr, ["context_date", "_cat"], "left")
+               .select("request_id", "level_used", "sample_size", "context_date", "context_revenue",
+                       "stock_close", F.coalesce("req_date", "context_date").alias("basis_date")))

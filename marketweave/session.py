@@ -61,3 +61,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def materialize(df, name: str):
+    """Cut lineage: write ``df`` once to the shared checkpoint folder as
+    Parquet and read it back.
+
+    Unlike ``Dataset.checkpoint(eager=True)`` (one job to count, another that
+    recomputes the plan to write it) this evaluates the plan once; the files
+    live in the cluster's shared folder, so a lost executor costs a re-read,
+    not a recomputation of the lineage.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = scratch_path(spark, f"tables/{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
