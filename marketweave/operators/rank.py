@@ -22,8 +22,16 @@ _LOW_BITS = (1 << 33) - 1
 
 
 def global_rank(df: DataFrame, order_by: Sequence[str | Column], name: str = "rank") -> DataFrame:
-    """Add a 1-based consecutive rank in ``order_by`` (give a unique tie-break)."""
-    s = df.orderBy(*order_by).withColumn("_mid", F.monotonically_increasing_id())
+    """Add a 1-based consecutive rank in ``order_by``.
+
+    A unique row id taken before the sort is appended to the sort key, so a
+    single value held by a large share of the rows is still split across
+    range partitions (ties get an arbitrary but fixed order; give a unique
+    tie-break in ``order_by`` where the order of ties matters).
+    """
+    s = (df.withColumn("_tb", F.monotonically_increasing_id())
+           .orderBy(*order_by, "_tb").drop("_tb")
+           .withColumn("_mid", F.monotonically_increasing_id()))
     s = materialize(s, "rank")
     s = s.withColumn("_pid", F.shiftright("_mid", 33)).withColumn(
         "_local", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)))

@@ -74,8 +74,9 @@ def box_stats_raw(values: DataFrame, group: str = "category", value: str = "v")
     v = F.col(value)
     inside_lo = v >= F.col("lower_fence")
     inside_hi = v <= F.col("upper_fence")
-    # One row per group: broadcast is bounded by the number of groups.
-    wh = (values.select(group, value)
+    # One row per group: broadcast is bounded by the number of groups. The
+    # ranked copy is already written, so the fact join is not recomputed.
+    wh = (ranked.select(group, value)
           .join(F.broadcast(quart.select(group, "lower_fence", "upper_fence")), group)
           .groupBy(group).agg(F.min(F.when(inside_lo, v)).alias("whisker_low"),
                               F.max(F.when(inside_hi, v)).alias("whisker_high"),

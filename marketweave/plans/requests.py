@@ -173,7 +173,11 @@ def context_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
               .groupBy("holiday", "date").agg(F.count(F.lit(1)).alias("m_h")))
     cp = cat.commodity_prices(spark, sf_dir).select(F.col("date").alias("month"), "commodity_name")
     cpat = keys.select("commodity").where("commodity IS NOT NULL").distinct()
-    cmatch = (cp.join(F.broadcast(cpat), F.expr("commodity_name ILIKE concat('%', commodity, '%')"))
+    # Free-text patterns are unbounded; the commodity names are not: broadcast
+    # the names, match, then equi-join the matched names to the monthly rows.
+    names = cp.select("commodity_name").distinct()
+    matched = cpat.join(F.broadcast(names), F.expr("commodity_name ILIKE concat('%', commodity, '%')"))
+    cmatch = (matched.join(cp, "commodity_name")
               .groupBy("commodity", "month").agg(F.count(F.lit(1)).alias("m_c")))
     k1 = keys.join(dcx, ["cat_key", "year_key"])
     k1 = (k1.join(hmatch, ["holiday", "date"], "left")

@@ -49,7 +49,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     The cluster names it in ``spark.checkpoint.dir``; only when that is unset
     (local tests) a fresh scratch folder is created and registered.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = tempfile.mkdtemp(prefix="marketweave-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
