@@ -108,7 +108,8 @@ def product_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     name order (distributed rank), and sales lines are mapped back to ids by
     name to count them.
     """
-    ec = (raw_ecommerce_sales(spark, sf_dir).select(F.col("product_name").alias("name"), "category")
+    ec = (raw_ecommerce_sales(spark, sf_dir).na.drop("any")          # C5
+          .select(F.col("product_name").alias("name"), "category")
           .distinct()
           .select("name", map_values(F.trim("category"), CATEGORY_MAP, CATEGORY_DEFAULT, lower=True)
                   .alias("category"), F.lit(0).alias("src")))

@@ -107,3 +107,18 @@ def tables_used(**kw) -> list[str]:
     if kw.get("include_macro"):
         out.append("macro_indicators")
     return out
+
+
+def smart_query_logged(spark: SparkSession, sf_dir: str, out_path: str, log_path: str,
+                       **kw) -> int:
+    """Run a smart query, write its result and append the audit row (K2).
+
+    The row count is observed during the write, so logging costs no extra
+    pass; returns the number of rows written.
+    """
+    from ..sources.sinks import write_logged
+
+    conditions = {k: kw.get(k) for k in ("state", "holiday", "ticker", "commodity", "category",
+                                         "year", "date_start", "date_end")}
+    return write_logged(smart_query(spark, sf_dir, **kw), out_path, log_path, "smart_query",
+                        conditions, tables_used(**kw))

@@ -88,3 +88,13 @@ def test_build_catalog_counts(spark, tmp_dir):
     assert counts["sales"] == read_table(spark, SF001, "lineitem").count()
     back = spark.read.parquet(os.path.join(tmp_dir, "cat", "sales"))
     assert "year" in back.columns and back.count() == counts["sales"]
+
+
+def test_smart_query_logged(spark, tmp_dir):
+    from marketweave.plans.smart_query import smart_query_logged
+    n = smart_query_logged(spark, SF001, os.path.join(tmp_dir, "q"), os.path.join(tmp_dir, "log"),
+                           holiday="Diwali", ticker="nvda")
+    log = spark.read.parquet(os.path.join(tmp_dir, "log")).first()
+    assert log.rows_returned == n == spark.read.parquet(os.path.join(tmp_dir, "q")).count()
+    assert log.tables_used == '["holidays", "products", "sales", "stock_prices"]'
+    assert '"holiday": "Diwali"' in log.conditions
