@@ -18,6 +18,7 @@ from ..functions.dates import calendar_columns
 from ..operators import windows as W
 from ..operators.rank import global_rank
 from ..operators.reshape import one_hot
+from ..session import materialize
 from ..sources import catalog as cat
 from ..sources.tables import read_table
 from . import timeseries as ts
@@ -41,21 +42,27 @@ def region_levels(spark: SparkSession, sf_dir: str) -> list[str]:
 
 
 def daily_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per calendar day with every day-level feature."""
-    cal = ts.sales_calendar(spark, sf_dir).withColumn("year", F.year("date"))
-    lags = ts.lag_rolling_features(spark, sf_dir).drop("sales")
-    stock = ts.ffill_stock_daily(spark, sf_dir).drop("total_revenue")
-    prices = ts.gapfill_commodity_daily(spark, sf_dir).select(
+    """One row per calendar day with every day-level feature.
+
+    The shared day / year grain inputs (daily revenue, calendar, yearly
+    series) are each computed once and written to the shared folder (all are
+    bounded by the calendar), so the fact is joined once for the daily
+    totals, and the quote and commodity series are the only other fact passes.
+    """
+    daily = materialize(cat.daily_totals(spark, sf_dir).select(
+        "date", F.col("revenue").alias("sales")), "daily_revenue")
+    cal = materialize(ts.sales_calendar(spark, sf_dir), "calendar").withColumn("year", F.year("date"))
+    lags = ts.lag_rolling(daily, "sales").drop("sales")
+    stock = W.ffill(daily.select("date").join(ts.stock_close_wide(spark, sf_dir), "date", "left"),
+                    ["nvidia_close", "samsung_close"], ["date"])
+    prices = W.ffill(cal.select("date").join(ts.commodity_wide(spark, sf_dir), "date", "left"),
+                     ["price_aluminum", "price_copper", "price_crude_oil"], ["date"]).select(
         "date", "price_aluminum", "price_copper", "price_crude_oil")
-    infl = cat.annual_series(spark, sf_dir, "inflation").select(
-        "year", F.col("value").cast("double").alias("inflation_india"))
-    intr = ts.annual_extend(spark, sf_dir).select("year", F.col("interest_rate").cast("double"))
-    lith = ts.linear_extrapolate(spark, sf_dir).select("year", F.col("value").alias("lithium_price_usd"))
+    yearly = ts.yearly_features(spark, sf_dir)
     hol = ts.holiday_flags(spark)
-    d = (cal.join(hol, "date", "left")
+    d = (cal.join(F.broadcast(hol), "date", "left")
             .join(lags, "date", "left").join(stock, "date", "left").join(prices, "date", "left")
-            .join(F.broadcast(infl), "year", "left").join(F.broadcast(intr), "year", "left")
-            .join(F.broadcast(lith), "year", "left"))
+            .join(F.broadcast(yearly), "year", "left"))
     return d.select(
         "date", *[v.alias(k) for k, v in calendar_columns("date").items() if k != "year"],
         F.coalesce("is_holiday", F.lit(0)).alias("is_holiday"),

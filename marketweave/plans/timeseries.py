@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import calendar_columns, month_key, to_day
 from ..operators import windows as W
 from ..operators.reshape import pivot_fixed, unpivot_digit_columns
+from ..session import materialize
 from ..sources import catalog as cat
 from ..sources.tables import read_table
 
@@ -127,11 +128,14 @@ def _max_sales_year(spark, sf_dir) -> DataFrame:
         F.year(F.max("o_orderdate")).alias("max_year"))
 
 
-def annual_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+def annual_extend(spark: SparkSession, sf_dir: str, annual: DataFrame | None = None,
+                  max_year: DataFrame | None = None) -> DataFrame:
     """W6 + G2: extend the annual interest series to the last sales year and
-    carry the last value forward."""
-    a = cat.annual_series(spark, sf_dir, "interest")
-    bounds = _one_row(a.agg(F.max("year").alias("last_year")), _max_sales_year(spark, sf_dir))
+    carry the last value forward. ``annual`` / ``max_year`` may be passed in
+    when the caller already has them (no second scan)."""
+    a = annual if annual is not None else cat.annual_series(spark, sf_dir, "interest")
+    mx = max_year if max_year is not None else _max_sales_year(spark, sf_dir)
+    bounds = _one_row(a.agg(F.max("year").alias("last_year")), mx)
     ext = (W.int_range(bounds.select((F.col("last_year") + 1).alias("s"), F.col("max_year").alias("e")),
                        "s", "e", "year")
            .select("year", F.lit(None).cast(a.schema["value"].dataType).alias("value"),
@@ -142,14 +146,16 @@ def annual_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def linear_extrapolate(spark: SparkSession, sf_dir: str, fit_from: int = 1995,
-                       fit_to: int = 2000) -> DataFrame:
+                       fit_to: int = 2000, annual: DataFrame | None = None,
+                       max_year: DataFrame | None = None) -> DataFrame:
     """Fit a line to the annual inflation series over [fit_from, fit_to]
     (P6, NULLs dropped) and append predictions up to the last sales year."""
-    a = cat.annual_series(spark, sf_dir, "inflation")
+    a = annual if annual is not None else cat.annual_series(spark, sf_dir, "inflation")
+    mx = max_year if max_year is not None else _max_sales_year(spark, sf_dir)
     fit_rows = a.filter(F.col("year").between(fit_from, fit_to)).na.drop(subset=["value"])
     fit = W.linear_fit(fit_rows, "year", "value", x_center=2000.0).drop("n_points")
     last = a.agg(F.max("year").alias("last_year"))
-    row = _one_row(fit, last, _max_sales_year(spark, sf_dir))
+    row = _one_row(fit, last, mx)
     years = F.when(F.col("last_year") + 1 <= F.col("max_year"),
                    F.sequence(F.col("last_year") + 1, F.col("max_year")))
     ext = row.select(F.explode(years).alias("year"), "slope", "intercept").select(
@@ -160,6 +166,19 @@ def linear_extrapolate(spark: SparkSession, sf_dir: str, fit_from: int = 1995,
     return hist.unionByName(ext).orderBy("year")
 
 
+def yearly_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(year, inflation_india, interest_rate, lithium_price_usd): every yearly
+    feature from one read of each annual series (one row per year)."""
+    inf = materialize(cat.annual_series(spark, sf_dir, "inflation"), "annual_inflation")
+    intr = materialize(cat.annual_series(spark, sf_dir, "interest"), "annual_interest")
+    mx = materialize(_max_sales_year(spark, sf_dir), "max_sales_year")
+    ext = annual_extend(spark, sf_dir, intr, mx).select("year", F.col("interest_rate").cast("double"))
+    lith = linear_extrapolate(spark, sf_dir, annual=inf, max_year=mx).select(
+        "year", F.col("value").alias("lithium_price_usd"))
+    return (lith.join(inf.select("year", F.col("value").cast("double").alias("inflation_india")), "year", "left")
+                .join(ext, "year", "full_outer"))
+
+
 def unpivot_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G3 + G4 + C19: wide yearly tables -> long (all-digit columns) -> outer
     alignment of the two indicators on year."""
