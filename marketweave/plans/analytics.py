@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import month_key
 from ..functions.exprs import contains_ci, ratio, total
+from ..session import materialize
 from ..sources import catalog as cat
 
 
@@ -97,7 +98,9 @@ def commodity_impact(spark: SparkSession, sf_dir: str, commodity: str = "Copper"
     Revenue is summed per month before the join and the commodity side is
     averaged per month, so the join is 1:1 (D5).
     """
-    cp = cat.commodity_prices(spark, sf_dir)
+    # Months x commodities (bounded) and read twice (code lookup, prices):
+    # written once so the fact-derived series is computed once.
+    cp = materialize(cat.commodity_prices(spark, sf_dir), "commodity_prices")
     code = commodity_code_for(cp, commodity)
     cp_month = (cp.join(code, "commodity_code", "left_semi")
                 .groupBy(month_key("date").alias("month"))

@@ -133,7 +133,7 @@ def annual_extend(spark: SparkSession, sf_dir: str, annual: DataFrame | None = N
     """W6 + G2: extend the annual interest series to the last sales year and
     carry the last value forward. ``annual`` / ``max_year`` may be passed in
     when the caller already has them (no second scan)."""
-    a = annual if annual is not None else cat.annual_series(spark, sf_dir, "interest")
+    a = annual if annual is not None else materialize(cat.annual_series(spark, sf_dir, "interest"), "annual")
     mx = max_year if max_year is not None else _max_sales_year(spark, sf_dir)
     bounds = _one_row(a.agg(F.max("year").alias("last_year")), mx)
     ext = (W.int_range(bounds.select((F.col("last_year") + 1).alias("s"), F.col("max_year").alias("e")),
@@ -150,7 +150,7 @@ def linear_extrapolate(spark: SparkSession, sf_dir: str, fit_from: int = 1995,
                        max_year: DataFrame | None = None) -> DataFrame:
     """Fit a line to the annual inflation series over [fit_from, fit_to]
     (P6, NULLs dropped) and append predictions up to the last sales year."""
-    a = annual if annual is not None else cat.annual_series(spark, sf_dir, "inflation")
+    a = annual if annual is not None else materialize(cat.annual_series(spark, sf_dir, "inflation"), "annual")
     mx = max_year if max_year is not None else _max_sales_year(spark, sf_dir)
     fit_rows = a.filter(F.col("year").between(fit_from, fit_to)).na.drop(subset=["value"])
     fit = W.linear_fit(fit_rows, "year", "value", x_center=2000.0).drop("n_points")

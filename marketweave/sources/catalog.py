@@ -314,10 +314,18 @@ def macro_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
          .alias("usd_inr_rsi14"),
         F.round(F.stddev_samp("_ret").over(w30), 6).alias("usd_inr_volatility"),
     )
-    inf = annual_series(spark, sf_dir, "inflation").withColumnRenamed("value", "inflation_india")
-    intr = annual_series(spark, sf_dir, "interest").withColumnRenamed("value", "interest_india")
     fx = fx.withColumn("year", F.year("date"))
-    # Annual tables hold one row per year: broadcast is size-bounded.
-    return (fx.join(F.broadcast(inf), "year", "left")
-              .join(F.broadcast(intr), "year", "left")
-              .drop("year"))
+    # One row per year, both series from one scan: broadcast is size-bounded.
+    return fx.join(F.broadcast(annual_pair(spark, sf_dir)), "year", "left").drop("year")
+
+
+def annual_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(year, inflation_india, interest_india): both yearly series from one
+    scan of orders (conditional aggregates); a series' missing years are NULL."""
+    o = read_table(spark, sf_dir, "orders", "o_orderdate", "o_orderstatus").filter(
+        ts_day_range("o_orderdate", None, f"{max(INFLATION_LAST_YEAR, INTEREST_LAST_YEAR)}-12-31"))
+    y = F.year("o_orderdate")
+    return o.groupBy(y.alias("year")).agg(
+        F.when(F.max(y) <= INFLATION_LAST_YEAR, F.count(F.lit(1))).cast(MONEY).alias("inflation_india"),
+        F.when(F.max(y) <= INTEREST_LAST_YEAR, F.count_if(F.col("o_orderstatus") == "F"))
+         .cast(MONEY).alias("interest_india"))
