@@ -46,15 +46,31 @@ def parse_mixed(c, formats: Sequence[str]) -> Column:
     return F.coalesce(*[F.try_to_timestamp(col_(c), F.lit(f)) for f in formats])
 
 
+_OFFSET_LETTERS = set("XxZOV")
+
+
 def parse_utc_day(c, formats: Sequence[str]) -> Column:
-    """C8 + C9: parse (offsets honoured), convert to UTC, keep the day."""
-    return F.to_date(parse_mixed(c, formats))
+    """C8 + C9: parse with the first matching format and keep the UTC day.
+
+    Text with an offset is an instant: converted to UTC, then truncated.
+    Text without one is a wall time read as UTC (as a tz-naive parse would),
+    so the written day is kept. Neither depends on the session time zone.
+    """
+    outs = []
+    for f in formats:
+        local = F.try_to_timestamp(col_(c), F.lit(f)).cast("timestamp_ntz")
+        if _OFFSET_LETTERS & set(f):
+            outs.append(F.to_date(F.convert_timezone(None, F.lit("UTC"), local)))
+        else:
+            outs.append(F.to_date(local))
+    return F.coalesce(*outs)
 
 
 def _ts(d) -> Column:
     if isinstance(d, str):
         d = _dt.date.fromisoformat(d)
-    return F.lit(_dt.datetime(d.year, d.month, d.day)).cast("timestamp_ntz")
+    # A wall-clock literal: no process or session time zone is involved.
+    return F.lit(f"{d.isoformat()} 00:00:00").cast("timestamp_ntz")
 
 
 def ts_day_range(ts_col: str, start=None, end=None) -> Column | None:

@@ -46,16 +46,18 @@ def get_spark(app_name: str = "marketweave", master: str | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and model files.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when that is unset
-    (local tests) a fresh scratch folder is created and registered.
+    The cluster names it in ``spark.checkpoint.dir`` (or has already set the
+    context's checkpoint folder); only when neither is set (local tests) a
+    fresh scratch folder is created. ``spark.checkpoint.dir`` is a core
+    setting, so it is read, never changed at runtime.
     """
-    path = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="marketweave-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path
+    sc = spark.sparkContext
+    path = sc.getCheckpointDir()
+    if path:
+        return path
+    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marketweave-ckpt-")
+    sc.setCheckpointDir(path)
+    return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -51,3 +51,22 @@ def test_order_split_partitions_all_rows(spark):
     n = s.count()
     assert s.filter("is_test = 1").count() + s.filter("is_test = 0").count() == n
     assert s.agg(F.countDistinct("row_rank")).first()[0] == n
+
+
+def test_results_do_not_depend_on_session_time_zone(spark):
+    from marketweave.plans import ingest
+    from marketweave.plans.smart_query import smart_query
+
+    def snapshot():
+        a = sorted(tuple(r) for r in ingest.sales_clean(spark, SF001).groupBy("date").count().collect())
+        b = smart_query(spark, SF001, date_start="1997-01-01", date_end="1997-12-31").count()
+        return a, b
+
+    base = snapshot()
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+        assert snapshot() == base
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        assert snapshot() == base
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
