@@ -140,8 +140,13 @@ def score_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, cols, _ = fitted(spark, sf_dir)
     feats = request_features(spark, sf_dir, cols)
     pred = model.transform(feats)
+    # The response echoes the (cleaned) request as its input context.
+    ctx = rq.valid_requests(spark, sf_dir).select(
+        "request_id", *[F.col(c).alias(f"request_{c}") for c in
+                        ("category", "region", "holiday", "ticker", "commodity", "year", "date")])
+    pred = pred.join(ctx, "request_id")
     return pred.select(
-        "request_id",
+        "request_id", *[c for c in ctx.columns if c != "request_id"],
         F.round("prediction", 2).alias("estimated_revenue"),
         F.lit("INR").alias("currency"),
         F.col("sample_size").alias("historical_sample_size"),
