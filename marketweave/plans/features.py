@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import calendar_columns
@@ -124,6 +124,30 @@ def train_test_split(df: DataFrame, order_by, test_fraction: float = 0.2) -> Dat
     return ranked.withColumn("is_test", (F.col("row_rank") > F.lit(n - n_test)).cast("int"))
 
 
+def ordered_split(df: DataFrame, day_col: str, order_by, test_fraction: float = 0.2) -> DataFrame:
+    """W7 without sorting the whole table: adds ``is_test`` only.
+
+    ``order_by`` must start with ``day_col``. Rows per day (one row per day:
+    bounded) locate the day that holds the cut; rows before it are training
+    rows, rows after it test rows, and only the rows of that one day are
+    ranked (distributed) to place the cut inside it.
+    """
+    per_day = materialize(df.groupBy(day_col).agg(F.count(F.lit(1)).alias("_n")), "per_day")
+    n = per_day.agg(F.sum("_n")).first()[0] or 0
+    n_train = n - math.ceil(round(test_fraction * n, 9))
+    w = Window.orderBy(day_col).rowsBetween(Window.unboundedPreceding, 0)
+    cut = (per_day.withColumn("_cum", F.sum("_n").over(w))
+           .filter(F.col("_cum") >= n_train).orderBy(day_col).limit(1).collect())
+    if not cut:
+        return df.withColumn("is_test", F.lit(0))
+    cut_day, k = cut[0][day_col], n_train - (cut[0]["_cum"] - cut[0]["_n"])
+    day = F.col(day_col)
+    others = df.filter(day != F.lit(cut_day)).withColumn("is_test", (day > F.lit(cut_day)).cast("int"))
+    on_cut = global_rank(df.filter(day == F.lit(cut_day)), order_by[1:] or order_by, "_r")
+    on_cut = on_cut.withColumn("is_test", (F.col("_r") > F.lit(k)).cast("int")).drop("_r")
+    return others.unionByName(on_cut)
+
+
 def order_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W7 on orders ordered by (order date, order key)."""
     o = (read_table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate")

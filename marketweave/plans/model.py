@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import calendar_columns
 from ..operators import windows as W
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from . import features as fe
 from . import requests as rq
 
@@ -37,8 +37,14 @@ def model_columns(spark: SparkSession, sf_dir: str) -> list[str]:
 
 
 def split_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M1 -> W7: feature rows with ``is_test`` (last 20 % in time order)."""
-    return fe.train_test_split(fe.feature_table(spark, sf_dir), ORDER)
+    """M1 -> W7: feature rows with ``is_test`` (last 20 % in time order).
+
+    The feature table is written once to the shared folder (the fit, the
+    evaluation and the predictions all read it) and split by day without a
+    full sort.
+    """
+    ft = materialize(fe.feature_table(spark, sf_dir), "feature_table")
+    return fe.ordered_split(ft, "date", ORDER)
 
 
 def build_pipeline(cols: list[str]) -> Pipeline:

@@ -87,3 +87,12 @@ def test_forecast_by_region(spark):
     f = fc.forecast_by_region(spark, SF001, 14)
     assert f.groupBy("region").count().filter("count != 14").count() == 0
     assert f.filter("yhat_lower > yhat OR yhat > yhat_upper").count() == 0
+
+
+def test_ordered_split_matches_full_rank(spark):
+    rows = [(d, k, float(k % 7)) for d in range(10) for k in range(d * 3 + 1)]
+    df = spark.createDataFrame(rows, "day int, k int, v double")
+    by_day = {(r.day, r.k): r.is_test for r in fe.ordered_split(df, "day", ["day", "k"]).collect()}
+    full = {(r.day, r.k): r.is_test for r in fe.train_test_split(df, ["day", "k"]).collect()}
+    assert by_day == full
+    assert sum(by_day.values()) == math.ceil(0.2 * len(rows))
