@@ -102,7 +102,7 @@ def category_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = vals.join(F.broadcast(fences), "category")
     out = j.filter((F.col("v") < F.col("lower_fence")) | (F.col("v") > F.col("upper_fence")))
     return out.select("category", "date", "order_id", "product_id", "revenue").orderBy(
-        "category", "revenue")
+        "category", "revenue", "date", "order_id", "product_id")
 
 
 # ---------------------------------------------------------------------------

@@ -94,7 +94,9 @@ def smart_query(spark: SparkSession, sf_dir: str, *, state: str | None = None,
                  F.col("category").alias("product_category"))
     li = cat._lines(spark, sf_dir)
     j = li.join(o, li.l_orderkey == o.o_orderkey).join(p, F.col("product_id") == F.col("id"))
-    return j.select(*BASE_COLUMNS, *extra).orderBy("date")
+    # O1 by date; the remaining output columns break ties.
+    return j.select(*BASE_COLUMNS, *extra).orderBy(
+        "date", "product", "quantity", "revenue", "unit_price", *[c for c in extra if c != "state"])
 
 
 def tables_used(**kw) -> list[str]:
