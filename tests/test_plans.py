@@ -55,3 +55,20 @@ def test_columns_pruned_at_scan(spark):
     p = plan(an.monthly_sales(spark, SF001))
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderdate:timestamp_ntz>" in p
     assert "l_shipdate" not in p
+
+
+def final_plan(df):
+    df.collect()   # runs this DataFrame's own query execution
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dimension_and_quote_joins_broadcast_at_runtime(spark):
+    # J1 (products), J4 (stock quotes), J7 (macro day): small sides are
+    # broadcast once AQE has measured them; the fact is never broadcast.
+    df = smart_query(spark, SF001, ticker="NVDA", include_macro=True)
+    p = final_plan(df)
+    assert "isFinalPlan=true" in p
+    assert p.count("BroadcastHashJoin") >= 3
+    for line in p.splitlines():
+        if "BroadcastExchange" in line:
+            assert "lineitem" not in line
