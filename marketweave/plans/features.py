@@ -58,7 +58,7 @@ def daily_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices = W.ffill(cal.select("date").join(ts.commodity_wide(spark, sf_dir), "date", "left"),
                      ["price_aluminum", "price_copper", "price_crude_oil"], ["date"]).select(
         "date", "price_aluminum", "price_copper", "price_crude_oil")
-    yearly = ts.yearly_features(spark, sf_dir)
+    yearly = ts.yearly_features(spark, sf_dir, cal)
     hol = ts.holiday_flags(spark)
     d = (cal.join(F.broadcast(hol), "date", "left")
             .join(lags, "date", "left").join(stock, "date", "left").join(prices, "date", "left")

@@ -166,12 +166,17 @@ def linear_extrapolate(spark: SparkSession, sf_dir: str, fit_from: int = 1995,
     return hist.unionByName(ext).orderBy("year")
 
 
-def yearly_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+def yearly_features(spark: SparkSession, sf_dir: str, calendar: DataFrame | None = None) -> DataFrame:
     """(year, inflation_india, interest_rate, lithium_price_usd): every yearly
-    feature from one read of each annual series (one row per year)."""
-    inf = materialize(cat.annual_series(spark, sf_dir, "inflation"), "annual_inflation")
-    intr = materialize(cat.annual_series(spark, sf_dir, "interest"), "annual_interest")
-    mx = materialize(_max_sales_year(spark, sf_dir), "max_sales_year")
+    feature from one scan of orders (both series via ``annual_pair``); the
+    last sales year comes from ``calendar`` when the caller has it."""
+    pair = materialize(cat.annual_pair(spark, sf_dir), "annual_pair")
+    inf = pair.filter(F.col("inflation_india").isNotNull()).select(
+        "year", F.col("inflation_india").alias("value"))
+    intr = pair.filter(F.col("interest_india").isNotNull()).select(
+        "year", F.col("interest_india").alias("value"))
+    mx = (calendar.agg(F.year(F.max("date")).alias("max_year")) if calendar is not None
+          else _max_sales_year(spark, sf_dir))
     ext = annual_extend(spark, sf_dir, intr, mx).select("year", F.col("interest_rate").cast("double"))
     lith = linear_extrapolate(spark, sf_dir, annual=inf, max_year=mx).select(
         "year", F.col("value").alias("lithium_price_usd"))
