@@ -402,7 +402,7 @@ SELECT f.category, f.n, round(f.q1, 4) AS q1, round(f.med, 4) AS median, round(f
        round(f.iqr, 4) AS iqr, round(f.lf, 4) AS lower_fence, round(f.uf, 4) AS upper_fence,
        round(min(CASE WHEN v >= f.lf THEN v END), 4) AS whisker_low,
        round(max(CASE WHEN v <= f.uf THEN v END), 4) AS whisker_high,
-       count_if(v < f.lf OR v > f.uf) AS n_outliers
+       CAST(count_if(v < f.lf OR v > f.uf) AS BIGINT) AS n_outliers
 FROM fences f JOIN vals USING (category)
 GROUP BY f.category, f.n, f.q1, f.med, f.q3, f.iqr, f.lf, f.uf
 """)
@@ -487,9 +487,10 @@ FROM parsed WHERE date IS NOT NULL
 q("null_profile", _RAW_UPDATED + """
 , counts AS (
   SELECT count(*) AS total_rows,
-         count_if(date IS NULL) AS date, count_if(product IS NULL) AS product,
-         count_if(quantity IS NULL) AS quantity, count_if(unit_price IS NULL) AS unit_price,
-         count_if(revenue IS NULL) AS revenue
+         CAST(count_if(date IS NULL) AS BIGINT) AS date, CAST(count_if(product IS NULL) AS BIGINT) AS product,
+         CAST(count_if(quantity IS NULL) AS BIGINT) AS quantity,
+         CAST(count_if(unit_price IS NULL) AS BIGINT) AS unit_price,
+         CAST(count_if(revenue IS NULL) AS BIGINT) AS revenue
   FROM parsed
 )
 SELECT column_name, null_count, total_rows, total_rows - null_count AS non_null_count
@@ -598,7 +599,7 @@ _REQUESTS = """
 
 q("request_validation", _REQUESTS + """
 SELECT request_id, CASE WHEN err = '' THEN 1 ELSE 0 END AS is_valid,
-       CASE WHEN err = '' THEN 0 ELSE length(err) - length(replace(err, ';', '')) + 1 END AS n_errors,
+       CAST(CASE WHEN err = '' THEN 0 ELSE length(err) - length(replace(err, ';', '')) + 1 END AS INTEGER) AS n_errors,
        nullif(err, '') AS errors
 FROM req_checked
 """)
@@ -824,3 +825,52 @@ LEFT JOIN regions r ON s.region_id = r.id
 LEFT JOIN dfe ON s.date = dfe.date
 WHERE {" AND ".join("dfe." + f + " IS NOT NULL" for f in _FEATURES)}
 """)
+
+
+# ---------------------------------------------------------------------------
+# Analytics endpoints: the same results with numeric NULL -> 0
+# ---------------------------------------------------------------------------
+q("holiday_analytics", """
+SELECT h.name AS holiday, h.date, coalesce(max(h.is_public), 0) AS is_public,
+       count(s.date) AS num_transactions,
+       coalesce(CAST(sum(s.quantity) AS DECIMAL(38,4)), 0) AS total_quantity,
+       coalesce(CAST(sum(s.revenue) AS DECIMAL(38,4)), 0) AS total_revenue,
+       coalesce(CAST(sum(s.profit) AS DECIMAL(38,4)), 0) AS total_profit
+FROM holidays h LEFT JOIN sales s ON s.date = h.date
+GROUP BY h.name, h.date
+""")
+
+q("commodity_analytics", """
+SELECT strftime(s.date, '%Y-%m') AS month, p.category,
+       coalesce(CAST(sum(s.revenue) AS DECIMAL(38,4)), 0) AS total_revenue,
+       coalesce(max(cm.avg_commodity_price), 0) AS avg_commodity_price,
+       coalesce(max(cm.commodity_yoy_pct), 0) AS commodity_yoy_pct
+FROM sales s
+JOIN products p ON s.product_id = p.id
+LEFT JOIN (
+  SELECT strftime(date, '%Y-%m') AS month,
+         round(CAST(sum(price_usd) AS DOUBLE) / count(price_usd), 4) AS avg_commodity_price,
+         round(avg(price_yoy_pct), 4) AS commodity_yoy_pct
+  FROM commodity_prices
+  WHERE commodity_code = (SELECT min(commodity_code) FROM commodity_prices WHERE commodity_name ILIKE '%Copper%')
+  GROUP BY 1
+) cm ON strftime(s.date, '%Y-%m') = cm.month
+WHERE p.category = 'end_product'
+GROUP BY 1, 2
+""")
+
+q("macro_analytics", """
+SELECT strftime(d.date, '%Y-%m') AS month,
+       coalesce(CAST(sum(d.revenue) AS DECIMAL(38,4)), 0) AS total_revenue,
+       coalesce(round(CAST(sum(mi.usd_inr) AS DOUBLE) / count(mi.usd_inr), 4), 0) AS avg_usd_inr,
+       coalesce(round(CAST(sum(mi.inflation_india) AS DOUBLE) / count(mi.inflation_india), 4), 0) AS inflation,
+       coalesce(round(CAST(sum(mi.interest_india) AS DOUBLE) / count(mi.interest_india), 4), 0) AS interest_rate
+FROM daily d LEFT JOIN macro_indicators mi ON d.date = mi.date
+GROUP BY 1
+""")
+
+q("stock_analytics", """
+SELECT d.date, d.revenue AS total_revenue,
+       coalesce(sp.close, 0) AS stock_close, coalesce(sp.volume, 0) AS stock_volume
+FROM daily d LEFT JOIN stock_prices sp ON d.date = sp.date AND sp.ticker = 'NVDA'
+""")

@@ -21,6 +21,7 @@ from .plans import quality_checks as qc
 from .plans import features as fe
 from .plans import model as ml
 from .plans import forecast as fc
+from .plans import endpoints as ep
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +62,10 @@ QUERIES: dict[str, QueryFn] = {
     "one_hot": fe.one_hot_lines,
     "train_test_split": fe.order_split,
     "feature_table": fe.feature_table,
+    "holiday_analytics": ep.holiday_analytics,
+    "commodity_analytics": lambda s, d: ep.commodity_analytics(s, d, "Copper"),
+    "macro_analytics": ep.macro_analytics,
+    "stock_analytics": lambda s, d: ep.stock_analytics(s, d, "nvda"),
     # Model fits and forecasts: no SQL oracle (rows-only check); their
     # numeric behaviour is covered by tests/ (synthetic recovery, shapes).
     "ols_predict": ml.ols_predict,

@@ -12,6 +12,8 @@ import __spark_entry__ as E
 from conftest import SF001
 
 ORACLE = E.oracle_sql()
+_SPARK_TO_DUCK = {"string": "VARCHAR", "date": "DATE", "int": "INTEGER", "bigint": "BIGINT",
+                  "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
 def test_entry_smoke(spark):
@@ -55,4 +57,6 @@ def test_query_matches_oracle(spark, duck, name):
     res = duck.execute(ORACLE[name])
     o_names = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(o_names)
+    spark_types = {k: _SPARK_TO_DUCK.get(v, v.upper()) for k, v in df.dtypes}
+    assert spark_types == {d[0]: str(d[1]) for d in res.description}
     assert _rows(df.columns, s_rows) == _rows(o_names, res.fetchall())
