@@ -34,66 +34,145 @@ BASE_COLUMNS = ["date", "product", "product_category", "quantity", "unit_price",
                 "revenue", "profit", "source"]
 
 
-def smart_query(spark: SparkSession, sf_dir: str, *, state: str | None = None,
-                holiday: str | None = None, ticker: str | None = None,
-                commodity: str | None = None, category: str | None = None,
-                year: int | None = None, date_start: str | None = None,
-                date_end: str | None = None, include_macro: bool = False) -> DataFrame:
-    extra: list[str] = []
-
-    # -- order grain: date predicates, then date-keyed lookups ---------------
-    ocols = ["o_orderkey", "o_orderdate"] + (["o_custkey"] if given(state) else [])
-    o = read_table(spark, sf_dir, "orders", *ocols)
-    o = o.filter(all_of([
-        ts_year("o_orderdate", year) if given(year) else None,
-        ts_day_range("o_orderdate", date_start or None, date_end or None),
-    ]))
-    o = o.withColumn("date", to_day("o_orderdate"))
-
-    if given(state):
-        c = read_table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
-        r = cat.regions(spark, sf_dir).filter(F.lower("state") == str(state).strip().lower())
-        # regions is 25 rows: a proven bound for the broadcast.
-        c = c.join(F.broadcast(r.select("id", "state")), c.c_nationkey == F.col("id"))
-        o = o.join(c.select("c_custkey", "state"), o.o_custkey == c.c_custkey)
-        extra.append("state")
-
+def _lookups(spark: SparkSession, src, extra: list[str], o: DataFrame, *, holiday, ticker,
+             commodity, include_macro) -> DataFrame:
+    """Attach the date-keyed lookups to a frame that has ``date``."""
     if given(holiday):
-        h = (cat.holidays(spark).filter(contains_ci("name", holiday))
+        h = (src.holidays().filter(contains_ci("name", holiday))
              .select("date", F.col("name").alias("holiday_name"), "is_public"))
-        o = o.join(F.broadcast(h), "date")
+        o = o.join(F.broadcast(h), "date")   # templates x years: bounded
         extra += ["holiday_name", "is_public"]
-
     if given(ticker):
-        sp = (cat.stock_prices(spark, sf_dir).filter(F.col("ticker") == str(ticker).upper())
-              .select("date", F.col("close").alias("stock_close"),
-                      F.col("volume").alias("stock_volume")))
+        sp = (src.stock_prices().filter(F.col("ticker") == str(ticker).upper())
+              .select("date", F.col("close").alias("stock_close"), F.col("volume").alias("stock_volume")))
         o = o.join(sp, "date", "left")
         extra += ["stock_close", "stock_volume"]
-
     if given(commodity):
-        cp = (cat.commodity_prices(spark, sf_dir).filter(contains_ci("commodity_name", commodity))
+        cp = (src.commodity_prices().filter(contains_ci("commodity_name", commodity))
               .select(F.col("date").alias("cp_month"), "commodity_name",
                       F.col("price_usd").alias("commodity_price_usd"),
                       F.col("price_yoy_pct").alias("commodity_yoy_change")))
         o = o.withColumn("o_month", month_start("date"))
         o = o.join(cp, o.o_month == cp.cp_month, "left").drop("o_month", "cp_month")
         extra += ["commodity_name", "commodity_price_usd", "commodity_yoy_change"]
-
     if include_macro:
-        mi = cat.macro_indicators(spark, sf_dir).select(
-            "date", "usd_inr", "inflation_india", "interest_india")
+        mi = src.macro_indicators().select("date", "usd_inr", "inflation_india", "interest_india")
         o = o.join(mi, "date", "left")
         extra += ["usd_inr", "inflation_india", "interest_india"]
+    return o
+
+
+class _Raw:
+    """Conformed tables derived from the input tables."""
+
+    def __init__(self, spark, sf_dir):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def holidays(self):
+        return cat.holidays(self.spark)
+
+    def stock_prices(self):
+        return cat.stock_prices(self.spark, self.sf_dir)
+
+    def commodity_prices(self):
+        return cat.commodity_prices(self.spark, self.sf_dir)
+
+    def macro_indicators(self):
+        return cat.macro_indicators(self.spark, self.sf_dir)
+
+    def products(self):
+        return cat.products(self.spark, self.sf_dir)
 
-    # -- line grain: fact x product ------------------------------------------
-    p = cat.products(spark, sf_dir)
+    def regions(self):
+        return cat.regions(self.spark, self.sf_dir)
+
+
+class _Built(_Raw):
+    """Conformed tables written by ``sources.sinks.build_catalog`` (K5)."""
+
+    def __init__(self, spark, catalog_dir):
+        self.spark, self.dir = spark, catalog_dir.rstrip("/")
+
+    def _t(self, name):
+        return self.spark.read.parquet(f"{self.dir}/{name}")
+
+    def holidays(self):
+        return self._t("holidays")
+
+    def stock_prices(self):
+        return self._t("stock_prices")
+
+    def commodity_prices(self):
+        return self._t("commodity_prices")
+
+    def macro_indicators(self):
+        return self._t("macro_indicators")
+
+    def products(self):
+        return self._t("products")
+
+    def regions(self):
+        return self._t("regions")
+
+
+def smart_query(spark: SparkSession, sf_dir: str | None = None, *, state: str | None = None,
+                holiday: str | None = None, ticker: str | None = None,
+                commodity: str | None = None, category: str | None = None,
+                year: int | None = None, date_start: str | None = None,
+                date_end: str | None = None, include_macro: bool = False,
+                catalog_dir: str | None = None) -> DataFrame:
+    """Star join over the input tables (``sf_dir``) or over a built catalog
+    (``catalog_dir``). On a built catalog the fact is already joined and
+    partitioned by year, so year / date arguments prune partitions and the
+    date-keyed lookups join the fact directly."""
+    extra: list[str] = []
+    lk = dict(holiday=holiday, ticker=ticker, commodity=commodity, include_macro=include_macro)
+
+    if catalog_dir:
+        src = _Built(spark, catalog_dir)
+        f = spark.read.parquet(f"{catalog_dir.rstrip('/')}/sales")
+        conds = []
+        if given(year):
+            conds += [F.col("year") == int(year)]              # partition filter
+        if date_start:
+            conds += [F.col("year") >= int(str(date_start)[:4]), F.col("date") >= F.lit(date_start).cast("date")]
+        if date_end:
+            conds += [F.col("year") <= int(str(date_end)[:4]), F.col("date") <= F.lit(date_end).cast("date")]
+        f = f.filter(all_of(conds))
+        if given(state):
+            r = src.regions().filter(F.lower("state") == str(state).strip().lower()).select(
+                F.col("id").alias("region_id"), "state")
+            f = f.join(F.broadcast(r), "region_id")             # 25 rows: proven bound
+            extra.append("state")
+        j = _lookups(spark, src, extra, f, **lk)
+    else:
+        src = _Raw(spark, sf_dir)
+        # -- order grain: date predicates, then date-keyed lookups -----------
+        ocols = ["o_orderkey", "o_orderdate"] + (["o_custkey"] if given(state) else [])
+        o = read_table(spark, sf_dir, "orders", *ocols)
+        o = o.filter(all_of([
+            ts_year("o_orderdate", year) if given(year) else None,
+            ts_day_range("o_orderdate", date_start or None, date_end or None),
+        ]))
+        o = o.withColumn("date", to_day("o_orderdate"))
+        if given(state):
+            c = read_table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
+            r = src.regions().filter(F.lower("state") == str(state).strip().lower())
+            # regions is 25 rows: a proven bound for the broadcast.
+            c = c.join(F.broadcast(r.select("id", "state")), c.c_nationkey == F.col("id"))
+            o = o.join(c.select("c_custkey", "state"), o.o_custkey == c.c_custkey)
+            extra.append("state")
+        o = _lookups(spark, src, extra, o, **lk)
+        # -- line grain: fact x order-level context ---------------------------
+        li = cat._lines(spark, sf_dir)
+        j = li.join(o, li.l_orderkey == o.o_orderkey)
+
+    p = src.products()
     if given(category):
         p = p.filter(F.col("category") == category)
     p = p.select(F.col("id"), F.col("name").alias("product"),
                  F.col("category").alias("product_category"))
-    li = cat._lines(spark, sf_dir)
-    j = li.join(o, li.l_orderkey == o.o_orderkey).join(p, F.col("product_id") == F.col("id"))
+    j = j.join(p, F.col("product_id") == F.col("id"))
     # O1 by date; the remaining output columns break ties.
     return j.select(*BASE_COLUMNS, *extra).orderBy(
         "date", "product", "quantity", "revenue", "unit_price", *[c for c in extra if c != "state"])

@@ -72,3 +72,20 @@ def test_dimension_and_quote_joins_broadcast_at_runtime(spark):
     for line in p.splitlines():
         if "BroadcastExchange" in line:
             assert "lineitem" not in line
+
+
+def test_built_catalog_prunes_partitions_and_matches(spark, tmp_dir):
+    import os
+    from marketweave.sources.sinks import build_catalog
+    cat_dir = os.path.join(tmp_dir, "catalog")
+    build_catalog(spark, SF001, cat_dir)
+    args = dict(year=1998, ticker="nvda", commodity="copper", include_macro=True, state="nation_7")
+    built = smart_query(spark, catalog_dir=cat_dir, **args)
+    p = plan(built)
+    assert "PartitionFilters: [isnotnull(year" in p and "(year" in p and "= 1998)" in p
+    raw = smart_query(spark, SF001, **args)
+    assert sorted(map(tuple, built.collect())) == sorted(map(tuple, raw.collect()))
+    rng = dict(date_start="1997-03-01", date_end="1997-04-30", holiday="", category="end_product")
+    a = smart_query(spark, catalog_dir=cat_dir, **rng)
+    b = smart_query(spark, SF001, **rng)
+    assert a.count() == b.count() > 0
