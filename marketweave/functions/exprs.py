@@ -45,7 +45,7 @@ def ratio(num, den, scale: int = 4) -> Column:
 
 def try_number(c, to: str = "double") -> Column:
     """Coercing numeric cast, malformed text -> NULL (ANSI-safe)."""
-    return F.expr(f"try_cast({c} AS {to})") if isinstance(c, str) else col_(c).try_cast(to)
+    return col_(c).try_cast(to)
 
 
 def safe_div(num, den) -> Column:

@@ -40,7 +40,8 @@ def category_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(p, "product_id").withColumn("v", F.col("revenue").cast("double"))
 
 
-def box_stats_raw(values: DataFrame, group: str = "category", value: str = "v") -> DataFrame:
+def box_stats_raw(values: DataFrame, group: str = "category", value: str = "v",
+                  keep: tuple[str, ...] = (), with_ranked: bool = False):
     """Exact quartiles (linear interpolation), 1.5 IQR fences, whiskers and
     outlier counts per group, unrounded.
 
@@ -49,7 +50,7 @@ def box_stats_raw(values: DataFrame, group: str = "category", value: str = "v")
     only the handful of rows at the quartile positions are looked up.
     Whiskers and outlier counts are a second, combinable aggregate.
     """
-    ranked = global_rank(values.select(group, value), [group, value], "_r")
+    ranked = global_rank(values.select(group, value, *keep), [group, value], "_r")
     g = ranked.groupBy(group).agg(F.min("_r").alias("_start"), F.count(F.lit(1)).alias("n"))
     probs = F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)])
     pos = (g.select(group, "n", "_start", F.explode(probs).alias("p"))
@@ -81,7 +82,8 @@ def box_stats_raw(values: DataFrame, group: str = "category", value: str = "v")
           .groupBy(group).agg(F.min(F.when(inside_lo, v)).alias("whisker_low"),
                               F.max(F.when(inside_hi, v)).alias("whisker_high"),
                               F.count_if(~(inside_lo & inside_hi)).alias("n_outliers")))
-    return quart.join(wh, group)
+    stats = quart.join(wh, group)
+    return (stats, ranked) if with_ranked else stats
 
 
 BOX_COLUMNS = ("q1", "median", "q3", "iqr", "lower_fence", "upper_fence",
@@ -97,9 +99,12 @@ def category_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def category_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A14 outlier rows: lines whose revenue lies outside their category's fences."""
-    vals = category_values(spark, sf_dir)
-    fences = box_stats_raw(vals).select("category", "lower_fence", "upper_fence")
-    j = vals.join(F.broadcast(fences), "category")
+    # Row identity rides along in the (written) rank table, so the fact is
+    # joined once; fences are one row per category.
+    stats, ranked = box_stats_raw(category_values(spark, sf_dir),
+                                  keep=("date", "order_id", "product_id", "revenue"), with_ranked=True)
+    fences = stats.select("category", "lower_fence", "upper_fence")
+    j = ranked.join(F.broadcast(fences), "category")
     out = j.filter((F.col("v") < F.col("lower_fence")) | (F.col("v") > F.col("upper_fence")))
     return out.select("category", "date", "order_id", "product_id", "revenue").orderBy(
         "category", "revenue", "date", "order_id", "product_id")

@@ -179,3 +179,24 @@ def test_quality_helpers(spark):
     e = spark.createDataFrame([(5,), (50,)], "x int").select(
         error_list([("big", F.col("x") > 10), ("odd", F.col("x") % 2 == 1)]).alias("e")).collect()
     assert [r.e for r in e] == [["odd"], ["big"]]
+
+
+def test_box_stats_against_numpy(spark):
+    import numpy as np
+    from marketweave.plans.reports import box_stats_raw
+    rng = np.random.default_rng(7)
+    rows = [("a", float(x)) for x in rng.normal(100, 10, 301)] + [("a", 500.0), ("a", -300.0)]
+    rows += [("b", float(x)) for x in [1, 2, 2, 2, 3, 4, 50]]
+    df = spark.createDataFrame(rows, "category string, v double").repartition(5)
+    stats, ranked = box_stats_raw(df, keep=(), with_ranked=True)
+    got = {r.category: r for r in stats.collect()}
+    for cat in ("a", "b"):
+        v = np.array([x for c, x in rows if c == cat])
+        q1, med, q3 = np.percentile(v, [25, 50, 75])
+        lf, uf = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+        r = got[cat]
+        assert abs(r.q1 - q1) < 1e-9 and abs(r.median - med) < 1e-9 and abs(r.q3 - q3) < 1e-9
+        assert r.whisker_low == v[v >= lf].min() and r.whisker_high == v[v <= uf].max()
+        assert r.n_outliers == int(((v < lf) | (v > uf)).sum()) and r.n == len(v)
+    assert got["a"].n_outliers >= 2 and got["b"].n_outliers == 1
+    assert ranked.count() == len(rows)
