@@ -189,7 +189,8 @@ def context_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg(F.sum("w").alias("n1"), F.max("date").alias("d1")))
     sp = cat.stock_prices(spark, sf_dir).select(F.col("date").alias("d1"), "ticker",
                                                  F.col("close").alias("close1"))
-    l1 = l1.join(sp, ["d1", "ticker"], "left")
+    # One row per distinct request key (bounded); read twice below.
+    l1 = materialize(l1.join(sp, ["d1", "ticker"], "left"), "level1")
 
     # ---- levels 2 / 3 / 4 ----------------------------------------------------
     lv = dcx.groupBy("cat_key", "year_key").agg(F.sum("n").alias("n"), F.max("date").alias("d"))
@@ -198,6 +199,17 @@ def context_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     l4 = lv.filter((F.col("cat_key") == ALL) & (F.col("year_key") == ALL)).select(
         F.lit(1).alias("_one"), F.least(F.col("n"), F.lit(100)).alias("n4"), F.col("d").alias("d4"))
 
+    # The only (day, category) pairs whose last row can be needed come from
+    # the per-level tables (bounded by distinct keys), not from the requests.
+    wanted = (l1.select(F.col("d1").alias("date"), "cat_key")
+              .unionByName(l2.select(F.col("d2").alias("date"), "cat_key"))
+              .unionByName(l3.select(F.col("d3").alias("date"), "cat_key"))
+              .unionByName(l4.select(F.col("d4").alias("date"), F.lit(ALL).alias("cat_key")))
+              .where("date IS NOT NULL").distinct())
+    lr = materialize(last_rows(spark, sf_dir, wanted), "last_rows").select(
+        F.col("date").alias("context_date"), F.col("cat_key").alias("_cat"),
+        F.col("revenue").alias("context_revenue"))
+
     # Absent arguments are NULL in both tables: match them null-safely.
     kcols = ["holiday", "ticker", "commodity", "cat_key", "year_key"]
     l1 = l1.select(*[F.col(c).alias(f"_k_{c}") for c in kcols], "n1", "d1", "close1")
@@ -217,14 +229,11 @@ def context_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(use3, F.col("n3")).otherwise(F.col("n4")))
     # Levels 1-3 are restricted to the request category (or all), level 4 never.
     ctx_cat = F.when(use1 | use2 | use3, F.col("cat_key")).otherwise(F.lit(ALL))
-    out = materialize(r.select(
+    out = r.select(
         "request_id", level.alias("level_used"), size.cast("long").alias("sample_size"),
         ctx_date.alias("context_date"), ctx_cat.alias("_cat"),
-        F.when(use1, F.col("close1")).alias("stock_close"), "req_date"), "context")
-    lr = last_rows(spark, sf_dir, out.select(F.col("context_date").alias("date"),
-                                             F.col("_cat").alias("cat_key")).distinct())
-    lr = lr.select(F.col("date").alias("context_date"), F.col("cat_key").alias("_cat"),
-                   F.col("revenue").alias("context_revenue"))
-    return (out.join(lr, ["context_date", "_cat"], "left")
+        F.when(use1, F.col("close1")).alias("stock_close"), "req_date")
+    # lr holds one row per wanted (day, category): bounded, broadcastable.
+    return (out.join(F.broadcast(lr), ["context_date", "_cat"], "left")
                .select("request_id", "level_used", "sample_size", "context_date", "context_revenue",
                        "stock_close", F.coalesce("req_date", "context_date").alias("basis_date")))
