@@ -49,6 +49,8 @@ def box_stats_raw(values: DataFrame, group: str = "category", value: str = "v",
     buffer: a group holding a third of all rows is spread over many tasks);
     only the handful of rows at the quartile positions are looked up.
     Whiskers and outlier counts are a second, combinable aggregate.
+    ``group`` is a dimension-sized key (here: product category): the per-group
+    statistics are broadcast back to the rows.
     """
     ranked = global_rank(values.select(group, value, *keep), [group, value], "_r")
     g = ranked.groupBy(group).agg(F.min("_r").alias("_start"), F.count(F.lit(1)).alias("n"))
