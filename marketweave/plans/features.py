@@ -53,9 +53,11 @@ def daily_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         "date", F.col("revenue").alias("sales")), "daily_revenue")
     cal = materialize(ts.sales_calendar(spark, sf_dir), "calendar").withColumn("year", F.year("date"))
     lags = ts.lag_rolling(daily, "sales").drop("sales")
-    stock = W.ffill(daily.select("date").join(ts.stock_close_wide(spark, sf_dir), "date", "left"),
+    # Quotes and commodity prices share one lineitem x part pass.
+    lp = materialize(cat.line_part_daily(spark, sf_dir), "line_part_daily")
+    stock = W.ffill(daily.select("date").join(ts.stock_close_wide(spark, sf_dir, lp), "date", "left"),
                     ["nvidia_close", "samsung_close"], ["date"])
-    prices = W.ffill(cal.select("date").join(ts.commodity_wide(spark, sf_dir), "date", "left"),
+    prices = W.ffill(cal.select("date").join(ts.commodity_wide(spark, sf_dir, lp), "date", "left"),
                      ["price_aluminum", "price_copper", "price_crude_oil"], ["date"]).select(
         "date", "price_aluminum", "price_copper", "price_crude_oil")
     yearly = ts.yearly_features(spark, sf_dir, cal)

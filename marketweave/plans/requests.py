@@ -171,7 +171,9 @@ def context_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     # distinct patterns x a bounded holiday calendar: both sides small.
     hmatch = (hpat.join(F.broadcast(hol), F.expr("name ILIKE concat('%', holiday, '%')"))
               .groupBy("holiday", "date").agg(F.count(F.lit(1)).alias("m_h")))
-    cp = cat.commodity_prices(spark, sf_dir).select(F.col("date").alias("month"), "commodity_name")
+    # Quotes and commodity prices share one lineitem x part pass.
+    lp = materialize(cat.line_part_daily(spark, sf_dir), "line_part_daily")
+    cp = cat.commodity_prices(spark, sf_dir, lp).select(F.col("date").alias("month"), "commodity_name")
     cpat = keys.select("commodity").where("commodity IS NOT NULL").distinct()
     # Free-text patterns are unbounded; the commodity names are not: broadcast
     # the names, match, then equi-join the matched names to the monthly rows.
@@ -187,7 +189,7 @@ def context_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("w", F.col("n") * F.coalesce("m_h", F.lit(1)) * F.coalesce("m_c", F.lit(1))))
     l1 = (k1.groupBy("holiday", "ticker", "commodity", "cat_key", "year_key")
             .agg(F.sum("w").alias("n1"), F.max("date").alias("d1")))
-    sp = cat.stock_prices(spark, sf_dir).select(F.col("date").alias("d1"), "ticker",
+    sp = cat.stock_prices(spark, sf_dir, lp).select(F.col("date").alias("d1"), "ticker",
                                                  F.col("close").alias("close1"))
     # One row per distinct request key (bounded); read twice below.
     l1 = materialize(l1.join(sp, ["d1", "ticker"], "left"), "level1")

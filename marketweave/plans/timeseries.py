@@ -72,9 +72,9 @@ def lag_rolling_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
         "region", "date")
 
 
-def stock_close_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stock_close_wide(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
     """(date, nvidia_close, samsung_close): one row per quote day."""
-    sp = cat.stock_prices(spark, sf_dir)
+    sp = cat.stock_prices(spark, sf_dir, base)
     return pivot_fixed(sp, ["date"], "ticker", {"NVDA": "nvidia_close", "SAMSUNG": "samsung_close"},
                        lambda c: F.max(c), "close")
 
@@ -93,9 +93,9 @@ def sales_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.dense_days(bounds)
 
 
-def commodity_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+def commodity_wide(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
     """(date, price_<commodity> ...) mean price per date and commodity."""
-    cp = cat.commodity_prices(spark, sf_dir).filter(F.col("commodity_name").isin(list(COMMODITY_COLUMNS)))
+    cp = cat.commodity_prices(spark, sf_dir, base).filter(F.col("commodity_name").isin(list(COMMODITY_COLUMNS)))
     return pivot_fixed(cp, ["date"], "commodity_name", COMMODITY_COLUMNS, "mean", "price_usd")
 
 

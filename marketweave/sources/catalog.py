@@ -208,37 +208,43 @@ def daily_totals(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Market series
 # ---------------------------------------------------------------------------
-def stock_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """stock_prices(date, ticker, open, high, low, close, volume); unique per (date, ticker)."""
+def line_part_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(day, p_type, ticker, sp, sq, lo, hi): lineitem x part aggregated to
+    ship day x part type x ticker (NULL ticker = not a quote line).
+
+    Both market series derive from it, so a caller that needs both can write
+    it once (it is bounded by days x types x 4) and join the fact once.
+    """
     li = read_table(spark, sf_dir, "lineitem", "l_partkey", "l_linenumber", "l_shipdate",
-                    "l_extendedprice", "l_quantity").filter(F.col("l_linenumber") <= 3)
-    p = (read_table(spark, sf_dir, "part", "p_partkey", "p_brand")
-         .filter(F.col("p_brand").isin(list(BRAND_TICKER)))
-         .select("p_partkey", _case("p_brand", BRAND_TICKER).alias("ticker")))
+                    "l_extendedprice", "l_quantity")
+    p = read_table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_type")
+    quote = (F.col("l_linenumber") <= 3) & F.col("p_brand").isin(list(BRAND_TICKER))
     j = li.join(p, li.l_partkey == p.p_partkey)
-    return j.groupBy(to_day("l_shipdate").alias("date"), "ticker").agg(
-        F.min("l_extendedprice").alias("open"),
-        F.max("l_extendedprice").alias("high"),
-        F.min("l_extendedprice").alias("low"),
-        F.max("l_extendedprice").alias("close"),
-        F.sum(money("l_quantity")).cast("decimal(38,4)").alias("volume"),
-    )
+    return j.groupBy(to_day("l_shipdate").alias("day"), "p_type",
+                     F.when(quote, _case("p_brand", BRAND_TICKER)).alias("ticker")).agg(
+        F.sum(money("l_extendedprice")).alias("sp"), F.sum(money("l_quantity")).alias("sq"),
+        F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi"))
 
 
-def commodity_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stock_prices(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
+    """stock_prices(date, ticker, open, high, low, close, volume); unique per (date, ticker)."""
+    b = base if base is not None else line_part_daily(spark, sf_dir)
+    return b.filter(F.col("ticker").isNotNull()).groupBy(F.col("day").alias("date"), "ticker").agg(
+        F.min("lo").alias("open"), F.max("hi").alias("high"),
+        F.min("lo").alias("low"), F.max("hi").alias("close"),
+        F.sum("sq").cast("decimal(38,4)").alias("volume"))
+
+
+def commodity_prices(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
     """commodity_prices(date, commodity_name, category, price_usd, unit,
     price_mom_pct, price_yoy_pct, price_12m_avg, price_volatility,
     commodity_code, relevant_for); unique per (month, commodity).
 
     The per-commodity windows run over one row per month (bounded).
     """
-    li = read_table(spark, sf_dir, "lineitem", "l_partkey", "l_shipdate",
-                    "l_extendedprice", "l_quantity")
-    p = read_table(spark, sf_dir, "part", "p_partkey", "p_type")
-    monthly = (li.join(p, li.l_partkey == p.p_partkey)
-               .groupBy(month_start("l_shipdate").alias("date"), "p_type")
-               .agg(F.sum(money("l_extendedprice")).alias("sp"),
-                    F.sum(money("l_quantity")).alias("sq")))
+    b = base if base is not None else line_part_daily(spark, sf_dir)
+    monthly = (b.groupBy(month_start("day").alias("date"), "p_type")
+               .agg(F.sum("sp").alias("sp"), F.sum("sq").alias("sq")))
     price = ratio("sp", "sq", 4)
     w = Window.partitionBy("p_type").orderBy("date")
     w12 = w.rowsBetween(-11, 0)
