@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import month_start, to_day, ts_day_range, ts_year
 from ..functions.exprs import all_of, contains_ci, given
+from ..session import materialize
 from ..sources import catalog as cat
 from ..sources.tables import read_table
 
@@ -65,17 +66,21 @@ def _lookups(spark: SparkSession, src, extra: list[str], o: DataFrame, *, holida
 class _Raw:
     """Conformed tables derived from the input tables."""
 
-    def __init__(self, spark, sf_dir):
+    def __init__(self, spark, sf_dir, share_line_part: bool = False):
         self.spark, self.sf_dir = spark, sf_dir
+        # Quotes and commodity prices both come from lineitem x part: when a
+        # query needs both, the (bounded) pre-aggregate is written once.
+        self.lp = (materialize(cat.line_part_daily(spark, sf_dir), "line_part_daily")
+                   if share_line_part else None)
 
     def holidays(self):
         return cat.holidays(self.spark)
 
     def stock_prices(self):
-        return cat.stock_prices(self.spark, self.sf_dir)
+        return cat.stock_prices(self.spark, self.sf_dir, self.lp)
 
     def commodity_prices(self):
-        return cat.commodity_prices(self.spark, self.sf_dir)
+        return cat.commodity_prices(self.spark, self.sf_dir, self.lp)
 
     def macro_indicators(self):
         return cat.macro_indicators(self.spark, self.sf_dir)
@@ -146,7 +151,7 @@ def smart_query(spark: SparkSession, sf_dir: str | None = None, *, state: str |
             extra.append("state")
         j = _lookups(spark, src, extra, f, **lk)
     else:
-        src = _Raw(spark, sf_dir)
+        src = _Raw(spark, sf_dir, share_line_part=given(ticker) and given(commodity))
         # -- order grain: date predicates, then date-keyed lookups -----------
         ocols = ["o_orderkey", "o_orderdate"] + (["o_custkey"] if given(state) else [])
         o = read_table(spark, sf_dir, "orders", *ocols)
