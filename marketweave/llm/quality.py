@@ -43,7 +43,7 @@ class Rules:
     reach: float = 3.0
     relative_error: float = 0.02
     min_group: int = 100
-    slack: tuple[tuple[str, float], ...] = (("symbol_ratio", 0.06), ("dup_line_ratio", 0.3),
+    slack: tuple[tuple[str, float], ...] = (("symbol_ratio", 0.06), ("dup_line_ratio", 0.4),
                                             ("repeat_ratio", 0.3), ("stutter_ratio", 0.2), ("shout_ratio", 0.3), ("word_length", 6.0))
 
 
