@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, pii, quality, substring
+from . import linededup, mixing, neardup, pii, quality, substring
+from .oracle import ORACLE_SQL
 from .shared import materialize, read
 
 
@@ -40,13 +41,18 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = linededup.clean_pages(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "host", "n_lines", "n_dropped", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op3_pii": op3_pii,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_line_dedup": op9_line_dedup,
 }
 
-#: DuckDB SQL of the operators that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
