@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, neardup, pii, quality, substring
+from . import chat, linededup, mixing, neardup, packing, pii, quality, substring
 from .oracle import ORACLE_SQL
 from .shared import materialize, read
 
@@ -30,6 +30,17 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(docs, neardup.Params(shingle=3, percent=85))
 
 
+def word_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, word_vocabulary())
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
@@ -46,13 +57,22 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "host", "n_lines", "n_dropped", "text")
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], rows.schema)
+    return chat.read_back(chat.format_chat(rows.union(more)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op3_pii": op3_pii,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op6_best_two_fit": op6_best_two_fit,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
