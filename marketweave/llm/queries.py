@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, linededup, mixing, neardup, packing, pii, quality, substring
+from . import chat, knn, linededup, mixing, neardup, packing, pii, quality, substring
 from .oracle import ORACLE_SQL
 from .shared import materialize, read
 
@@ -30,6 +30,11 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(docs, neardup.Params(shingle=3, percent=85))
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return knn.exact_top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
 def word_vocabulary() -> str:
     import public_tokenizers
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op3_pii": op3_pii,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_exact_top_k": op5_exact_top_k,
     "op6_best_two_fit": op6_best_two_fit,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
