@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, knn, linededup, mixing, neardup, packing, pii, quality, substring
+from . import chat, knn, linededup, mixing, neardup, packing, pii, quality, substring, toxicity
 from .oracle import ORACLE_SQL
 from .shared import materialize, read
 
@@ -17,6 +17,14 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5
+    model = toxicity.train(*toxicity.labelled_sample(docs, read(spark, sf_dir, "labels"), fold != 0))
+    scored = toxicity.score_texts(docs, model).drop("text")
+    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
@@ -71,6 +79,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_toxicity": op2_toxicity,
     "op3_pii": op3_pii,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_exact_top_k": op5_exact_top_k,

@@ -108,9 +108,11 @@ class Slice:
         return cum[self.off[1:]] - cum[self.off[:-1]]
 
 
-def slices(col: pa.Array, max_bytes: int = 2_000_000, lower: bool = False) -> Iterator[Slice]:
+def slices(col: pa.Array, max_bytes: int = 2_000_000, lower: bool = False, table: np.ndarray | None = None) -> Iterator[Slice]:
     """Consecutive row slices of a string column, each of about ``max_bytes``
-    (one longer text is one slice); null reads as empty."""
+    (one longer text is one slice); null reads as empty. ``table`` maps bytes
+    first (``lower``: A-Z to a-z)."""
+    table = LOWER if lower else table
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     if pa.types.is_large_string(col.type) or not pa.types.is_string(col.type):
@@ -127,7 +129,7 @@ def slices(col: pa.Array, max_bytes: int = 2_000_000, lower: bool = False) -> It
     while i < n:
         j = max(i + 1, int(np.searchsorted(off, off[i] + max_bytes, side="right")) - 1)
         data = raw[off[i]:off[j]]
-        yield Slice(LOWER[data] if lower else data, off[i:j + 1] - off[i], i)
+        yield Slice(data if table is None else table[data], off[i:j + 1] - off[i], i)
         i = j
 
 
