@@ -76,7 +76,8 @@ def draw(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id", text: st
     sid, block, pass, shard, take (words taken from the block's start; only
     a source's last slot is short, which makes its total exact)."""
     sized = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"),
-                                    n_words(F.col(text)).alias("size"), F.xxhash64(text).alias("h")), "sized")
+                                    n_words(F.col(text)).alias("size"), F.xxhash64(text).alias("h"),
+                                    F.xxhash64(doc_id, text).alias("k")), "sized")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
     sizes = materialize(sizes, "sizes")
     rows = sizes.agg(F.sum("_n")).first()[0] or 0
@@ -101,7 +102,7 @@ def draw(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id", text: st
     order = W.partitionBy("sid", "bucket").orderBy(F.xxhash64("doc_id", "h"), "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     streams = (keyed.withColumn("within", F.coalesce(F.sum("size").over(order), F.lit(0))).join(totals, ["sid", "bucket"])
                .withColumn("start", F.col("base") + F.col("within"))
-               .select("doc_id", "source", "sid", "source_size", "target", "size", "h", "start"))
+               .select("doc_id", "source", "sid", "source_size", "target", "size", "h", "k", "start"))
 
     # slots -> shards: the multinomial counts
     run = 65_536
@@ -171,15 +172,16 @@ def mix_documents(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id",
     cut = F.least(F.col("hi"), F.col("block") * p.block + F.col("take"))
     spans = (_pieces(streams, p).join(slots.select("sid", "block", "pass", "take"), ["sid", "block"])
              .filter(cut > F.col("lo"))
-             .groupBy("sid", "start", "pass", "doc_id", "h", "size")
-             .agg(F.sort_array(F.collect_list(F.struct((F.col("lo") - F.col("start")).alias("lo"), (cut - F.col("lo")).alias("n")))).alias("spans"),
-                  F.sum(cut - F.col("lo")).alias("n")))
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("n").alias("_n"), F.col("size").alias("_size"), F.col("spans").alias("_spans"))
-    keyed = docs.withColumn("_key", F.xxhash64(text)).dropDuplicates([doc_id, "_key"])
+             .groupBy("sid", "start", "pass", F.col("k").alias("_k"), F.col("h").alias("_h"), F.col("size").alias("_size"))
+             .agg(F.sort_array(F.collect_list(F.struct((F.col("lo") - F.col("start")).alias("lo"), (cut - F.col("lo")).alias("n")))).alias("_spans"),
+                  F.sum(cut - F.col("lo")).alias("_n"))
+             .select("_k", "_h", "_size", "_spans", "_n"))
+    keyed = docs.withColumns({"_k": F.xxhash64(doc_id, text), "_h": F.xxhash64(text)})
+    if not streams.groupBy("k", "h").count().filter("count > 1").isEmpty():
+        keyed = keyed.dropDuplicates(["_k", "_h"])
     words = F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), F.lit(1))
     some = F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice(words, (s["lo"] + 1).cast("int"), s["n"].cast("int")))), " ")
-    out = (keyed.join(spans, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_h")))
-           .withColumn(text, F.when(F.col("_n") == F.col("_size"), F.col(text)).otherwise(some)))
+    out = keyed.join(spans, ["_k", "_h"]).withColumn(text, F.when(F.col("_n") == F.col("_size"), F.col(text)).otherwise(some))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
