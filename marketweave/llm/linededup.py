@@ -58,9 +58,11 @@ def drop_site_lines(pages: DataFrame, site: str, text: str, p: Params = Params()
     each row is a page, repeated rows too; columns named n_lines or
     n_dropped are replaced; an empty table gives no rows.
     """
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
+    names = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in names if c != text]).alias("_row"), F.col(f"`{site}`").alias("_of"), F.col(f"`{text}`").alias("_text"))
+    lines = F.split(F.coalesce(F.col("_text"), F.lit("")), "\n", -1)
     hashes = F.transform(F.filter(F.transform(lines, trimmed), lambda x: x != ""), lambda x: F.xxhash64(x))
-    keyed = pages.select(F.col(site).alias("_site"), hashes.alias("_h"))
+    keyed = rows.select(F.col("_of").alias("_site"), hashes.alias("_h"))
     total = keyed.groupBy("_site").agg(F.count("*").alias("_pages"))
     held = (keyed.select("_site", F.explode(F.array_distinct("_h")).alias("_h"))
             .groupBy("_site", "_h").agg(F.count("*").alias("_n")))
@@ -68,13 +70,13 @@ def drop_site_lines(pages: DataFrame, site: str, text: str, p: Params = Params()
              .filter((F.col("_pages") >= p.min_pages) & (100 * F.col("_n") > p.percent * F.col("_pages")))
              .groupBy("_site").agg(F.collect_list("_h").alias("_drop")))
     goes = lambda x: F.coalesce((trimmed(x) != "") & F.array_contains("_drop", F.xxhash64(trimmed(x))), F.lit(False))
-    out = pages.drop("n_lines", "n_dropped").join(often, F.col(site).eqNullSafe(F.col("_site")), "left")
+    out = rows.join(often, F.col("_of").eqNullSafe(F.col("_site")), "left")
     some = F.col("_drop").isNotNull()
     out = out.withColumns({"n_lines": F.size(F.filter(lines, lambda x: trimmed(x) != "")).cast("long"),
                            "_kept": F.when(some, F.filter(lines, lambda x: ~goes(x))),
                            "n_dropped": F.when(some, F.size(F.filter(lines, goes))).otherwise(0).cast("long")})
-    out = out.withColumn(text, F.when(F.col("n_dropped") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text)))
-    return out.drop("_site", "_drop", "_kept")
+    body = F.when(F.col("n_dropped") > 0, F.array_join("_kept", "\n")).otherwise(F.col("_text"))
+    return out.select(*[body.alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in names], "n_lines", "n_dropped")
 
 
 def clean_pages(pages: DataFrame, p: Params = Params(), url: str = "url", html: str = "html") -> DataFrame:

@@ -176,12 +176,15 @@ def mix_documents(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id",
              .agg(F.sort_array(F.collect_list(F.struct((F.col("lo") - F.col("start")).alias("lo"), (cut - F.col("lo")).alias("n")))).alias("_spans"),
                   F.sum(cut - F.col("lo")).alias("_n"))
              .select("_k", "_h", "_size", "_spans", "_n"))
-    keyed = docs.withColumns({"_k": F.xxhash64(doc_id, text), "_h": F.xxhash64(text)})
+    others = [c for c in docs.columns if c != text]
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"), F.col(f"`{text}`").alias("_text"),
+                        F.xxhash64(doc_id, text).alias("_k"), F.xxhash64(text).alias("_h"))
     if not streams.groupBy("k", "h").count().filter("count > 1").isEmpty():
         keyed = keyed.dropDuplicates(["_k", "_h"])
-    words = F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), F.lit(1))
+    words = F.regexp_extract_all("_text", F.lit(f"({WORD})"), F.lit(1))
     some = F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice(words, (s["lo"] + 1).cast("int"), s["n"].cast("int")))), " ")
-    out = keyed.join(spans, ["_k", "_h"]).withColumn(text, F.when(F.col("_n") == F.col("_size"), F.col(text)).otherwise(some))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    out = keyed.join(spans, ["_k", "_h"]).withColumn("_text", F.when(F.col("_n") == F.col("_size"), F.col("_text")).otherwise(some))
+    of = {text: F.col("_text")}
+    if "n_chars" in others:
+        of["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[of.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])

@@ -87,11 +87,12 @@ def find_personal_data(docs: DataFrame, text: str = "text", near: int = 40, rais
     A kind's matches are leftmost and don't overlap; one that fails its check
     is dropped without another try inside it. Null and empty texts have an
     empty array; rows are independent of each other, so repeated rows and
-    null ids need no rule; a column named ``spans`` is replaced.
+    null ids need no rule; a column named ``spans`` is replaced, other names
+    don't matter; an empty table gives no rows.
     """
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    names = [c for c in docs.columns if c != "spans"]
     empty = F.array().cast("array<string>")
-    out = docs.withColumn("_body", body)
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_body"))
     likely = lambda k: F.contains(F.col("_body"), F.lit(k.likely)) if len(k.likely) == 1 else F.col("_body").rlike(k.likely)
     out = out.withColumns({f"_m_{k.name}": F.when(likely(k), F.regexp_extract_all("_body", F.lit(k.pattern), F.lit(0))).otherwise(empty) for k in KINDS})
     out = out.withColumns({f"_s_{k.name}": F.when(F.size(f"_m_{k.name}") > 0, _placed(F.col("_body"), F.col(f"_m_{k.name}"), k.pattern))
@@ -108,4 +109,4 @@ def find_personal_data(docs: DataFrame, text: str = "text", near: int = 40, rais
         return F.transform(F.filter(F.col(f"_s_{k.name}"), lambda s: k.check(s["match"])), one)
 
     spans = F.filter(F.concat(*map(scored, KINDS)), lambda s: s["score"] >= least)
-    return out.withColumn("spans", spans).drop("_body", *[f"_{x}_{k.name}" for k in KINDS for x in "ms"])
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in names], spans.alias("spans"))

@@ -150,20 +150,26 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), text: str = "text", l
     """``docs`` (all columns) plus the measures, ``base_failed`` and ``kept``.
 
     ``store`` writes the measured table once (text left out by the caller if
-    it isn't wanted), so that the texts are scanned once for sketch and
-    verdict. Null lang or source is a group of its own; texts without words
-    fail; an empty table gives an empty result; columns named like an added
-    one are replaced.
+    it isn't wanted, then it is missing here too), so that the texts are
+    scanned once for sketch and verdict. Null lang or source is a group of its
+    own; texts without words fail; repeated rows count and are judged each;
+    an empty table gives an empty result; columns of ``docs`` named like an
+    added one are replaced, other names don't matter.
     """
-    measured = measure(docs.drop("base_failed", "kept"), text, rules.window)
-    narrow = store(measured) if store else measured
-    limits = fences(sketch(narrow, [lang, source], rules), rules, lang, source)
-    limits = limits.withColumnsRenamed({lang: "_lang", source: "_source"})
+    added = [*MEASURES, "base_failed", "kept"]
+    names = [c for c in docs.columns if c not in added]
+    named = {text: "text", lang: "lang", source: "source"}
+    rest = [c for c in names if c not in named]
+    narrow = docs.select(*[F.col(f"`{c}`").alias(v) for c, v in named.items()], *[F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] * bool(rest))
+    measured = measure(narrow, "text", rules.window)
+    measured = store(measured) if store else measured
+    limits = fences(sketch(measured, ["lang", "source"], rules), rules).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     failed = ((F.col("n_words") < rules.min_words)
               | (100 * F.col("n_repeat_words") > rules.max_repeat_pct * F.col("n_words")))
     beyond = F.lit(False)
     for k, (a, b) in RATIOS.items():
         beyond = beyond | F.coalesce(_ratio(a, b) > F.col(f"max_{k}"), F.lit(False))
-    joined = narrow.join(limits, F.col(lang).eqNullSafe(F.col("_lang")) & F.col(source).eqNullSafe(F.col("_source")), "left")
-    return (joined.withColumns({"base_failed": failed, "kept": ~failed & ~beyond})
-            .drop("_lang", "_source", *[f"max_{k}" for k in RATIOS]))
+    joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
+    out = joined.withColumns({"base_failed": failed, "kept": ~failed & ~beyond})
+    kept = [c for c in names if named.get(c, "rest") in measured.columns]
+    return out.select(*[F.col(named[c]).alias(c) if c in named else F.col("rest").getField(c).alias(c) for c in kept], *added)
