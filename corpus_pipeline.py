@@ -21,16 +21,29 @@ from marketweave.llm.shared import materialize, read
 ORACLE_SQL = None
 
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _core(docs: DataFrame) -> DataFrame:
+    """The columns of documents; any others in one struct, so that no name can clash."""
+    more = [c for c in docs.columns if c not in COLUMNS]
+    return docs.select(*[c for c in docs.columns if c in COLUMNS], *[F.struct(*[F.col(f"`{c}`") for c in more]).alias("more")] * bool(more))
+
+
+def _whole(out: DataFrame, docs: DataFrame) -> DataFrame:
+    return out.select(*[F.col(c) if c in COLUMNS else F.col("more").getField(c).alias(c) for c in docs.columns])
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality.quality_rules(docs, store=None).filter("kept").select(*docs.columns)
+    return _whole(quality.quality_rules(_core(docs)).filter("kept"), docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines of each source go; n_chars follows the text."""
-    out = linededup.drop_site_lines(docs, "source", "text")
+    out = linededup.drop_site_lines(_core(docs), "source", "text")
     n = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", n).select(*docs.columns)
+    return _whole(out.withColumn("n_chars", n), docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
