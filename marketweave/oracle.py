@@ -47,7 +47,7 @@ holidays AS (
          dayname(make_date(CAST(y.year AS INTEGER), t.m, t.d)) AS weekday
   FROM (VALUES (1, 1, 'New Year', 1), (8, 15, 'Independence Day', 1),
                (11, 12, 'Diwali (Deepavali)', 0), (12, 25, 'Christmas Day', 1)) t(m, d, name, is_public)
-  CROSS JOIN generate_series(1995, 2002) y(year)
+  CROSS JOIN (SELECT unnest(generate_series(year(min(o_orderdate)), year(CAST(max(o_orderdate) AS DATE) + 365))) AS year FROM orders) y
 ),
 stock_prices AS (
   SELECT CAST(l_shipdate AS DATE) AS date,
@@ -56,7 +56,7 @@ stock_prices AS (
          min(l_extendedprice) AS low, max(l_extendedprice) AS close,
          CAST(sum(CAST(l_quantity AS DECIMAL(18,4))) AS DECIMAL(38,4)) AS volume
   FROM lineitem JOIN part ON l_partkey = p_partkey
-  WHERE l_linenumber <= 3 AND p_brand IN ('Brand#1', 'Brand#2', 'Brand#3')
+  WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#3')
   GROUP BY 1, 2
 ),
 commodity_monthly AS (
@@ -78,18 +78,18 @@ commodity_prices AS (
   FROM commodity_monthly
   WINDOW w AS (PARTITION BY p_type ORDER BY date)
 ),
-annual_inflation AS (
-  SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(count(*) AS DECIMAL(18,4)) AS value
-  FROM orders WHERE o_orderdate < TIMESTAMP '2001-01-01' GROUP BY 1
-),
-annual_interest AS (
-  SELECT CAST(year(o_orderdate) AS INTEGER) AS year,
-         CAST(count_if(o_orderstatus = 'F') AS DECIMAL(18,4)) AS value
-  FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01' GROUP BY 1
+annual AS (
+  SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(count(*) AS DECIMAL(18,4)) AS inflation,
+         CAST(count_if(o_orderstatus = 'F') AS DECIMAL(18,4)) AS interest,
+         CAST(round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DOUBLE) / (count(*) * 1000), 2) AS DECIMAL(18,4)) AS lithium
+  FROM orders GROUP BY 1
 ),
+annual_inflation AS (SELECT year, inflation AS value FROM annual),
+annual_interest AS (SELECT year, interest AS value FROM annual),
+horizon AS (SELECT CAST(year(CAST(max(o_orderdate) AS DATE) + 365) AS INTEGER) AS year FROM orders),
 macro_daily AS (
   SELECT CAST(o_orderdate AS DATE) AS date, CAST(max(o_totalprice) AS DECIMAL(18,2)) AS usd_inr
-  FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1
+  FROM orders GROUP BY 1
 ),
 macro_indicators AS (
   SELECT m.date, m.usd_inr, i.value AS inflation_india, r.value AS interest_india
@@ -113,28 +113,19 @@ def q(name: str, sql: str) -> None:
     QUERIES[name] = VIEWS + sql
 
 
-q("holiday_sales_summary", """
-SELECT h.name AS holiday, h.date, max(h.is_public) AS is_public,
-       count(s.date) AS num_transactions,
-       CAST(sum(s.quantity) AS DECIMAL(38,4)) AS total_quantity,
-       CAST(sum(s.revenue) AS DECIMAL(38,4)) AS total_revenue,
-       CAST(sum(s.profit) AS DECIMAL(38,4)) AS total_profit
-FROM holidays h LEFT JOIN sales s ON s.date = h.date
-GROUP BY h.name, h.date
-ORDER BY total_revenue DESC NULLS LAST
-""")
+def _holiday(pattern: str = "") -> str:
+    """Holidays next to the finished day totals; days without a sale keep NULL sums."""
+    keep = f"WHERE contains(lower(name), '{pattern}')" if pattern else ""
+    return f"""
+, wanted AS (SELECT name, date, is_public FROM holidays {keep})
+SELECT wanted.name AS holiday, wanted.date, wanted.is_public, coalesce(daily.n_lines, 0) AS num_transactions,
+       daily.quantity AS total_quantity, daily.revenue AS total_revenue, daily.profit AS total_profit
+FROM wanted LEFT JOIN daily USING (date)
+"""
 
-q("holiday_sales_filtered", """
-SELECT h.name AS holiday, h.date, max(h.is_public) AS is_public,
-       count(s.date) AS num_transactions,
-       CAST(sum(s.quantity) AS DECIMAL(38,4)) AS total_quantity,
-       CAST(sum(s.revenue) AS DECIMAL(38,4)) AS total_revenue,
-       CAST(sum(s.profit) AS DECIMAL(38,4)) AS total_profit
-FROM holidays h LEFT JOIN sales s ON s.date = h.date
-WHERE h.name ILIKE '%diwali%'
-GROUP BY h.name, h.date
-ORDER BY total_revenue DESC NULLS LAST
-""")
+
+q("holiday_sales_summary", _holiday())
+q("holiday_sales_filtered", _holiday("diwali"))
 
 q("daily_sales", """
 SELECT date, n_lines AS num_transactions, quantity AS total_quantity,
@@ -162,76 +153,47 @@ SELECT 'NVDA' AS ticker, count(*) AS n_pairs,
 FROM daily d JOIN stock_prices sp ON d.date = sp.date AND sp.ticker = 'NVDA'
 """)
 
-q("commodity_impact", """
-SELECT strftime(s.date, '%Y-%m') AS month, p.category,
-       CAST(sum(s.revenue) AS DECIMAL(38,4)) AS total_revenue,
-       max(cm.avg_commodity_price) AS avg_commodity_price,
-       max(cm.commodity_yoy_pct) AS commodity_yoy_pct
-FROM sales s
-JOIN products p ON s.product_id = p.id
-LEFT JOIN (
-  SELECT strftime(date, '%Y-%m') AS month,
-         round(CAST(sum(price_usd) AS DOUBLE) / count(price_usd), 4) AS avg_commodity_price,
-         round(avg(price_yoy_pct), 4) AS commodity_yoy_pct
-  FROM commodity_prices
-  WHERE commodity_code = (SELECT min(commodity_code) FROM commodity_prices WHERE commodity_name ILIKE '%Copper%')
-  GROUP BY 1
-) cm ON strftime(s.date, '%Y-%m') = cm.month
-WHERE p.category = 'end_product'
-GROUP BY 1, 2 ORDER BY 1
-""")
-
-q("macro_sales_trend", """
-SELECT strftime(d.date, '%Y-%m') AS month,
-       CAST(sum(d.revenue) AS DECIMAL(38,4)) AS total_revenue,
-       round(CAST(sum(mi.usd_inr) AS DOUBLE) / count(mi.usd_inr), 4) AS avg_usd_inr,
-       round(CAST(sum(mi.inflation_india) AS DOUBLE) / count(mi.inflation_india), 4) AS inflation,
-       round(CAST(sum(mi.interest_india) AS DOUBLE) / count(mi.interest_india), 4) AS interest_rate
-FROM daily d LEFT JOIN macro_indicators mi ON d.date = mi.date
-GROUP BY 1 ORDER BY 1
-""")
-
-
-def smart_sql(state=None, holiday=None, ticker=None, commodity=None, category=None,
-              year=None, date_start=None, date_end=None, include_macro=False) -> str:
-    """Row-level SQL of the smart query for given arguments (literals inline)."""
-    cols = ["s.date", "p.name AS product", "p.category AS product_category", "s.quantity",
-            "s.unit_price", "s.revenue", "s.profit", "s.source"]
-    joins = ["FROM sales s JOIN products p ON s.product_id = p.id"]
-    where = []
-    if state:
-        joins.append("LEFT JOIN regions r ON s.region_id = r.id")
-        cols.append("r.state")
-        where.append(f"lower(r.state) = '{state.strip().lower()}'")
-    if holiday:
-        joins.append("JOIN holidays h ON s.date = h.date")
-        where.append(f"h.name ILIKE '%{holiday}%'")
-        cols += ["h.name AS holiday_name", "h.is_public"]
-    if ticker:
-        joins.append(f"LEFT JOIN stock_prices sp ON s.date = sp.date AND sp.ticker = '{ticker.upper()}'")
-        cols += ["sp.close AS stock_close", "sp.volume AS stock_volume"]
-    if commodity:
-        joins.append("LEFT JOIN commodity_prices cp ON strftime(s.date, '%Y-%m') = strftime(cp.date, '%Y-%m') "
-                     f"AND cp.commodity_name ILIKE '%{commodity}%'")
-        cols += ["cp.commodity_name", "cp.price_usd AS commodity_price_usd",
-                 "cp.price_yoy_pct AS commodity_yoy_change"]
-    if include_macro:
-        joins.append("LEFT JOIN macro_indicators mi ON s.date = mi.date")
-        cols += ["mi.usd_inr", "mi.inflation_india", "mi.interest_india"]
-    if category:
-        where.append(f"p.category = '{category}'")
-    if year:
-        where.append(f"year(s.date) = {int(year)}")
-    if date_start:
-        where.append(f"s.date >= DATE '{date_start}'")
-    if date_end:
-        where.append(f"s.date <= DATE '{date_end}'")
-    sql = "SELECT " + ", ".join(cols) + "\n" + "\n".join(joins)
-    if where:
-        sql += "\nWHERE " + " AND ".join(where)
-    return sql + "\nORDER BY s.date"
+_IMPACT = """
+, chosen AS (SELECT min(commodity_code) AS code FROM commodity_prices WHERE contains(lower(commodity_name), 'copper'))
+, price AS (
+  SELECT date, CAST(price_usd AS DOUBLE) AS usd, price_yoy_pct
+  FROM commodity_prices JOIN chosen ON commodity_code = code
+)
+, earned AS (
+  SELECT CAST(date_trunc('month', date) AS DATE) AS m, CAST(sum(revenue) AS DECIMAL(38,4)) AS revenue
+  FROM sales WHERE product_id IN (SELECT id FROM products WHERE category = 'end_product')
+  GROUP BY m
+)
+"""
+
+q("commodity_impact", _IMPACT + """
+SELECT strftime(m, '%Y-%m') AS month, 'end_product' AS category, revenue AS total_revenue,
+       round(usd, 4) AS avg_commodity_price, round(price_yoy_pct, 4) AS commodity_yoy_pct
+FROM earned LEFT JOIN price ON price.date = m
+""")
+
+# Day totals and macro values meet as two month tables: every macro day has
+# sales, so neither side loses rows to the other.
+_TREND = """
+, earned AS (SELECT strftime(date, '%Y-%m') AS month, CAST(sum(revenue) AS DECIMAL(38,4)) AS revenue FROM daily GROUP BY month)
+, rates AS (
+  SELECT strftime(date, '%Y-%m') AS month, CAST(sum(usd_inr) AS DOUBLE) / count(usd_inr) AS fx,
+         CAST(sum(inflation_india) AS DOUBLE) / count(inflation_india) AS inflation,
+         CAST(sum(interest_india) AS DOUBLE) / count(interest_india) AS interest
+  FROM macro_indicators WHERE date IN (SELECT date FROM daily) GROUP BY month
+)
+"""
+
+q("macro_sales_trend", _TREND + """
+SELECT month, revenue AS total_revenue, round(fx, 4) AS avg_usd_inr, round(inflation, 4) AS inflation, round(interest, 4) AS interest_rate
+FROM earned LEFT JOIN rates USING (month)
+""")
 
 
+# ---------------------------------------------------------------------------
+# Smart query: one statement per registered case. Filters come first, as
+# tables of their own; lookups meet the remaining lines after that.
+# ---------------------------------------------------------------------------
 SMART_CASES = {
     "smart_base": {},
     "smart_holiday": {"holiday": "Diwali"},
@@ -244,8 +206,63 @@ SMART_CASES = {
                   "date_start": "1999-01-01", "date_end": "1999-06-30", "include_macro": True},
 }
 
-for _name, _args in SMART_CASES.items():
-    q(_name, smart_sql(**_args))
+_LINE = """lines.date, goods.name AS product, goods.category AS product_category, lines.quantity,
+       lines.unit_price, lines.revenue, lines.profit, lines.source"""
+
+q("smart_base", f"""
+SELECT {_LINE} FROM sales AS lines, products AS goods WHERE goods.id = lines.product_id
+""")
+
+q("smart_holiday", f"""
+, feast AS (SELECT date, name AS holiday_name, is_public FROM holidays WHERE contains(lower(name), 'diwali'))
+, lines AS (SELECT * FROM sales WHERE date IN (SELECT date FROM feast))
+SELECT {_LINE}, feast.holiday_name, feast.is_public
+FROM feast, lines, products AS goods WHERE lines.date = feast.date AND goods.id = lines.product_id
+""")
+
+q("smart_stock", f"""
+, goods AS (SELECT * FROM products WHERE category = 'end_product')
+, lines AS (SELECT * FROM sales WHERE date BETWEEN DATE '1998-01-01' AND DATE '1998-12-31')
+, quote AS (SELECT date, close, volume FROM stock_prices WHERE ticker = 'NVDA')
+SELECT {_LINE}, quote.close AS stock_close, quote.volume AS stock_volume
+FROM goods JOIN lines ON goods.id = lines.product_id LEFT JOIN quote USING (date)
+""")
+
+q("smart_commodity", f"""
+, price AS (SELECT * FROM commodity_prices WHERE contains(lower(commodity_name), 'al'))
+, lines AS (SELECT *, CAST(date_trunc('month', date) AS DATE) AS m FROM sales)
+SELECT {_LINE}, price.commodity_name, price.price_usd AS commodity_price_usd, price.price_yoy_pct AS commodity_yoy_change
+FROM products AS goods JOIN lines ON goods.id = lines.product_id LEFT JOIN price ON price.date = lines.m
+""")
+
+q("smart_macro", f"""
+, lines AS (SELECT * FROM sales WHERE year(date) IN (1997, 1998))
+SELECT {_LINE}, macro.usd_inr, macro.inflation_india, macro.interest_india
+FROM products AS goods JOIN lines ON goods.id = lines.product_id LEFT JOIN macro_indicators AS macro USING (date)
+""")
+
+q("smart_state", f"""
+, home AS (SELECT id, state FROM regions WHERE state = 'NATION_3')
+, lines AS (SELECT * FROM sales WHERE region_id IN (SELECT id FROM home))
+SELECT {_LINE}, home.state FROM home, lines, products AS goods WHERE goods.id = lines.product_id
+""")
+
+q("smart_all", f"""
+, home AS (SELECT id, state FROM regions WHERE state = 'NATION_7')
+, feast AS (SELECT date, name AS holiday_name, is_public FROM holidays
+            WHERE contains(lower(name), 'new year') AND date BETWEEN DATE '1999-01-01' AND DATE '1999-06-30')
+, goods AS (SELECT * FROM products WHERE category = 'end_product')
+, lines AS (SELECT *, CAST(date_trunc('month', date) AS DATE) AS m FROM sales
+            WHERE region_id IN (SELECT id FROM home) AND date IN (SELECT date FROM feast))
+, quote AS (SELECT date, close, volume FROM stock_prices WHERE ticker = 'SAMSUNG')
+, price AS (SELECT * FROM commodity_prices WHERE contains(lower(commodity_name), 'copper'))
+SELECT {_LINE}, home.state, feast.holiday_name, feast.is_public, quote.close AS stock_close, quote.volume AS stock_volume,
+       price.commodity_name, price.price_usd AS commodity_price_usd, price.price_yoy_pct AS commodity_yoy_change,
+       macro.usd_inr, macro.inflation_india, macro.interest_india
+FROM home CROSS JOIN feast JOIN lines ON lines.date = feast.date JOIN goods ON goods.id = lines.product_id
+LEFT JOIN quote ON quote.date = lines.date LEFT JOIN price ON price.date = lines.m
+LEFT JOIN macro_indicators AS macro ON macro.date = lines.date
+""")
 
 
 # ---------------------------------------------------------------------------
@@ -338,7 +355,7 @@ FROM cal LEFT JOIN annual_inflation a ON year(cal.date) = a.year
 q("annual_extend", """
 , ext AS (
   SELECT CAST(unnest(generate_series((SELECT max(year) FROM annual_interest) + 1,
-                                     (SELECT max(year(o_orderdate)) FROM orders))) AS INTEGER) AS year
+                                     (SELECT year FROM horizon))) AS INTEGER) AS year
 )
 SELECT year, last_value(value IGNORE NULLS) OVER (ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS interest_rate,
        is_extended
@@ -353,7 +370,7 @@ q("linear_extrapolate", """
   FROM annual_inflation WHERE year BETWEEN 1995 AND 2000 AND value IS NOT NULL
 ), ext AS (
   SELECT CAST(unnest(generate_series((SELECT max(year) FROM annual_inflation) + 1,
-                                     (SELECT max(year(o_orderdate)) FROM orders))) AS INTEGER) AS year
+                                     (SELECT year FROM horizon))) AS INTEGER) AS year
 )
 SELECT year, round(CAST(value AS DOUBLE), 2) AS value, 0 AS is_extrapolated FROM annual_inflation
 UNION ALL
@@ -361,19 +378,8 @@ SELECT ext.year, round(fit.slope * (ext.year - 2000.0) + fit.intercept, 2), 1 FR
 """)
 
 
-def _wide(src, last):
-    cols = ", ".join(f'max(CASE WHEN year = {y} THEN value END) AS "{y}"' for y in range(1995, last + 1))
-    return f"SELECT 'India' AS country, '{src}' AS indicator, {cols} FROM annual_{src}"
-
-
-q("unpivot_years", f"""
-, inf_wide AS ({_wide('inflation', 2000)})
-, int_wide AS ({_wide('interest', 1999)})
-, inf_long AS (SELECT * FROM inf_wide UNPIVOT INCLUDE NULLS (inflation_india FOR year IN (COLUMNS('^[0-9]+$'))))
-, int_long AS (SELECT * FROM int_wide UNPIVOT INCLUDE NULLS (interest_india FOR year IN (COLUMNS('^[0-9]+$'))))
-SELECT coalesce(a.country, b.country) AS country, CAST(coalesce(a.year, b.year) AS INTEGER) AS year,
-       a.inflation_india, b.interest_india
-FROM inf_long a FULL OUTER JOIN int_long b ON a.country = b.country AND a.year = b.year
+q("unpivot_years", """
+SELECT 'India' AS country, year, inflation AS inflation_india, interest AS interest_india FROM annual
 """)
 
 
@@ -572,9 +578,10 @@ _REQUESTS = """
          CASE o_orderpriority WHEN '1-URGENT' THEN 'Electronics' WHEN '2-HIGH' THEN 'Accessories'
               WHEN '3-MEDIUM' THEN 'Office' WHEN '4-NOT SPECIFIED' THEN '' ELSE 'Toys' END AS category,
          CASE WHEN o_orderpriority = '3-MEDIUM' THEN NULL
-              ELSE CAST(year(o_orderdate) + CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 0 END AS INTEGER) END AS year,
+              ELSE CAST(year(o_orderdate) + CASE WHEN o_orderpriority = '5-LOW' OR o_orderstatus = 'P' THEN 1 ELSE 0 END AS INTEGER) END AS year,
          CASE WHEN o_orderpriority = '2-HIGH' THEN ''
               WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'P' THEN 'not-a-date'
+              WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' THEN strftime(CAST(o_orderdate AS DATE) + INTERVAL 400 DAY, '%Y-%m-%d')
               ELSE strftime(CAST(o_orderdate AS DATE) + INTERVAL 90 DAY, '%Y-%m-%d') END AS date
   FROM orders LEFT JOIN customer ON o_custkey = c_custkey
 )
@@ -591,8 +598,8 @@ _REQUESTS = """
            CASE WHEN region IS NOT NULL AND region NOT IN ('North', 'East', 'South', 'West') THEN 'region' END,
            CASE WHEN ticker IS NOT NULL AND ticker NOT IN ('NVDA', 'SAMSUNG', 'SONY') THEN 'ticker' END,
            CASE WHEN date IS NOT NULL AND req_date IS NULL THEN 'date_format' END,
-           CASE WHEN req_date IS NOT NULL AND req_date > DATE '2001-09-30' THEN 'date_range' END,
-           CASE WHEN year IS NOT NULL AND (year < 1995 OR year > 2001) THEN 'year' END) AS err
+           CASE WHEN req_date IS NOT NULL AND req_date > (SELECT CAST(max(o_orderdate) AS DATE) + 90 FROM orders) THEN 'date_range' END,
+           CASE WHEN year IS NOT NULL AND (year < (SELECT year(min(o_orderdate)) FROM orders) OR year > (SELECT year FROM horizon)) THEN 'year' END) AS err
   FROM req_clean
 )
 """
@@ -777,7 +784,7 @@ q("feature_table", _CAL + _CWIDE + f"""
 )
 , ext AS (
   SELECT CAST(unnest(generate_series((SELECT max(year) FROM annual_interest) + 1,
-                                     (SELECT max(year(o_orderdate)) FROM orders))) AS INTEGER) AS year
+                                     (SELECT year FROM horizon))) AS INTEGER) AS year
 )
 , intr AS (
   SELECT year, CAST(last_value(value IGNORE NULLS) OVER (ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
@@ -787,14 +794,13 @@ q("feature_table", _CAL + _CWIDE + f"""
 , fit AS (
   SELECT regr_slope(CAST(value AS DOUBLE), year - 2000.0) AS slope,
          regr_intercept(CAST(value AS DOUBLE), year - 2000.0) AS intercept
-  FROM annual_inflation WHERE year BETWEEN 1995 AND 2000 AND value IS NOT NULL
+  FROM (SELECT year, lithium AS value FROM annual)
 )
 , lext AS (
-  SELECT CAST(unnest(generate_series((SELECT max(year) FROM annual_inflation) + 1,
-                                     (SELECT max(year(o_orderdate)) FROM orders))) AS INTEGER) AS year
+  SELECT CAST(unnest(generate_series((SELECT max(year) FROM annual) + 1, (SELECT year FROM horizon))) AS INTEGER) AS year
 )
 , lith AS (
-  SELECT year, round(CAST(value AS DOUBLE), 2) AS lithium_price_usd FROM annual_inflation
+  SELECT year, round(CAST(lithium AS DOUBLE), 2) AS lithium_price_usd FROM annual
   UNION ALL
   SELECT lext.year, round(fit.slope * (lext.year - 2000.0) + fit.intercept, 2) FROM lext, fit
 )
@@ -831,42 +837,21 @@ WHERE {" AND ".join("dfe." + f + " IS NOT NULL" for f in _FEATURES)}
 # Analytics endpoints: the same results with numeric NULL -> 0
 # ---------------------------------------------------------------------------
 q("holiday_analytics", """
-SELECT h.name AS holiday, h.date, coalesce(max(h.is_public), 0) AS is_public,
-       count(s.date) AS num_transactions,
-       coalesce(CAST(sum(s.quantity) AS DECIMAL(38,4)), 0) AS total_quantity,
-       coalesce(CAST(sum(s.revenue) AS DECIMAL(38,4)), 0) AS total_revenue,
-       coalesce(CAST(sum(s.profit) AS DECIMAL(38,4)), 0) AS total_profit
-FROM holidays h LEFT JOIN sales s ON s.date = h.date
-GROUP BY h.name, h.date
-""")
-
-q("commodity_analytics", """
-SELECT strftime(s.date, '%Y-%m') AS month, p.category,
-       coalesce(CAST(sum(s.revenue) AS DECIMAL(38,4)), 0) AS total_revenue,
-       coalesce(max(cm.avg_commodity_price), 0) AS avg_commodity_price,
-       coalesce(max(cm.commodity_yoy_pct), 0) AS commodity_yoy_pct
-FROM sales s
-JOIN products p ON s.product_id = p.id
-LEFT JOIN (
-  SELECT strftime(date, '%Y-%m') AS month,
-         round(CAST(sum(price_usd) AS DOUBLE) / count(price_usd), 4) AS avg_commodity_price,
-         round(avg(price_yoy_pct), 4) AS commodity_yoy_pct
-  FROM commodity_prices
-  WHERE commodity_code = (SELECT min(commodity_code) FROM commodity_prices WHERE commodity_name ILIKE '%Copper%')
-  GROUP BY 1
-) cm ON strftime(s.date, '%Y-%m') = cm.month
-WHERE p.category = 'end_product'
-GROUP BY 1, 2
-""")
-
-q("macro_analytics", """
-SELECT strftime(d.date, '%Y-%m') AS month,
-       coalesce(CAST(sum(d.revenue) AS DECIMAL(38,4)), 0) AS total_revenue,
-       coalesce(round(CAST(sum(mi.usd_inr) AS DOUBLE) / count(mi.usd_inr), 4), 0) AS avg_usd_inr,
-       coalesce(round(CAST(sum(mi.inflation_india) AS DOUBLE) / count(mi.inflation_india), 4), 0) AS inflation,
-       coalesce(round(CAST(sum(mi.interest_india) AS DOUBLE) / count(mi.interest_india), 4), 0) AS interest_rate
-FROM daily d LEFT JOIN macro_indicators mi ON d.date = mi.date
-GROUP BY 1
+SELECT name AS holiday, date, is_public, coalesce(n_lines, 0) AS num_transactions, coalesce(quantity, 0) AS total_quantity,
+       coalesce(revenue, 0) AS total_revenue, coalesce(profit, 0) AS total_profit
+FROM holidays LEFT JOIN daily USING (date)
+""")
+
+q("commodity_analytics", _IMPACT + """
+SELECT strftime(m, '%Y-%m') AS month, 'end_product' AS category, coalesce(revenue, 0) AS total_revenue,
+       coalesce(round(usd, 4), 0) AS avg_commodity_price, coalesce(round(price_yoy_pct, 4), 0) AS commodity_yoy_pct
+FROM earned LEFT JOIN price ON price.date = m
+""")
+
+q("macro_analytics", _TREND + """
+SELECT month, coalesce(revenue, 0) AS total_revenue, coalesce(round(fx, 4), 0) AS avg_usd_inr,
+       coalesce(round(inflation, 4), 0) AS inflation, coalesce(round(interest, 4), 0) AS interest_rate
+FROM earned LEFT JOIN rates USING (month)
 """)
 
 q("stock_analytics", """

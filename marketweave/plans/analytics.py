@@ -22,13 +22,16 @@ def holiday_sales_summary(spark: SparkSession, sf_dir: str, holiday: str | None
     holiday dates (a bounded calendar) are broadcast and semi-joined into
     orders first, so only orders on holiday dates meet lineitem.
     """
-    h = cat.holidays(spark)
+    h = cat.sales_holidays(spark, sf_dir)
     if holiday:
         h = h.filter(contains_ci("name", holiday))
     days = h.select("date").distinct()
-    per_day = (cat.order_totals(spark, sf_dir)
-               .join(F.broadcast(days), "date", "left_semi")
-               .groupBy("date").agg(F.sum("n_lines").alias("n_lines"),
+    # Orders of holiday dates first; lineitem is reduced to their keys before
+    # it is aggregated (a semi-join pushed below the shuffle by its filter).
+    orders = (cat._orders(spark, sf_dir).join(F.broadcast(days), "date", "left_semi")
+              .select(F.col("o_orderkey").alias("l_orderkey"), "date"))
+    per_day = (cat._lines(spark, sf_dir).join(orders, "l_orderkey")
+               .groupBy("date").agg(F.count(F.lit(1)).alias("n_lines"),
                                     F.sum("quantity").alias("quantity"),
                                     F.sum("revenue").alias("revenue"),
                                     F.sum("profit").alias("profit")))
@@ -67,10 +70,10 @@ def stock_sales_daily(spark: SparkSession, sf_dir: str, ticker: str = "NVDA") ->
     so days without a quote keep NULLs.
     """
     d = cat.daily_totals(spark, sf_dir)
-    sp = (cat.stock_prices(spark, sf_dir).filter(F.col("ticker") == ticker.upper())
+    sp = (cat.stock_prices(spark, sf_dir, tickers=[ticker.upper()])
           .select("date", F.col("close").alias("stock_close"),
                   F.col("volume").alias("stock_volume")))
-    return (d.join(sp, "date", "left")
+    return (d.join(F.broadcast(sp), "date", "left")   # one row per day
              .select("date", F.col("revenue").alias("total_revenue"), "stock_close", "stock_volume")
              .orderBy("date"))
 
@@ -100,7 +103,7 @@ def commodity_impact(spark: SparkSession, sf_dir: str, commodity: str = "Copper"
     """
     # Months x commodities (bounded) and read twice (code lookup, prices):
     # written once so the fact-derived series is computed once.
-    cp = materialize(cat.commodity_prices(spark, sf_dir), "commodity_prices")
+    cp = materialize(cat.commodity_prices(spark, sf_dir, names=cat.commodity_names(commodity)), "commodity_prices")
     code = commodity_code_for(cp, commodity)
     cp_month = (cp.join(code, "commodity_code", "left_semi")
                 .groupBy(month_key("date").alias("month"))
@@ -120,7 +123,7 @@ def macro_sales_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5: day totals -> left join daily macro (weekend NULLs kept, D11) -> month."""
     d = cat.daily_totals(spark, sf_dir).select("date", "revenue")
     mi = cat.macro_indicators(spark, sf_dir).select("date", "usd_inr", "inflation_india", "interest_india")
-    j = d.join(mi, "date", "left")
+    j = d.join(F.broadcast(mi), "date", "left")   # one row per day
     return (j.groupBy(month_key("date").alias("month"))
              .agg(total(F.sum("revenue")).alias("total_revenue"),
                   ratio(F.sum("usd_inr"), F.count("usd_inr"), 4).alias("avg_usd_inr"),

@@ -61,7 +61,7 @@ def daily_features(spark: SparkSession, sf_dir: str) -> DataFrame:
                      ["price_aluminum", "price_copper", "price_crude_oil"], ["date"]).select(
         "date", "price_aluminum", "price_copper", "price_crude_oil")
     yearly = ts.yearly_features(spark, sf_dir, cal)
-    hol = ts.holiday_flags(spark)
+    hol = ts.holiday_flags(spark, sf_dir)
     d = (cal.join(F.broadcast(hol), "date", "left")
             .join(lags, "date", "left").join(stock, "date", "left").join(prices, "date", "left")
             .join(F.broadcast(yearly), "year", "left"))

@@ -72,16 +72,20 @@ def daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("date").alias("ds"), F.col("revenue").cast("double").alias("y")).na.drop()
 
 
-def _fit_single(spark, sf_dir, days):
+def _check_days(days: int) -> None:
     if days > MAX_DAYS:
         raise ValueError(f"Maximum forecast is {MAX_DAYS} days.")
+
+
+def _fit_single(spark, sf_dir, days):
+    _check_days(days)
     # One row per day (bounded); written once because the fit, the residual
     # spread and the bounds all read it.
     hist = materialize(daily_series(spark, sf_dir), "daily_series")
     bounds = hist.agg(F.min("ds").alias("first"), F.max("ds").alias("last")).first()
     origin = bounds["first"].isoformat()
     names = _holiday_names(spark)
-    hol = cat.holidays(spark)
+    hol = cat.sales_holidays(spark, sf_dir)
     cols = design_columns(names)
     # M7: future frame = history + `days` new dates after the last one.
     fut = spark.range(1, days + 1).select(
@@ -144,9 +148,10 @@ def _np_design(ds: pd.Series, origin: pd.Timestamp, hol_dates: dict) -> np.ndarr
 
 def forecast_by_region(spark: SparkSession, sf_dir: str, days: int = 90) -> DataFrame:
     """M6 per region: ``applyInPandas`` fits each region's daily series."""
+    _check_days(days)
     series = ts.region_daily(spark, sf_dir).select(
         "region", F.col("date").alias("ds"), F.col("sales").cast("double").alias("y"))
-    hol_rows = cat.holidays(spark).select("name", "date").collect()   # bounded calendar
+    hol_rows = cat.sales_holidays(spark, sf_dir).select("name", "date").collect()   # bounded calendar
     hol_dates: dict[str, list] = {}
     for r in hol_rows:
         hol_dates.setdefault(r["name"], []).append(pd.Timestamp(r["date"]))

@@ -121,10 +121,10 @@ def latest_100(spark: SparkSession, sf_dir: str, n: int = 100) -> DataFrame:
     every output column is in the order, so ties cannot change the result."""
     s = cat.sales(spark, sf_dir).select("date", "order_id", "product_id", "quantity", "revenue", "profit")
     mi = cat.macro_indicators(spark, sf_dir).select("date", "usd_inr", "inflation_india", "interest_india")
-    s = s.join(mi, "date", "left")
     order = [F.col(c).desc_nulls_last() for c in ("date", "order_id", "product_id", "quantity",
                                                   "revenue", "profit")]
-    return s.orderBy(*order).limit(n)
+    # The rows first: macro has one row per day, so the join adds none.
+    return s.orderBy(*order).limit(n).join(F.broadcast(mi), "date", "left").orderBy(*order)
 
 
 def first_15(spark: SparkSession, sf_dir: str, n: int = 15) -> DataFrame:

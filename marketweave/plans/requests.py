@@ -33,9 +33,8 @@ VALID_YEARS = (2022, 2025)
 # API value with stored values directly and never matches).
 API_CATEGORY = {"electronics": "end_product", "accessories": "component", "office": "end_product"}
 
-# The test data's calendar: the same rules shifted to its sales span.
-DATA_MAX_DATE = "2001-09-30"
-DATA_YEARS = (1995, 2001)
+# Days after the last sale that a request's date may lie.
+REQUEST_DAYS = 90
 
 REQUEST_FIELDS = ["state", "region", "holiday", "ticker", "commodity", "category", "year", "date"]
 
@@ -58,10 +57,10 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .otherwise(""))
     commodity = F.when(st == "O", "copper").when(st == "P", "oil").otherwise("")
     year = (F.when(pr == "3-MEDIUM", F.lit(None).cast("int"))
-             .otherwise(F.year("o_orderdate") + F.when(pr == "5-LOW", 1).otherwise(0)))
+             .otherwise(F.year("o_orderdate") + F.when((pr == "5-LOW") | (st == "P"), 1).otherwise(0)))
     date = (F.when(pr == "2-HIGH", F.lit(""))
              .when((pr == "5-LOW") & (st == "P"), F.lit("not-a-date"))
-             .otherwise(F.date_format(F.date_add(F.to_date("o_orderdate"), 90), "yyyy-MM-dd")))
+             .otherwise(F.date_format(F.date_add(F.to_date("o_orderdate"), F.when((pr == "1-URGENT") & (st == "P"), 400).otherwise(90)), "yyyy-MM-dd")))
     return j.select(F.col("o_orderkey").alias("request_id"), F.lit("").alias("state"),
                     region.alias("region"), holiday.alias("holiday"), ticker.alias("ticker"),
                     commodity.alias("commodity"), category.alias("category"),
@@ -94,14 +93,22 @@ def validate_requests(req: DataFrame, max_date: str = MAX_DATE,
     return r.withColumn("is_valid", (F.size("errors") == 0).cast("int"))
 
 
+def validated_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1 with the bounds of the sales span: dates up to REQUEST_DAYS after the
+    last sale, years from the first sale to the horizon's."""
+    span = cat.sales_span(spark, sf_dir) or (_dt.date.max, _dt.date.min + _dt.timedelta(days=cat.HORIZON_DAYS))
+    last, horizon = (_dt.timedelta(days=d) for d in (REQUEST_DAYS, cat.HORIZON_DAYS))
+    return validate_requests(requests(spark, sf_dir), (span[1] + last).isoformat(), (span[0].year, (span[1] + horizon).year))
+
+
 def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = validate_requests(requests(spark, sf_dir), DATA_MAX_DATE, DATA_YEARS)
+    v = validated_requests(spark, sf_dir)
     return v.select("request_id", "is_valid", F.size("errors").alias("n_errors"),
                     F.nullif(F.array_join("errors", ";"), F.lit("")).alias("errors"))
 
 
 def valid_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = validate_requests(requests(spark, sf_dir), DATA_MAX_DATE, DATA_YEARS).filter("is_valid = 1")
+    v = validated_requests(spark, sf_dir).filter("is_valid = 1")
     return v.withColumn("cat_stored", map_values(F.col("category"), API_CATEGORY, lower=True))
 
 
@@ -166,7 +173,7 @@ def context_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     # ---- level 1: (holiday, ticker, commodity, category, year) -----------
     keys = req.select("holiday", "ticker", "commodity", "cat_key", "year_key").distinct()
-    hol = cat.holidays(spark).select("name", "date")
+    hol = cat.sales_holidays(spark, sf_dir).select("name", "date")
     hpat = keys.select("holiday").where("holiday IS NOT NULL").distinct()
     # distinct patterns x a bounded holiday calendar: both sides small.
     hmatch = (hpat.join(F.broadcast(hol), F.expr("name ILIKE concat('%', holiday, '%')"))

@@ -8,8 +8,8 @@ argument adds a DataFrame join or predicate, so nothing is bound by position
   reach the Parquet scan (P3, P4 - both ends inclusive, D3);
 * every date-keyed lookup (holiday, stock quote, commodity month, macro day)
   is joined to *orders* before lineitem, i.e. at order grain, so the lookup
-  work is ~4x smaller than at line grain; the small, calendar-bounded lookup
-  tables are broadcast by AQE when their measured size allows;
+  work is ~4x smaller than at line grain; the lookup tables have one row per
+  day, or per month and commodity, and are broadcast;
 * ``state`` joins regions by key and filters on the value (D1);
 * ``category`` filters products (pushed into the part scan).
 
@@ -44,21 +44,22 @@ def _lookups(spark: SparkSession, src, extra: list[str], o: DataFrame, *, holida
         o = o.join(F.broadcast(h), "date")   # templates x years: bounded
         extra += ["holiday_name", "is_public"]
     if given(ticker):
-        sp = (src.stock_prices().filter(F.col("ticker") == str(ticker).upper())
+        sp = (src.stock_prices(str(ticker).upper())
               .select("date", F.col("close").alias("stock_close"), F.col("volume").alias("stock_volume")))
-        o = o.join(sp, "date", "left")
+        o = o.join(F.broadcast(sp), "date", "left")   # one row per day
         extra += ["stock_close", "stock_volume"]
     if given(commodity):
-        cp = (src.commodity_prices().filter(contains_ci("commodity_name", commodity))
+        cp = (src.commodity_prices(str(commodity))
               .select(F.col("date").alias("cp_month"), "commodity_name",
                       F.col("price_usd").alias("commodity_price_usd"),
                       F.col("price_yoy_pct").alias("commodity_yoy_change")))
         o = o.withColumn("o_month", month_start("date"))
-        o = o.join(cp, o.o_month == cp.cp_month, "left").drop("o_month", "cp_month")
+        # months x commodities: bounded
+        o = o.join(F.broadcast(cp), o.o_month == cp.cp_month, "left").drop("o_month", "cp_month")
         extra += ["commodity_name", "commodity_price_usd", "commodity_yoy_change"]
     if include_macro:
         mi = src.macro_indicators().select("date", "usd_inr", "inflation_india", "interest_india")
-        o = o.join(mi, "date", "left")
+        o = o.join(F.broadcast(mi), "date", "left")   # one row per day
         extra += ["usd_inr", "inflation_india", "interest_india"]
     return o
 
@@ -74,13 +75,13 @@ class _Raw:
                    if share_line_part else None)
 
     def holidays(self):
-        return cat.holidays(self.spark)
+        return cat.sales_holidays(self.spark, self.sf_dir)
 
-    def stock_prices(self):
-        return cat.stock_prices(self.spark, self.sf_dir, self.lp)
+    def stock_prices(self, ticker):
+        return cat.stock_prices(self.spark, self.sf_dir, self.lp, [ticker])
 
-    def commodity_prices(self):
-        return cat.commodity_prices(self.spark, self.sf_dir, self.lp)
+    def commodity_prices(self, pattern):
+        return cat.commodity_prices(self.spark, self.sf_dir, self.lp, cat.commodity_names(pattern))
 
     def macro_indicators(self):
         return cat.macro_indicators(self.spark, self.sf_dir)
@@ -104,11 +105,11 @@ class _Built(_Raw):
     def holidays(self):
         return self._t("holidays")
 
-    def stock_prices(self):
-        return self._t("stock_prices")
+    def stock_prices(self, ticker):
+        return self._t("stock_prices").filter(F.col("ticker") == ticker)
 
-    def commodity_prices(self):
-        return self._t("commodity_prices")
+    def commodity_prices(self, pattern):
+        return self._t("commodity_prices").filter(contains_ci("commodity_name", pattern))
 
     def macro_indicators(self):
         return self._t("macro_indicators")
@@ -180,7 +181,7 @@ def smart_query(spark: SparkSession, sf_dir: str | None = None, *, state: str |
     j = j.join(p, F.col("product_id") == F.col("id"))
     # O1 by date; the remaining output columns break ties.
     return j.select(*BASE_COLUMNS, *extra).orderBy(
-        "date", "product", "quantity", "revenue", "unit_price", *[c for c in extra if c != "state"])
+        "date", "product", "quantity", "revenue", "unit_price", "profit", "source", *[c for c in extra if c != "state"])
 
 
 def tables_used(**kw) -> list[str]:

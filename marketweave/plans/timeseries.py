@@ -8,7 +8,7 @@ frames (one row per day / year), and per-key series use ``partition_by``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import calendar_columns, month_key, to_day
@@ -28,9 +28,9 @@ COMMODITY_COLUMNS = {
 }
 
 
-def holiday_flags(spark: SparkSession) -> DataFrame:
+def holiday_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(date, is_holiday=1) for distinct holiday dates (bounded calendar)."""
-    return cat.holidays(spark).select("date").distinct().withColumn("is_holiday", F.lit(1))
+    return cat.sales_holidays(spark, sf_dir).select("date").distinct().withColumn("is_holiday", F.lit(1))
 
 
 def calendar_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def calendar_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     month key and the holiday flag (existence join on distinct holiday dates)."""
     o = read_table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate").select(
         F.col("o_orderkey").alias("order_id"), to_day("o_orderdate").alias("date"))
-    o = o.join(F.broadcast(holiday_flags(spark)), "date", "left")
+    o = o.join(F.broadcast(holiday_flags(spark, sf_dir)), "date", "left")
     return o.select("order_id", "date", *[v.alias(k) for k, v in calendar_columns("date").items()],
                     month_key("date").alias("month_key"),
                     F.coalesce("is_holiday", F.lit(0)).alias("is_holiday"))
@@ -74,7 +74,7 @@ def lag_rolling_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stock_close_wide(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
     """(date, nvidia_close, samsung_close): one row per quote day."""
-    sp = cat.stock_prices(spark, sf_dir, base)
+    sp = cat.stock_prices(spark, sf_dir, base, ["NVDA", "SAMSUNG"])
     return pivot_fixed(sp, ["date"], "ticker", {"NVDA": "nvidia_close", "SAMSUNG": "samsung_close"},
                        lambda c: F.max(c), "close")
 
@@ -95,7 +95,7 @@ def sales_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def commodity_wide(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
     """(date, price_<commodity> ...) mean price per date and commodity."""
-    cp = cat.commodity_prices(spark, sf_dir, base).filter(F.col("commodity_name").isin(list(COMMODITY_COLUMNS)))
+    cp = cat.commodity_prices(spark, sf_dir, base, list(COMMODITY_COLUMNS))
     return pivot_fixed(cp, ["date"], "commodity_name", COMMODITY_COLUMNS, "mean", "price_usd")
 
 
@@ -123,14 +123,18 @@ def _one_row(*frames: DataFrame) -> DataFrame:
     return out.agg(*[F.max(c).alias(c) for c in cols])
 
 
+def _horizon_year(last_day) -> Column:
+    """The last year that a forecast from ``last_day`` reaches."""
+    return F.year(F.date_add(last_day, cat.HORIZON_DAYS)).alias("max_year")
+
+
 def _max_sales_year(spark, sf_dir) -> DataFrame:
-    return read_table(spark, sf_dir, "orders", "o_orderdate").agg(
-        F.year(F.max("o_orderdate")).alias("max_year"))
+    return read_table(spark, sf_dir, "orders", "o_orderdate").agg(_horizon_year(to_day(F.max("o_orderdate"))))
 
 
 def annual_extend(spark: SparkSession, sf_dir: str, annual: DataFrame | None = None,
                   max_year: DataFrame | None = None) -> DataFrame:
-    """W6 + G2: extend the annual interest series to the last sales year and
+    """W6 + G2: extend the annual interest series to the horizon's year and
     carry the last value forward. ``annual`` / ``max_year`` may be passed in
     when the caller already has them (no second scan)."""
     a = annual if annual is not None else materialize(cat.annual_series(spark, sf_dir, "interest"), "annual")
@@ -145,14 +149,17 @@ def annual_extend(spark: SparkSession, sf_dir: str, annual: DataFrame | None = N
     return out.select("year", F.col("value").alias("interest_rate"), "is_extended").orderBy("year")
 
 
-def linear_extrapolate(spark: SparkSession, sf_dir: str, fit_from: int = 1995,
-                       fit_to: int = 2000, annual: DataFrame | None = None,
+def linear_extrapolate(spark: SparkSession, sf_dir: str, fit_from: int | None = None,
+                       fit_to: int | None = None, annual: DataFrame | None = None,
                        max_year: DataFrame | None = None) -> DataFrame:
     """Fit a line to the annual inflation series over [fit_from, fit_to]
-    (P6, NULLs dropped) and append predictions up to the last sales year."""
+    (P6, NULLs dropped; without bounds over all its years) and append
+    predictions up to the horizon's year."""
     a = annual if annual is not None else materialize(cat.annual_series(spark, sf_dir, "inflation"), "annual")
     mx = max_year if max_year is not None else _max_sales_year(spark, sf_dir)
-    fit_rows = a.filter(F.col("year").between(fit_from, fit_to)).na.drop(subset=["value"])
+    fit_rows = a.na.drop(subset=["value"])
+    if fit_from is not None and fit_to is not None:
+        fit_rows = fit_rows.filter(F.col("year").between(fit_from, fit_to))
     fit = W.linear_fit(fit_rows, "year", "value", x_center=2000.0).drop("n_points")
     last = a.agg(F.max("year").alias("last_year"))
     row = _one_row(fit, last, mx)
@@ -168,20 +175,17 @@ def linear_extrapolate(spark: SparkSession, sf_dir: str, fit_from: int = 1995,
 
 def yearly_features(spark: SparkSession, sf_dir: str, calendar: DataFrame | None = None) -> DataFrame:
     """(year, inflation_india, interest_rate, lithium_price_usd): every yearly
-    feature from one scan of orders (both series via ``annual_pair``); the
-    last sales year comes from ``calendar`` when the caller has it."""
-    pair = materialize(cat.annual_pair(spark, sf_dir), "annual_pair")
-    inf = pair.filter(F.col("inflation_india").isNotNull()).select(
-        "year", F.col("inflation_india").alias("value"))
-    intr = pair.filter(F.col("interest_india").isNotNull()).select(
-        "year", F.col("interest_india").alias("value"))
-    mx = (calendar.agg(F.year(F.max("date")).alias("max_year")) if calendar is not None
+    feature from one scan of orders, up to the horizon's year; the last sales
+    day comes from ``calendar`` when the caller has it."""
+    every = materialize(cat.annual_all(spark, sf_dir), "annual_all")
+    series = lambda kind: every.select("year", F.col(kind).alias("value"))
+    mx = (calendar.agg(_horizon_year(F.max("date"))) if calendar is not None
           else _max_sales_year(spark, sf_dir))
-    ext = annual_extend(spark, sf_dir, intr, mx).select("year", F.col("interest_rate").cast("double"))
-    lith = linear_extrapolate(spark, sf_dir, annual=inf, max_year=mx).select(
+    ext = annual_extend(spark, sf_dir, series("interest"), mx).select("year", F.col("interest_rate").cast("double"))
+    lith = linear_extrapolate(spark, sf_dir, annual=series("lithium"), max_year=mx).select(
         "year", F.col("value").alias("lithium_price_usd"))
-    return (lith.join(inf.select("year", F.col("value").cast("double").alias("inflation_india")), "year", "left")
-                .join(ext, "year", "full_outer"))
+    inf = series("inflation").select("year", F.col("value").cast("double").alias("inflation_india"))
+    return lith.join(inf, "year", "left").join(ext, "year", "full_outer")
 
 
 def unpivot_years(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ QUERIES: dict[str, QueryFn] = {
     "commodity_pivot": ts.commodity_wide,
     "annual_to_daily": ts.annual_to_daily,
     "annual_extend": ts.annual_extend,
-    "linear_extrapolate": ts.linear_extrapolate,
+    "linear_extrapolate": lambda s, d: ts.linear_extrapolate(s, d, 1995, 2000),
     "unpivot_years": ts.unpivot_years,
     "region_month_pivot": rp.region_month_pivot,
     "category_distribution": rp.category_distribution,

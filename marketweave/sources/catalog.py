@@ -8,10 +8,10 @@ every query's work grows with the data:
 * ``sales``            lineitem x orders (x customer only when a region is asked for)
 * ``products``         part
 * ``regions``          nation x region
-* ``holidays``         a fixed holiday calendar expanded over a year span
+* ``holidays``         a fixed holiday calendar expanded over the years of sales and horizon
 * ``stock_prices``     per (ship day, ticker) extremes of three part brands
 * ``commodity_prices`` per (ship month, part type) average unit price
-* ``macro_indicators`` per order day price of urgent orders + annual series
+* ``macro_indicators`` per order day highest order price + annual series
 * annual series        per order year counts (World-Bank-like yearly values)
 
 Scale notes: the fact (``sales``) is never materialised whole by a query; the
@@ -22,11 +22,14 @@ years), not by the fact size.
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import month_start, ts_day_range, to_day
 from ..functions.exprs import MONEY, money, ratio, tag_by_lists
+from ..session import materialize
 from .tables import read_table
 
 # ---------------------------------------------------------------------------
@@ -39,7 +42,9 @@ HOLIDAY_TEMPLATES = [
     (11, 12, "Diwali (Deepavali)", 0),
     (12, 25, "Christmas Day", 1),
 ]
-HOLIDAY_YEARS = (1995, 2002)
+# Days after the last sale that calendars and yearly series reach (the
+# longest forecast).
+HORIZON_DAYS = 365
 
 # Part type -> stored product category.
 PRODUCT_CATEGORY = {
@@ -69,10 +74,6 @@ ELECTRONICS_MATERIALS = ["Aluminum", "Copper", "Nickel", "Tin", "Silver",
 ENERGY = ["Crude oil, Brent", "Crude oil, WTI", "Natural gas, US",
           "Coal, Australian"]
 
-URGENT = "1-URGENT"
-INFLATION_LAST_YEAR = 2000   # annual series end before the sales end,
-INTEREST_LAST_YEAR = 1999    # so extension / extrapolation have work to do
-
 
 def _case(c, mapping, default=None):
     expr = None
@@ -102,17 +103,32 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("r_name").alias("region"))
 
 
-def holidays(spark: SparkSession, years: tuple[int, int] = HOLIDAY_YEARS) -> DataFrame:
-    """holidays(name, date, is_public, country, weekday).
+def sales_span(spark: SparkSession, sf_dir: str) -> tuple[date, date] | None:
+    """First and last sales day (one aggregate row), None without sales."""
+    r = read_table(spark, sf_dir, "orders", "o_orderdate").agg(
+        to_day(F.min("o_orderdate")).alias("first"), to_day(F.max("o_orderdate")).alias("last")).first()
+    return (r["first"], r["last"]) if r["first"] is not None else None
+
+
+def holidays(spark: SparkSession, years: tuple[int, int]) -> DataFrame:
+    """holidays(name, date, is_public, country, weekday) of the years, both included.
 
     Size is templates x years (a calendar, bounded), so joins may broadcast it.
     """
     t = spark.createDataFrame(HOLIDAY_TEMPLATES, "m int, d int, name string, is_public int")
     t = t.withColumn("year", F.explode(F.sequence(F.lit(years[0]), F.lit(years[1]))))
-    date = F.make_date("year", "m", "d")
+    day = F.make_date("year", "m", "d")
     return t.select(
-        "name", date.alias("date"), F.col("is_public").cast("int").alias("is_public"),
-        F.lit("India").alias("country"), F.date_format(date, "EEEE").alias("weekday"))
+        "name", day.alias("date"), F.col("is_public").cast("int").alias("is_public"),
+        F.lit("India").alias("country"), F.date_format(day, "EEEE").alias("weekday"))
+
+
+def sales_holidays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The holidays of every year that has sales or lies within the horizon."""
+    span = sales_span(spark, sf_dir)
+    if span is None:
+        return holidays(spark, (1970, 1970)).limit(0)
+    return holidays(spark, (span[0].year, (span[1] + timedelta(days=HORIZON_DAYS)).year))
 
 
 # ---------------------------------------------------------------------------
@@ -210,40 +226,71 @@ def daily_totals(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
 # ---------------------------------------------------------------------------
 def line_part_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(day, p_type, ticker, sp, sq, lo, hi): lineitem x part aggregated to
-    ship day x part type x ticker (NULL ticker = not a quote line).
+    ship day x part type x ticker (NULL ticker = not a quoted brand).
 
-    Both market series derive from it, so a caller that needs both can write
-    it once (it is bounded by days x types x 4) and join the fact once.
+    Only for callers that need both market series: it is written once
+    (bounded by days x types x tickers) and the fact is joined once. A caller
+    of one series passes no base and gets its own filtered plan.
     """
-    li = read_table(spark, sf_dir, "lineitem", "l_partkey", "l_linenumber", "l_shipdate",
-                    "l_extendedprice", "l_quantity")
+    li = read_table(spark, sf_dir, "lineitem", "l_partkey", "l_shipdate", "l_extendedprice", "l_quantity")
     p = read_table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_type")
-    quote = (F.col("l_linenumber") <= 3) & F.col("p_brand").isin(list(BRAND_TICKER))
     j = li.join(p, li.l_partkey == p.p_partkey)
-    return j.groupBy(to_day("l_shipdate").alias("day"), "p_type",
-                     F.when(quote, _case("p_brand", BRAND_TICKER)).alias("ticker")).agg(
+    return j.groupBy(to_day("l_shipdate").alias("day"), "p_type", _case("p_brand", BRAND_TICKER).alias("ticker")).agg(
         F.sum(money("l_extendedprice")).alias("sp"), F.sum(money("l_quantity")).alias("sq"),
         F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi"))
 
 
-def stock_prices(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
-    """stock_prices(date, ticker, open, high, low, close, volume); unique per (date, ticker)."""
-    b = base if base is not None else line_part_daily(spark, sf_dir)
-    return b.filter(F.col("ticker").isNotNull()).groupBy(F.col("day").alias("date"), "ticker").agg(
+def stock_prices(spark: SparkSession, sf_dir: str, base: DataFrame | None = None,
+                 tickers: list[str] | None = None) -> DataFrame:
+    """stock_prices(date, ticker, open, high, low, close, volume); unique per (date, ticker).
+
+    ``tickers`` restricts the quoted brands; without a base the restriction
+    reaches the part scan.
+    """
+    brands = {b: t for b, t in BRAND_TICKER.items() if tickers is None or t in tickers}
+    if base is not None:
+        b = base.filter(F.col("ticker").isin(list(brands.values()))).withColumnRenamed("day", "date")
+    else:
+        li = read_table(spark, sf_dir, "lineitem", "l_partkey", "l_shipdate", "l_extendedprice", "l_quantity")
+        p = read_table(spark, sf_dir, "part", "p_partkey", "p_brand").filter(F.col("p_brand").isin(list(brands)))
+        b = li.join(p, li.l_partkey == p.p_partkey).select(
+            to_day("l_shipdate").alias("date"), _case("p_brand", BRAND_TICKER).alias("ticker"),
+            F.col("l_extendedprice").alias("lo"), F.col("l_extendedprice").alias("hi"), money("l_quantity").alias("sq"))
+    return b.groupBy("date", "ticker").agg(
         F.min("lo").alias("open"), F.max("hi").alias("high"),
         F.min("lo").alias("low"), F.max("hi").alias("close"),
         F.sum("sq").cast("decimal(38,4)").alias("volume"))
 
 
-def commodity_prices(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
+def commodity_names(pattern: str) -> list[str]:
+    """Names of the commodities that contain ``pattern``, in any case."""
+    return [n for n in TYPE_COMMODITY.values() if pattern.strip().lower() in n.lower()]
+
+
+def commodity_prices(spark: SparkSession, sf_dir: str, base: DataFrame | None = None,
+                     names: list[str] | None = None) -> DataFrame:
     """commodity_prices(date, commodity_name, category, price_usd, unit,
     price_mom_pct, price_yoy_pct, price_12m_avg, price_volatility,
     commodity_code, relevant_for); unique per (month, commodity).
 
-    The per-commodity windows run over one row per month (bounded).
+    ``names`` restricts the commodities; without a base the restriction
+    reaches the part scan. The per-commodity windows run over one row per
+    month (bounded).
     """
-    b = base if base is not None else line_part_daily(spark, sf_dir)
-    monthly = (b.groupBy(month_start("day").alias("date"), "p_type")
+    types = [t for t, n in TYPE_COMMODITY.items() if names is None or n in names]
+    if base is not None:
+        b = base.withColumn("month", month_start("day"))
+    else:
+        li = read_table(spark, sf_dir, "lineitem", "l_partkey", "l_shipdate", "l_extendedprice", "l_quantity")
+        p = read_table(spark, sf_dir, "part", "p_partkey", "p_type")
+        if names is not None:
+            p = p.filter(F.col("p_type").isin(types))
+        b = li.join(p, li.l_partkey == p.p_partkey).select(
+            month_start(to_day("l_shipdate")).alias("month"), "p_type",
+            money("l_extendedprice").alias("sp"), money("l_quantity").alias("sq"))
+    if names is not None:
+        b = b.filter(F.col("p_type").isin(types))
+    monthly = (b.groupBy(F.col("month").alias("date"), "p_type")
                .agg(F.sum("sp").alias("sp"), F.sum("sq").alias("sq")))
     price = ratio("sp", "sq", 4)
     w = Window.partitionBy("p_type").orderBy("date")
@@ -269,24 +316,29 @@ def commodity_prices(spark: SparkSession, sf_dir: str, base: DataFrame | None =
     return out
 
 
-def annual_series(spark: SparkSession, sf_dir: str, kind: str = "inflation") -> DataFrame:
-    """(year, value): a yearly indicator, one row per year (bounded).
+def _annual_values() -> dict:
+    """Yearly indicators from orders: number of orders, of finished ones, and
+    mean price in thousands (a stand-in for a yearly price series)."""
+    return {"inflation": F.count(F.lit(1)).cast(MONEY), "interest": F.count_if(F.col("o_orderstatus") == "F").cast(MONEY),
+            "lithium": ratio(F.sum(money("o_totalprice")), F.count(F.lit(1)) * 1000, 2).cast(MONEY)}
 
-    inflation: orders per year up to 2000; interest: finished orders per year
-    up to 1999 (so later years are missing, as in the reference's sources).
-    """
-    last = INFLATION_LAST_YEAR if kind == "inflation" else INTEREST_LAST_YEAR
-    o = read_table(spark, sf_dir, "orders", "o_orderdate", "o_orderstatus").filter(
-        ts_day_range("o_orderdate", None, f"{last}-12-31"))
-    value = F.count(F.lit(1)) if kind == "inflation" else F.count_if(F.col("o_orderstatus") == "F")
-    return o.groupBy(F.year("o_orderdate").alias("year")).agg(value.cast(MONEY).alias("value"))
+
+def annual_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(year, inflation, interest, lithium): all yearly series from one scan,
+    one row per year with sales (bounded)."""
+    o = read_table(spark, sf_dir, "orders", "o_orderdate", "o_orderstatus", "o_totalprice")
+    return o.groupBy(F.year("o_orderdate").alias("year")).agg(*[v.alias(k) for k, v in _annual_values().items()])
+
+
+def annual_series(spark: SparkSession, sf_dir: str, kind: str = "inflation") -> DataFrame:
+    """(year, value): one yearly indicator."""
+    return annual_all(spark, sf_dir).select("year", F.col(kind).alias("value"))
 
 
 def annual_wide(spark: SparkSession, sf_dir: str, kind: str = "inflation") -> DataFrame:
-    """One row per country, one column per year ('1995', ...): the World-Bank layout."""
-    last = INFLATION_LAST_YEAR if kind == "inflation" else INTEREST_LAST_YEAR
-    s = annual_series(spark, sf_dir, kind)
-    years = list(range(HOLIDAY_YEARS[0], last + 1))
+    """One row per country, one column per year with sales: the World-Bank layout."""
+    s = materialize(annual_series(spark, sf_dir, kind), "annual")
+    years = sorted(r["year"] for r in s.select("year").collect())   # one number per year
     return (s.withColumn("country", F.lit("India"))
             .withColumn("indicator", F.lit(kind))
             .groupBy("country", "indicator")
@@ -301,9 +353,8 @@ def macro_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     Daily (one row per day, bounded by the calendar); the moving statistics
     are row windows over that single daily series.
     """
-    o = read_table(spark, sf_dir, "orders", "o_orderdate", "o_totalprice", "o_orderpriority")
-    fx = (o.filter(F.col("o_orderpriority") == URGENT)
-          .groupBy(to_day("o_orderdate").alias("date"))
+    o = read_table(spark, sf_dir, "orders", "o_orderdate", "o_totalprice")
+    fx = (o.groupBy(to_day("o_orderdate").alias("date"))
           .agg(F.max("o_totalprice").cast("decimal(18,2)").alias("usd_inr")))
     w = Window.orderBy("date")
     w7, w14, w30 = w.rowsBetween(-6, 0), w.rowsBetween(-13, 0), w.rowsBetween(-29, 0)
@@ -322,16 +373,5 @@ def macro_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     fx = fx.withColumn("year", F.year("date"))
     # One row per year, both series from one scan: broadcast is size-bounded.
-    return fx.join(F.broadcast(annual_pair(spark, sf_dir)), "year", "left").drop("year")
-
-
-def annual_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(year, inflation_india, interest_india): both yearly series from one
-    scan of orders (conditional aggregates); a series' missing years are NULL."""
-    o = read_table(spark, sf_dir, "orders", "o_orderdate", "o_orderstatus").filter(
-        ts_day_range("o_orderdate", None, f"{max(INFLATION_LAST_YEAR, INTEREST_LAST_YEAR)}-12-31"))
-    y = F.year("o_orderdate")
-    return o.groupBy(y.alias("year")).agg(
-        F.when(F.max(y) <= INFLATION_LAST_YEAR, F.count(F.lit(1))).cast(MONEY).alias("inflation_india"),
-        F.when(F.max(y) <= INTEREST_LAST_YEAR, F.count_if(F.col("o_orderstatus") == "F"))
-         .cast(MONEY).alias("interest_india"))
+    yearly = annual_all(spark, sf_dir).select("year", F.col("inflation").alias("inflation_india"), F.col("interest").alias("interest_india"))
+    return fx.join(F.broadcast(yearly), "year", "left").drop("year")

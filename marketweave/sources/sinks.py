@@ -53,7 +53,7 @@ def to_json_records(df: DataFrame) -> DataFrame:
 
 BUILD: dict[str, tuple[Callable, list[str]]] = {
     "regions": (lambda s, d: cat.regions(s, d), []),
-    "holidays": (lambda s, d: cat.holidays(s), []),
+    "holidays": (lambda s, d: cat.sales_holidays(s, d), []),
     "products": (lambda s, d: cat.products(s, d), []),
     "sales": (lambda s, d: cat.sales(s, d, with_region=True).withColumn("year", F.year("date")), ["year"]),
     "stock_prices": (lambda s, d: cat.stock_prices(s, d), []),
