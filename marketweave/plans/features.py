@@ -42,7 +42,8 @@ def region_levels(spark: SparkSession, sf_dir: str) -> list[str]:
 
 
 def daily_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per calendar day with every day-level feature.
+    """One row per calendar day, up to the horizon, with every day-level feature
+    (days after the last sale have only calendar, yearly and price features).
 
     The shared day / year grain inputs (daily revenue, calendar, yearly
     series) are each computed once and written to the shared folder (all are
@@ -51,7 +52,7 @@ def daily_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     daily = materialize(cat.daily_totals(spark, sf_dir).select(
         "date", F.col("revenue").alias("sales")), "daily_revenue")
-    cal = materialize(ts.sales_calendar(spark, sf_dir), "calendar").withColumn("year", F.year("date"))
+    cal = materialize(ts.sales_calendar(spark, sf_dir, cat.HORIZON_DAYS), "calendar").withColumn("year", F.year("date"))
     lags = ts.lag_rolling(daily, "sales").drop("sales")
     # Quotes and commodity prices share one lineitem x part pass.
     lp = materialize(cat.line_part_daily(spark, sf_dir), "line_part_daily")
@@ -60,7 +61,7 @@ def daily_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices = W.ffill(cal.select("date").join(ts.commodity_wide(spark, sf_dir, lp), "date", "left"),
                      ["price_aluminum", "price_copper", "price_crude_oil"], ["date"]).select(
         "date", "price_aluminum", "price_copper", "price_crude_oil")
-    yearly = ts.yearly_features(spark, sf_dir, cal)
+    yearly = ts.yearly_features(spark, sf_dir)
     hol = ts.holiday_flags(spark, sf_dir)
     d = (cal.join(F.broadcast(hol), "date", "left")
             .join(lags, "date", "left").join(stock, "date", "left").join(prices, "date", "left")
@@ -71,9 +72,9 @@ def daily_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.col(c).cast("double").alias(c) for c in FEATURES[5:]])
 
 
-def line_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line-grain target with its category and region labels."""
-    s = cat.sales(spark, sf_dir, with_region=True).select(
+def line_facts(spark: SparkSession, sf_dir: str, date_start=None, date_end=None) -> DataFrame:
+    """Line-grain target with its category and region labels, of the days given."""
+    s = cat.sales(spark, sf_dir, with_region=True, date_start=date_start, date_end=date_end).select(
         "date", "order_id", "product_id", "region_id", "quantity", "revenue")
     p = cat.products(spark, sf_dir).select(F.col("id").alias("product_id"), "category")
     r = cat.regions(spark, sf_dir).select(F.col("id").alias("region_id"), "region")

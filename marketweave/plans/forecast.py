@@ -101,6 +101,27 @@ def _fit_single(spark, sf_dir, days):
     return model, cols, scored, sigma, bounds["last"]
 
 
+def forecast_frame(spark: SparkSession, sf_dir: str, days: int = 90) -> DataFrame:
+    """M7 + M8: what the forecast is fitted on and predicted from: sales days
+    and the ``days`` after them, with trend and holiday regressors."""
+    _, cols, scored, _, last = _fit_single(spark, sf_dir, days)
+    return scored.select("ds", (F.col("ds") > F.lit(last)).cast("int").alias("is_future"), "trend",
+                         *[c for c in cols if c.startswith("hol_")]).orderBy("ds")
+
+
+def forecast_balance(spark: SparkSession, sf_dir: str, days: int = 90) -> DataFrame:
+    """M6 + M9 checked: sums over the sales days of residuals (0 at the least-
+    squares optimum) and of what the components leave of the prediction."""
+    model, cols, scored, _, last = _fit_single(spark, sf_dir, days)
+    parts = F.lit(model.intercept)
+    for c, w in zip(cols, model.coefficients.toArray().tolist(), strict=True):
+        parts = parts + F.lit(w) * F.col(c)
+    known = scored.filter(F.col("ds") <= F.lit(last))
+    return known.agg(F.count(F.lit(1)).alias("n_days"), F.round(F.sum("y"), 2).alias("total"),
+                     (F.round(F.sum(F.col("y") - F.col("prediction")) / F.sum("y"), 6) + 0.0).alias("residual"),
+                     (F.round(F.max(F.abs(parts - F.col("prediction"))) / F.max("y"), 6) + 0.0).alias("unexplained"))
+
+
 def forecast(spark: SparkSession, sf_dir: str, days: int = 90) -> DataFrame:
     """M6: ds, yhat, yhat_lower, yhat_upper for the ``days`` after the last sale."""
     model, cols, scored, sigma, last = _fit_single(spark, sf_dir, days)

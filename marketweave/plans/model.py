@@ -1,34 +1,38 @@
 """Sales regression (M2), hold-out evaluation (M3, A16), persistence (K3)
 and batch scoring of prediction requests (M5).
 
-The fit is Spark ML's ``LinearRegression`` (no regularisation, like ordinary
-least squares) behind a ``VectorAssembler``; the normal equations are built
-with a distributed tree aggregate, so training scales with the rows. With
-every one-hot level plus an intercept the design is collinear: coefficients
-are not unique, predictions are - compare predictions, never coefficients.
+Every feature is a function of (day, category, region), so the least-squares
+fit needs one row per such cell: the number of its lines as weight and their
+mean as label give the same normal equations as the lines themselves. The
+fact is aggregated once; only the day that holds the train / test cut is
+ranked line by line. The fit is Spark ML's ``LinearRegression`` (no
+regularisation) behind a ``VectorAssembler``. With every one-hot level plus an
+intercept the design is collinear: coefficients are not unique, predictions
+are - compare predictions, never coefficients.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+from datetime import date
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import calendar_columns
 from ..operators import windows as W
-from ..session import materialize, scratch_path
+from ..operators.rank import global_rank
+from ..session import materialize
 from . import features as fe
 from . import requests as rq
 
 ORDER = ["date", "order_id", "product_id", "sales"]
-WARNING = ("Prediction based on historical patterns. "
-           "Accuracy decreases further from the training range.")
-
-# One fit per (session, input folder) and process: the model is trained once
-# and served many times (K3), like the reference's saved model.
-_FITTED: dict[tuple, tuple] = {}
+CELL = ["date", "category", "region"]
+WARNING = "An extrapolation of past sales: the further from the training period, the less reliable."
 
 
 def model_columns(spark: SparkSession, sf_dir: str) -> list[str]:
@@ -36,83 +40,137 @@ def model_columns(spark: SparkSession, sf_dir: str) -> list[str]:
     return fe.FEATURES + fe.one_hot_columns(fe.region_levels(spark, sf_dir))
 
 
-def split_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M1 -> W7: feature rows with ``is_test`` (last 20 % in time order).
+@dataclass
+class Fitted:
+    """A trained model, its ordered inputs and the split it was trained on."""
+
+    model: PipelineModel
+    columns: list[str]
+    cells: DataFrame        # features of each (day, category, region) with lines
+    cut_day: date | None    # first day with test lines
+    cut_rows: DataFrame     # lines of that day with is_test
+
+    def test_lines(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Held-out lines (ORDER + category, region) with ``prediction``."""
+        known = self.cells.select(*[F.col(c).alias(f"_{c}") for c in CELL], *self.columns)
+        grid = self.model.transform(known.filter(F.col("_date") >= F.lit(self.cut_day)))
+        grid = grid.select(*[f"_{c}" for c in CELL], "prediction")
+        days = self.cells.select("date").distinct()
+        later = (_lines(spark, sf_dir, date_start=str(self.cut_day)).filter(F.col("date") > F.lit(self.cut_day))
+                 .join(F.broadcast(days), "date", "left_semi"))
+        rows = later.unionByName(self.cut_rows.filter("is_test = 1").drop("is_test"))
+        # days x categories x regions: bounded
+        return rows.join(F.broadcast(grid), [rows[c].eqNullSafe(grid[f"_{c}"]) for c in CELL]).drop(*[f"_{c}" for c in CELL])
 
-    The feature table is written once to the shared folder (the fit, the
-    evaluation and the predictions all read it) and split by day without a
-    full sort.
-    """
-    ft = materialize(fe.feature_table(spark, sf_dir), "feature_table")
-    return fe.ordered_split(ft, "date", ORDER)
 
+def _lines(spark: SparkSession, sf_dir: str, **days) -> DataFrame:
+    return fe.line_facts(spark, sf_dir, **days).select(
+        "date", "order_id", "product_id", F.col("revenue").alias("sales"), "category", "region")
 
-def build_pipeline(cols: list[str]) -> Pipeline:
+
+def build_pipeline(cols: list[str], weight: str | None = None) -> Pipeline:
     va = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="error")
     lr = LinearRegression(featuresCol="features", labelCol="label", predictionCol="prediction",
                           regParam=0.0, elasticNetParam=0.0, solver="normal", fitIntercept=True)
-    return Pipeline(stages=[va, lr])
-
+    return Pipeline(stages=[va, lr.setWeightCol(weight) if weight else lr])
 
-def _as_training(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.select(*ORDER, F.col("sales").cast("double").alias("label"),
-                     *[F.col(c).cast("double").alias(c) for c in cols], "is_test")
 
-
-def fit_sales_model(spark: SparkSession, sf_dir: str, save: bool = True):
-    """M2 + K3: fit on the training rows, save to the shared folder, return
-    (model, input columns, split rows)."""
+def fit_sales_model(spark: SparkSession, sf_dir: str, test_fraction: float = 0.2) -> Fitted:
+    """M2 + W7: fit on all but the last ``test_fraction`` of the lines in the
+    order of ORDER (lines of days with a missing feature take no part)."""
     cols = model_columns(spark, sf_dir)
-    data = _as_training(split_features(spark, sf_dir), cols)
-    model = build_pipeline(cols).fit(data.filter("is_test = 0"))
-    if save:
-        path = scratch_path(spark, "models/sales_ols")
-        model.write().overwrite().save(path)
-        model = PipelineModel.load(path)
-    _FITTED[_key(spark, sf_dir)] = (model, cols, data)
-    return model, cols, data
-
-
-def _key(spark, sf_dir):
-    return (spark.sparkContext.applicationId, sf_dir)
-
-
-def fitted(spark: SparkSession, sf_dir: str):
-    """(model, columns, split rows), fitted on first use in this application."""
-    if _key(spark, sf_dir) not in _FITTED:
-        fit_sales_model(spark, sf_dir)
-    return _FITTED[_key(spark, sf_dir)]
+    days = fe.daily_features(spark, sf_dir).na.drop(subset=fe.FEATURES)
+    cells = (_lines(spark, sf_dir).groupBy(*CELL).agg(F.count("sales").alias("n"), F.sum("sales").alias("total"))
+             .join(F.broadcast(days), "date"))
+    cells = materialize(fe.with_one_hots(cells, fe.region_levels(spark, sf_dir))
+                        .withColumns({c: F.col(c).cast("double") for c in cols}), "model_cells")
+    per_day = cells.groupBy("date").agg(F.sum("n").alias("n"))
+    n = per_day.agg(F.sum("n")).first()[0] or 0
+    n_train = n - math.ceil(round(test_fraction * n, 9))
+    upto = F.sum("n").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
+    cut = per_day.withColumn("upto", upto).filter(F.col("upto") > n_train).orderBy("date").limit(1).collect()
+    cut_day, before = (cut[0]["date"], n_train - (cut[0]["upto"] - cut[0]["n"])) if cut else (None, 0)
+    day = str(cut_day) if cut else "0001-01-01"
+    on_cut = global_rank(_lines(spark, sf_dir, date_start=day, date_end=day).filter("sales is not null"), ORDER[1:], "_r")
+    on_cut = materialize(on_cut.withColumn("is_test", (F.col("_r") > before).cast("int")).drop("_r"), "cut_day")
+    label = (F.col("total").cast("double") / F.col("n")).alias("label")
+    train = cells.filter(F.col("date") < F.lit(cut_day) if cut else F.lit(True)).select("n", label, *cols)
+    some = (on_cut.filter("is_test = 0").groupBy(*CELL).agg(F.count("sales").alias("n"), F.sum("sales").alias("total"))
+            .select(*[F.col(c).alias(f"_{c}") for c in CELL], F.col("n").alias("_n"), F.col("total").alias("_t")))
+    first = cells.join(F.broadcast(some), [cells[c].eqNullSafe(some[f"_{c}"]) for c in CELL]).select(
+        F.col("_n").alias("n"), (F.col("_t").cast("double") / F.col("_n")).alias("label"), *cols)
+    model = build_pipeline(cols, "n").fit(train.unionByName(first))
+    return Fitted(model, cols, cells, cut_day, on_cut)
+
+
+def save_model(fitted: Fitted, path: str) -> None:
+    """K3: the model and its ordered feature list, for any later application."""
+    fitted.model.write().overwrite().save(f"{path}/model")
+    spark = fitted.cells.sparkSession
+    spark.createDataFrame(list(enumerate(fitted.columns)), "position int, name string").coalesce(1).write.mode("overwrite").json(f"{path}/columns")
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, list[str]]:
+    """The model and feature list that ``save_model`` wrote."""
+    names = spark.read.schema("position int, name string").json(f"{path}/columns").orderBy("position").collect()
+    return PipelineModel.load(f"{path}/model"), [r["name"] for r in names]
+
+
+def split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W7 of the model: lines and sales on both sides of the cut (one row)."""
+    fitted = fit_sales_model(spark, sf_dir)
+    test = fitted.test_lines(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_test"), F.sum("sales").cast("decimal(38,4)").alias("sales_test"))
+    all_ = fitted.cells.agg(F.sum("n").alias("n"), F.sum("total").cast("decimal(38,4)").alias("s"))
+    return test.join(F.broadcast(all_)).select((F.col("n") - F.col("n_test")).alias("n_train"), "n_test",   # one row each
+                                               (F.col("s") - F.col("sales_test")).cast("decimal(38,4)").alias("sales_train"), "sales_test")
 
 
 def ols_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M2: predictions for the held-out rows."""
-    model, cols, data = fitted(spark, sf_dir)
-    pred = model.transform(data.filter("is_test = 1"))
-    return pred.select(*ORDER, F.round("prediction", 4).alias("prediction"))
+    rows = fit_sales_model(spark, sf_dir).test_lines(spark, sf_dir)
+    return rows.select(*ORDER, F.round("prediction", 4).alias("prediction"))
 
 
 def ols_mae(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3 + A16: mean absolute error on the last 20 % (one row)."""
-    model, cols, data = fitted(spark, sf_dir)
-    pred = model.transform(data)
-    return pred.groupBy().agg(
-        F.count_if(F.col("is_test") == 0).alias("n_train"),
-        F.count_if(F.col("is_test") == 1).alias("n_test"),
-        F.round(F.avg(F.when(F.col("is_test") == 1, F.abs(F.col("label") - F.col("prediction")))), 4)
-         .alias("mae"))
-
-
-def request_features(spark: SparkSession, sf_dir: str, cols: list[str]) -> DataFrame:
+    fitted = fit_sales_model(spark, sf_dir)
+    all_ = fitted.cells.agg(F.sum("n").alias("n"))
+    test = fitted.test_lines(spark, sf_dir).agg(
+        F.count(F.lit(1)).alias("n_test"), F.round(F.avg(F.abs(F.col("sales").cast("double") - F.col("prediction"))), 4).alias("mae"))
+    return test.join(F.broadcast(all_)).select((F.col("n") - F.col("n_test")).alias("n_train"), "n_test", "mae")   # one row each
+
+
+def ols_optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2 checked: for each input (and the intercept) the training residuals'
+    product with it, relative to the label's, rounded: all 0 at the optimum."""
+    fitted = fit_sales_model(spark, sf_dir)
+    cells = fitted.cells.filter(F.col("date") < F.lit(fitted.cut_day)) if fitted.cut_day else fitted.cells
+    cells = cells.select(*CELL, "n", "total", *fitted.columns)
+    some = fitted.cut_rows.filter("is_test = 0").groupBy(*CELL).agg(F.count("sales").alias("_n"), F.sum("sales").alias("_t"))
+    some = some.select(*[F.col(c).alias(f"_{c}") for c in CELL], "_n", "_t")
+    first = fitted.cells.join(F.broadcast(some), [fitted.cells[c].eqNullSafe(some[f"_{c}"]) for c in CELL]).select(
+        *CELL, F.col("_n").alias("n"), F.col("_t").alias("total"), *fitted.columns)
+    scored = fitted.model.transform(cells.unionByName(first)).withColumn("intercept", F.lit(1.0))
+    y, e = F.col("total").cast("double"), F.col("total").cast("double") - F.col("n") * F.col("prediction")
+    names = [*fitted.columns, "intercept"]
+    row = scored.agg(*[F.round(F.sum(e * F.col(c)) / F.greatest(F.sum(F.abs(y * F.col(c))), F.lit(1.0)), 4).alias(c) for c in names])
+    # -0.0 and 0.0 print alike
+    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("input"), (F.col(c) + 0.0).alias("slope")) for c in names])).alias("r")).select("r.*")
+
+
+def request_features(spark: SparkSession, sf_dir: str, cols: list[str], valid: DataFrame | None = None) -> DataFrame:
     """M5 feature rows for valid requests.
 
     Calendar features of the basis date; lag proxies from the context row
     (x0.95, x0.90, x1.0); the close routed by ticker; macro and commodity
     features *as of* the basis date (D9: the reference leaves them at 0) from
     the dense, forward-filled daily table (basis dates past its end take the
-    last day); one-hots from the stored category (D4) and the region.
+    last day); one-hots from the request's category and region, mapped to
+    the labels of the training rows.
     """
-    ctx = rq.context_fallback(spark, sf_dir)
-    req = rq.valid_requests(spark, sf_dir).select("request_id", "holiday", "ticker", "cat_stored", "region")
+    valid = valid if valid is not None else materialize(rq.valid_requests(spark, sf_dir), "requests")
+    ctx = rq.context_fallback(spark, sf_dir, valid)
+    req = valid.select("request_id", "holiday", "ticker", "cat_stored", F.col("region_stored").alias("region"))
     market = ["inflation_india", "interest_rate", "lithium_price_usd",
               "price_aluminum", "price_copper", "price_crude_oil"]
     # As-of values: last known value on or before each day (one row per day).
@@ -141,13 +199,20 @@ def request_features(spark: SparkSession, sf_dir: str, cols: list[str]) -> DataF
                     *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
 
 
+def score_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5 before the model: the feature row of each valid request."""
+    cols = model_columns(spark, sf_dir)
+    return request_features(spark, sf_dir, cols).select(
+        "request_id", "sample_size", "level_used", "basis_date", *cols)
+
+
 def score_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M5: one prediction per valid request, rounded to 2 decimals."""
-    model, cols, _ = fitted(spark, sf_dir)
-    feats = request_features(spark, sf_dir, cols)
-    pred = model.transform(feats)
+    fitted = fit_sales_model(spark, sf_dir)
+    valid = materialize(rq.valid_requests(spark, sf_dir), "requests")
+    pred = fitted.model.transform(request_features(spark, sf_dir, fitted.columns, valid))
     # The response echoes the (cleaned) request as its input context.
-    ctx = rq.valid_requests(spark, sf_dir).select(
+    ctx = valid.select(
         "request_id", *[F.col(c).alias(f"request_{c}") for c in
                         ("category", "region", "holiday", "ticker", "commodity", "year", "date")])
     pred = pred.join(ctx, "request_id")

@@ -30,9 +30,12 @@ MAX_DATE = "2025-03-31"
 VALID_YEARS = (2022, 2025)
 
 # API category -> stored product category (D4: the reference compares the
-# API value with stored values directly and never matches).
+# API value with stored values directly and never matches). Fixed values.
 API_CATEGORY = {"electronics": "end_product", "accessories": "component", "office": "end_product"}
 
+# API region -> sales region of the model's one-hot columns.
+API_REGION = {"north": "EUROPE", "east": "ASIA", "south": "AFRICA", "west": "AMERICA"}
+
 # Days after the last sale that a request's date may lie.
 REQUEST_DAYS = 90
 
@@ -109,7 +112,8 @@ def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def valid_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = validated_requests(spark, sf_dir).filter("is_valid = 1")
-    return v.withColumn("cat_stored", map_values(F.col("category"), API_CATEGORY, lower=True))
+    return (v.withColumn("cat_stored", map_values(F.col("category"), API_CATEGORY, lower=True))
+             .withColumn("region_stored", map_values(F.col("region"), API_REGION, lower=True)))
 
 
 # ---------------------------------------------------------------------------
@@ -161,18 +165,22 @@ def last_rows(spark: SparkSession, sf_dir: str, wanted: DataFrame) -> DataFrame:
     return per_cat.unionByName(per_day).join(wanted.distinct(), ["date", "cat_key"], "left_semi")
 
 
-def context_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+def context_fallback(spark: SparkSession, sf_dir: str, valid: DataFrame | None = None) -> DataFrame:
     """M4: per valid request: level used (1-4), sample size, latest context
-    date / revenue and the ticker close on that date (level 1 only)."""
-    req = valid_requests(spark, sf_dir).select(
+    date / revenue and the ticker close on that date (level 1 only).
+
+    ``valid``: the valid requests, where the caller has them written."""
+    valid = valid if valid is not None else materialize(valid_requests(spark, sf_dir), "requests")
+    req = valid.select(
         "request_id", "holiday", "ticker", "commodity", "cat_stored", "year", "req_date")
     req = req.withColumn("cat_key", F.coalesce("cat_stored", F.lit(ALL))).withColumn(
         "year_key", F.coalesce(F.col("year").cast("string"), F.lit(ALL)))
     # Bounded (days x categories x 4) and read by every level: write it once.
     dcx = materialize(day_category_summary(spark, sf_dir), "day_category")
 
-    # ---- level 1: (holiday, ticker, commodity, category, year) -----------
-    keys = req.select("holiday", "ticker", "commodity", "cat_key", "year_key").distinct()
+    # ---- level 1: (holiday, commodity, category, year); a ticker restricts
+    # no rows, so it is only looked up at the end ----------------------------
+    keys = req.select("holiday", "commodity", "cat_key", "year_key").distinct()
     hol = cat.sales_holidays(spark, sf_dir).select("name", "date")
     hpat = keys.select("holiday").where("holiday IS NOT NULL").distinct()
     # distinct patterns x a bounded holiday calendar: both sides small.
@@ -194,12 +202,12 @@ def context_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("month", F.trunc("date", "month"))
             .join(cmatch, ["commodity", "month"], "left")
             .withColumn("w", F.col("n") * F.coalesce("m_h", F.lit(1)) * F.coalesce("m_c", F.lit(1))))
-    l1 = (k1.groupBy("holiday", "ticker", "commodity", "cat_key", "year_key")
+    l1 = (k1.groupBy("holiday", "commodity", "cat_key", "year_key")
             .agg(F.sum("w").alias("n1"), F.max("date").alias("d1")))
+    # One row per distinct request key; read twice below.
+    l1 = materialize(l1, "level1")
     sp = cat.stock_prices(spark, sf_dir, lp).select(F.col("date").alias("d1"), "ticker",
-                                                 F.col("close").alias("close1"))
-    # One row per distinct request key (bounded); read twice below.
-    l1 = materialize(l1.join(sp, ["d1", "ticker"], "left"), "level1")
+                                                    F.col("close").alias("close1"))
 
     # ---- levels 2 / 3 / 4 ----------------------------------------------------
     lv = dcx.groupBy("cat_key", "year_key").agg(F.sum("n").alias("n"), F.max("date").alias("d"))
@@ -220,10 +228,11 @@ def context_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("revenue").alias("context_revenue"))
 
     # Absent arguments are NULL in both tables: match them null-safely.
-    kcols = ["holiday", "ticker", "commodity", "cat_key", "year_key"]
-    l1 = l1.select(*[F.col(c).alias(f"_k_{c}") for c in kcols], "n1", "d1", "close1")
+    kcols = ["holiday", "commodity", "cat_key", "year_key"]
+    l1 = l1.select(*[F.col(c).alias(f"_k_{c}") for c in kcols], "n1", "d1")
     cond = [req[c].eqNullSafe(l1[f"_k_{c}"]) for c in kcols]
     r = (req.join(l1, cond, "left").drop(*[f"_k_{c}" for c in kcols])
+            .join(F.broadcast(sp), ["d1", "ticker"], "left")   # days x tickers
             .join(l2, ["cat_key", "year_key"], "left")
             .join(l3, ["cat_key"], "left")
             .withColumn("_one", F.lit(1))

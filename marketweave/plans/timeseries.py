@@ -86,10 +86,11 @@ def ffill_stock_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.ffill(j, ["nvidia_close", "samsung_close"], ["date"]).orderBy("date")
 
 
-def sales_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G1: every day from the first to the last sales day."""
+def sales_calendar(spark: SparkSession, sf_dir: str, extra_days: int = 0) -> DataFrame:
+    """G1: every day from the first to ``extra_days`` after the last sales day."""
     bounds = read_table(spark, sf_dir, "orders", "o_orderdate").agg(
-        to_day(F.min("o_orderdate")).alias("start"), to_day(F.max("o_orderdate")).alias("end"))
+        to_day(F.min("o_orderdate")).alias("start"),
+        F.date_add(to_day(F.max("o_orderdate")), extra_days).alias("end"))
     return W.dense_days(bounds)
 
 
@@ -173,14 +174,12 @@ def linear_extrapolate(spark: SparkSession, sf_dir: str, fit_from: int | None =
     return hist.unionByName(ext).orderBy("year")
 
 
-def yearly_features(spark: SparkSession, sf_dir: str, calendar: DataFrame | None = None) -> DataFrame:
+def yearly_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(year, inflation_india, interest_rate, lithium_price_usd): every yearly
-    feature from one scan of orders, up to the horizon's year; the last sales
-    day comes from ``calendar`` when the caller has it."""
+    feature from one scan of orders, up to the horizon's year."""
     every = materialize(cat.annual_all(spark, sf_dir), "annual_all")
     series = lambda kind: every.select("year", F.col(kind).alias("value"))
-    mx = (calendar.agg(_horizon_year(F.max("date"))) if calendar is not None
-          else _max_sales_year(spark, sf_dir))
+    mx = _max_sales_year(spark, sf_dir)
     ext = annual_extend(spark, sf_dir, series("interest"), mx).select("year", F.col("interest_rate").cast("double"))
     lith = linear_extrapolate(spark, sf_dir, annual=series("lithium"), max_year=mx).select(
         "year", F.col("value").alias("lithium_price_usd"))

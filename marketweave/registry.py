@@ -66,11 +66,17 @@ QUERIES: dict[str, QueryFn] = {
     "commodity_analytics": lambda s, d: ep.commodity_analytics(s, d, "Copper"),
     "macro_analytics": ep.macro_analytics,
     "stock_analytics": lambda s, d: ep.stock_analytics(s, d, "nvda"),
-    # Model fits and forecasts: no SQL oracle (rows-only check); their
-    # numeric behaviour is covered by tests/ (synthetic recovery, shapes).
+    # Model fits and forecasts. Predictions have no SQL; their inputs, splits
+    # and optimality conditions have (split_sizes, score_features,
+    # ols_optimality, forecast_frame, forecast_balance).
     "ols_predict": ml.ols_predict,
     "ols_mae": ml.ols_mae,
+    "ols_optimality": ml.ols_optimality,
+    "split_sizes": ml.split_sizes,
+    "score_features": ml.score_features,
     "score_requests": ml.score_requests,
+    "forecast_frame": lambda s, d: fc.forecast_frame(s, d, 90),
+    "forecast_balance": lambda s, d: fc.forecast_balance(s, d, 90),
     "forecast_90d": lambda s, d: fc.forecast(s, d, 90),
     "forecast_components": lambda s, d: fc.forecast_components(s, d, 90),
     "forecast_by_region": lambda s, d: fc.forecast_by_region(s, d, 90),
