@@ -76,12 +76,6 @@ def tag_by_lists(c, cases: Iterable[tuple[Iterable[str], str]], otherwise: str)
     return expr.otherwise(otherwise) if expr is not None else F.lit(otherwise)
 
 
-def zero_if_null(c) -> Column:
-    """Missing (NULL or NaN) -> 0."""
-    c = col_(c)
-    return F.coalesce(F.nanvl(c.cast("double"), F.lit(None).cast("double")), F.lit(0.0))
-
-
 def contains_ci(c, pattern: str) -> Column:
     """Case-insensitive substring match (``LIKE '%p%'`` of SQLite)."""
     return col_(c).ilike(f"%{pattern}%")

@@ -531,6 +531,35 @@ SELECT ids.id, ids.name, ids.category, coalesce(per_name.n_lines, 0) AS n_lines
 FROM ids LEFT JOIN per_name USING (name)
 """)
 
+QUERIES["nation_orders"] = """
+WITH wanted AS (SELECT * FROM orders WHERE o_orderstatus = 'F' AND o_totalprice >= 1000),
+home AS (SELECT c_custkey, n_name FROM customer, nation WHERE c_nationkey = n_nationkey)
+SELECT n_name AS state, CAST(extract(year FROM o_orderdate) AS INTEGER) AS year, count(*) AS n_orders,
+       CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DECIMAL(38,4)) AS total
+FROM wanted, home WHERE o_custkey = c_custkey GROUP BY ALL
+"""
+
+q("sales_loaded", _RAW_UPDATED + """
+, names AS (
+  SELECT p_name AS name FROM lop WHERE l_linestatus = 'O' AND p_type IN ('ECONOMY', 'STANDARD', 'SMALL', 'MEDIUM', 'LARGE', 'PROMO')
+  UNION SELECT product FROM parsed WHERE date IS NOT NULL AND product IS NOT NULL
+)
+, numbered AS (SELECT name, row_number() OVER (ORDER BY name) AS id FROM names)
+, both_files AS (
+  SELECT CAST(o_orderdate AS DATE) AS date, p_name AS name, CAST(l_quantity AS DECIMAL(18,4)) AS quantity,
+         CAST(CAST(l_extendedprice AS DECIMAL(18,4)) * (1 - CAST(l_discount AS DECIMAL(18,4))) AS DECIMAL(18,4)) AS revenue,
+         CASE WHEN l_returnflag <> 'R' THEN CAST(CAST(l_extendedprice AS DECIMAL(18,4)) * CAST(l_tax AS DECIMAL(18,4)) AS DECIMAL(18,4)) END AS profit,
+         l_quantity AS q, NULL AS listed, 'ecommerce' AS source
+  FROM lop WHERE l_linestatus = 'O'
+  UNION ALL
+  SELECT date, product, quantity, revenue, NULL, NULL, unit_price, 'updated_sales' FROM parsed WHERE date IS NOT NULL
+)
+SELECT date, id AS product_id, quantity,
+       CASE source WHEN 'ecommerce' THEN CAST(revenue AS DOUBLE) / nullif(q, 0) ELSE CAST(listed AS DOUBLE) END AS unit_price,
+       revenue, profit, source
+FROM both_files LEFT JOIN numbered USING (name)
+""")
+
 q("commodity_tagging", """
 , tagged AS (
   SELECT *, CASE WHEN commodity_name IN ('Aluminum', 'Copper', 'Nickel', 'Tin', 'Silver', 'Gold', 'Platinum', 'Lithium')
@@ -563,10 +592,11 @@ UNION ALL SELECT 'customer.c_nationkey -> nation',
        (SELECT count(*) FROM customer WHERE c_nationkey IS NOT NULL AND c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey IS NOT NULL))
 UNION ALL SELECT 'sales not null (date, product_id, revenue)',
        (SELECT count(*) FROM sales WHERE date IS NULL OR product_id IS NULL OR revenue IS NULL)
-UNION ALL SELECT 'stock_prices unique (date, ticker)',
-       (SELECT count(*) FROM (SELECT date, ticker FROM stock_prices GROUP BY 1, 2 HAVING count(*) > 1))
-UNION ALL SELECT 'commodity_prices unique (date, commodity_name)',
-       (SELECT count(*) FROM (SELECT date, commodity_name FROM commodity_prices GROUP BY 1, 2 HAVING count(*) > 1))
+UNION ALL SELECT 'lineitem unique (order, line)',
+       (SELECT count(*) FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(*) > 1))
+UNION ALL SELECT 'part unique (name)', (SELECT count(*) FROM (SELECT p_name FROM part GROUP BY ALL HAVING count(*) > 1))
+UNION ALL SELECT 'events.user_id -> customer',
+       (SELECT count(*) FROM events WHERE user_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id))
 """)
 
 _REQUESTS = """

@@ -8,8 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import analytics as an
-
-VALID_TICKERS = ["NVDA", "SAMSUNG", "SONY"]   # fixed values of the reference API
+from .requests import VALID_TICKERS
 
 
 def _zero_nulls(df: DataFrame) -> DataFrame:

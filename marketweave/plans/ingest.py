@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_utc_day
-from ..functions.exprs import MONEY, map_values, safe_div, try_number
+from ..functions.exprs import MONEY, map_values, money, safe_div, try_number
 from ..operators.rank import global_rank
 from ..operators.reshape import first_per_key, union_by_name
 from ..sources import catalog as cat
@@ -26,8 +26,8 @@ HEADER = {"order_date": "Order Date", "product": "Product",
 # Date layouts seen in the raw files, tried in order.
 DATE_FORMATS = ["yyyy-MM-dd", "MM/dd/yyyy HH:mm", "yyyy-MM-dd HH:mm:ssXXX"]
 
-# Raw e-commerce category labels -> stored product category (reference map,
-# fixed values); anything else becomes the default.
+# Raw e-commerce and API category labels -> stored product category (fixed
+# values); anything else becomes the default, or no category in a request.
 CATEGORY_MAP = {"electronics": "end_product", "accessories": "component", "office": "end_product"}
 CATEGORY_DEFAULT = "end_product"
 
@@ -71,8 +71,11 @@ def raw_ecommerce_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = None
     for k, v in TYPE_LABEL.items():
         label = F.when(F.col("p_type") == k, v) if label is None else label.when(F.col("p_type") == k, v)
+    price = money("l_extendedprice")
     return j.select(F.to_date("o_orderdate").alias("order_date"), F.col("p_name").alias("product_name"),
-                    label.alias("category"), F.col("l_quantity").alias("quantity"))
+                    label.alias("category"), F.col("l_quantity").alias("quantity"),
+                    (price * (F.lit(1) - money("l_discount"))).cast(MONEY).alias("revenue"),
+                    F.when(F.col("l_returnflag") != "R", (price * money("l_tax")).cast(MONEY)).alias("profit"))
 
 
 def parse_updated_sales(raw: DataFrame) -> DataFrame:
@@ -99,16 +102,16 @@ def sales_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("updated_sales").alias("source"))
 
 
-def product_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """U1-U4 + C10-C12 + J2: unified product catalog with surrogate ids.
+def product_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U1-U4 + C10-C12: (id, name, category), one row per product name.
 
     E-commerce names carry a raw label mapped through the category map with
     a default; updated-sales names are all end products. The union keeps one
-    row per name, e-commerce first (then smallest category), ids are 1..n in
-    name order (distributed rank), and sales lines are mapped back to ids by
-    name to count them.
+    row per name, e-commerce first (then smallest category); ids are 1..n in
+    name order (distributed rank).
     """
-    ec = (raw_ecommerce_sales(spark, sf_dir).na.drop("any")          # C5
+    ec = (raw_ecommerce_sales(spark, sf_dir)
+          .select("order_date", "product_name", "category", "quantity").na.drop("any")          # C5
           .select(F.col("product_name").alias("name"), "category")
           .distinct()
           .select("name", map_values(F.trim("category"), CATEGORY_MAP, CATEGORY_DEFAULT, lower=True)
@@ -117,17 +120,35 @@ def product_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
           .select("name", F.lit("end_product").alias("category"), F.lit(1).alias("src")))
     allp = union_by_name(ec, us).na.drop(subset=["name"])
     first = first_per_key(allp, ["name"], ["src", "category"]).drop("src")
-    ids = global_rank(first, ["name"], "id")
-    # Name -> id lookup for the sales lines (pre-aggregated per name).
+    return global_rank(first, ["name"], "id").select("id", "name", "category")
+
+
+def product_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U1-U4 + C10-C12 + J2: unified product catalog with surrogate ids and
+    the number of sales lines of each name (pre-aggregated before the join)."""
     lines = read_table(spark, sf_dir, "lineitem", "l_partkey")
     names = read_table(spark, sf_dir, "part", "p_partkey", "p_name")
     per_name = (lines.join(names, lines.l_partkey == names.p_partkey)
                 .groupBy(F.col("p_name").alias("name")).agg(F.count(F.lit(1)).alias("n_lines")))
-    return (ids.join(per_name, "name", "left")
+    return (product_ids(spark, sf_dir).join(per_name, "name", "left")
                .select("id", "name", "category", F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
                .orderBy("id"))
 
 
+def sales_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unified fact: cleaned lines of both files with the product's id on
+    each, rows without a date dropped (U1, C6, C15, J2)."""
+    ec = (raw_ecommerce_sales(spark, sf_dir).na.drop(subset=["order_date"])
+          .select(F.col("order_date").alias("date"), F.col("product_name").alias("product"), money("quantity").alias("quantity"),
+                  safe_div(F.col("revenue").cast("double"), F.col("quantity")).alias("unit_price"), "revenue", "profit",
+                  F.lit("ecommerce").alias("source")))
+    us = sales_clean(spark, sf_dir).select("date", "product", "quantity", F.col("unit_price").cast("double").alias("unit_price"),
+                                           "revenue", "profit", "source")
+    ids = product_ids(spark, sf_dir).select(F.col("id").alias("product_id"), F.col("name").alias("product"))
+    return (union_by_name(ec, us).join(ids, "product", "left")
+            .select("date", "product_id", "quantity", "unit_price", "revenue", "profit", "source"))
+
+
 def commodity_tagging(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C13 + P5 + A8: rows, distinct commodities and date span per relevance tag."""
     cp = cat.commodity_prices(spark, sf_dir)
@@ -148,8 +169,3 @@ def null_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = wide.unpivot(["_rows"], cols, "column_name", "null_count")
     return long.select("column_name", "null_count", F.col("_rows").alias("total_rows"),
                        (F.col("_rows") - F.col("null_count")).alias("non_null_count")).orderBy("column_name")
-
-
-def unit_price_of(revenue, quantity):
-    """C15 helper used by loaders: revenue / quantity with 0 -> NULL."""
-    return safe_div(revenue, quantity)

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import calendar_columns
 from ..operators import windows as W
 from ..operators.rank import global_rank
+from ..operators.reshape import feature_vector_columns
 from ..session import materialize
 from . import features as fe
 from . import requests as rq
@@ -196,7 +197,7 @@ def request_features(spark: SparkSession, sf_dir: str, cols: list[str], valid: D
     r = r.withColumns(base).withColumnRenamed("cat_stored", "category")
     r = fe.with_one_hots(r, fe.region_levels(spark, sf_dir))
     return r.select("request_id", "sample_size", "level_used", "basis_date",
-                    *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
+                    *feature_vector_columns(cols))
 
 
 def score_features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,9 +35,10 @@ def orphan_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 "n_nationkey")),
         Q.not_null_check("sales not null (date, product_id, revenue)",
                          cat.sales(spark, sf_dir), ["date", "product_id", "revenue"]),
-        Q.count_check("stock_prices unique (date, ticker)",
-                      Q.duplicate_keys(cat.stock_prices(spark, sf_dir), ["date", "ticker"])),
-        Q.count_check("commodity_prices unique (date, commodity_name)",
-                      Q.duplicate_keys(cat.commodity_prices(spark, sf_dir), ["date", "commodity_name"])),
+        Q.count_check("lineitem unique (order, line)",
+                      Q.duplicate_keys(r("lineitem", "l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"])),
+        Q.count_check("part unique (name)", Q.duplicate_keys(r("part", "p_name"), ["p_name"])),
+        Q.count_check("events.user_id -> customer",
+                      Q.orphans(r("events", "user_id"), "user_id", r("customer", "c_custkey"), "c_custkey")),
     ]
     return reduce(DataFrame.unionByName, checks)

@@ -21,6 +21,7 @@ from ..operators.quality import error_list
 from ..session import materialize
 from ..sources import catalog as cat
 from ..sources.tables import read_table
+from .ingest import CATEGORY_MAP
 
 # Validation constants of the reference API (fixed values).
 VALID_CATEGORIES = ["Electronics", "Accessories", "Office"]
@@ -29,10 +30,6 @@ VALID_TICKERS = ["NVDA", "SAMSUNG", "SONY"]
 MAX_DATE = "2025-03-31"
 VALID_YEARS = (2022, 2025)
 
-# API category -> stored product category (D4: the reference compares the
-# API value with stored values directly and never matches). Fixed values.
-API_CATEGORY = {"electronics": "end_product", "accessories": "component", "office": "end_product"}
-
 # API region -> sales region of the model's one-hot columns.
 API_REGION = {"north": "EUROPE", "east": "ASIA", "south": "AFRICA", "west": "AMERICA"}
 
@@ -112,7 +109,7 @@ def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def valid_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = validated_requests(spark, sf_dir).filter("is_valid = 1")
-    return (v.withColumn("cat_stored", map_values(F.col("category"), API_CATEGORY, lower=True))
+    return (v.withColumn("cat_stored", map_values(F.col("category"), CATEGORY_MAP, lower=True))
              .withColumn("region_stored", map_values(F.col("region"), API_REGION, lower=True)))
 
 

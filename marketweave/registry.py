@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracle
+from .sources import tables as tb
 from .plans import analytics as an
 from .plans import smart_query as sq
 from .plans import timeseries as ts
@@ -53,6 +54,8 @@ QUERIES: dict[str, QueryFn] = {
     "null_to_zero_rounded": rp.null_to_zero_rounded,
     "sales_clean": ig.sales_clean,
     "null_profile": ig.null_profile,
+    "sales_loaded": ig.sales_loaded,
+    "nation_orders": tb.nation_orders,
     "product_catalog": ig.product_catalog,
     "commodity_tagging": ig.commodity_tagging,
     "duplicate_keys": qc.duplicate_line_keys,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -49,13 +50,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     The cluster names it in ``spark.checkpoint.dir`` (or has already set the
     context's checkpoint folder); only when neither is set (local tests) a
     fresh scratch folder is created. ``spark.checkpoint.dir`` is a core
-    setting, so it is read, never changed at runtime.
+    setting, so it is read, never changed at runtime. On a cluster a folder of
+    this machine would be another one on each executor, so there an unset
+    setting is an error.
     """
     sc = spark.sparkContext
     path = sc.getCheckpointDir()
     if path:
         return path
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marketweave-ckpt-")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="marketweave-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
 

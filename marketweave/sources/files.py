@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 
@@ -24,29 +25,27 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | None = None) -
     return r.schema(schema).csv(path) if schema is not None else r.csv(path)
 
 
-def _lines_after(spark: SparkSession, path: str, skip: int):
-    """Lines of one file after the first ``skip`` (zipWithIndex: distributed,
-    one counting pass over the partitions)."""
-    rdd = spark.sparkContext.textFile(path)
-    return rdd.zipWithIndex().filter(lambda x: x[1] >= skip).map(lambda x: x[0])
+def read_csv_named(spark: SparkSession, path: str, names: Sequence[str], is_data: Column | None = None) -> DataFrame:
+    """S3: no header, text columns named by position; ``is_data`` tells data
+    rows from lead rows by their content, so a folder of files, each with lead
+    rows of its own, reads alike. One distributed scan by Spark's CSV reader."""
+    df = spark.read.option("header", False).option("mode", "PERMISSIVE").schema(text_schema(names)).csv(path)
+    return df.filter(is_data) if is_data is not None else df
 
 
-def read_csv_after_preamble(spark: SparkSession, path: str, skip: int,
-                            schema: StructType | None = None) -> DataFrame:
-    """Skip ``skip`` preamble lines, the next line is the header."""
-    r = spark.read.option("header", True)
-    if schema is not None:
-        r = r.schema(schema)
-    return r.csv(_lines_after(spark, path, skip))
+def read_csv_after_preamble(spark: SparkSession, path: str, names: Sequence[str], is_data: Column | None = None) -> DataFrame:
+    """A CSV whose header row (``names``) follows preamble lines. Preamble
+    rows are shorter than the header; without ``is_data`` a row counts as data
+    if its second last named column is filled."""
+    rule = is_data if is_data is not None else F.col(f"`{names[-2]}`").isNotNull()
+    header = F.lit(True)
+    for n in names:
+        header = header & F.col(f"`{n}`").eqNullSafe(F.lit(n))
+    return read_csv_named(spark, path, names, rule & ~header)
 
 
-def read_csv_named(spark: SparkSession, path: str, names: Sequence[str], skip: int = 0) -> DataFrame:
-    """S3: skip ``skip`` lead lines, no header, columns named by position."""
-    lines = _lines_after(spark, path, skip) if skip else spark.sparkContext.textFile(path)
-    return spark.read.option("header", False).schema(text_schema(names)).csv(lines)
-
-
-def read_sheet_export(spark: SparkSession, path: str, names: Sequence[str], lead_rows: int,
+def read_sheet_export(spark: SparkSession, path: str, names: Sequence[str], is_data: Column,
                       drop: Sequence[str] = ()) -> DataFrame:
-    """A spreadsheet exported to CSV: drop lead rows, name columns, drop some."""
-    return read_csv_named(spark, path, names, lead_rows).drop(*drop)
+    """A spreadsheet exported to CSV: lead rows and footnotes dropped by
+    content, columns named, some dropped."""
+    return read_csv_named(spark, path, names, is_data).drop(*drop)

@@ -72,7 +72,7 @@ def test_d8_dates_compared_as_dates(spark):
 
 def test_d9_scoring_uses_market_values(spark):
     from marketweave.plans import model as ml
-    model, cols, _ = ml.fitted(spark, SF001)
+    cols = ml.model_columns(spark, SF001)
     f = ml.request_features(spark, SF001, cols)
     assert f.filter("inflation_india > 0 AND price_copper > 0").count() == f.count() > 0
 

@@ -96,3 +96,41 @@ def test_ordered_split_matches_full_rank(spark):
     full = {(r.day, r.k): r.is_test for r in fe.train_test_split(df, ["day", "k"]).collect()}
     assert by_day == full
     assert sum(by_day.values()) == math.ceil(0.2 * len(rows))
+
+
+def test_saved_model_scores_alike(spark, tmp_dir):
+    fitted = ml.fit_sales_model(spark, SF001)
+    ml.save_model(fitted, os.path.join(tmp_dir, "sales"))
+    model, columns = ml.load_model(spark, os.path.join(tmp_dir, "sales"))
+    assert columns == fitted.columns
+    some = fitted.cells.limit(20)
+    a = [r.prediction for r in fitted.model.transform(some).orderBy(*ml.CELL).collect()]
+    assert a == [r.prediction for r in model.transform(some).orderBy(*ml.CELL).collect()]
+
+
+def test_region_and_category_change_the_prediction(spark):
+    """Requests that differ in one label only get another estimate."""
+    fitted = ml.fit_sales_model(spark, SF001)
+    base = dict.fromkeys(fitted.columns, 1.0)
+    hots = [c for c in fitted.columns if c.startswith(("Category_", "Region_"))]
+    rows = [tuple(0.0 if c in hots and c not in on else base[c] for c in fitted.columns)
+            for on in (("Category_component", "Region_ASIA"), ("Category_component", "Region_EUROPE"), ("Category_end_product", "Region_ASIA"))]
+    got = [r.prediction for r in fitted.model.transform(spark.createDataFrame(rows, fitted.columns).coalesce(1)).collect()]
+    assert got[0] != got[1] and got[0] != got[2]
+    s = ml.score_features(spark, SF001)
+    regions = [c for c in s.columns if c.startswith("Region_")]
+    assert s.filter(" + ".join(regions) + " = 1").count() == s.count() > 0
+
+
+def test_weighted_cells_predict_like_lines(spark):
+    """The fit on cells equals the least-squares fit on the lines."""
+    import numpy as np
+    fitted = ml.fit_sales_model(spark, SF001)
+    f = fe.feature_table(spark, SF001).toPandas().sort_values(["date", "order_id", "product_id", "sales"])
+    n = len(f) - math.ceil(0.2 * len(f))
+    x = np.column_stack([f[fitted.columns].to_numpy(float), np.ones(len(f))])
+    scale = np.abs(x).max(axis=0) + 1e-12
+    beta, *_ = np.linalg.lstsq(x[:n] / scale, f["sales"].to_numpy(float)[:n], rcond=None)
+    want = sorted((x[n:] / scale) @ beta)
+    got = sorted(r.prediction for r in fitted.test_lines(spark, SF001).select("prediction").collect())
+    assert len(got) == len(want) and np.allclose(got, want, rtol=1e-3)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marketweave.sources import files as S
 from marketweave.sources import sinks as K
+from marketweave.sources import tables as T
 from marketweave.sources.tables import read_table, register_views
 from conftest import SF001
 
@@ -28,7 +29,7 @@ def test_read_csv_after_preamble(spark, tmp_dir):
     body = ('"Data Source","WDI",\n\n"Last Updated","2024",\n\n'
             '"Country Name","Country Code","1999","2000"\n"India","IND","4.7","4.0"\n"Chile","CHL","3.3",""\n')
     p = _write(os.path.join(tmp_dir, "w.csv"), body)
-    df = S.read_csv_after_preamble(spark, p, 4)
+    df = S.read_csv_after_preamble(spark, p, ["Country Name", "Country Code", "1999", "2000"])
     assert df.columns == ["Country Name", "Country Code", "1999", "2000"]
     rows = {r["Country Name"]: r for r in df.collect()}
     assert rows["India"]["2000"] == "4.0" and rows["Chile"]["2000"] is None
@@ -37,7 +38,7 @@ def test_read_csv_after_preamble(spark, tmp_dir):
 def test_read_csv_named_skips_lead_lines(spark, tmp_dir):
     body = "Price,Close,High\nTicker,SONY,SONY\nDate,,\n2020-01-02,10.5,11\n2020-01-03,abc,12\n"
     p = _write(os.path.join(tmp_dir, "sony.csv"), body)
-    df = S.read_csv_named(spark, p, ["date", "close", "high"], skip=3)
+    df = S.read_csv_named(spark, p, ["date", "close", "high"], F.expr("try_to_date(date) IS NOT NULL"))
     out = df.orderBy("date").collect()
     assert [r.date for r in out] == ["2020-01-02", "2020-01-03"]
     assert df.select(F.expr("try_cast(close AS double)").alias("c")).orderBy("c").collect()[0].c is None
@@ -46,7 +47,7 @@ def test_read_csv_named_skips_lead_lines(spark, tmp_dir):
 def test_read_sheet_export(spark, tmp_dir):
     lead = "title,,\nsub,,\n,,\nnote,,\nYear,A,B\n"
     p = _write(os.path.join(tmp_dir, "li.csv"), lead + "2019,1,2\n2020,3,4\nFootnote,,\n")
-    df = S.read_sheet_export(spark, p, ["year", "a", "drop_me"], 5, ["drop_me"])
+    df = S.read_sheet_export(spark, p, ["year", "a", "drop_me"], F.expr("try_cast(year AS int) IS NOT NULL"), ["drop_me"])
     assert df.columns == ["year", "a"]
     years = df.select(F.expr("try_cast(year AS int)").alias("y")).na.drop().collect()
     assert sorted(r.y for r in years) == [2019, 2020]
@@ -98,3 +99,19 @@ def test_smart_query_logged(spark, tmp_dir):
     assert log.rows_returned == n == spark.read.parquet(os.path.join(tmp_dir, "q")).count()
     assert log.tables_used == '["holidays", "products", "sales", "stock_prices"]'
     assert '"holiday": "Diwali"' in log.conditions
+
+
+def test_lead_rows_of_every_file_go(spark, tmp_dir):
+    for t in ("a", "b"):
+        _write(os.path.join(tmp_dir, f"{t}.csv"), f"Price,Close\nTicker,{t}\n2020-01-02,1\n2020-01-03,2\n")
+    df = S.read_csv_named(spark, tmp_dir, ["date", "close"], F.expr("try_to_date(date) IS NOT NULL"))
+    assert df.count() == 4
+
+
+def test_named_markers_and_declared_schemas(spark, tmp_dir):
+    import pytest
+    df = T.query(spark, SF001, "SELECT count(*) AS n FROM orders WHERE o_orderstatus = :status AND o_totalprice > :least", status="F", least=0.0)
+    assert df.first().n == read_table(spark, SF001, "orders").filter("o_orderstatus = 'F' AND o_totalprice > 0").count()
+    spark.createDataFrame([("x", "y")], "r_regionkey string, r_name string").write.parquet(os.path.join(tmp_dir, "region.parquet"))
+    with pytest.raises(ValueError, match="r_regionkey"):
+        read_table(spark, tmp_dir, "region")
