@@ -40,13 +40,13 @@ class Params:
     sample_chars: int = 4000
     window: int = 64
     stride: int = 48
-    grams: int = 8192
+    grams: int = 32_768
     word_dim: int = 8
     gram_dim: int = 8
     hidden: int = 12
     attention: int = 8
-    min_texts: int = 3
-    epochs: int = 6
+    min_texts: int = 5
+    epochs: int = 4
     batch: int = 64
     rate: float = 0.01
     seed: int = 3
@@ -203,8 +203,10 @@ class Model:
         return np.where(self.words[at] == h, at + 1, 0)
 
 
-def train(texts: list[str], toxic: list[int], p: Params = Params()) -> Model:
-    """Fits the network; the same texts in the same order give the same model."""
+def train(texts: list[str], toxic: list[int], share: float | None = None, p: Params = Params()) -> Model:
+    """Fits the network; the same texts in the same order give the same model.
+    ``share``: how often label 1 occurs outside a sample that holds it more
+    often; scores are then set back to that."""
     y = np.array(toxic, np.float64)
     column = pa.array(texts, pa.string())
     s = next(slices(column, max_bytes=1 << 40, table=_TABLE), None)
@@ -271,6 +273,8 @@ def train(texts: list[str], toxic: list[int], p: Params = Params()) -> Model:
                 v *= 0.999
                 v += 0.001 * g * g
                 net.w[k] -= p.rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
+    if share is not None and 0 < share < 1 and 0 < y.mean() < 1:
+        net.w["out_b"] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
     net.w = {k: v.astype(np.float32) for k, v in net.w.items()}
     return Model(net, h[often])
 
@@ -318,8 +322,8 @@ class _Scorer:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, p: Params = Params(), doc_id: str = "doc_id", text: str = "text",
-                    toxic: str = "toxic") -> tuple[list[str], list[int]]:
-    """At most ``p.sample`` texts of each label, chosen by a hash of the id
+                    toxic: str = "toxic") -> tuple[list[str], list[int], float | None]:
+    """(texts, labels, share of label 1 among all rows that may be learnt): at most ``p.sample`` texts of each label, chosen by a hash of the id
     among label rows where ``learn`` holds; twice as many ids are looked up,
     since long texts don't train. Null labels and ids don't count; an id with
     several labels has the highest."""
@@ -332,7 +336,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, p: Params
             .filter(F.length(text) <= p.sample_chars).dropDuplicates([doc_id]).toPandas())
     rows = rows.assign(h=[mix(np.array([int(i) & (2 ** 63 - 1)], np.uint64))[0] for i in rows[doc_id]]).sort_values(["h", doc_id])
     rows = rows.groupby("_y", group_keys=False)[list(rows.columns)].apply(lambda g: g.head(p.sample[0 if g["_y"].iat[0] else 1])).sort_values(["h", doc_id])
-    return list(rows[text]), [int(v) for v in rows["_y"]]
+    share = known.agg(F.avg((F.col("_y") == 1).cast("double"))).first()[0]
+    return list(rows[text]), [int(v) for v in rows["_y"]], share
 
 
 def score_texts(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -186,7 +186,7 @@ def test_toxicity_learns_words_and_stems(spark):
         return " ".join(ws)
 
     made = [(text(i % 2, r.randint(30, 150)), i % 2) for i in range(400)]
-    model = toxicity.train([t for t, _ in made[:300]], [y for _, y in made[:300]], toxicity.Params(epochs=4))
+    model = toxicity.train([t for t, _ in made[:300]], [y for _, y in made[:300]], p=toxicity.Params(epochs=4))
     long_ = text(0, 3000) + " nasty zzgrubqq nasty"
     d = spark.createDataFrame([(t,) for t, _ in made[300:]] + [(None,), ("",), (" .!",), (long_,)], "text string").coalesce(1)
     got = toxicity.score_texts(d, model).collect()
