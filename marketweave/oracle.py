@@ -415,10 +415,13 @@ FROM fences f JOIN vals USING (category)
 GROUP BY f.category, f.n, f.q1, f.med, f.q3, f.iqr, f.lf, f.uf
 """)
 
-q("category_outliers", _BOX + """
-SELECT vals.category, vals.date, vals.order_id, vals.product_id, vals.revenue
-FROM vals JOIN fences f USING (category)
-WHERE v < f.lf OR v > f.uf
+q("category_outliers", """
+, earned AS (SELECT p.category, s.date, s.order_id, s.product_id, s.profit, CAST(s.profit AS DOUBLE) AS v
+             FROM sales s JOIN products p ON s.product_id = p.id WHERE s.profit IS NOT NULL)
+, spread AS (SELECT category, quantile_cont(v, 0.25) AS low, quantile_cont(v, 0.75) AS high FROM earned GROUP BY category)
+SELECT category, date, order_id, product_id, profit
+FROM earned JOIN spread USING (category)
+WHERE v < low - 1.5 * (high - low) OR v > high + 1.5 * (high - low)
 """)
 
 q("latest_100", """
@@ -605,7 +608,8 @@ _REQUESTS = """
          CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'North' WHEN 'BUILDING' THEN 'East'
               WHEN 'FURNITURE' THEN 'South' WHEN 'MACHINERY' THEN 'West' ELSE 'Central' END AS region,
          CASE month(o_orderdate) WHEN 11 THEN 'Diwali' WHEN 1 THEN 'new year' WHEN 12 THEN 'Christmas' ELSE '' END AS holiday,
-         CASE o_orderstatus WHEN 'F' THEN 'nvda' WHEN 'O' THEN 'SAMSUNG' ELSE 'xyz' END AS ticker,
+         CASE WHEN o_orderstatus = 'F' THEN 'nvda' WHEN o_orderstatus = 'O' THEN 'SAMSUNG'
+              WHEN o_orderpriority = '5-LOW' THEN 'xyz' ELSE 'sony' END AS ticker,
          CASE o_orderstatus WHEN 'O' THEN 'copper' WHEN 'P' THEN 'oil' ELSE '' END AS commodity,
          CASE o_orderpriority WHEN '1-URGENT' THEN 'Electronics' WHEN '2-HIGH' THEN 'Accessories'
               WHEN '3-MEDIUM' THEN 'Office' WHEN '4-NOT SPECIFIED' THEN '' ELSE 'Toys' END AS category,

@@ -33,11 +33,12 @@ def region_month_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.orderBy("region")
 
 
-def category_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(category, order_id, product_id, date, v): line revenue by product category."""
-    s = cat.sales(spark, sf_dir).select("date", "order_id", "product_id", "revenue")
+def category_values(spark: SparkSession, sf_dir: str, measure: str = "revenue") -> DataFrame:
+    """(category, order_id, product_id, date, <measure>, v): lines by product
+    category, those without a value left out."""
+    s = cat.sales(spark, sf_dir).select("date", "order_id", "product_id", measure).na.drop(subset=[measure])
     p = cat.products(spark, sf_dir).select(F.col("id").alias("product_id"), "category")
-    return s.join(p, "product_id").withColumn("v", F.col("revenue").cast("double"))
+    return s.join(p, "product_id").withColumn("v", F.col(measure).cast("double"))
 
 
 def box_stats_raw(values: DataFrame, group: str = "category", value: str = "v",
@@ -99,17 +100,18 @@ def category_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "n_outliers").orderBy("category")
 
 
-def category_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A14 outlier rows: lines whose revenue lies outside their category's fences."""
+def category_outliers(spark: SparkSession, sf_dir: str, measure: str = "profit") -> DataFrame:
+    """A14 outlier rows: lines whose profit (a skewed measure) lies outside
+    their category's fences."""
     # Row identity rides along in the (written) rank table, so the fact is
     # joined once; fences are one row per category.
-    stats, ranked = box_stats_raw(category_values(spark, sf_dir),
-                                  keep=("date", "order_id", "product_id", "revenue"), with_ranked=True)
+    stats, ranked = box_stats_raw(category_values(spark, sf_dir, measure),
+                                  keep=("date", "order_id", "product_id", measure), with_ranked=True)
     fences = stats.select("category", "lower_fence", "upper_fence")
     j = ranked.join(F.broadcast(fences), "category")
     out = j.filter((F.col("v") < F.col("lower_fence")) | (F.col("v") > F.col("upper_fence")))
-    return out.select("category", "date", "order_id", "product_id", "revenue").orderBy(
-        "category", "revenue", "date", "order_id", "product_id")
+    return out.select("category", "date", "order_id", "product_id", measure).orderBy(
+        "category", measure, "date", "order_id", "product_id")
 
 
 # ---------------------------------------------------------------------------

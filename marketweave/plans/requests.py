@@ -52,7 +52,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = F.col("c_mktsegment")
     region = (F.when(seg == "AUTOMOBILE", "North").when(seg == "BUILDING", "East")
                .when(seg == "FURNITURE", "South").when(seg == "MACHINERY", "West").otherwise("Central"))
-    ticker = F.when(st == "F", "nvda").when(st == "O", "SAMSUNG").otherwise("xyz")
+    ticker = (F.when(st == "F", "nvda").when(st == "O", "SAMSUNG").when(pr == "5-LOW", "xyz").otherwise("sony"))
     holiday = (F.when(m == 11, "Diwali").when(m == 1, "new year").when(m == 12, "Christmas")
                 .otherwise(""))
     commodity = F.when(st == "O", "copper").when(st == "P", "oil").otherwise("")
