@@ -199,17 +199,20 @@ def exact_top_k(vectors: DataFrame, queries: Column, p: Params = Params(), vec_i
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def top(blocks: DataFrame) -> DataFrame:
-        scored = blocks.join(index, ["pivot", "ring", "chunk"]).select("q_ids", "q_xs", "q_least", "ids", "xs").mapInArrow(compare, "query_id long, vec_id long, score long")
+        # neither side has a bound: blocks hold a query once for each open ring
+        scored = blocks.join(index.hint("merge"), ["pivot", "ring", "chunk"]).select("q_ids", "q_xs", "q_least", "ids", "xs").mapInArrow(compare, "query_id long, vec_id long, score long")
         return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= p.k)
 
-    # equal places keep queries that lie together in the same blocks
+    # queries that lie together share blocks
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     asked = (keyed.withColumnRenamed("id", vec_id).filter(queries).withColumnRenamed(vec_id, "id").dropDuplicates(["id"])
              .select("id", "x", "norm2", "pivot", "d"))
-    asked = materialize(asked.repartitionByRange("pivot", "d", "id").sortWithinPartitions("pivot", "d"), "queries")
-    home = materialize(top(asked.select("id", "x", "norm2").mapInPandas(first, block)), "home")
+    asked = materialize(asked, "queries")
+    together = lambda d: d.repartitionByRange(n, "pivot", "d", "id")
+    home = materialize(top(together(asked).select("id", "x", "norm2").mapInPandas(first, block)), "home")
     kth = home.groupBy("query_id").agg(F.count("*").alias("found"), F.min("score").alias("kth"))
     none = np.iinfo(np.int64).min
-    left = (asked.join(kth, asked["id"] == kth["query_id"], "left")
+    left = (together(asked.join(kth, asked["id"] == kth["query_id"], "left"))
             .select("id", "x", "norm2", F.coalesce("found", F.lit(0)).alias("found"),
                     F.when(F.col("found") >= p.k, F.col("kth")).otherwise(F.lit(int(none))).alias("kth")))
     both = home.drop("rank").union(top(left.mapInPandas(rest, block)).drop("rank"))
