@@ -34,7 +34,9 @@ _TABLE[ord("A"):ord("Z") + 1] += 32
 class Params:
     """``sample``: at most so many texts of each label (toxic, other) of at
     most ``sample_chars`` characters train the network; ``stride`` < ``window``
-    is the distance of windows; ``cache``: words a worker remembers."""
+    is the distance of windows; a small sample is gone over more than
+    ``epochs`` times, for ``updates`` steps at least; ``cache``: words a worker
+    remembers."""
 
     sample: tuple[int, int] = (1200, 2400)
     sample_chars: int = 4000
@@ -47,6 +49,7 @@ class Params:
     attention: int = 8
     min_texts: int = 5
     epochs: int = 4
+    updates: int = 200
     batch: int = 64
     rate: float = 0.01
     seed: int = 3
@@ -179,13 +182,55 @@ class Network:
         return g, d_x
 
 
-def _log_odds(index: np.ndarray, text: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds of label 1 by feature over texts, and its number of texts."""
-    pair = np.unique(index.astype(np.int64) * len(y) + text)
-    feature, of = pair // len(y), pair % len(y)
-    ones, every = np.bincount(feature, y[of], n), np.bincount(feature, minlength=n)
+def _odds(ones: np.ndarray, every: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Smoothed log odds of label 1 from the numbers of texts that hold a feature."""
     odds = np.log((ones + 0.5) / (y.sum() + 1)) - np.log((every - ones + 0.5) / (len(y) - y.sum() + 1))
-    return np.clip(odds, -3, 3) * np.minimum(every / 3, 1), every
+    return np.clip(odds, -3, 3) * np.minimum(every / 3, 1)
+
+
+@dataclass
+class _Sample:
+    """Words of the training texts: ``code`` of each word, first words ``dw`` of
+    the texts, and by code its hash and n-grams (``grams[lo:hi]``)."""
+
+    code: np.ndarray
+    dw: np.ndarray
+    hashes: np.ndarray
+    grams: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str], p: Params) -> _Sample:
+        known: dict[int, int] = {}
+        codes, rows, grams, sizes = [], [], [], []
+        for s in slices(pa.array(texts, pa.string()), max_bytes=500_000, table=_TABLE):
+            h, first, inverse = np.unique(s.byte_ranges(s.ws, s.we), return_index=True, return_inverse=True)
+            keys = h.tolist()
+            new = [i for i, k in enumerate(keys) if k not in known]
+            if new:
+                g, of = _grams(s, s.ws[first[new]], s.we[first[new]], p.grams)
+                grams.append(g[np.argsort(of, kind="stable")])
+                sizes.append(np.bincount(of, minlength=len(new)))
+                known.update(zip([keys[i] for i in new], range(len(known), len(known) + len(new)), strict=True))
+            codes.append(np.array([known[k] for k in keys], np.int64)[inverse] if keys else np.zeros(0, np.int64))
+            rows.append(np.diff(s.dw))
+        flat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        hi = np.cumsum(flat(sizes))
+        return cls(flat(codes), np.concatenate([[0], np.cumsum(flat(rows))]), np.fromiter(known, np.uint64, len(known)),
+                   flat(grams), hi - flat(sizes), hi)
+
+    def counts(self, y: np.ndarray, p: Params) -> tuple[np.ndarray, ...]:
+        """Texts of label 1, and all texts, that hold each word and each n-gram."""
+        out = [np.zeros(n) for n in (len(self.hashes), len(self.hashes), p.grams, p.grams)]
+        for t in range(len(y)):
+            w = np.unique(self.code[self.dw[t]:self.dw[t + 1]])
+            n = self.hi[w] - self.lo[w]
+            g = np.unique(self.grams[np.arange(n.sum()) + np.repeat(self.lo[w] - (np.cumsum(n) - n), n)])
+            for k, at in ((0, w), (2, g)):
+                out[k][at] += y[t]
+                out[k + 1][at] += 1
+        return tuple(out)
 
 
 @dataclass
@@ -207,32 +252,21 @@ def train(texts: list[str], toxic: list[int], share: float | None = None, p: Par
     """Fits the network; the same texts in the same order give the same model.
     ``share``: how often label 1 occurs outside a sample that holds it more
     often; scores are then set back to that."""
-    y = np.array(toxic, np.float64)
-    column = pa.array(texts, pa.string())
-    s = next(slices(column, max_bytes=1 << 40, table=_TABLE), None)
-    if s is None or not len(s.ws):
+    y, s = np.array(toxic, np.float64), _Sample.of(texts, p)
+    if not len(s.code):
         return Model(Network(p, 1), np.zeros(0, np.uint64))
-    h, first, code = np.unique(s.byte_ranges(s.ws, s.we), return_index=True, return_inverse=True)
-    odds, seen = _log_odds(code, s.word_row, y, len(h))
+    code, lo, hi, grams = s.code, s.lo, s.hi, s.grams
+    ones, seen, gram_ones, gram_seen = s.counts(y, p)
     often = seen >= p.min_texts
-    row = np.zeros(len(h), np.int64)
+    row = np.zeros(len(s.hashes), np.int64)
     row[often] = np.arange(1, often.sum() + 1)
     net = Network(p, int(often.sum()) + 1)
-    net.w["word"][1:, 0] = odds[often]
+    net.w["word"][1:, 0] = _odds(ones, seen, y)[often]
     net.w["word"][0] = 0
-    grams, of = _grams(s, s.ws[first], s.we[first], p.grams)
-    # n-grams by text: each text's distinct words, then their n-grams
-    by_word = np.argsort(of, kind="stable")
-    grams, of = grams[by_word], of[by_word]
-    lo, hi = np.searchsorted(of, np.arange(len(h))), np.searchsorted(of, np.arange(len(h)), side="right")
-    pair = np.unique(s.word_row.astype(np.int64) * len(h) + code)
-    p_text, p_word = pair // len(h), pair % len(h)
-    n = hi[p_word] - lo[p_word]
-    at = np.arange(n.sum()) + np.repeat(lo[p_word] - (np.cumsum(n) - n), n)
-    net.w["gram"][:, 0] = _log_odds(grams[at], np.repeat(p_text, n), y, p.grams)[0]
+    net.w["gram"][:, 0] = _odds(gram_ones, gram_seen, y)
 
     texts_with = np.flatnonzero(np.diff(s.dw))
-    windows = [s.dw[r] + _starts(int(s.dw[r + 1] - s.dw[r]), p) for r in range(s.rows)]
+    windows = [s.dw[r] + _starts(int(s.dw[r + 1] - s.dw[r]), p) for r in range(len(y))]
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.w.items()}
     rng, step = np.random.default_rng(p.seed), 0
 
@@ -241,7 +275,7 @@ def train(texts: list[str], toxic: list[int], share: float | None = None, p: Par
         mask = (at < s.dw[text + 1][None, :]).astype(np.float64)
         return code[np.minimum(at, len(code) - 1)], mask
 
-    for _ in range(p.epochs):
+    for _ in range(max(p.epochs, -(-p.updates * p.batch // max(len(texts_with), 1)))):
         order = rng.permutation(texts_with)
         for b in range(0, len(order), p.batch):
             batch = order[b:b + p.batch]
@@ -276,7 +310,9 @@ def train(texts: list[str], toxic: list[int], share: float | None = None, p: Par
     if share is not None and 0 < share < 1 and 0 < y.mean() < 1:
         net.w["out_b"] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
     net.w = {k: v.astype(np.float32) for k, v in net.w.items()}
-    return Model(net, h[often])
+    order = np.argsort(s.hashes[often])
+    net.w["word"][1:] = net.w["word"][1:][order]
+    return Model(net, s.hashes[often][order])
 
 
 class _Scorer:
