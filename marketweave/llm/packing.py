@@ -1,7 +1,9 @@
 """Packing documents into sequences of a fixed number of tokens: best-two-fit.
 
-Tokens: texts are cut at ASCII white space, which no token spans, and each
-distinct word of a worker is encoded once. Only documents longer than a
+Tokens: texts are cut where the tokenizer's own rules always cut (at white
+space, around digits, between ASCII letters and ASCII marks), A-Z in lower
+case as the tokenizer reads them, and each distinct run of a worker is encoded
+once. Only documents longer than a
 sequence are cut. Pieces are dealt into groups of bounded size, each packed
 by itself: fill a sequence greedily with the longest piece that fits; then
 take out its smallest piece and put in the two unpacked ones that fit the
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialize
-from .textbytes import slices
+from .textbytes import IS_SPACE, LOWER, Slice, slices
 
 
 @dataclass(frozen=True)
@@ -37,9 +39,34 @@ class Params:
     group: int = 20_000
 
 
+# Byte classes: 0 white space, 1 letter, 2 digit, 3 mark, 4 the rest (bytes of
+# other scripts, the apostrophe of contractions, control characters)
+_CLASS = np.full(256, 4, np.uint8)
+_CLASS[[b for b in range(33, 127) if b != ord("'")]] = 3
+_CLASS[[b for b in range(128) if chr(b).isalpha()]] = 1
+_CLASS[[b for b in range(128) if chr(b).isdigit()]] = 2
+_CLASS[IS_SPACE] = 0
+#: Neighbours that never share a token: a digit and anything, a letter and a mark.
+_CUT = np.zeros((5, 5), bool)
+_CUT[2, 1:] = _CUT[1:, 2] = _CUT[1, 3] = _CUT[3, 1] = True
+
+
+def _runs(s: Slice) -> tuple[np.ndarray, np.ndarray]:
+    """Byte ranges of the runs of a slice."""
+    if not len(s.ws):
+        return s.ws, s.we
+    cls = _CLASS[s.data]
+    start = np.zeros(len(s.data), bool)
+    start[1:] = _CUT[cls[:-1], cls[1:]]
+    start[s.ws] = True
+    at = np.flatnonzero(start)
+    word_end = s.we[np.searchsorted(s.ws, at, side="right") - 1]
+    return at, np.minimum(np.append(at[1:], len(s.data)), word_end)
+
+
 class _Words:
-    """Token ids of words, encoded once each while they are remembered.
-    Word 0 is the end of a document."""
+    """Token ids of runs by hash, encoded once each while they are remembered.
+    Entry 0 is the end of a document."""
 
     def __init__(self, vocab: str, end_id: int, limit: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,33 +76,40 @@ class _Words:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known: dict[int, int] = {}
         self.ids = np.array([self.end_id], np.uint32)
         self.first, self.n = np.zeros(1, np.int64), np.ones(1, np.int64)
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, each ended, and the number of each."""
-        words = [t.split() for t in texts]
+    def _learn(self, keys: list[int], words: list[str]) -> None:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        n = np.array([len(x) for x in got], np.int64)
+        self.known.update(zip(keys, range(len(self.n), len(self.n) + len(keys)), strict=True))
+        flat = np.fromiter((i for x in got for i in x), np.uint32, int(n.sum()))
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(n) - n])
+        self.ids, self.n = np.concatenate([self.ids, flat]), np.concatenate([self.n, n])
+
+    def encode(self, s: Slice) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the slice's texts, each ended, and the number of each."""
         if len(self.known) > self.limit:
             self._clear()
-        new = list({w for ws in words for w in ws if w not in self.known})
+        # strings of special tokens only count as written
+        special = b"<|" in s.data.tobytes()
+        if not special:
+            s = Slice(LOWER[s.data], s.off, s.first)
+        a, b = (s.ws, s.we) if special else _runs(s)
+        h, first, inverse = np.unique(s.byte_ranges(a, b), return_index=True, return_inverse=True)
+        known, keys = self.known, h.tolist()
+        new = [i for i, k in enumerate(keys) if k not in known]
         if new:
-            got = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)]
-            n = np.array([len(x) for x in got], np.int64)
-            self.known.update(zip(new, range(len(self.n), len(self.n) + len(new)), strict=True))
-            flat = np.fromiter((i for x in got for i in x), np.uint32, int(n.sum()))
-            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(n) - n])
-            self.ids, self.n = np.concatenate([self.ids, flat]), np.concatenate([self.n, n])
-        code, known = [], self.known
-        for ws in words:
-            code.extend([known[w] for w in ws])
-            code.append(0)
-        code = np.array(code, np.int64)
+            raw, at = s.data.tobytes(), first[new]
+            self._learn([keys[i] for i in new], [raw[x:y].decode() for x, y in zip(a[at].tolist(), b[at].tolist(), strict=True)])
+        code = np.array([known[k] for k in keys], np.int64)[inverse] if keys else np.zeros(0, np.int64)
+        upto = np.searchsorted(a, s.off[1:])
+        code = np.insert(code, upto, 0)
         n = self.n[code]
         ends = np.cumsum(n)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[code] - (ends - n), n)
-        upto = np.cumsum([len(ws) + 1 for ws in words])
-        return self.ids[at], np.diff(np.concatenate([[0], ends[upto - 1]]))
+        at = np.arange(ends[-1]) + np.repeat(self.first[code] - (ends - n), n)
+        return self.ids[at], np.diff(np.concatenate([[0], ends[upto + np.arange(s.rows)]]))
 
 
 _words: dict[tuple, _Words] = {}
@@ -94,9 +128,8 @@ def tokenized_pieces(docs: DataFrame, vocab: str, p: Params = Params(), doc_id:
         words = _words.get(key) or _words.setdefault(key, _Words(*key))
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for s in slices(batch.column(1), max_bytes=500_000):
-                raw = s.data.tobytes()
-                ids, n = words.encode([raw[a:b] for a, b in zip(s.off[:-1], s.off[1:], strict=True)])
+            for s in slices(batch.column(1), max_bytes=1_000_000):
+                ids, n = words.encode(s)
                 parts = -(-n // p.length)
                 of = np.repeat(np.arange(s.rows), parts)
                 piece = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
