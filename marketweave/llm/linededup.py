@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialize, small
+
 
 @dataclass(frozen=True)
 class Params:
@@ -29,7 +31,7 @@ class Params:
 HIDDEN = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
 BREAK = r"(?i)</?(p|br|li|ul|ol|h[1-6]|div|nav|article|section|header|footer|table|tr|title|head|body|html)(\s[^>]*)?/?>"
 TAG = r"<[^>]*>"
-EDGE = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+SPACE = " \t\n\x0b\x0c\r"
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
@@ -45,7 +47,7 @@ def html_text(html: Column) -> Column:
 
 
 def trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, EDGE, "")
+    return F.btrim(line, F.lit(SPACE))
 
 
 def drop_site_lines(pages: DataFrame, site: str, text: str, p: Params = Params()) -> DataFrame:
@@ -60,28 +62,32 @@ def drop_site_lines(pages: DataFrame, site: str, text: str, p: Params = Params()
     """
     names = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in names if c != text]).alias("_row"), F.col(f"`{site}`").alias("_of"), F.col(f"`{text}`").alias("_text"))
-    lines = F.split(F.coalesce(F.col("_text"), F.lit("")), "\n", -1)
-    hashes = F.transform(F.filter(F.transform(lines, trimmed), lambda x: x != ""), lambda x: F.xxhash64(x))
-    keyed = rows.select(F.col("_of").alias("_site"), hashes.alias("_h"))
+    # a hash for each line, null for blank ones
+    rows = rows.withColumn("_lines", F.split(F.coalesce(F.col("_text"), F.lit("")), "\n", -1))
+    rows = rows.withColumn("_hash", F.transform(F.transform("_lines", trimmed), lambda x: F.when(x != "", F.xxhash64(x))))
+    keyed = rows.select(F.col("_of").alias("_site"), F.array_compact("_hash").alias("_h"))
     total = keyed.groupBy("_site").agg(F.count("*").alias("_pages"))
     held = (keyed.select("_site", F.explode(F.array_distinct("_h")).alias("_h"))
             .groupBy("_site", "_h").agg(F.count("*").alias("_n")))
-    often = (held.join(total.withColumnRenamed("_site", "_s"), F.col("_site").eqNullSafe(F.col("_s")))
+    often = materialize(
+            held.join(total.withColumnRenamed("_site", "_s"), F.col("_site").eqNullSafe(F.col("_s")))
              .filter((F.col("_pages") >= p.min_pages) & (100 * F.col("_n") > p.percent * F.col("_pages")))
-             .groupBy("_site").agg(F.collect_list("_h").alias("_drop")))
-    goes = lambda x: F.coalesce((trimmed(x) != "") & F.array_contains("_drop", F.xxhash64(trimmed(x))), F.lit(False))
+             .groupBy("_site").agg(F.collect_list("_h").alias("_drop")), "boilerplate")
+    often = small(often, F.size("_drop"))
     out = rows.join(often, F.col("_of").eqNullSafe(F.col("_site")), "left")
-    some = F.col("_drop").isNotNull()
-    out = out.withColumns({"n_lines": F.size(F.filter(lines, lambda x: trimmed(x) != "")).cast("long"),
-                           "_kept": F.when(some, F.filter(lines, lambda x: ~goes(x))),
-                           "n_dropped": F.when(some, F.size(F.filter(lines, goes))).otherwise(0).cast("long")})
-    body = F.when(F.col("n_dropped") > 0, F.array_join("_kept", "\n")).otherwise(F.col("_text"))
+    goes = F.transform("_hash", lambda h: F.coalesce(F.array_contains("_drop", h), F.lit(False)))
+    out = out.withColumn("_goes", F.when(F.col("_drop").isNotNull(), goes))
+    out = out.withColumns({"n_lines": F.size(F.array_compact("_hash")).cast("long"),
+                           "n_dropped": F.coalesce(F.size(F.filter("_goes", lambda g: g)), F.lit(0)).cast("long")})
+    kept = F.array_join(F.filter("_lines", lambda x, i: ~F.get("_goes", i)), "\n")
+    body = F.when(F.col("n_dropped") > 0, kept).otherwise(F.col("_text"))
     return out.select(*[body.alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in names], "n_lines", "n_dropped")
 
 
 def clean_pages(pages: DataFrame, p: Params = Params(), url: str = "url", html: str = "html") -> DataFrame:
-    """``pages`` with host, text (of the HTML, non-blank lines, trimmed, less
-    the host's boilerplate lines), n_lines, n_dropped."""
+    """``pages`` without the HTML, with host, text (of the HTML, non-blank
+    lines, trimmed, less the host's boilerplate lines), n_lines, n_dropped.
+    The text is taken from the HTML once and written, since it is read twice."""
     body = F.array_join(F.filter(F.transform(F.split(html_text(F.col(html)), "\n", -1), trimmed), lambda x: x != ""), "\n")
-    named = pages.drop("host", "text").withColumns({"host": host_of(F.col(url)), "text": body})
-    return drop_site_lines(named, "host", "text", p)
+    named = pages.drop("host", "text").withColumns({"host": host_of(F.col(url)), "text": body}).drop(html)
+    return drop_site_lines(materialize(named, "pages"), "host", "text", p)
