@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from .shared import materialize, small
 from .textbytes import Slice, cover, slices
 
 _SYMBOL = np.zeros(256, bool)
@@ -163,7 +164,8 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), text: str = "text", l
     narrow = docs.select(*[F.col(f"`{c}`").alias(v) for c, v in named.items()], *[F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] * bool(rest))
     measured = measure(narrow, "text", rules.window)
     measured = store(measured) if store else measured
-    limits = fences(sketch(measured, ["lang", "source"], rules), rules).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    limits = materialize(fences(sketch(measured, ["lang", "source"], rules), rules), "fences")
+    limits = small(limits.withColumnsRenamed({"lang": "_lang", "source": "_source"}))
     failed = ((F.col("n_words") < rules.min_words)
               | (100 * F.col("n_repeat_words") > rules.max_repeat_pct * F.col("n_words")))
     beyond = F.lit(False)
