@@ -32,7 +32,7 @@ class Params:
     block: int = 512
     shard: int = 4096
     seed: int = 17
-    per_bucket: int = 20_000
+    per_bucket: int = 4_000
 
 
 _ROUNDS = 24
