@@ -92,8 +92,9 @@ def _shares(sizes, weights=(5, 2, 1), most=3):
         capped |= more
 
 
-def test_mixing_meets_targets_and_repeats_itself(spark, docs):
-    p = mixing.Params(block=16, shard=8)
+@pytest.mark.parametrize("per_bucket", [4000, 7])
+def test_mixing_meets_targets_and_repeats_itself(spark, docs, per_bucket):
+    p = mixing.Params(block=16, shard=8, per_bucket=per_bucket)
     a = mixing.mix_counts(docs, p).toPandas()
     assert sorted(map(str, a.values.tolist())) == sorted(map(str, mixing.mix_counts(docs.repartition(7), p).toPandas().values.tolist()))
     texts = Counter((r.doc_id, len(words(r.text))) for r in docs.collect())
@@ -126,7 +127,7 @@ def test_permutation_is_one(spark):
 
 
 def test_mixed_documents_hold_what_the_counts_say(spark, docs, empty):
-    p = mixing.Params(block=16, shard=8)
+    p = mixing.Params(block=16, shard=8, per_bucket=9)
     d = clashing(spark, docs.dropDuplicates(["doc_id"]))
     out = mixing.mix_documents(d, p)
     assert out.columns == d.columns
