@@ -237,6 +237,20 @@ def test_account_numbers_and_context(spark):
     assert got == {1: ["iban"], 2: [], 3: ["national_id"], 4: []}
 
 
+def test_account_numbers_end_where_they_pass(spark):
+    """Words after a number that look like more of it; other groupings; two in a row."""
+    de, gb, no = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"
+    after = ["", " ", " Bank of X", " Please", " 2024", " IS MINE", " A", " 1", " NOW 12 AB34 CD", ".", "\n2024", " é", "  7"]
+    cases = [(f"{b}{n}{a}", [n]) for n in (de, gb, no) for b in ("", "to ", "AB12 ", "Konto: ", "é😀 ") for a in after]
+    cases += [(f"{a} {b}", [a, b]) for a in (de, gb, no) for b in (de, gb, no)]
+    cases += [(n, [n]) for n in ("DE89 370 400 440 532 013 000", "DE89 3 7 0 4 0 0 4 4 0 5 3 2 0 1 3 0 0 0", "MT84 MALT 0110 0001 2345 MTLC AST0 01S")]
+    cases += [(x, []) for x in (f"{de}x", f"x{de}", f"{de}0", "DE88370400440532013000 Bank", "DE89  370400440532013000", "AB12 " * 400)]
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    for r in pii.find_personal_data(d).collect():
+        text, want = cases[r.doc_id]
+        assert [text[s.start:s.end] for s in r.spans if s.kind == "iban"] == want, text
+
+
 # 4 near duplicates
 
 
