@@ -34,14 +34,23 @@ def read_csv_named(spark: SparkSession, path: str, names: Sequence[str], is_data
 
 
 def read_csv_after_preamble(spark: SparkSession, path: str, names: Sequence[str], is_data: Column | None = None) -> DataFrame:
-    """A CSV whose header row (``names``) follows preamble lines. Preamble
-    rows are shorter than the header; without ``is_data`` a row counts as data
-    if its second last named column is filled."""
-    rule = is_data if is_data is not None else F.col(f"`{names[-2]}`").isNotNull()
+    """A CSV whose header row (``names``) follows preamble lines. Rows that
+    ``is_data`` tells; without it, the rows after the header row of their file,
+    whatever their cells hold (all rows of a file without that header)."""
     header = F.lit(True)
     for n in names:
         header = header & F.col(f"`{n}`").eqNullSafe(F.lit(n))
-    return read_csv_named(spark, path, names, rule & ~header)
+    if is_data is not None:
+        return read_csv_named(spark, path, names, is_data & ~header)
+    # a row's place: ids grow along a block, blocks along a file
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    placed = read_csv_named(spark, path, names).select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"), header.alias("_header"),
+                                                       F.col("_metadata.file_path").alias("_file"), place.alias("_place"))
+    # one row a file, and the driver lists the files
+    first = placed.filter("_header").groupBy(F.col("_file").alias("_of")).agg(F.min("_place").alias("_first"))
+    rows = placed.join(F.broadcast(first), F.col("_file") == F.col("_of"), "left")
+    rows = rows.filter(~F.col("_header") & (F.col("_first").isNull() | (F.col("_place") > F.col("_first"))))
+    return rows.select(*[F.col("_row").getField(n).alias(n) for n in names])
 
 
 def read_sheet_export(spark: SparkSession, path: str, names: Sequence[str], is_data: Column,

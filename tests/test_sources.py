@@ -35,6 +35,26 @@ def test_read_csv_after_preamble(spark, tmp_dir):
     assert rows["India"]["2000"] == "4.0" and rows["Chile"]["2000"] is None
 
 
+def test_rows_after_the_header_stay_whatever_is_blank(spark, tmp_dir):
+    names = ["Country Name", "Country Code", *map(str, range(1999, 2004))]
+    lead = '"Data Source","WDI",\n\n"Last Updated","2024",\n\n' + ",".join(f'"{n}"' for n in names) + ",\n"
+    want = {}
+    for f in ("a", "b"):
+        rows = [(f"{f}{i}", f"C{i}", *("" if i % 5 == k or i % 7 == 0 else str(i + k) for k in range(5))) for i in range(3000)]
+        want |= {r[0]: tuple(x or None for x in r) for r in rows}
+        _write(os.path.join(tmp_dir, f"{f}.csv"), lead + "".join(",".join(r) + ",\n" for r in rows))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for n in ("4k", size):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", n)
+            df = S.read_csv_after_preamble(spark, tmp_dir, names)
+            got = [tuple(r) for r in df.collect()]
+            assert df.columns == names and len(got) == len(want) and {r[0]: r for r in got} == want
+            assert df.select("2003").filter("`2003` is null").count() == sum(r[-1] is None for r in want.values())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 def test_read_csv_named_skips_lead_lines(spark, tmp_dir):
     body = "Price,Close,High\nTicker,SONY,SONY\nDate,,\n2020-01-02,10.5,11\n2020-01-03,abc,12\n"
     p = _write(os.path.join(tmp_dir, "sony.csv"), body)
