@@ -10,12 +10,12 @@ said in its operator.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketweave.llm import linededup, mixing, neardup, packing, quality
 from marketweave.llm.queries import word_vocabulary
 from marketweave.llm.shared import materialize, read
+from marketweave.operators.rank import global_rank
 
 #: No SQL: tokens and packing. tests/llm holds the stages to brute force.
 ORACLE_SQL = None
@@ -47,16 +47,21 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays (five-word shingles, 0.8):
-    the smallest doc_id, one row of it. Rows without a doc_id stay."""
-    found = materialize(neardup.near_duplicates(docs).select("doc_id", "kept"), "near")
-    left = docs.join(found.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    twice = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    """One text of each near-duplicate group stays (five-word shingles, 0.8):
+    that of the smallest doc_id, one row of it. Different texts under one
+    doc_id count as documents of their own. Rows without a doc_id stay."""
+    twice = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
     if twice.isEmpty():
-        return left
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"]))
-    one = left.join(twice, "doc_id", "left_semi").withColumn("_n", first).filter("_n = 1").select(*docs.columns)
-    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).union(one)
+        found = materialize(neardup.near_duplicates(docs).select("doc_id", "kept"), "near")
+        return docs.join(found.filter("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    # a number for each (doc_id, text), in the order of doc_id
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text", F.xxhash64("text").alias("_hash"))
+    keys = global_rank(rows.filter("doc_id is not null").select("doc_id", "_hash").distinct(), ["doc_id", "_hash"], "_key")
+    rows = materialize(rows.join(materialize(keys, "keys"), ["doc_id", "_hash"], "left").select("_row", "text", "_key"), "keyed")
+    found = materialize(neardup.near_duplicates(rows.select(F.col("_key").alias("doc_id"), "text")).select("doc_id", "kept"), "near")
+    own = found.filter("kept and doc_id is not null").select(F.col("doc_id").alias("_key")).distinct()
+    one = rows.join(own, "_key", "left_semi").groupBy("_key").agg(F.min("_row").alias("_row")).select("_row")
+    return one.union(rows.filter("_key is null").select("_row")).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

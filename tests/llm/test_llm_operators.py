@@ -293,6 +293,15 @@ def test_near_duplicates_match_all_pairs(spark, p):
     assert got == _brute_components(rows, p.shingle, p.percent)
 
 
+def test_texts_under_one_id_are_linked(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(3, a), (5, a), (5, b), (7, b), (9, c), (9, c), (9, ""), (8, c), (11, d), (12, None), (12, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(frame).collect())
+    of = {3: 3, 5: 3, 7: 3, 8: 8, 9: 8, 11: 11, 12: 12}
+    assert got == sorted((i, of[i], of[i] == i) for i, _ in rows)
+
+
 def test_near_duplicates_odd_rows(spark, docs, empty):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = sorted(tuple(x) for x in neardup.near_duplicates(docs).collect())

@@ -127,3 +127,14 @@ def test_library_works_without_these_folders(tmp_dir):
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); print(len(q), 'pipeline' in q, set(e.oracle_sql()) <= set(q))"],
                           cwd=tmp_dir, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": tmp_dir})
     assert said.stdout.split()[1:] == ["False", "True"], said.stderr
+
+
+def test_a_unique_text_outlives_copies_under_its_id(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    near = c + " more"
+    rows = [(3, a, "en", "a", 1), (5, a, "en", "a", 1), (5, b, "en", "a", 1), (5, b, "en", "b", 1), (9, c, "en", "a", 1), (9, near, "en", "a", 1),
+            (9, d, "en", "a", 1), (8, d, "en", None, 1), (None, a, "en", "a", 1), (4, None, "en", "a", 1), (4, "", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("_row", F.lit("own"))
+    out = P.near_dedup_stage(spark, docs, "")
+    got = Counter((r.doc_id, "c" if r.text in (c, near) else r.text) for r in out.collect())
+    assert out.columns == docs.columns and got == {(3, a): 1, (5, b): 1, (9, "c"): 1, (8, d): 1, (None, a): 1, (4, None): 1, (4, ""): 1}
