@@ -61,6 +61,7 @@ BUILD: dict[str, tuple[Callable, list[str]]] = {
     "commodity_prices": (lambda s, d: cat.commodity_prices(s, d), []),
     "annual_inflation": (lambda s, d: cat.annual_series(s, d, "inflation"), []),
     "annual_interest": (lambda s, d: cat.annual_series(s, d, "interest"), []),
+    "annual_lithium": (lambda s, d: cat.annual_series(s, d, "lithium"), []),
 }
 
 

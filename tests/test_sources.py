@@ -111,6 +111,16 @@ def test_build_catalog_counts(spark, tmp_dir):
     assert "year" in back.columns and back.count() == counts["sales"]
 
 
+def test_catalog_holds_every_yearly_series(spark, tmp_dir, monkeypatch):
+    from marketweave.sources import catalog as C
+    monkeypatch.setattr(K, "BUILD", {k: v for k, v in K.BUILD.items() if k.startswith("annual_")})
+    counts = K.build_catalog(spark, SF001, tmp_dir)
+    for kind in C.annual_all(spark, SF001).columns[1:]:
+        want = sorted(map(tuple, C.annual_series(spark, SF001, kind).collect()))
+        assert sorted(map(tuple, spark.read.parquet(os.path.join(tmp_dir, f"annual_{kind}")).collect())) == want
+        assert counts[f"annual_{kind}"] == len(want) > 0
+
+
 def test_smart_query_logged(spark, tmp_dir):
     from marketweave.plans.smart_query import smart_query_logged
     n = smart_query_logged(spark, SF001, os.path.join(tmp_dir, "q"), os.path.join(tmp_dir, "log"),
