@@ -43,3 +43,58 @@ WITH v AS (
 )
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+ORACLE_SQL["op11_merkle_manifest"] = r"""
+WITH RECURSIVE steps AS (
+  SELECT list(list_reduce(list_prepend(b, range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))) ORDER BY b) AS t FROM range(256) r(b)
+), d AS (
+  SELECT row_number() OVER () AS k, doc_id, source, text,
+         list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: unicode(c)::BIGINT)),
+                     lambda x, b: xor(x >> 8, t[xor(x & 255, b) + 1])) % 2 = 1 AS cut,
+         list_reduce(list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR],
+                                    lambda f: coalesce(strlen(f)::VARCHAR || ':' || f, '-')), lambda a, b: a || b) AS head
+  FROM documents, steps
+), leaves AS (
+  SELECT k, doc_id, source, sha256(head || coalesce(strlen(text)::VARCHAR || ':' || text, '-')) AS leaf,
+         CASE WHEN cut THEN sha256(head || coalesce(strlen(replace(text, chr(10), ''))::VARCHAR || ':' || replace(text, chr(10), ''), '-')) END AS changed
+  FROM d
+), placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, count(*) OVER (PARTITION BY source) AS n,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i
+  FROM leaves
+), nodes(g, level, i, n, h) AS (
+  SELECT g, 0, i, n, leaf FROM placed
+  UNION ALL
+  SELECT g, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY g, level, i // 3, n
+), ends AS (
+  SELECT g, level, h FROM nodes WHERE n = 1
+), tops(level, i, n, h) AS (
+  SELECT 0, g, (SELECT count(*) FROM ends), h FROM ends
+  UNION ALL
+  SELECT level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY level, i // 3, n
+), own AS (
+  SELECT p.k, s.level AS step, s.i < p.i // power(3, s.level)::BIGINT AS low, s.i, s.h
+  FROM placed p JOIN nodes s ON s.g = p.g AND s.n > 1 AND s.i // 3 = p.i // power(3, s.level + 1)::BIGINT AND s.i <> p.i // power(3, s.level)::BIGINT
+  UNION ALL
+  SELECT p.k, e.level + s.level, s.i < p.g // power(3, s.level)::BIGINT, s.i, s.h
+  FROM placed p JOIN ends e ON e.g = p.g JOIN tops s ON s.n > 1 AND s.i // 3 = p.g // power(3, s.level + 1)::BIGINT AND s.i <> p.g // power(3, s.level)::BIGINT
+), levels AS (
+  SELECT p.k, unnest(range(e.level + (SELECT max(level) FROM tops))) AS step FROM placed p JOIN ends e ON e.g = p.g
+), path AS (
+  SELECT l.k, l.step, coalesce(string_agg(o.h, '' ORDER BY o.i) FILTER (WHERE o.low), '') AS a,
+         coalesce(string_agg(o.h, '' ORDER BY o.i) FILTER (WHERE NOT o.low), '') AS b
+  FROM levels l LEFT JOIN own o ON o.k = l.k AND o.step = l.step GROUP BY l.k, l.step
+), proof AS (
+  SELECT k, string_agg(a || b, '' ORDER BY step) AS p FROM path GROUP BY k
+), folds(k, step, h) AS (
+  SELECT k, 0, coalesce(changed, leaf) FROM placed
+  UNION ALL
+  SELECT f.k, f.step + 1, sha256(p.a || f.h || p.b) FROM folds f JOIN path p ON p.k = f.k AND p.step = f.step
+), folded AS (
+  SELECT k, arg_max(h, step) AS h FROM folds GROUP BY k
+), root AS (
+  SELECT h FROM tops WHERE n = 1
+)
+SELECT p.doc_id, p.leaf, e.h AS subroot, r.h AS root, sha256(coalesce(f.p, '')) AS proof_sha256, x.h AS folded_root, x.h = r.h AS verified
+FROM placed p JOIN ends e ON e.g = p.g CROSS JOIN root r LEFT JOIN proof f ON f.k = p.k JOIN folded x ON x.k = p.k
+"""

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, knn, linededup, mixing, neardup, packing, pii, quality, substring, toxicity
+from . import chat, knn, linededup, merkle, mixing, neardup, packing, pii, quality, substring, toxicity
 from .oracle import ORACLE_SQL
-from .shared import materialize, read
+from .shared import materialize, read, small
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +77,19 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chat(rows.union(more)))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    leaf = lambda text: merkle.digest(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], text)
+    cut = (F.crc32(F.col("doc_id").cast("string")) % 2 == 0) & F.contains("text", F.lit("\n"))
+    leaves = docs.select("doc_id", "source", leaf(F.col("text")).alias("leaf"), F.when(cut, leaf(F.replace("text", F.lit("\n"), F.lit("")))).alias("changed"))
+    m = merkle.build(leaves)
+    proofs = merkle.prove(m, m.leaves).join(small(m.groups.select("sid", "subroot")), "sid")
+    root, claimed = F.lit(m.root).cast("string"), F.coalesce("kept.changed", "leaf")
+    out = proofs.select("kept.doc_id", "leaf", "subroot", root.alias("root"), F.sha2(F.array_join("proof.others", ""), 256).alias("proof_sha256"),
+                        merkle.fold(claimed, F.col("proof")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_toxicity": op2_toxicity,
@@ -88,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
