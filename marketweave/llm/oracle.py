@@ -98,3 +98,45 @@ WITH RECURSIVE steps AS (
 SELECT p.doc_id, p.leaf, e.h AS subroot, r.h AS root, sha256(coalesce(f.p, '')) AS proof_sha256, x.h AS folded_root, x.h = r.h AS verified
 FROM placed p JOIN ends e ON e.g = p.g CROSS JOIN root r LEFT JOIN proof f ON f.k = p.k JOIN folded x ON x.k = p.k
 """
+
+ORACLE_SQL["op12_spelling_variants"] = r"""
+WITH RECURSIVE steps AS (
+  SELECT list(list_reduce(list_prepend(b, range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))) ORDER BY b) AS t FROM range(256) r(b)
+), runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') || ':' AS head, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents
+), hashed AS (
+  SELECT run, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(head || run, ''),
+                  lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195, unicode(c)::BIGINT - 64] END))),
+              lambda x, b: xor(x >> 8, t[xor(x & 255, b) + 1]))) AS h
+  FROM runs, steps WHERE length(run) >= 7
+), words AS (
+  SELECT word, count(*) AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2
+), places AS (
+  SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words
+), cut AS (
+  SELECT word, n, i, left(word, i - 1) AS a, substr(word, i + 1) AS b FROM places
+), near AS (
+  SELECT c.word, v.word AS near FROM cut c JOIN words v ON v.word = c.a || c.b
+  UNION
+  SELECT v.word, c.word FROM cut c JOIN words v ON v.word = c.a || c.b
+  UNION
+  SELECT c.word, d.word FROM cut c JOIN cut d ON c.i = d.i AND c.a = d.a AND c.b = d.b AND c.word <> d.word
+), best AS (
+  SELECT x.word, count(*) AS n_near, first(x.near ORDER BY v.n DESC, x.near) AS near, max(v.n) AS near_n
+  FROM near x JOIN words v ON v.word = x.near GROUP BY x.word
+), forms AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= 10 * w.n THEN b.near END AS form,
+         CASE WHEN b.near_n >= 10 * w.n THEN b.near_n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word
+), follow(word, root, step) AS (
+  SELECT word, word, 0 FROM forms
+  UNION ALL
+  SELECT f.word, g.form, step + 1 FROM follow f JOIN forms g ON g.word = f.root WHERE g.form IS NOT NULL
+), roots AS (
+  SELECT word, arg_max(root, step) AS root FROM follow GROUP BY word
+)
+SELECT f.word, f.form, r.root, f.n::BIGINT AS n, f.n_near::BIGINT AS n_near, f.form_n::BIGINT AS form_n FROM forms f JOIN roots r ON r.word = f.word
+"""
