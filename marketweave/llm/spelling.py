@@ -42,7 +42,7 @@ class Params:
     rate: int = 31
     symbols: tuple[int, ...] = (4, 6, 8, 12, 16, 24, 32, 64, 128)
     crowding: float = 1.25
-    map_bits: int = 27
+    map_bits: int = 26
 
 
 #: crc32 of a byte: the polynomial 0xEDB88320 over its eight bits.
@@ -212,12 +212,24 @@ def alphabet(words: DataFrame, p: Params = Params()) -> int:
 
 
 def _bit_map(reduced: DataFrame, bits: int) -> np.ndarray:
-    """A bit for the upper ``bits`` bits of each hash: 2**bits bits, however many there are."""
-    place = F.shiftrightunsigned("h", 64 - bits)
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(32)).cast("int"))
-    held = reduced.groupBy(F.shiftright(place, 5).alias("w")).agg(F.bit_or(one).alias("b")).toPandas()
-    out = np.zeros(1 << (bits - 5), np.uint32)
-    out[held["w"].to_numpy(np.int64)] = held["b"].to_numpy(np.int64).astype(np.uint32)
+    """A bit for the upper ``bits`` bits of each hash: 2**bits bits, however
+    many hashes there are, made in blocks by the tasks."""
+    block = min(bits, 16)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            place = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+            for b in np.unique(place >> np.uint64(block)):
+                at = (place[place >> np.uint64(block) == b] & np.uint64((1 << block) - 1)).astype(np.int64)
+                held.setdefault(int(b), np.zeros(1 << block, bool))[at] = True
+        for b, on in held.items():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int64()), "bits": pa.array([np.packbits(on).tobytes()], pa.binary())})
+
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    made = reduced.select("h").repartition(F.shiftrightunsigned("h", 64 - bits + block)).mapInArrow(run, "block long, bits binary")
+    for r in made.collect():
+        out[r["block"] << (block - 3):(r["block"] + 1) << (block - 3)] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
@@ -236,7 +248,7 @@ def _sent(words: DataFrame, reduced: DataFrame, q: int, turn: int, turns: int, p
                 for row, h in r.neighbours(q):
                     place = (h >> np.uint64(64 - p.map_bits)).astype(np.int64)
                     near = h.view(np.int64)
-                    hit = (held.value[place >> 5] >> (place & 31).astype(np.uint32)) & np.uint32(1) == 1
+                    hit = (held.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & np.uint8(1) == 1
                     hit &= near <= own[row]
                     if turns > 1:
                         hit &= np.mod(near, turns) == turn
