@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, knn, linededup, merkle, mixing, neardup, packing, pii, quality, spelling, substring, toxicity
+from . import chat, knn, linededup, merkle, mixing, neardup, ngramjoin, packing, pii, quality, spelling, substring, toxicity
 from .oracle import ORACLE_SQL
 from .shared import materialize, read, small
 
@@ -94,6 +94,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.jaccard_components(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_toxicity": op2_toxicity,
@@ -107,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_formatting": op10_chat_formatting,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_ngram_jaccard_join": op13_ngram_jaccard_join,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

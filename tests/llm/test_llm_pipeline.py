@@ -113,7 +113,7 @@ def test_null_ids_and_repeated_rows(spark):
 def test_entry_lists_every_operator_once():
     import __spark_entry__ as E
     names = [k.split("_")[0] for k in E.queries() if k.startswith("op")]
-    assert sorted(names) == sorted(f"op{i}" for i in range(1, 11)) and len(QUERIES) == 10
+    assert sorted(names) == sorted(f"op{i}" for i in range(1, 14)) and len(QUERIES) == 13
     assert "pipeline" in E.queries() and 4 <= len(P.STAGES) <= 5
 
 
