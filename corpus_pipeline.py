@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from marketweave.llm import linededup, mixing, neardup, packing, quality
 from marketweave.llm.queries import word_vocabulary
-from marketweave.llm.shared import materialize, read
+from marketweave.llm.shared import materialize, read, small
 from marketweave.operators.rank import global_rank
 
 #: No SQL: tokens and packing. tests/llm holds the stages to brute force.
@@ -53,7 +53,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     twice = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
     if twice.isEmpty():
         found = materialize(neardup.near_duplicates(docs).select("doc_id", "kept"), "near")
-        return docs.join(found.filter("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+        return docs.join(small(materialize(found.filter("not kept").select("doc_id"), "copies")), "doc_id", "left_anti").select(*docs.columns)
     # a number for each (doc_id, text), in the order of doc_id
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text", F.xxhash64("text").alias("_hash"))
     keys = global_rank(rows.filter("doc_id is not null").select("doc_id", "_hash").distinct(), ["doc_id", "_hash"], "_key")

@@ -20,7 +20,7 @@ bucket first; in the others only what that left unconnected meets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -70,6 +70,22 @@ def prefixes(docs: DataFrame, p: Params, doc_id: str = "doc_id", text: str = "te
             .mapInArrow(run, "doc_id long, n long, fa long, fb long, prefix binary"))
 
 
+def _short(prefix: bytes) -> bytes:
+    """The upper 4 bytes of each shingle, in big-endian order."""
+    return np.frombuffer(prefix, np.uint8).reshape(-1, 6)[:, :1:-1].tobytes()
+
+
+def _shortened(nodes: DataFrame) -> DataFrame:
+    """(id, fa, prefix) with 4 bytes a shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [_short(x.as_buffer()) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary())], names=["id", "fa", "prefix"])
+
+    return nodes.select("id", "fa", "prefix").mapInArrow(run, "id long, fa long, prefix binary")
+
+
 def _postings(nodes: DataFrame) -> DataFrame:
     """(token, id, fa, n, place) of each shingle of each node's prefix."""
 
@@ -150,26 +166,43 @@ def _matched(prefix: list[np.ndarray], g: pd.DataFrame, x: np.ndarray, y: np.nda
 
 
 def _bounded(prefix: list[np.ndarray], n: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs whose sets may share enough: up to the lesser end of two prefixes
+    """Pairs whose sets may share enough: below the lesser end of two prefixes
     all that is shared is known; of the rest at most the smaller one is."""
     full = np.iinfo(np.int64).max
     end = np.array([u[-1] if len(u) < k else full for u, k in zip(prefix, n, strict=True)], np.uint64)
-    upto = lambda a, b: np.stack([np.searchsorted(prefix[i], end[b], side="right") for i in a])
-    rest = np.minimum(n[x][:, None] - upto(x, y), (n[y][:, None] - upto(y, x)).T)
+    below = lambda a, b: np.stack([np.searchsorted(prefix[i], end[b]) for i in a])
+    rest = np.minimum(n[x][:, None] - below(x, y), (n[y][:, None] - below(y, x)).T)
     return (100 + percent) * (neardup.intersections(prefix, x, y) + rest) >= percent * (n[x][:, None] + n[y][None, :])
 
 
-def _candidates(p: Params) -> Compare:
-    """Marks members (key, id, fa, n, level, prefix, keys) with a candidate. A
-    pair counts in the first of the buckets that hold both (``keys``) alone."""
+def _first_met(g: pd.DataFrame, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Pairs for which this is the first of the buckets (``keys``) that hold both."""
+    return neardup.intersections([k[k < key] for k, key in zip(g["keys"], g["key"], strict=True)], x, y) == 0
+
+
+def _fitting(p: Params) -> Compare:
+    """Marks members (key, id, fa, n, keys) with another of fitting size that they meet here first."""
 
     def what(g: pd.DataFrame, x: np.ndarray, y: np.ndarray, pairs: np.ndarray) -> pd.DataFrame:
-        prefix = neardup.unpacked(g["prefix"])
+        n = g["n"].to_numpy()
+        ok = pairs & neardup.sized(n[x], n[y], p.percent)
+        return marked(g, x, y, ok & _first_met(g, x, y) if ok.any() else ok)
+
+    return what
+
+
+def _candidates(p: Params, several: bool) -> Compare:
+    """Marks members (key, id, fa, n, level, prefix, and for ``several``
+    buckets keys) with a candidate. Shingles of prefixes have 4 bytes here: a
+    false agreement can only make one candidate more."""
+
+    def what(g: pd.DataFrame, x: np.ndarray, y: np.ndarray, pairs: np.ndarray) -> pd.DataFrame:
+        prefix = [np.frombuffer(b, ">u4").astype(np.uint64) for b in g["prefix"]]
         ok = _matched(prefix, g, x, y, pairs, p)
         if ok.any():
             ok &= _bounded(prefix, g["n"].to_numpy(), x, y, p.percent)
-        if ok.any():
-            ok &= neardup.intersections([k[k < key] for k, key in zip(g["keys"], g["key"], strict=True)], x, y) == 0
+        if ok.any() and several:
+            ok &= _first_met(g, x, y)
         return marked(g, x, y, ok)
 
     return what
@@ -200,26 +233,35 @@ def jaccard_components(docs: DataFrame, p: Params = Params(), doc_id: str = "doc
     sharing a doc_id are one document, linked through any of its texts.
     Columns other than the two named ones are not read. No rows give no rows.
     """
+    values, edge, both = F.col("n"), "a long, b long", ["key", "id", "fa"]
     rows = materialize(prefixes(docs, p, doc_id, text), "prefixes")
-    nodes = materialize(rows.filter("n > 0 and doc_id is not null").groupBy("fa", "fb")
-                        .agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "nodes")
-    postings = _postings(nodes)
+    sets = (rows.filter("n > 0 and doc_id is not null").groupBy("fa", "fb")
+            .agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    nodes = materialize(sets, "nodes")
+    # of an id's only set the fingerprint needn't travel
+    several = materialize(nodes.groupBy("id").count().filter("count > 1").select(F.col("id").alias("_i")), "several")
+    told = nodes.join(several, F.col("id") == F.col("_i"), "left").withColumn("fa", F.when(F.col("_i").isNull(), 0).otherwise(F.col("fa")))
+    postings = _postings(told)
     df = postings.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     hits = materialize(_lookups(postings.join(df, "token"), p), "lookups")
     asked = hits.groupBy("key").agg(F.bool_or("own").alias("own")).filter("own").select("key")
     hits = materialize(once(hits.drop("own").join(asked, "key")), "hits")
-    sets = neardup.sets_of(docs, hits.select("id").distinct(), neardup.Params(shingle=p.shingle), doc_id, text)
-    sets = materialize(sets.join(hits.select("id", "fa").distinct(), ["id", "fa"], "left_semi"), "sets")
-    values, verified, edge = F.col("n"), _verified(p), "a long, b long"
+    prefix = materialize(_shortened(told)
+                         .join(hits.select("id", "fa").distinct(), ["id", "fa"], "left_semi"), "short")
+
+    def verified(member: DataFrame, meet: Callable[..., DataFrame]) -> DataFrame:
+        full = neardup.sets_of(docs, member.select("id").distinct(), neardup.Params(shingle=p.shingle), doc_id, text)
+        full = full.join(several, F.col("id") == F.col("_i"), "left").withColumn("fa", F.when(F.col("_i").isNull(), 0).otherwise(F.col("fa"))).drop("_i")
+        return materialize(meet(member, materialize(full, "sets"), p.block, _verified(p), edge, values).distinct(), "links")
 
-    first = hits.groupBy("id", "fa").agg(F.max_by("key", F.struct("size", "key")).alias("key"))
-    start = inside(hits.join(first, ["key", "id", "fa"]), sets, p.block, verified, edge, values)
-    links = materialize(start.distinct(), "links")
+    first = hits.join(hits.groupBy("id", "fa").agg(F.max_by("key", F.struct("size", "key")).alias("key")), both)
+    likely = materialize(inside(first, prefix, p.block, _candidates(p, False), neardup.MEMBER, values).distinct(), "likely")
+    links = verified(first.join(likely, both), inside)
     left = materialize(unconnected(neardup.contracted(hits, links), p.block, values, all_parts=True), "unconnected")
     if not left.isEmpty():
-        keys = left.groupBy("id", "fa").agg(F.collect_list("key").alias("keys"))
-        load = nodes.select("id", "fa", "prefix").join(keys, ["id", "fa"])
-        likely = materialize(across(left, load, p.block, _candidates(p), neardup.MEMBER, values).distinct(), "likely")
-        member = once(left.join(likely, ["key", "id", "fa"]))
-        links = links.union(materialize(across(member, sets, p.block, verified, edge, values).distinct(), "links"))
+        keys = lambda rows: rows.groupBy("id", "fa").agg(F.collect_list("key").alias("keys"))
+        met = materialize(across(left, keys(left), p.block, _fitting(p), neardup.MEMBER, values).distinct(), "met")
+        left = left.join(met, both)
+        likely = materialize(across(left, prefix.join(keys(met), ["id", "fa"]), p.block, _candidates(p, True), neardup.MEMBER, values).distinct(), "likely")
+        links = links.union(verified(once(left.join(likely, both)), across))
     return neardup.with_components(rows, nodes, links)

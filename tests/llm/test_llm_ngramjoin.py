@@ -98,6 +98,9 @@ def test_similar_sets_meet_at_the_smaller_level():
         assert looks[0][low] & looks[1][low]
         ends = [u[:len(u) - ngramjoin._need(len(u), p.percent) + p.levels[-1]] for u in (a, b)]
         one = np.array([0])
+        short = [np.frombuffer(ngramjoin._short(u.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()), ">u4").astype(np.uint64) for u in ends]
+        assert all((x == u >> np.uint64(16)).all() for x, u in zip(short, ends, strict=True))
+        assert ngramjoin._bounded(short, np.array([len(a), len(b)]), one, one + 1, p.percent).all()
         assert ngramjoin._bounded(ends, np.array([len(a), len(b)]), one, one + 1, p.percent).all()
         met, levels = met + 1, levels + (low > 1)
     assert met > 100 and levels > 30
