@@ -1,8 +1,8 @@
 """Removal of boilerplate lines by their frequency within a site.
 
 For each site the share of its pages that hold a line is the number of pages
-with the line over the site's page total; lines above a percentage are boilerplate
-and go from that site's pages only. Everything is DataFrame functions: pages
+with the line over the site's page total; lines above a percentage (and on a few
+pages at least) are boilerplate and go from that site's pages only. Everything is DataFrame functions: pages
 are never taken apart and put together again. Only (site, line hash) counts
 are shuffled, pre-aggregated; since a page adds one to each of its lines, a
 site has at most (its mean number of lines a page * 100 / percent) boilerplate lines,
@@ -21,10 +21,11 @@ from .shared import materialize, small
 
 @dataclass(frozen=True)
 class Params:
-    """Sites under ``min_pages`` pages tell nothing and keep all lines."""
+    """Boilerplate is held by over ``percent`` of a site's pages, and by
+    ``min_holding`` pages at least: on a site of any size, a line of one or two pages stays."""
 
     percent: int = 10
-    min_pages: int = 10
+    min_holding: int = 3
 
 
 #: Markup that isn't text; tags that end a line; any other tag.
@@ -71,7 +72,7 @@ def drop_site_lines(pages: DataFrame, site: str, text: str, p: Params = Params()
             .groupBy("_site", "_h").agg(F.count("*").alias("_n")))
     often = materialize(
             held.join(total.withColumnRenamed("_site", "_s"), F.col("_site").eqNullSafe(F.col("_s")))
-             .filter((F.col("_pages") >= p.min_pages) & (100 * F.col("_n") > p.percent * F.col("_pages")))
+             .filter((F.col("_n") >= p.min_holding) & (100 * F.col("_n") > p.percent * F.col("_pages")))
              .groupBy("_site").agg(F.collect_list("_h").alias("_drop")), "boilerplate")
     often = small(often, F.size("_drop"))
     out = rows.join(often, F.col("_of").eqNullSafe(F.col("_site")), "left")

@@ -18,8 +18,8 @@ WITH shown AS (
   SELECT host, count(*) AS n FROM plain GROUP BY host
 ), often AS (
   SELECT l.host, l.line FROM lines l JOIN total t ON l.host IS NOT DISTINCT FROM t.host
-  WHERE l.line <> '' AND t.n >= 10
-  GROUP BY l.host, l.line, t.n HAVING 100 * count(DISTINCT l.k) > 10 * t.n
+  WHERE l.line <> ''
+  GROUP BY l.host, l.line, t.n HAVING count(DISTINCT l.k) >= 3 AND 100 * count(DISTINCT l.k) > 10 * t.n
 ), marked AS (
   SELECT l.*, EXISTS (SELECT 1 FROM often o WHERE o.host IS NOT DISTINCT FROM l.host AND o.line = l.line) AS goes
   FROM lines l WHERE l.line <> ''
