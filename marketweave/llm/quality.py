@@ -5,9 +5,9 @@ Cut-offs are not fixed: for each (language, source) a mergeable quantile
 sketch of each ratio is kept (counts by logarithmic bucket, a relative-error
 sketch whose merge is addition, so the order and split of rows don't matter),
 its quartiles give an upper fence, and documents beyond a fence are rejected
-by joining the fences back. Groups with too few rows use their language's
-sketch, and no group may be looser than its language's fence: a source that
-is mostly junk can't lift its own limits.
+by joining the fences back. A group's fence lies between its language's and its
+own: the more rows the group has, the nearer its own. No group may be looser
+than its language: a source that is mostly junk can't lift its own limits.
 """
 
 from __future__ import annotations
@@ -36,14 +36,15 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 @dataclass(frozen=True)
 class Rules:
     """``slack`` is the least fence above 0 of each ratio; ``reach`` the number
-    of interquartile ranges above the upper quartile."""
+    of interquartile ranges above the upper quartile; the language's fence
+    counts as ``prior`` rows of each (language, source)."""
 
     min_words: int = 20
     max_repeat_pct: int = 30
     window: int = 8
     reach: float = 3.0
     relative_error: float = 0.02
-    min_group: int = 100
+    prior: int = 100
     slack: tuple[tuple[str, float], ...] = (("symbol_ratio", 0.06), ("dup_line_ratio", 0.4),
                                             ("repeat_ratio", 0.3), ("stutter_ratio", 0.2), ("shout_ratio", 0.3), ("word_length", 6.0))
 
@@ -142,7 +143,8 @@ def fences(sketched: DataFrame, rules: Rules = Rules(), lang: str = "lang", sour
     by_both = limit(quantiles(sketched, [lang, source], rules))
     l, b = by_lang.select(F.col(lang).alias("_l"), F.col("ratio").alias("_r"), F.col("fence").alias("wide")), by_both
     joined = b.join(l, b[lang].eqNullSafe(l["_l"]) & (b["ratio"] == l["_r"]))
-    fence = F.when(F.col("total") >= rules.min_group, F.least("fence", "wide")).otherwise(F.col("wide"))
+    own = F.col("total") / (F.col("total") + rules.prior)
+    fence = F.least(F.col("wide"), F.col("wide") + own * (F.col("fence") - F.col("wide")))
     return joined.groupBy(lang, source).agg(*[F.max(F.when(F.col("ratio") == k, fence)).alias(f"max_{k}") for k in RATIOS])
 
 
