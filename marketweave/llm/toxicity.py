@@ -32,14 +32,16 @@ _TABLE[ord("A"):ord("Z") + 1] += 32
 
 @dataclass(frozen=True)
 class Params:
-    """``sample``: at most so many texts of each label (toxic, other) of at
-    most ``sample_chars`` characters train the network; ``stride`` < ``window``
+    """``sample``: at most so many texts of each label (toxic, other) train
+    the network, a text over ``sample_pieces`` pieces of ``piece`` characters by
+    so many pieces, chosen by hash; ``stride`` < ``window``
     is the distance of windows; a small sample is gone over more than
     ``epochs`` times, for ``updates`` steps at least; ``cache``: words a worker
     remembers."""
 
     sample: tuple[int, int] = (1200, 2400)
-    sample_chars: int = 4000
+    sample_pieces: int = 32
+    piece: int = 500
     window: int = 64
     stride: int = 48
     grams: int = 32_768
@@ -361,19 +363,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, p: Params
                     toxic: str = "toxic") -> tuple[list[str], list[int], float | None]:
     """(texts, labels, share of label 1 among all rows that may be learnt): at most ``p.sample`` texts of each label, chosen by a hash of the id
     among label rows where ``learn`` holds; twice as many ids are looked up,
-    since long texts don't train. Null labels and ids don't count; an id with
-    several labels has the highest."""
+    since some may have no text. Texts of any length train, very long ones by
+    pieces of them. Null labels and ids don't count; an id with several labels
+    has the highest, one with several texts that of the smallest hash."""
     known = labels.filter(learn & F.col(doc_id).isNotNull() & F.col(toxic).isNotNull()).groupBy(doc_id).agg(F.max(toxic).cast("int").alias("_y"))
+    known = known.withColumn("_h", F.xxhash64(doc_id))
     picked = None
     for y, n in ((1, p.sample[0]), (0, p.sample[1])):
-        some = known.filter(F.col("_y") == y).orderBy(F.xxhash64(doc_id), doc_id).limit(2 * n)
+        some = known.filter(F.col("_y") == y).orderBy("_h", doc_id).limit(2 * n)
         picked = some if picked is None else picked.union(some)
-    rows = (docs.select(doc_id, text).join(F.broadcast(picked), doc_id)  # at most 2 * sum(sample) ids
-            .filter(F.length(text) <= p.sample_chars).dropDuplicates([doc_id]).toPandas())
-    rows = rows.assign(h=[mix(np.array([int(i) & (2 ** 63 - 1)], np.uint64))[0] for i in rows[doc_id]]).sort_values(["h", doc_id])
-    rows = rows.groupby("_y", group_keys=False)[list(rows.columns)].apply(lambda g: g.head(p.sample[0 if g["_y"].iat[0] else 1])).sort_values(["h", doc_id])
+    at = F.sequence(F.lit(0), F.floor((F.length("_t") - 1) / p.piece).cast("int"))
+    chosen = F.array_sort(F.transform(F.slice(F.array_sort(F.transform(at, lambda i: F.struct(F.xxhash64("_h", i).alias("h"), i.alias("i")))), 1, p.sample_pieces), lambda x: x["i"]))
+    pieces = F.array_join(F.transform(chosen, lambda i: F.substring(F.col("_t"), i * p.piece + 1, F.lit(p.piece))), " ")
+    held = docs.select(doc_id, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t")).join(F.broadcast(picked), doc_id)  # at most 2 * sum(sample) ids
+    held = held.withColumn("_t", F.when(F.length("_t") > p.sample_pieces * p.piece, pieces).otherwise(F.col("_t")))
+    rows = held.groupBy(doc_id, "_y", "_h").agg(F.min_by("_t", F.struct(F.xxhash64("_t"), "_t")).alias("_t")).toPandas().sort_values(["_h", doc_id])
+    rows = rows.groupby("_y", group_keys=False)[list(rows.columns)].apply(lambda g: g.head(p.sample[0 if g["_y"].iat[0] else 1])).sort_values(["_h", doc_id])
     share = known.agg(F.avg((F.col("_y") == 1).cast("double"))).first()[0]
-    return list(rows[text]), [int(v) for v in rows["_y"]], share
+    return list(rows["_t"]), [int(v) for v in rows["_y"]], share
 
 
 def score_texts(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
