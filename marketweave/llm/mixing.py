@@ -104,11 +104,14 @@ def draw(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id", text: st
                .withColumn("start", F.col("base") + F.col("within"))
                .select("doc_id", "source", "sid", "source_size", "target", "size", "h", "k", "start"))
 
-    # slots -> shards: the multinomial counts
+    # slots -> shards: the multinomial counts. The rows before each explode are few and
+    # would share a task, so they are dealt to a number of tasks that follows the slots
     run = 65_536
+    all_slots, some_tasks = sources.agg(F.max("all_slots")).first()[0] or 0, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, -(-all_slots // run), min(some_tasks, -(-all_slots // p.shard)))
     runs = (sources.filter("slots > 0").select("sid", "first_slot", "slots", "all_slots",
                                                F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / run))).alias("run"))
-            .repartition(F.col("sid"), F.col("run")))
+            .repartition(tasks, "sid", "run"))
     upto = F.least(F.col("slots") - 1, (F.col("run") + 1) * run - 1)
     dealt = (runs.select("sid", "first_slot", "all_slots", F.explode(F.sequence((F.col("run") * run).cast("long"), upto.cast("long"))).alias("i"))
              .select("sid", F.floor(permuted(F.col("first_slot") + F.col("i"), F.col("all_slots"), F.lit(p.seed)) / p.shard).alias("shard")))
@@ -118,7 +121,7 @@ def draw(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id", text: st
 
     # the source's k-th slot -> block number
     by = ["sid", "source_size", "blocks", "passes", "rest"]
-    k = (counts.join(sources.select(*by), "sid")
+    k = (counts.join(sources.select(*by), "sid").repartition(tasks, "sid", "shard")
          .select(*by, "shard", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("n") - 1)).alias("k")))
     k = k.withColumns({"pass": F.floor(F.col("k") / F.col("blocks")), "r": F.col("k") % F.col("blocks")})
     full = F.floor(F.col("source_size") / block)  # the short last block ends each pass
