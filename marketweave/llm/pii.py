@@ -38,6 +38,11 @@ def _always(m: Column) -> Column:
     return F.lit(True)
 
 
+def _mixed(m: Column) -> Column:
+    """As varied as a random string: ten or more different characters, digits and letters among them."""
+    return (F.size(F.array_distinct(F.split(m, ""))) >= 10) & m.rlike("[0-9]") & m.rlike("[A-Za-z]")
+
+
 _SPANS = "array<struct<start:int,end:int,match:string>>"
 
 
@@ -103,6 +108,14 @@ KINDS = (
          lambda m: F.length(_digits(m)).between(8, 15), 0.6, "phone|call|tel|mobile|fax|anruf|appel|llama"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11}",
          _always, 0.7, "iban|account|konto|compte|cuenta|bank", _accounts),
+    # what follows is told by its context alone, but for addresses of eight groups
+    Kind("secret", r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9][A-Za-z0-9_+/-]{23,127}+(?![A-Za-z0-9_+/-])={0,2}", r"[A-Za-z0-9_+/-]{24}",
+         _mixed, 0.3, "token|secret|password|passwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|contraseña|passwort|mot de passe"),
+    Kind("ipv6", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])", r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]",
+         _always, 0.6, "host|server|address|adresse|dirección"),
+    Kind("local_phone", r"(?<![0-9+)(][\x20-])(?<![0-9+])(?:\([0-9]{2,5}\)\x20?|0[0-9]{1,4}[\x20/-])[0-9]{3,4}[\x20-]?[0-9]{3,4}(?![0-9])",
+         r"[0-9][)\x20/-]\x20?[0-9]{3,4}[\x20-]?[0-9]{3,4}",
+         _always, 0.3, "phone|call|tel|mobile|fax|anruf|appel|llama"),
     Kind("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
          _always, 0.3, "ssn|social|security|tax|national id|steuer"),
 )

@@ -30,7 +30,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     return found.select("doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in pii.BASE],
-                        F.sha2(joined(of(*pii.BASE)), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+                        F.sha2(joined(of(*pii.BASE)), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
