@@ -111,7 +111,7 @@ def exact_top_k(vectors: DataFrame, queries: Column, p: Params = Params(), vec_i
     Rows with a null id, a null vector, or null or non-finite components take
     no part; shorter vectors count as ended by zeros. Repeated ids are
     candidates each, never of a query of that id; a repeated query gives its
-    rows once. Scores beyond 64 bits raise an error. Other columns are not
+    rows once, those of its vector of smallest bytes. Scores beyond 64 bits raise an error. Other columns are not
     read; an empty table gives no rows.
     """
     spark = vectors.sparkSession
@@ -205,8 +205,8 @@ def exact_top_k(vectors: DataFrame, queries: Column, p: Params = Params(), vec_i
 
     # queries that lie together share blocks
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = (keyed.withColumnRenamed("id", vec_id).filter(queries).withColumnRenamed(vec_id, "id").dropDuplicates(["id"])
-             .select("id", "x", "norm2", "pivot", "d"))
+    asked = (keyed.withColumnRenamed("id", vec_id).filter(queries).withColumnRenamed(vec_id, "id")
+             .groupBy("id").agg(F.min(F.struct("x", "norm2", "pivot", "d")).alias("v")).select("id", "v.*"))
     asked = materialize(asked, "queries")
     together = lambda d: d.repartitionByRange(n, "pivot", "d", "id")
     home = materialize(top(together(asked).select("id", "x", "norm2").mapInPandas(first, block)), "home")
