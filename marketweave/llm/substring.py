@@ -35,12 +35,14 @@ from .textbytes import Slice, cover, slices
 class Params:
     """``chunk_bytes``: text of a chunk; ``range_hashes``: about how many
     hashes meet in one task; ``bits``: length of the probing hashes (false
-    hits only cost a second look: sequences are compared by 64 bits)."""
+    hits only cost a second look: sequences are compared by 64 bits);
+    ``buckets``: of the table of texts, at most (a bucket holds whole chunks)."""
 
     window: int = 35
     chunk_bytes: int = 8_000_000
     range_hashes: int = 3_000_000
     bits: int = 44
+    buckets: int = 10_000
 
     @property
     def block(self) -> int:
@@ -152,8 +154,8 @@ def remove_repeats(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id"
     # a row's place depends on id and text, so that no repeated id fills a chunk
     (docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
      .withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.length("text"), F.substring("text", 1, 64)), F.lit(chunks)))
-     .repartition(chunks, "chunk").write.format("parquet").option("path", scratch_path(spark, f"tables/{key}"))
-     .option("compression", "zstd").bucketBy(chunks, "chunk").sortBy("chunk").saveAsTable(key))
+     .repartition(min(chunks, p.buckets), "chunk").write.format("parquet").option("path", scratch_path(spark, f"tables/{key}"))
+     .option("compression", "zstd").bucketBy(min(chunks, p.buckets), "chunk").sortBy("chunk").saveAsTable(key))
     dealt = spark.table(key)
     parcel = "part int, chunk long, hashes binary, flags binary"
 

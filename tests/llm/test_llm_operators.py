@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marketweave.llm import chat, components, knn, linededup, mixing, neardup, packing, pii, quality, substring, textbytes, toxicity
 from marketweave.llm.queries import word_vocabulary
@@ -230,6 +231,60 @@ def test_personal_data_matches_plain_patterns(spark):
         assert all(0.5 <= s.score <= 1 for s in row.spans) and row.key == "own key"
 
 
+def test_long_texts_and_odd_ids_train(spark):
+    long = " ".join(f"w{i}" for i in range(9000))
+    docs = spark.createDataFrame([("a", long), ("b", "short text"), ("b", "another text"), ("c", None), (None, "x"), ("d", "left out")], "doc_id string, text string")
+    labels = spark.createDataFrame([("a", 1), ("b", 0), ("b", 1), ("c", 0), (None, 1), ("d", None), ("e", 1)], "doc_id string, toxic int")
+    p = toxicity.Params(sample_pieces=4, piece=100)
+    got = {toxicity.labelled_sample(docs.repartition(n), labels, F.lit(True), p)[:2].__repr__() for n in (1, 3)}
+    assert len(got) == 1  # whatever the order of the rows
+    texts, y, share = toxicity.labelled_sample(docs, labels, F.lit(True), p)
+    assert sorted(y) == [0, 1, 1] and len(texts) == 3 and share == 0.75
+    (big,) = [t for t in texts if len(t) > 100]
+    pieces = [long[k:k + 100] for k in range(0, len(long), 100)]
+    assert big in (" ".join(pieces[k] for k in ks) for ks in [[k for k in range(len(pieces)) if pieces[k] in big]]) and len(big) <= 403
+    assert not long.startswith(big[:250])  # pieces from all over the text
+
+
+def test_scores_are_the_highest_of_plain_forward_passes(spark):
+    """Each overlapping window on its own through the network's parts, one word at a time."""
+    import pyarrow as pa
+    r = random.Random(8)
+    texts = [" ".join(r.choices(["good", "bad", "Ugly", "x1", "né", "fine"], k=k)) for k in (1, 3, 63, 64, 65, 112, 113, 200, 700)] + ["", " - ", None]
+    p = toxicity.Params(epochs=2, hidden=4)
+    made = [" ".join(r.choices(["good", "fine", "x1"] + ["bad"] * (i % 2), k=20)) for i in range(60)]
+    model = toxicity.train(made, [i % 2 for i in range(60)], p=p)
+    got = {x.i: x.score for x in toxicity.score_texts(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), model).collect()}
+    for i, t in enumerate(texts):
+        best = 0.0
+        for s in textbytes.slices(pa.array([t]), table=toxicity._TABLE):
+            n, h = len(s.ws), s.byte_ranges(s.ws, s.we)
+            rows = []
+            for k in range(n):
+                one = np.array([k])
+                x = model.network.inputs(model.known(h[one]), *toxicity._grams(s, s.ws[one], s.we[one], p.grams))
+                rows.append(model.network.projection(x.astype(np.float32))[0])
+            ends = [0] if n <= p.window else [*range(0, n - p.window, p.stride), n - p.window]
+            for a in ends if n else []:
+                w = rows[a:a + p.window]
+                z = model.network.logits(np.array(w, np.float32)[:, None, :], np.ones((len(w), 1), np.float32))
+                best = max(best, float(toxicity._sigmoid(z.astype(np.float64))[0]))
+        assert abs(got[i] - best) < 1e-4, (i, got[i], best)
+
+
+def test_context_decides_on_secrets_and_local_phones(spark):
+    hexes, mixed, v6 = "04dbebab91ab85687d33eeaaf9ac699e1188f962", "AbCd-1234_efGH+5678/ijKL9012", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"
+    texts = [(f'TOKEN = "{hexes.upper()}"!', ["secret"]), (f"api_key={mixed}==", ["secret"]), (f"commit {hexes} of main", []), (f"see {mixed} there", []),
+             ("password: " + "a" * 40, []), ("my secret " + "1234567890" * 4, []), ("token " + "-" * 20_000, []), ("token " + "ab1" * 20_000, []),
+             ("call (017) 555-7713 now", ["local_phone"]), ("room (017) 555-7713 now", []), ("tel. 0171 555 7713", ["local_phone"]),
+             ("call +1 (017) 555-7713 now", []), (f"at {v6} now", ["ipv6"]), (v6 + ":1", []), (f"phone {'0' * 30_000}", [])]
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(d).collect()}
+    for i, (t, want) in enumerate(texts):
+        assert [s.kind for s in got[i] if s.kind not in BASE] == want, t
+    assert texts[0][0][got[0][0].start:got[0][0].end] == hexes.upper() and texts[1][0][got[1][0].start:got[1][0].end] == mixed + "=="
+
+
 def test_account_numbers_and_context(spark):
     d = spark.createDataFrame([(1, "to DE89 3704 0044 0532 0130 00 now"), (2, "to DE88 3704 0044 0532 0130 00 now"),
                                (3, "my ssn is 123-45-6789"), (4, "part 123-45-6789")], "doc_id long, text string")
@@ -417,7 +472,7 @@ def _brute_repeats(rows, n):
     return sorted(out)
 
 
-@pytest.mark.parametrize("p", [substring.Params(), substring.Params(window=7, chunk_bytes=3000, range_hashes=500), substring.Params(window=8, bits=33, chunk_bytes=900)])
+@pytest.mark.parametrize("p", [substring.Params(), substring.Params(window=7, chunk_bytes=3000, range_hashes=500), substring.Params(window=8, bits=33, chunk_bytes=900), substring.Params(chunk_bytes=900, buckets=3)])
 def test_repeats_match_brute_force(spark, docs, empty, p):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = substring.remove_repeats(clashing(spark, docs), p).collect()
@@ -479,14 +534,29 @@ def test_rules_follow_the_group(spark):
 # 9 line dedup
 
 
+def test_a_group_of_any_size_moves_its_fence(spark):
+    """The fence goes from the language's to the group's own, more with each row, and never above the language's."""
+    r, rules = random.Random(4), quality.Rules(slack=(*[x for x in quality.Rules().slack if x[0] != "word_length"], ("word_length", 0.1)))
+    rows = [("en", "big", 100, 100 * 5 + r.randint(0, 100)) for _ in range(3000)]
+    rows += [("en", f"own{n}", 100, 100 * 4 + r.randint(0, 20)) for n in (1, 10, 100, 1000) for _ in range(n)] + [("en", "junk", 10, 10 * 40)] * 50
+    d = spark.createDataFrame(rows, "lang string, source string, n_words long, word_chars long")
+    d = d.withColumns({m: F.lit(0).cast("long") for m in quality.MEASURES if m not in d.columns})
+    got = {x.source: x.max_word_length for x in quality.fences(quality.sketch(d, ["lang", "source"], rules), rules).collect()}
+    assert got["own1"] > got["own10"] > got["own100"] > got["own1000"] and got["junk"] == max(got.values())
+    wide, own = got["junk"], quality.quantiles(quality.sketch(d.filter("source = 'own100'"), ["lang"], rules), ["lang"], rules).filter("ratio = 'word_length'").first()
+    assert abs(got["own100"] - (wide + own.q75 + max(3 * (own.q75 - own.q25), 0.1)) / 2) < 1e-9
+
+
 def test_boilerplate_goes_by_site(spark):
     rows = [(i, "a", f"menu\n text {i} \n\nfoot ") for i in range(20)] + [(100 + i, "b", f"menu\nline {i}") for i in range(9)]
+    rows += [(400 + i, "small", f"only {i}\n© foot" if i < 3 else "other\ntwice") for i in range(4)] + [(410, "pair", "copy"), (411, "pair", "copy")]
     rows += [(200 + i, None, "legal" if i < 3 else f"l{i}") for i in range(12)] + [(300, "a", None), (301, "a", ""), (302, "a", "once\nonce")]
     d = clashing(spark, spark.createDataFrame(rows, "page_id long, site string, body string"))
     out = linededup.drop_site_lines(d, "site", "body")
     got = {r.page_id: (r.body, r.n_lines, r.n_dropped) for r in out.collect()}
-    assert got[3] == (" text 3 \n", 3, 2) and got[103] == ("menu\nline 3", 2, 0)
+    assert got[3] == (" text 3 \n", 3, 2) and got[103] == ("line 3", 2, 1)
     assert got[200] == ("", 1, 1) and got[210] == ("l10", 1, 0)
+    assert got[400] == ("only 0", 2, 1) and got[403] == ("other\ntwice", 2, 0) and got[410] == ("copy", 1, 0)
     assert got[300] == (None, 0, 0) and got[301] == ("", 0, 0) and got[302] == ("once\nonce", 2, 0)
     assert out.filter("_drop = 'own _drop'").count() == len(rows)
     assert linededup.drop_site_lines(d.limit(0), "site", "body").count() == 0
