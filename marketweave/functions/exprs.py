@@ -90,3 +90,8 @@ def all_of(conds: Iterable[Column | None]) -> Column:
 def given(value) -> bool:
     """'Given' in the reference's sense: truthy (``''``, 0, None are not)."""
     return bool(value)
+
+
+def missing_to_zero(c) -> Column:
+    """NULL or NaN of a floating-point column -> 0."""
+    return F.coalesce(F.nanvl(col_(c), F.lit(0.0)), F.lit(0.0))

@@ -369,7 +369,7 @@ q("linear_extrapolate", """
 , fit AS (
   SELECT regr_slope(CAST(value AS DOUBLE), year - 2000.0) AS slope,
          regr_intercept(CAST(value AS DOUBLE), year - 2000.0) AS intercept
-  FROM annual_inflation WHERE year BETWEEN 1995 AND 2000 AND value IS NOT NULL
+  FROM annual_inflation WHERE value IS NOT NULL
 ), ext AS (
   SELECT CAST(unnest(generate_series((SELECT max(year) FROM annual_inflation) + 1,
                                      (SELECT year FROM horizon))) AS INTEGER) AS year
@@ -504,7 +504,9 @@ q("null_profile", _RAW_UPDATED + """
          CAST(count_if(revenue IS NULL) AS BIGINT) AS revenue
   FROM parsed
 )
-SELECT column_name, null_count, total_rows, total_rows - null_count AS non_null_count
+SELECT column_name, (SELECT replace(lower(CASE column_name WHEN 'date' THEN typeof(date) WHEN 'product' THEN typeof(product) WHEN 'quantity' THEN typeof(quantity)
+                             WHEN 'unit_price' THEN typeof(unit_price) ELSE typeof(revenue) END), 'varchar', 'string') FROM parsed LIMIT 1) AS data_type,
+       null_count, total_rows, total_rows - null_count AS non_null_count
 FROM counts UNPIVOT (null_count FOR column_name IN (date, product, quantity, unit_price, revenue))
 """)
 
@@ -617,7 +619,9 @@ _REQUESTS = """
               ELSE CAST(year(o_orderdate) + CASE WHEN o_orderpriority = '5-LOW' OR o_orderstatus = 'P' THEN 1 ELSE 0 END AS INTEGER) END AS year,
          CASE WHEN o_orderpriority = '2-HIGH' THEN ''
               WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'P' THEN 'not-a-date'
-              WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' THEN strftime(CAST(o_orderdate AS DATE) + INTERVAL 400 DAY, '%Y-%m-%d')
+              WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' THEN strftime(CAST(o_orderdate AS DATE) + INTERVAL 400 DAY, '%-d %b %Y')
+              WHEN o_orderstatus = 'O' THEN strftime(CAST(o_orderdate AS DATE) + INTERVAL 90 DAY, '%m/%d/%Y')
+              WHEN o_orderstatus = 'P' THEN strftime(CAST(o_orderdate AS DATE) + INTERVAL 90 DAY, '%-d %b %Y')
               ELSE strftime(CAST(o_orderdate AS DATE) + INTERVAL 90 DAY, '%Y-%m-%d') END AS date
   FROM orders LEFT JOIN customer ON o_custkey = c_custkey
 )
@@ -625,7 +629,7 @@ _REQUESTS = """
   SELECT request_id, nullif(trim(region), '') AS region, nullif(trim(holiday), '') AS holiday,
          upper(nullif(trim(ticker), '')) AS ticker, nullif(trim(commodity), '') AS commodity,
          nullif(trim(category), '') AS category, year, nullif(trim(date), '') AS date,
-         CAST(try_strptime(nullif(trim(date), ''), '%Y-%m-%d') AS DATE) AS req_date
+         CAST(try_strptime(nullif(trim(date), ''), ['%Y-%m-%d', '%m/%d/%Y', '%d %b %Y']) AS DATE) AS req_date
   FROM req_raw
 )
 , req_checked AS (
@@ -932,8 +936,23 @@ FROM days
 """)
 
 q("forecast_balance", """
-SELECT count(*) AS n_days, round(CAST(sum(revenue) AS DOUBLE), 2) AS total, CAST(0 AS DOUBLE) AS residual, CAST(0 AS DOUBLE) AS unexplained
-FROM daily
+, inputs AS (
+  SELECT 'trend' AS input UNION ALL SELECT 'intercept'
+  UNION ALL SELECT 'yearly_' || f || k FROM (SELECT unnest(['s', 'c']) AS f), (SELECT unnest(range(1, 11)) AS k)
+  UNION ALL SELECT 'weekly_' || f || k FROM (SELECT unnest(['s', 'c']) AS f), (SELECT unnest(range(1, 4)) AS k)
+  UNION ALL SELECT DISTINCT 'hol_' || regexp_replace(lower(name), '[^a-z0-9]', '_', 'g') FROM holidays
+)
+SELECT n_days, total, input, CAST(0 AS DOUBLE) AS slope
+FROM inputs, (SELECT count(*) AS n_days, round(CAST(sum(revenue) AS DOUBLE), 2) AS total FROM daily)
+""")
+
+q("price_at_sale", """
+, lines AS (
+  SELECT s.order_id, s.product_id, s.date, CASE p_brand WHEN 'Brand#1' THEN 'NVDA' WHEN 'Brand#2' THEN 'SAMSUNG' ELSE 'SONY' END AS ticker
+  FROM sales s JOIN part ON s.product_id = p_partkey WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#3')
+)
+SELECT l.order_id, l.product_id, l.date, l.ticker, q.date AS quote_date, q.close
+FROM lines l ASOF LEFT JOIN stock_prices q ON l.ticker = q.ticker AND l.date >= q.date
 """)
 
 

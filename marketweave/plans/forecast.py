@@ -74,7 +74,7 @@ def daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _check_days(days: int) -> None:
     if days > MAX_DAYS:
-        raise ValueError(f"Maximum forecast is {MAX_DAYS} days.")
+        raise ValueError(f"days must be at most {MAX_DAYS}, not {days}")
 
 
 def _fit_single(spark, sf_dir, days):
@@ -110,16 +110,17 @@ def forecast_frame(spark: SparkSession, sf_dir: str, days: int = 90) -> DataFram
 
 
 def forecast_balance(spark: SparkSession, sf_dir: str, days: int = 90) -> DataFrame:
-    """M6 + M9 checked: sums over the sales days of residuals (0 at the least-
-    squares optimum) and of what the components leave of the prediction."""
-    model, cols, scored, _, last = _fit_single(spark, sf_dir, days)
-    parts = F.lit(model.intercept)
-    for c, w in zip(cols, model.coefficients.toArray().tolist(), strict=True):
-        parts = parts + F.lit(w) * F.col(c)
-    known = scored.filter(F.col("ds") <= F.lit(last))
-    return known.agg(F.count(F.lit(1)).alias("n_days"), F.round(F.sum("y"), 2).alias("total"),
-                     (F.round(F.sum(F.col("y") - F.col("prediction")) / F.sum("y"), 6) + 0.0).alias("residual"),
-                     (F.round(F.max(F.abs(parts - F.col("prediction"))) / F.max("y"), 6) + 0.0).alias("unexplained"))
+    """M6 checked: for each input (and the intercept) the product of the
+    residuals with it over the sales days, relative to the sales', rounded: all
+    0 at the least-squares optimum of the whole design, and only there."""
+    _, cols, scored, _, last = _fit_single(spark, sf_dir, days)
+    names = [*cols, "intercept"]
+    e = F.col("y") - F.col("prediction")
+    known = scored.filter(F.col("ds") <= F.lit(last)).withColumn("intercept", F.lit(1.0))
+    row = known.agg(F.count(F.lit(1)).alias("n_days"), F.round(F.sum("y"), 2).alias("total"),
+                    *[F.round(F.sum(e * F.col(c)) / F.greatest(F.sum(F.abs(F.col("y") * F.col(c))), F.lit(1.0)), 6).alias(c) for c in names])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("input"), (F.col(c) + 0.0).alias("slope")) for c in names])).alias("r")
+    return row.select("n_days", "total", each).select("n_days", "total", "r.input", "r.slope")
 
 
 def forecast(spark: SparkSession, sf_dir: str, days: int = 90) -> DataFrame:

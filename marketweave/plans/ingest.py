@@ -160,12 +160,13 @@ def commodity_tagging(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def null_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C20 + C21: NULL count per column of the parsed sales (one pass, then
-    one row per column)."""
+    """C20 + C21: data type, rows and NULL count per column of the parsed sales
+    (one pass, then one row per column)."""
     s = parse_updated_sales(raw_updated_sales(spark, sf_dir))
     cols = s.columns
     wide = s.agg(F.count(F.lit(1)).alias("_rows"),
                  *[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
     long = wide.unpivot(["_rows"], cols, "column_name", "null_count")
-    return long.select("column_name", "null_count", F.col("_rows").alias("total_rows"),
+    kind = F.create_map(*[F.lit(x) for c, t in s.dtypes for x in (c, t)])[F.col("column_name")]
+    return long.select("column_name", kind.alias("data_type"), "null_count", F.col("_rows").alias("total_rows"),
                        (F.col("_rows") - F.col("null_count")).alias("non_null_count")).orderBy("column_name")

@@ -42,15 +42,21 @@ def model_columns(spark: SparkSession, sf_dir: str) -> list[str]:
 
 
 @dataclass
-class Fitted:
-    """A trained model, its ordered inputs and the split it was trained on."""
+class Split:
+    """The ordered inputs, and the lines before and after the train / test cut."""
 
-    model: PipelineModel
     columns: list[str]
     cells: DataFrame        # features of each (day, category, region) with lines
     cut_day: date | None    # first day with test lines
     cut_rows: DataFrame     # lines of that day with is_test
 
+
+@dataclass
+class Fitted(Split):
+    """A trained model and the split it was trained on."""
+
+    model: PipelineModel
+
     def test_lines(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         """Held-out lines (ORDER + category, region) with ``prediction``."""
         known = self.cells.select(*[F.col(c).alias(f"_{c}") for c in CELL], *self.columns)
@@ -76,9 +82,9 @@ def build_pipeline(cols: list[str], weight: str | None = None) -> Pipeline:
     return Pipeline(stages=[va, lr.setWeightCol(weight) if weight else lr])
 
 
-def fit_sales_model(spark: SparkSession, sf_dir: str, test_fraction: float = 0.2) -> Fitted:
-    """M2 + W7: fit on all but the last ``test_fraction`` of the lines in the
-    order of ORDER (lines of days with a missing feature take no part)."""
+def split_sales(spark: SparkSession, sf_dir: str, test_fraction: float = 0.2) -> Split:
+    """The cut before the last ``test_fraction`` of the lines in the order
+    of ORDER (lines of days with a missing feature take no part)."""
     cols = model_columns(spark, sf_dir)
     days = fe.daily_features(spark, sf_dir).na.drop(subset=fe.FEATURES)
     cells = (_lines(spark, sf_dir).groupBy(*CELL).agg(F.count("sales").alias("n"), F.sum("sales").alias("total"))
@@ -94,14 +100,21 @@ def fit_sales_model(spark: SparkSession, sf_dir: str, test_fraction: float = 0.2
     day = str(cut_day) if cut else "0001-01-01"
     on_cut = global_rank(_lines(spark, sf_dir, date_start=day, date_end=day).filter("sales is not null"), ORDER[1:], "_r")
     on_cut = materialize(on_cut.withColumn("is_test", (F.col("_r") > before).cast("int")).drop("_r"), "cut_day")
+    return Split(cols, cells, cut_day, on_cut)
+
+
+def fit_sales_model(spark: SparkSession, sf_dir: str, test_fraction: float = 0.2) -> Fitted:
+    """M2 + W7: fit on the lines before the cut."""
+    s = split_sales(spark, sf_dir, test_fraction)
+    cols, cells, cut_day, on_cut = s.columns, s.cells, s.cut_day, s.cut_rows
     label = (F.col("total").cast("double") / F.col("n")).alias("label")
-    train = cells.filter(F.col("date") < F.lit(cut_day) if cut else F.lit(True)).select("n", label, *cols)
+    train = cells.filter(F.col("date") < F.lit(cut_day) if cut_day else F.lit(True)).select("n", label, *cols)
     some = (on_cut.filter("is_test = 0").groupBy(*CELL).agg(F.count("sales").alias("n"), F.sum("sales").alias("total"))
             .select(*[F.col(c).alias(f"_{c}") for c in CELL], F.col("n").alias("_n"), F.col("total").alias("_t")))
     first = cells.join(F.broadcast(some), [cells[c].eqNullSafe(some[f"_{c}"]) for c in CELL]).select(
         F.col("_n").alias("n"), (F.col("_t").cast("double") / F.col("_n")).alias("label"), *cols)
     model = build_pipeline(cols, "n").fit(train.unionByName(first))
-    return Fitted(model, cols, cells, cut_day, on_cut)
+    return Fitted(cols, cells, cut_day, on_cut, model)
 
 
 def save_model(fitted: Fitted, path: str) -> None:
@@ -118,12 +131,18 @@ def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, list[str]
 
 
 def split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W7 of the model: lines and sales on both sides of the cut (one row)."""
-    fitted = fit_sales_model(spark, sf_dir)
-    test = fitted.test_lines(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_test"), F.sum("sales").cast("decimal(38,4)").alias("sales_test"))
-    all_ = fitted.cells.agg(F.sum("n").alias("n"), F.sum("total").cast("decimal(38,4)").alias("s"))
-    return test.join(F.broadcast(all_)).select((F.col("n") - F.col("n_test")).alias("n_train"), "n_test",   # one row each
-                                               (F.col("s") - F.col("sales_test")).cast("decimal(38,4)").alias("sales_train"), "sales_test")
+    """W7 of the model: lines and sales on both sides of the cut (one row),
+    counted from the cells and the cut's day; nothing is fitted."""
+    s = split_sales(spark, sf_dir)
+    later = F.col("date") > F.lit(s.cut_day) if s.cut_day else F.lit(False)
+    sums = lambda n, t: (F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("n"), F.coalesce(F.sum(t), F.lit(0)).cast("decimal(38,4)").alias("s"))
+    parts = s.cells.select("n", "total", later.alias("test")).groupBy("test").agg(*sums("n", "total"))
+    on = s.cut_rows.groupBy((F.col("is_test") == 1).alias("test")).agg(*sums(F.lit(1), "sales"))
+    moved = on.filter("test").select(F.lit(True).alias("test"), "n", "s").union(on.filter("test").selectExpr("false", "-n", "-s"))
+    total = lambda side, c: F.coalesce(F.sum(F.when(side, F.col(c))), F.lit(0))
+    return parts.union(moved).agg(total(~F.col("test"), "n").alias("n_train"), total(F.col("test"), "n").alias("n_test"),
+                                  total(~F.col("test"), "s").cast("decimal(38,4)").alias("sales_train"),
+                                  total(F.col("test"), "s").cast("decimal(38,4)").alias("sales_test"))
 
 
 def ols_predict(spark: SparkSession, sf_dir: str) -> DataFrame:

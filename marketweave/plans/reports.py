@@ -7,9 +7,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import total
-from ..operators.rank import global_rank
+from ..functions.exprs import missing_to_zero, total
+from ..operators.asof import asof_join, day_buckets
 from ..operators.reshape import pivot_fixed
+from ..operators.select import grouped_quantiles
 from ..sources import catalog as cat
 from ..plans import analytics as an
 
@@ -41,52 +42,30 @@ def category_values(spark: SparkSession, sf_dir: str, measure: str = "revenue")
     return s.join(p, "product_id").withColumn("v", F.col(measure).cast("double"))
 
 
-def box_stats_raw(values: DataFrame, group: str = "category", value: str = "v",
-                  keep: tuple[str, ...] = (), with_ranked: bool = False):
+def box_stats_raw(values: DataFrame, group: str = "category", value: str = "v") -> DataFrame:
     """Exact quartiles (linear interpolation), 1.5 IQR fences, whiskers and
     outlier counts per group, unrounded.
 
-    Quartiles come from a distributed global rank (a sort, not a per-group
-    buffer: a group holding a third of all rows is spread over many tasks);
-    only the handful of rows at the quartile positions are looked up.
-    Whiskers and outlier counts are a second, combinable aggregate.
-    ``group`` is a dimension-sized key (here: product category): the per-group
-    statistics are broadcast back to the rows.
+    Quartiles come from a selection (``operators.select``): no sort and no
+    write of the rows. Whiskers and outlier counts are one more combinable
+    aggregate. ``group`` is a dimension-sized key (here: product category):
+    the per-group statistics are broadcast back to the rows.
     """
-    ranked = global_rank(values.select(group, value, *keep), [group, value], "_r")
-    g = ranked.groupBy(group).agg(F.min("_r").alias("_start"), F.count(F.lit(1)).alias("n"))
-    probs = F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)])
-    pos = (g.select(group, "n", "_start", F.explode(probs).alias("p"))
-            .withColumn("_pos", F.col("p") * (F.col("n") - 1))
-            .withColumn("_rl", F.col("_start") + F.floor("_pos").cast("long"))
-            .withColumn("_rh", F.col("_start") + F.ceil("_pos").cast("long"))
-            .withColumn("_frac", F.col("_pos") - F.floor("_pos")))
-    need = pos.select(group, F.explode(F.array("_rl", "_rh")).alias("_r")).distinct()
-    # At most 6 positions per group: a proven bound for the broadcast.
-    at = ranked.join(F.broadcast(need), [group, "_r"])
-    lo = at.select(group, F.col("_r").alias("_rl"), F.col(value).alias("_vl"))
-    hi = at.select(group, F.col("_r").alias("_rh"), F.col(value).alias("_vh"))
-    qv = (pos.join(lo, [group, "_rl"]).join(hi, [group, "_rh"])
-             .withColumn("q", F.col("_vl") + F.col("_frac") * (F.col("_vh") - F.col("_vl"))))
-    quart = qv.groupBy(group, "n").agg(
-        F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),
-        F.max(F.when(F.col("p") == 0.5, F.col("q"))).alias("median"),
-        F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("q3"))
-    quart = (quart.withColumn("iqr", F.col("q3") - F.col("q1"))
-                  .withColumn("lower_fence", F.col("q1") - F.lit(1.5) * F.col("iqr"))
-                  .withColumn("upper_fence", F.col("q3") + F.lit(1.5) * F.col("iqr")))
+    quart = (grouped_quantiles(values, group, value, (0.25, 0.5, 0.75))
+             .select(group, "n", *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate(("q1", "median", "q3"))])
+             .withColumn("iqr", F.col("q3") - F.col("q1"))
+             .withColumn("lower_fence", F.col("q1") - F.lit(1.5) * F.col("iqr"))
+             .withColumn("upper_fence", F.col("q3") + F.lit(1.5) * F.col("iqr")))
     v = F.col(value)
     inside_lo = v >= F.col("lower_fence")
     inside_hi = v <= F.col("upper_fence")
-    # One row per group: broadcast is bounded by the number of groups. The
-    # ranked copy is already written, so the fact join is not recomputed.
-    wh = (ranked.select(group, value)
-          .join(F.broadcast(quart.select(group, "lower_fence", "upper_fence")), group)
-          .groupBy(group).agg(F.min(F.when(inside_lo, v)).alias("whisker_low"),
-                              F.max(F.when(inside_hi, v)).alias("whisker_high"),
-                              F.count_if(~(inside_lo & inside_hi)).alias("n_outliers")))
-    stats = quart.join(wh, group)
-    return (stats, ranked) if with_ranked else stats
+    # One row per group: broadcast is bounded by the number of groups.
+    fences = quart.select(F.col(group).alias("_g"), "lower_fence", "upper_fence")
+    wh = (values.join(F.broadcast(fences), F.col(group).eqNullSafe(F.col("_g")))
+          .groupBy("_g").agg(F.min(F.when(inside_lo, v)).alias("whisker_low"),
+                             F.max(F.when(inside_hi, v)).alias("whisker_high"),
+                             F.count_if(~(inside_lo & inside_hi)).alias("n_outliers")))
+    return quart.join(wh, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
 
 
 BOX_COLUMNS = ("q1", "median", "q3", "iqr", "lower_fence", "upper_fence",
@@ -103,12 +82,10 @@ def category_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 def category_outliers(spark: SparkSession, sf_dir: str, measure: str = "profit") -> DataFrame:
     """A14 outlier rows: lines whose profit (a skewed measure) lies outside
     their category's fences."""
-    # Row identity rides along in the (written) rank table, so the fact is
-    # joined once; fences are one row per category.
-    stats, ranked = box_stats_raw(category_values(spark, sf_dir, measure),
-                                  keep=("date", "order_id", "product_id", measure), with_ranked=True)
-    fences = stats.select("category", "lower_fence", "upper_fence")
-    j = ranked.join(F.broadcast(fences), "category")
+    values = category_values(spark, sf_dir, measure)
+    # fences are one row per category
+    fences = box_stats_raw(values).select("category", "lower_fence", "upper_fence")
+    j = values.join(F.broadcast(fences), "category")
     out = j.filter((F.col("v") < F.col("lower_fence")) | (F.col("v") > F.col("upper_fence")))
     return out.select("category", "date", "order_id", "product_id", measure).orderBy(
         "category", measure, "date", "order_id", "product_id")
@@ -151,7 +128,18 @@ def null_to_zero_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         "date",
         F.round(F.coalesce("total_revenue", F.lit(0)), 2).cast("decimal(38,2)").alias("total_revenue"),
-        F.round(F.coalesce("stock_close", F.lit(0.0)).cast("decimal(18,4)"), 2).cast("decimal(38,2)")
+        F.round(missing_to_zero("stock_close").cast("decimal(18,4)"), 2).cast("decimal(38,2)")
          .alias("stock_close"),
         F.coalesce("stock_volume", F.lit(0)).cast("decimal(38,4)").alias("stock_volume"),
     ).orderBy("date")
+
+
+def price_at_sale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line of a quoted brand's product with the price known at its sale:
+    the latest quote of its ticker up to the order's day (none before the first)."""
+    s = cat.sales(spark, sf_dir).select("order_id", "product_id", "date")
+    brands = cat.quoted_products(spark, sf_dir)
+    lines = s.join(brands, "product_id").select("order_id", "product_id", "date", "ticker")
+    quotes = cat.stock_prices(spark, sf_dir).select("ticker", F.col("date").alias("quote_date"), "close")
+    out = asof_join(lines, quotes, ["ticker"], "date", "quote_date", day_buckets(30))
+    return out.select("order_id", "product_id", "date", "ticker", "match.quote_date", "match.close")

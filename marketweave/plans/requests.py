@@ -16,6 +16,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.dates import parse_mixed
 from ..functions.exprs import blank_to_null, map_values
 from ..operators.quality import error_list
 from ..session import materialize
@@ -27,8 +28,9 @@ from .ingest import CATEGORY_MAP
 VALID_CATEGORIES = ["Electronics", "Accessories", "Office"]
 VALID_REGIONS = ["North", "East", "South", "West"]
 VALID_TICKERS = ["NVDA", "SAMSUNG", "SONY"]
-MAX_DATE = "2025-03-31"
-VALID_YEARS = (2022, 2025)
+# Layouts of a request's date, tried in this order.
+REQUEST_DATES = ["yyyy-MM-dd", "MM/dd/yyyy", "d MMM yyyy", "MMMM d, yyyy", "yyyy/MM/dd", "yyyyMMdd", "dd.MM.yyyy",
+                 "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "MM/dd/yyyy HH:mm"]
 
 # API region -> sales region of the model's one-hot columns.
 API_REGION = {"north": "EUROPE", "east": "ASIA", "south": "AFRICA", "west": "AMERICA"}
@@ -41,7 +43,7 @@ REQUEST_FIELDS = ["state", "region", "holiday", "ticker", "commodity", "category
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request per order, with the input dirt a web form produces (blank
-    fields, lower-case tickers, unknown values, bad or late dates)."""
+    fields, lower-case tickers, unknown values, dates in several layouts, bad or late ones)."""
     o = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate",
                    "o_orderstatus", "o_orderpriority")
     c = read_table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment")
@@ -58,9 +60,11 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     commodity = F.when(st == "O", "copper").when(st == "P", "oil").otherwise("")
     year = (F.when(pr == "3-MEDIUM", F.lit(None).cast("int"))
              .otherwise(F.year("o_orderdate") + F.when((pr == "5-LOW") | (st == "P"), 1).otherwise(0)))
+    written = lambda d: (F.when(st == "O", F.date_format(d, "MM/dd/yyyy")).when(st == "P", F.date_format(d, "d MMM yyyy"))
+                         .otherwise(F.date_format(d, "yyyy-MM-dd")))
     date = (F.when(pr == "2-HIGH", F.lit(""))
              .when((pr == "5-LOW") & (st == "P"), F.lit("not-a-date"))
-             .otherwise(F.date_format(F.date_add(F.to_date("o_orderdate"), F.when((pr == "1-URGENT") & (st == "P"), 400).otherwise(90)), "yyyy-MM-dd")))
+             .otherwise(written(F.date_add(F.to_date("o_orderdate"), F.when((pr == "1-URGENT") & (st == "P"), 400).otherwise(90)))))
     return j.select(F.col("o_orderkey").alias("request_id"), F.lit("").alias("state"),
                     region.alias("region"), holiday.alias("holiday"), ticker.alias("ticker"),
                     commodity.alias("commodity"), category.alias("category"),
@@ -75,11 +79,10 @@ def clean_requests(req: DataFrame) -> DataFrame:
     return out.withColumn("ticker", F.upper("ticker"))
 
 
-def validate_requests(req: DataFrame, max_date: str = MAX_DATE,
-                      years: tuple[int, int] = VALID_YEARS) -> DataFrame:
+def validate_requests(req: DataFrame, max_date: str, years: tuple[int, int]) -> DataFrame:
     """V1: adds ``errors`` (array of failed checks), ``is_valid`` and the parsed
     ``req_date``. Dates are compared as dates (D8)."""
-    r = clean_requests(req).withColumn("req_date", F.try_to_date("date", "yyyy-MM-dd"))
+    r = clean_requests(req).withColumn("req_date", F.to_date(parse_mixed("date", REQUEST_DATES)))
     mx = _dt.date.fromisoformat(max_date)
     checks = [
         ("category", F.col("category").isNotNull() & ~F.col("category").isin(VALID_CATEGORIES)),

@@ -43,7 +43,7 @@ QUERIES: dict[str, QueryFn] = {
     "commodity_pivot": ts.commodity_wide,
     "annual_to_daily": ts.annual_to_daily,
     "annual_extend": ts.annual_extend,
-    "linear_extrapolate": lambda s, d: ts.linear_extrapolate(s, d, 1995, 2000),
+    "linear_extrapolate": ts.linear_extrapolate,
     "unpivot_years": ts.unpivot_years,
     "region_month_pivot": rp.region_month_pivot,
     "category_distribution": rp.category_distribution,
@@ -52,6 +52,7 @@ QUERIES: dict[str, QueryFn] = {
     "first_15": rp.first_15,
     "latest_per_ticker": rp.latest_per_ticker,
     "null_to_zero_rounded": rp.null_to_zero_rounded,
+    "price_at_sale": rp.price_at_sale,
     "sales_clean": ig.sales_clean,
     "null_profile": ig.null_profile,
     "sales_loaded": ig.sales_loaded,

@@ -240,6 +240,12 @@ def line_part_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi"))
 
 
+def quoted_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(product_id, ticker): products of the quoted brands."""
+    p = read_table(spark, sf_dir, "part", "p_partkey", "p_brand").filter(F.col("p_brand").isin(list(BRAND_TICKER)))
+    return p.select(F.col("p_partkey").alias("product_id"), _case("p_brand", BRAND_TICKER).alias("ticker"))
+
+
 def stock_prices(spark: SparkSession, sf_dir: str, base: DataFrame | None = None,
                  tickers: list[str] | None = None) -> DataFrame:
     """stock_prices(date, ticker, open, high, low, close, volume); unique per (date, ticker).
