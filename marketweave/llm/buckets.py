@@ -77,9 +77,10 @@ def unconnected(rows: DataFrame, size: Block, values: Column, all_parts: bool =
     return rows.join(wide.select("key", F.col("main").alias("_main")), "key").withColumn("main", F.col("component") == F.col("_main")).drop("_main")
 
 
-def across(rows: DataFrame, load: DataFrame, size: Block, what: Compare, schema: str, values: Column) -> DataFrame:
+def across(rows: DataFrame, load: DataFrame, size: Block, what: Compare, schema: str, values: Column, then: dict[str, Column] | None = None) -> DataFrame:
     """``what`` over the members outside a bucket's main component (``main``
-    false) against all its members of other components, in blocks; else like ``inside``."""
+    false) against all its members of other components, in blocks; else like ``inside``.
+    ``then``: columns of a row and its load, worked out before it is sent."""
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         left = g["outer"].to_numpy()
@@ -94,7 +95,8 @@ def across(rows: DataFrame, load: DataFrame, size: Block, what: Compare, schema:
     place = lambda n, salt: F.pmod(F.xxhash64("id", "fa", F.lit(salt)), F.col(n))
     every = dealt.withColumns({"outer": F.lit(False), "j": place("nj", 1), "i": F.explode(F.sequence(F.lit(0).cast("long"), F.col("ni") - 1))})
     outer = dealt.filter("NOT main").withColumns({"outer": F.lit(True), "i": place("ni", 2), "j": F.explode(F.sequence(F.lit(0).cast("long"), F.col("nj") - 1))})
-    return _run(every.unionByName(outer).drop("ni", "nj").join(load, ["id", "fa"]), one, schema)
+    sent = every.unionByName(outer).drop("ni", "nj")
+    return _run(sent.join(load, ["id", "fa"]).withColumns(then or {}), one, schema)
 
 
 def once(members: DataFrame) -> DataFrame:

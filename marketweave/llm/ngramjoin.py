@@ -87,21 +87,21 @@ def _shortened(nodes: DataFrame) -> DataFrame:
 
 
 def _postings(nodes: DataFrame) -> DataFrame:
-    """(token, id, fa, n, place) of each shingle of each node's prefix."""
+    """(token, id, fa, place) of each shingle of each node's prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 b = batch.slice(at, 500)
-                sets = neardup.unpacked(x.as_py() for x in b.column(3))
+                sets = neardup.unpacked(x.as_py() for x in b.column(2))
                 size = np.array([len(u) for u in sets])
                 row = pa.array(np.repeat(np.arange(len(sets)), size))
                 token = np.concatenate(sets).astype(np.int64)
                 place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
-                yield pa.RecordBatch.from_arrays([pa.array(token), *[b.column(k).take(row) for k in range(3)], pa.array(place.astype(np.int32))],
-                                                 names=["token", "id", "fa", "n", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(token), *[b.column(k).take(row) for k in range(2)], pa.array(place.astype(np.int32))],
+                                                 names=["token", "id", "fa", "place"])
 
-    return nodes.select("id", "fa", "n", "prefix").mapInArrow(run, "token long, id long, fa long, n long, place int")
+    return nodes.select("id", "fa", "prefix").mapInArrow(run, "token long, id long, fa long, place int")
 
 
 def chosen(n: int, place: np.ndarray, df: np.ndarray, token: np.ndarray, p: Params) -> list[tuple[int, np.ndarray]]:
@@ -128,8 +128,8 @@ def chosen(n: int, place: np.ndarray, df: np.ndarray, token: np.ndarray, p: Para
     return out[:best[1]]
 
 
-def _lookups(shared: DataFrame, p: Params) -> DataFrame:
-    """(key, id, fa, n, level, own): the buckets of each node with a possible
+def _lookups(shared: DataFrame, sizes: DataFrame, p: Params) -> DataFrame:
+    """(key, id, fa, level, own): the buckets of each node (id, fa, n of ``sizes``) with a possible
     partner; ``level`` its own, ``own``: whether the bucket is of that level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,15 +144,23 @@ def _lookups(shared: DataFrame, p: Params) -> DataFrame:
                 levels = chosen(n, place, df, token, p)
                 for m, look in levels:
                     key = mix(token[look].view(np.uint64) * np.uint64(64) + np.uint64(m)).view(np.int64)
-                    found.append((key, id_, fa, n, levels[-1][0], m == levels[-1][0]))
+                    found.append((key, id_, fa, levels[-1][0], m == levels[-1][0]))
             if found:
                 size = [len(k) for k, *_ in found]
-                rest = [np.repeat(np.array([f[k] for f in found]), size) for k in range(1, 6)]
+                rest = [np.repeat(np.array([f[k] for f in found]), size) for k in range(1, 5)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for k, *_ in found])), *map(pa.array, rest)],
-                                                 names=["key", "id", "fa", "n", "level", "own"])
+                                                 names=["key", "id", "fa", "level", "own"])
 
-    held = shared.groupBy("id", "fa").agg(F.first("n").alias("n"), F.collect_list(F.struct("place", "df", "token")).alias("held"))
-    return held.mapInArrow(run, "key long, id long, fa long, n long, level long, own boolean")
+    held = shared.groupBy("id", "fa").agg(F.collect_list(F.struct("place", "df", "token")).alias("held"))
+    return held.join(sizes, ["id", "fa"]).select("id", "fa", "n", "held").mapInArrow(run, "key long, id long, fa long, level long, own boolean")
+
+
+def _asked(hits: DataFrame) -> DataFrame:
+    """Lookups in buckets of two and more members that are of somebody's own
+    level; of buckets with the same members one. ``size`` is added."""
+    same = (hits.groupBy("key").agg(F.bool_or("own").alias("own"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("id", "fa")).alias("who"))
+            .filter("own AND size > 1").groupBy("who", "size").agg(F.min("key").alias("key")).select("key", "size"))
+    return hits.drop("own").join(same, "key")
 
 
 def _matched(prefix: list[np.ndarray], g: pd.DataFrame, x: np.ndarray, y: np.ndarray, pairs: np.ndarray, p: Params) -> np.ndarray:
@@ -234,8 +242,9 @@ def jaccard_components(docs: DataFrame, p: Params = Params(), doc_id: str = "doc
     Columns other than the two named ones are not read. No rows give no rows.
     """
     values, edge, both = F.col("n"), "a long, b long", ["key", "id", "fa"]
-    rows = materialize(prefixes(docs, p, doc_id, text), "prefixes")
-    sets = (rows.filter("n > 0 and doc_id is not null").groupBy("fa", "fb")
+    found = prefixes(docs, p, doc_id, text)
+    rows = materialize(found.drop("prefix"), "rows")    # prefixes are worked out twice rather than written twice
+    sets = (found.filter("n > 0 and doc_id is not null").groupBy("fa", "fb")
             .agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
     nodes = materialize(sets, "nodes")
     # of an id's only set the fingerprint needn't travel
@@ -243,25 +252,27 @@ def jaccard_components(docs: DataFrame, p: Params = Params(), doc_id: str = "doc
     told = nodes.join(several, F.col("id") == F.col("_i"), "left").withColumn("fa", F.when(F.col("_i").isNull(), 0).otherwise(F.col("fa")))
     postings = _postings(told)
     df = postings.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    hits = materialize(_lookups(postings.join(df, "token"), p), "lookups")
-    asked = hits.groupBy("key").agg(F.bool_or("own").alias("own")).filter("own").select("key")
-    hits = materialize(once(hits.drop("own").join(asked, "key")), "hits")
+    sizes = told.select("id", "fa", "n")
+    hits = materialize(_lookups(postings.join(df, "token"), sizes, p), "lookups")
+    hits = materialize(_asked(hits).join(sizes, ["id", "fa"]), "hits")
     prefix = materialize(_shortened(told)
                          .join(hits.select("id", "fa").distinct(), ["id", "fa"], "left_semi"), "short")
 
     def verified(member: DataFrame, meet: Callable[..., DataFrame]) -> DataFrame:
         full = neardup.sets_of(docs, member.select("id").distinct(), neardup.Params(shingle=p.shingle), doc_id, text)
         full = full.join(several, F.col("id") == F.col("_i"), "left").withColumn("fa", F.when(F.col("_i").isNull(), 0).otherwise(F.col("fa"))).drop("_i")
-        return materialize(meet(member, materialize(full, "sets"), p.block, _verified(p), edge, values).distinct(), "links")
+        return materialize(meet(member, full, p.block, _verified(p), edge, values).distinct(), "links")
 
     first = hits.join(hits.groupBy("id", "fa").agg(F.max_by("key", F.struct("size", "key")).alias("key")), both)
     likely = materialize(inside(first, prefix, p.block, _candidates(p, False), neardup.MEMBER, values).distinct(), "likely")
     links = verified(first.join(likely, both), inside)
     left = materialize(unconnected(neardup.contracted(hits, links), p.block, values, all_parts=True), "unconnected")
     if not left.isEmpty():
+        # of its keys a member needs those before the bucket's
         keys = lambda rows: rows.groupBy("id", "fa").agg(F.collect_list("key").alias("keys"))
-        met = materialize(across(left, keys(left), p.block, _fitting(p), neardup.MEMBER, values).distinct(), "met")
+        below = {"keys": F.expr("filter(keys, k -> k < key)")}
+        met = materialize(across(left, keys(left), p.block, _fitting(p), neardup.MEMBER, values, below).distinct(), "met")
         left = left.join(met, both)
-        likely = materialize(across(left, prefix.join(keys(met), ["id", "fa"]), p.block, _candidates(p, True), neardup.MEMBER, values).distinct(), "likely")
+        likely = materialize(across(left, prefix.join(keys(met), ["id", "fa"]), p.block, _candidates(p, True), neardup.MEMBER, values, below).distinct(), "likely")
         links = links.union(verified(once(left.join(likely, both)), across))
     return neardup.with_components(rows, nodes, links)
