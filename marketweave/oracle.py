@@ -894,6 +894,52 @@ _INPUTS = _FEATURES + [f"Category_{_lvl(c)}" for c in _CATS] + [f"Region_{_lvl(g
 
 q("ols_optimality", "SELECT unnest([" + ", ".join(f"'{c}'" for c in [*_INPUTS, "intercept"]) + "]) AS input, CAST(0 AS DOUBLE) AS slope")
 
+# The fit in SQL: centred products, scaled to correlations, swept pivot by pivot
+# (a pivot below 1e-9 is a collinear column and stays out).
+_P = len(_INPUTS)
+
+q("ols_mae", _CAL + _DAYS + f"""
+, ft AS ({_FEATURE_TABLE})
+, ranked AS (SELECT *, row_number() OVER (ORDER BY date, order_id, product_id, sales) AS r, count(*) OVER () AS n FROM ft)
+, marked AS (
+  SELECT r > n - CAST(ceil(round(0.2 * n, 9)) AS BIGINT) AS test,
+         [{", ".join(f"CAST({c} AS DOUBLE)" for c in [*_INPUTS, "sales"])}] AS x
+  FROM ranked
+)
+, places AS (SELECT unnest(range(1, {_P + 2})) AS i)
+, means AS (SELECT list(m ORDER BY i) AS m FROM (SELECT i, avg(x[i]) AS m FROM marked, places WHERE NOT test GROUP BY i))
+, centred AS (SELECT test, list_transform(list_zip(x, m), lambda v: v[1] - v[2]) AS z FROM marked, means)
+, cells AS (SELECT z[:{_P}] AS z, count(*) AS w, sum(z[{_P + 1}]) AS t FROM centred WHERE NOT test GROUP BY ALL)
+, gram AS (
+  SELECT a.i, b.i AS j, sum(CASE WHEN b.i = {_P + 1} THEN z[a.i] * t ELSE w * z[a.i] * z[b.i] END) AS v
+  FROM cells, places a, places b WHERE a.i <= {_P} GROUP BY ALL
+)
+, scales AS (SELECT i, CASE WHEN v > 0 THEN sqrt(v) ELSE 1 END AS d FROM gram WHERE i = j)
+, matrix AS (
+  SELECT list(line ORDER BY i) AS m FROM (
+    SELECT p.i, list(v / a.d / coalesce(b.d, 1) ORDER BY j) AS line
+    FROM gram p JOIN scales a ON p.i = a.i LEFT JOIN scales b ON p.j = b.i GROUP BY p.i)
+)
+, solved AS (
+  WITH RECURSIVE swept AS (
+    SELECT 1 AS k, m, CAST([] AS INTEGER[]) AS taken FROM matrix
+    UNION ALL
+    SELECT k + 1,
+           CASE WHEN m[k][k] < 1e-9 THEN m ELSE list_transform(m, lambda line, i:
+             list_transform(line, lambda v, j: CASE WHEN i = k THEN v / m[k][k] ELSE v - line[k] * m[k][j] / m[k][k] END)) END,
+           CASE WHEN m[k][k] < 1e-9 THEN taken ELSE list_append(taken, k) END
+    FROM swept WHERE k <= {_P}
+  )
+  SELECT m, taken FROM swept WHERE k = {_P + 1}
+)
+, slopes AS (
+  SELECT list(CASE WHEN list_contains(taken, CAST(i AS INTEGER)) THEN m[i][{_P + 1}] / d ELSE 0 END ORDER BY i) AS b FROM solved, scales
+)
+SELECT count(*) FILTER (NOT test) AS n_train, count(*) FILTER (test) AS n_test,
+       round(avg(abs(z[{_P + 1}] - list_dot_product(z[:{_P}], b))) FILTER (test), 4) AS mae
+FROM centred, slopes
+""")
+
 _MARKET = ["inflation_india", "interest_rate", "lithium_price_usd", "price_aluminum", "price_copper", "price_crude_oil"]
 
 q("score_features", _REQUESTS + _CONTEXT + _CAL_LONG + _DAYS + f"""

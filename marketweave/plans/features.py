@@ -41,7 +41,7 @@ def region_levels(spark: SparkSession, sf_dir: str) -> list[str]:
     return sorted(r[0] for r in cat.regions(spark, sf_dir).select("region").distinct().collect())
 
 
-def daily_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+def daily_features(spark: SparkSession, sf_dir: str, daily: DataFrame | None = None) -> DataFrame:
     """One row per calendar day, up to the horizon, with every day-level feature
     (days after the last sale have only calendar, yearly and price features).
 
@@ -49,9 +49,11 @@ def daily_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     series) are each computed once and written to the shared folder (all are
     bounded by the calendar), so the fact is joined once for the daily
     totals, and the quote and commodity series are the only other fact passes.
+    ``daily`` (date, sales): the daily revenue, if the caller has it already.
     """
-    daily = materialize(cat.daily_totals(spark, sf_dir).select(
-        "date", F.col("revenue").alias("sales")), "daily_revenue")
+    if daily is None:
+        daily = cat.daily_totals(spark, sf_dir).select("date", F.col("revenue").alias("sales"))
+    daily = materialize(daily, "daily_revenue")
     cal = materialize(ts.sales_calendar(spark, sf_dir, cat.HORIZON_DAYS), "calendar").withColumn("year", F.year("date"))
     lags = ts.lag_rolling(daily, "sales").drop("sales")
     # Quotes and commodity prices share one lineitem x part pass.

@@ -5,10 +5,10 @@ Every feature is a function of (day, category, region), so the least-squares
 fit needs one row per such cell: the number of its lines as weight and their
 mean as label give the same normal equations as the lines themselves. The
 fact is aggregated once; only the day that holds the train / test cut is
-ranked line by line. The fit is Spark ML's ``LinearRegression`` (no
-regularisation) behind a ``VectorAssembler``. With every one-hot level plus an
-intercept the design is collinear: coefficients are not unique, predictions
-are - compare predictions, never coefficients.
+ranked line by line. The fit (``operators.leastsq``) needs only the cells' means
+and products. With every one-hot level plus an intercept the design is
+collinear; of the solutions the one of smallest norm is taken, predictions are
+the same for all.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import math
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import calendar_columns
 from ..operators import windows as W
+from ..operators.leastsq import LinearModel, least_squares
 from ..operators.rank import global_rank
 from ..operators.reshape import feature_vector_columns
 from ..session import materialize
@@ -55,7 +56,7 @@ class Split:
 class Fitted(Split):
     """A trained model and the split it was trained on."""
 
-    model: PipelineModel
+    model: LinearModel
 
     def test_lines(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         """Held-out lines (ORDER + category, region) with ``prediction``."""
@@ -76,6 +77,7 @@ def _lines(spark: SparkSession, sf_dir: str, **days) -> DataFrame:
 
 
 def build_pipeline(cols: list[str], weight: str | None = None) -> Pipeline:
+    """The same regression as a Spark ML pipeline, for other estimators' stages."""
     va = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="error")
     lr = LinearRegression(featuresCol="features", labelCol="label", predictionCol="prediction",
                           regParam=0.0, elasticNetParam=0.0, solver="normal", fitIntercept=True)
@@ -85,11 +87,12 @@ def build_pipeline(cols: list[str], weight: str | None = None) -> Pipeline:
 def split_sales(spark: SparkSession, sf_dir: str, test_fraction: float = 0.2) -> Split:
     """The cut before the last ``test_fraction`` of the lines in the order
     of ORDER (lines of days with a missing feature take no part)."""
-    cols = model_columns(spark, sf_dir)
-    days = fe.daily_features(spark, sf_dir).na.drop(subset=fe.FEATURES)
-    cells = (_lines(spark, sf_dir).groupBy(*CELL).agg(F.count("sales").alias("n"), F.sum("sales").alias("total"))
-             .join(F.broadcast(days), "date"))
-    cells = materialize(fe.with_one_hots(cells, fe.region_levels(spark, sf_dir))
+    regions = fe.region_levels(spark, sf_dir)
+    cols = fe.FEATURES + fe.one_hot_columns(regions)
+    sums = materialize(_lines(spark, sf_dir).groupBy(*CELL).agg(F.count("sales").alias("n"), F.sum("sales").alias("total")), "cell_sums")
+    daily = sums.groupBy("date").agg(F.sum("total").cast("decimal(38,4)").alias("sales"))
+    days = fe.daily_features(spark, sf_dir, daily).na.drop(subset=fe.FEATURES)
+    cells = materialize(fe.with_one_hots(sums.join(F.broadcast(days), "date"), regions)
                         .withColumns({c: F.col(c).cast("double") for c in cols}), "model_cells")
     per_day = cells.groupBy("date").agg(F.sum("n").alias("n"))
     n = per_day.agg(F.sum("n")).first()[0] or 0
@@ -113,21 +116,19 @@ def fit_sales_model(spark: SparkSession, sf_dir: str, test_fraction: float = 0.2
             .select(*[F.col(c).alias(f"_{c}") for c in CELL], F.col("n").alias("_n"), F.col("total").alias("_t")))
     first = cells.join(F.broadcast(some), [cells[c].eqNullSafe(some[f"_{c}"]) for c in CELL]).select(
         F.col("_n").alias("n"), (F.col("_t").cast("double") / F.col("_n")).alias("label"), *cols)
-    model = build_pipeline(cols, "n").fit(train.unionByName(first))
+    model = least_squares(train.unionByName(first), cols, "label", "n")
     return Fitted(cols, cells, cut_day, on_cut, model)
 
 
 def save_model(fitted: Fitted, path: str) -> None:
     """K3: the model and its ordered feature list, for any later application."""
-    fitted.model.write().overwrite().save(f"{path}/model")
-    spark = fitted.cells.sparkSession
-    spark.createDataFrame(list(enumerate(fitted.columns)), "position int, name string").coalesce(1).write.mode("overwrite").json(f"{path}/columns")
+    fitted.model.save(fitted.cells.sparkSession, f"{path}/model")
 
 
-def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, list[str]]:
+def load_model(spark: SparkSession, path: str) -> tuple[LinearModel, list[str]]:
     """The model and feature list that ``save_model`` wrote."""
-    names = spark.read.schema("position int, name string").json(f"{path}/columns").orderBy("position").collect()
-    return PipelineModel.load(f"{path}/model"), [r["name"] for r in names]
+    model = LinearModel.load(spark, f"{path}/model")
+    return model, model.columns
 
 
 def split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
