@@ -60,13 +60,14 @@ def least_squares(rows: DataFrame, columns: list[str], label: str, weight: str |
     x = F.array(*[F.col(c).cast("double") for c in names])
     known = rows.select(x.alias("x"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")).filter("w > 0")
     known = known.filter(~F.exists("x", lambda v: v.isNull()))
-    first = known.agg(F.sum("w"), *[F.sum(F.col("w") * F.col("x")[k]) for k in range(p + 1)]).first()
+    at = range(p + 1)
+    first = known.selectExpr("sum(w)", *[f"sum(w * x[{k}])" for k in at]).first()
     if first[0] is None:
         return LinearModel(list(columns), [0.0] * p, [0.0] * p, None)
     mean = [s / first[0] for s in first[1:]]
-    centred = known.select("w", F.array(*[F.col("x")[k] - F.lit(mean[k]) for k in range(p + 1)]).alias("z"))
-    sides = centred.select("w", "z", F.posexplode("z").alias("i", "zi"))
-    sums = sides.groupBy("i").agg(*[F.sum(F.col("w") * F.col("zi") * F.col("z")[k]).alias(f"s{k}") for k in range(p + 1)]).collect()
+    centred = known.select("w", F.zip_with("x", F.lit(mean), lambda v, m: v - m).alias("z"))
+    sides = centred.selectExpr("w", "z", "posexplode(z) AS (i, zi)")
+    sums = sides.groupBy("i").agg(*[F.expr(f"sum(w * zi * z[{k}])") for k in at]).collect()
     gram = np.zeros((p + 1, p + 1))     # p + 1 rows
     for r in sums:
         gram[r["i"]] = r[1:]

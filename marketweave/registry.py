@@ -70,9 +70,9 @@ QUERIES: dict[str, QueryFn] = {
     "commodity_analytics": lambda s, d: ep.commodity_analytics(s, d, "Copper"),
     "macro_analytics": ep.macro_analytics,
     "stock_analytics": lambda s, d: ep.stock_analytics(s, d, "nvda"),
-    # Model fits and forecasts. Predictions have no SQL; their inputs, splits
-    # and optimality conditions have (split_sizes, score_features,
-    # ols_optimality, forecast_frame, forecast_balance).
+    # Model fits and forecasts. Single predictions have no SQL; their inputs,
+    # splits, mean error and optimality conditions have (split_sizes, ols_mae,
+    # score_features, ols_optimality, forecast_frame, forecast_balance).
     "ols_predict": ml.ols_predict,
     "ols_mae": ml.ols_mae,
     "ols_optimality": ml.ols_optimality,
