@@ -348,6 +348,19 @@ def test_near_duplicates_match_all_pairs(spark, p):
     assert got == _brute_components(rows, p.shingle, p.percent)
 
 
+def test_long_texts_split_when_confirmed_still_link(spark):
+    """Registers of a bucket fit a block, its shingles don't."""
+    r = random.Random(11)
+    rows = []
+    for g in range(12):
+        base = [f"w{g}_{r.randrange(10**6)}" for _ in range(2500)]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base[:-40]))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    p = neardup.Params(shingle=3, percent=85, block_values=4000)
+    got = sorted(tuple(x) for x in neardup.near_duplicates(d, p).collect())
+    assert got == [(i, len(t.split()) - 2, i - i % 2, i % 2 == 0) for i, t in rows]
+
+
 def test_texts_under_one_id_are_linked(spark):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
     rows = [(3, a), (5, a), (5, b), (7, b), (9, c), (9, c), (9, ""), (8, c), (11, d), (12, None), (12, "")]
