@@ -77,6 +77,20 @@ def unconnected(rows: DataFrame, size: Block, values: Column, all_parts: bool =
     return rows.join(wide.select("key", F.col("main").alias("_main")), "key").withColumn("main", F.col("component") == F.col("_main")).drop("_main")
 
 
+def _cuts(rows: DataFrame, size: Block, values: Column) -> DataFrame:
+    """(key, nj, ni): half blocks that the members of each bucket take, and those outside its main component."""
+    half = lambda b: F.greatest(F.lit(1), F.ceil(2 * b))
+    few = F.when(~F.col("main"), 1)
+    return rows.groupBy("key").agg(half(_blocks(values, size)).alias("nj"), half(F.greatest(
+        F.count(few) / size.members, F.coalesce(F.sum(F.when(~F.col("main"), values)), F.lit(0)) / size.values)).alias("ni"))
+
+
+def crowded(rows: DataFrame, size: Block, values: Column) -> DataFrame:
+    """Keys of the buckets that ``across`` would send many times over: what is
+    outside the main component (``main`` false) takes several half blocks."""
+    return _cuts(rows, size, values).filter("ni > 1").select("key")
+
+
 def across(rows: DataFrame, load: DataFrame, size: Block, what: Compare, schema: str, values: Column, then: dict[str, Column] | None = None) -> DataFrame:
     """``what`` over the members outside a bucket's main component (``main``
     false) against all its members of other components, in blocks; else like ``inside``.
@@ -87,10 +101,7 @@ def across(rows: DataFrame, load: DataFrame, size: Block, what: Compare, schema:
         x, y, c = np.flatnonzero(left), np.flatnonzero(~left), g["component"].to_numpy()
         return what(g, x, y, c[x][:, None] != c[y][None, :])
 
-    half = lambda b: F.greatest(F.lit(1), F.ceil(2 * b))
-    few = F.when(~F.col("main"), 1)
-    cuts = rows.groupBy("key").agg(half(_blocks(values, size)).alias("nj"), half(F.greatest(
-        F.count(few) / size.members, F.coalesce(F.sum(F.when(~F.col("main"), values)), F.lit(0)) / size.values)).alias("ni"))
+    cuts = _cuts(rows, size, values)
     dealt = rows.join(cuts, "key")
     place = lambda n, salt: F.pmod(F.xxhash64("id", "fa", F.lit(salt)), F.col(n))
     every = dealt.withColumns({"outer": F.lit(False), "j": place("nj", 1), "i": F.explode(F.sequence(F.lit(0).cast("long"), F.col("ni") - 1))})

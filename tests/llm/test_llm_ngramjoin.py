@@ -6,6 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marketweave.llm import ngramjoin
 from marketweave.llm.buckets import Block
@@ -64,6 +65,25 @@ def test_components_match_all_pairs(spark, p):
     assert sorted((str(a), b, str(c)) for a, b, c in out.collect()) == brute(rows, p.shingle, p.percent)
 
 
+def test_crowded_buckets_are_thinned(spark, monkeypatch):
+    """A passage that is most of many texts doesn't send each of them to every block."""
+    r = random.Random(5)
+    passage = [f"p{i}" for i in range(70)]
+    rows = [(i, " ".join(passage + [f"w{r.randrange(80)}" for _ in range(30)])) for i in range(150)]
+    rows += [(1000 + i, " ".join([*rows[i][1].split()[:-1], "end"])) for i in range(0, 150, 10)]
+    rows += [(2000 + i, " ".join(passage[:69] + [f"x{i % 4}"])) for i in range(4)]
+    sent, real = [], ngramjoin.across
+
+    def across(members, *more):
+        sent.append(sum(c * max(1, -(-2 * n // 8)) for _, n, c in members.groupBy("key").agg(F.count("*"), F.count(F.when(~F.col("main"), 1))).collect()))
+        return real(members, *more)
+
+    monkeypatch.setattr(ngramjoin, "across", across)
+    out = ngramjoin.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), ngramjoin.Params(block=Block(8, 10**6)))
+    assert sorted((str(a), b, str(c)) for a, b, c in out.collect()) == brute(rows, 4, 85)
+    assert sum(sent) < 5 * len(rows)
+
+
 def test_texts_of_one_id_and_no_rows(spark):
     a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
     rows = [(3, a), (5, a), (5, b), (7, b), (8, None), (9, "c")]
