@@ -311,11 +311,12 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id
 
     # inside the parts of each bucket; then, of buckets of several parts, across those not yet connected
     likely = materialize(inside(hits, sketched, size, _likely(p), MEMBER, registers).distinct(), "likely")
-    links = confirmed(materialize(once(hits.join(likely, ["key", "id", "fa"])).drop("size"), "likely"), inside)
+    likely = materialize(hits.join(likely, ["key", "id", "fa"]), "likely")
+    links = confirmed(materialize(once(likely).drop("size"), "likely"), inside)
     # a bucket may have taken several parts by its registers or, when confirmed, by its shingles
     left = materialize(unconnected(contracted(hits, links), size, F.greatest(registers, values)), "unconnected")
     if not left.isEmpty():
         likely = materialize(across(left, sketched, size, _likely(p), MEMBER, registers).distinct(), "likely")
-        links = links.union(confirmed(left.join(likely, ["key", "id", "fa"]), across))
+        links = links.union(confirmed(materialize(left.join(likely, ["key", "id", "fa"]), "likely"), across))
     own = with_components(rows, nodes, links)
     return own.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

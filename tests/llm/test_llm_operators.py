@@ -361,6 +361,22 @@ def test_long_texts_split_when_confirmed_still_link(spark):
     assert got == [(i, len(t.split()) - 2, i - i % 2, i % 2 == 0) for i, t in rows]
 
 
+def test_members_with_a_likely_partner_are_joined_once(spark, monkeypatch):
+    """What is read several times (buckets told apart, blocks dealt) is a written table, no join."""
+    r, plans = random.Random(3), []
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(base if i == 0 else [w if r.random() > 0.04 else f"x{r.randrange(99)}" for w in base])) for i in range(60)]
+    for name in ("once", "inside", "across"):
+        def spied(members, *more, real=getattr(neardup, name)):
+            plans.append(members._jdf.queryExecution().optimizedPlan().toString())
+            return real(members, *more)
+        monkeypatch.setattr(neardup, name, spied)
+    p = neardup.Params(shingle=3, percent=85, block=8)
+    got = sorted(tuple(x) for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), p).collect())
+    assert got == _brute_components(rows, 3, 85)
+    assert len(plans) == 6 and not any("Join" in x for x in plans)
+
+
 def test_texts_under_one_id_are_linked(spark):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
     rows = [(3, a), (5, a), (5, b), (7, b), (9, c), (9, c), (9, ""), (8, c), (11, d), (12, None), (12, "")]
