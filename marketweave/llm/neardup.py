@@ -133,7 +133,7 @@ def sketches(docs: DataFrame, p: Params, doc_id: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in slices(batch.column(1), lower=True):
+            for s in slices(batch.column(1), max_bytes=500_000, lower=True):
                 sets = list(row_sets(s, p.shingle))
                 n = np.array([len(u) for u in sets], np.int64)
                 some = [u for u in sets if len(u)]
@@ -202,10 +202,12 @@ def _likely(p: Params) -> Compare:
     def what(g: pd.DataFrame, x: np.ndarray, y: np.ndarray, pairs: np.ndarray) -> pd.DataFrame:
         n = g["n"].to_numpy()
         reg = np.frombuffer(b"".join(g["sketch"]), np.uint16).reshape(len(g), -1)
-        free = np.minimum(np.minimum(n[x][:, None], n[y][None, :]), p.registers)
         ok = pairs & sized(n[x], n[y], p.percent)
-        if ok.any():
-            ok &= estimate(reg[x], reg[y], n[x], n[y], p) >= t - p.sigmas * np.sqrt(t * (1 - t) / free)
+        for at in range(0, len(x), 64):    # strips of rows: floats for all pairs at once would be most of a worker's memory
+            some = slice(at, at + 64)
+            if ok[some].any():
+                free = np.minimum(np.minimum(n[x[some]][:, None], n[y][None, :]), p.registers)
+                ok[some] &= estimate(reg[x[some]], reg[y], n[x[some]], n[y], p) >= t - p.sigmas * np.sqrt(t * (1 - t) / free)
         return marked(g, x, y, ok)
 
     return what
@@ -223,9 +225,9 @@ def intersections(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.nd
     out = np.zeros((len(x), len(y)), np.float32)
     order = np.argsort(code, kind="stable")
     code, owner = code[order], owner[order]
-    for c in range(0, int(shared.sum()), 4096):
-        a, b = np.searchsorted(code, [c, c + 4096])
-        held = np.zeros((len(sets), 4096), np.float32)
+    for c in range(0, int(shared.sum()), 1024):
+        a, b = np.searchsorted(code, [c, c + 1024])
+        held = np.zeros((len(sets), 1024), np.float32)
         held[owner[a:b], code[a:b] - c] = 1
         out += held[x] @ held[y].T
     return out.astype(np.int64)

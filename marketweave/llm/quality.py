@@ -94,7 +94,7 @@ def measure(docs: DataFrame, text: str = "text", window: int = 8) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [_measure(s, window) for s in slices(batch.column(text))]
+            parts = [_measure(s, window) for s in slices(batch.column(text), max_bytes=500_000)]
             arrays = [pa.array(np.concatenate([p[m] for p in parts]) if parts else np.zeros(0, np.int64)) for m in MEASURES]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *MEASURES])
 
