@@ -57,14 +57,14 @@ def _run(dealt: DataFrame, one: Callable[[pd.DataFrame], pd.DataFrame], schema:
 def inside(rows: DataFrame, load: DataFrame, size: Block, what: Compare, schema: str, values: Column) -> DataFrame:
     """``what`` over each part of each bucket. Rows: key, id, fa (which deal
     them, anew in every bucket), and what ``values``, those of a row, reads;
-    ``load`` (id, fa, ...) is added to rows that are dealt."""
+    ``load`` (id, fa, ...) and ``parts``, those of its bucket, are added to a row that is dealt."""
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         all_ = np.arange(len(g))
         return what(g, all_, all_, all_[:, None] < all_[None, :])
 
     parts = rows.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(_blocks(values, size))).alias("parts"))
-    dealt = rows.join(parts, "key").withColumns({"i": F.pmod(F.xxhash64("id", "fa", "key"), F.col("parts")), "j": F.lit(0).cast("long")}).drop("parts")
+    dealt = rows.join(parts, "key").withColumns({"i": F.pmod(F.xxhash64("id", "fa", "key"), F.col("parts")), "j": F.lit(0).cast("long")})
     return _run(dealt.join(load, ["id", "fa"]), one, schema)
 
 

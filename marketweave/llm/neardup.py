@@ -11,25 +11,30 @@ accidental collisions, which leaves only members with a likely partner; then
 by the intersections of their full sets. A block answers with the component
 each member falls in, so pairs are never listed, however many copies meet. A
 bucket larger than a block is compared inside its parts first; only members
-that are not yet connected then meet across parts (``buckets``).
+that are not yet connected then meet across parts (``buckets``). A pair that
+shares several bands meets in the first of them. Where what is not connected
+takes several blocks, and each member would be sent to many, the bucket's
+members meet at the rarest of all their shingles instead (as many as any similar
+set shares one of).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import Block, Compare, across, inside, marked, once, spanning, unconnected
 from .components import components
 from .shared import materialize
 from .textbytes import Slice, mix, slices
+from .thinning import thinned, unpacked
 
 
 MEMBER = "key long, id long, fa long"
@@ -195,14 +200,38 @@ def sized(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(na[:, None], nb[None, :]) >= percent * np.maximum(na[:, None], nb[None, :])
 
 
+def _band_bits(p: Params) -> int:
+    return max(1, (p.bands - 1).bit_length())
+
+
+def _keys(p: Params) -> Column:
+    """A key for each band of a sketch: the band, then a hash of its registers."""
+    width, bits = 2 * p.rows, _band_bits(p)
+    return F.transform(F.sequence(F.lit(0), F.lit(p.bands - 1)), lambda b: F.shiftleft(b.cast("long"), 63 - bits).bitwiseOR(
+        F.shiftrightunsigned(F.xxhash64(b, F.substring("sketch", b * width + 1, F.lit(width))), 1 + bits)))
+
+
+def _met(reg: np.ndarray, x: np.ndarray, y: np.ndarray, band: int, p: Params) -> np.ndarray:
+    """Pairs that share one of the bands before ``band``, so that they meet there."""
+    out = np.zeros((len(x), len(y)), bool)
+    for b in range(band):
+        _, code = np.unique(reg[:, b * p.rows:(b + 1) * p.rows], axis=0, return_inverse=True)
+        out |= code[x][:, None] == code[y][None, :]
+    return out
+
+
 def _likely(p: Params) -> Compare:
-    """Marks members (key, id, fa, n, sketch) with a likely partner."""
+    """Marks members (key, id, fa, n, sketch) with a likely partner. A pair
+    counts in the bucket of its first common band only, unless the bucket is
+    compared inside several ``parts``: each is another chance to meet early."""
     t = p.percent / 100
 
     def what(g: pd.DataFrame, x: np.ndarray, y: np.ndarray, pairs: np.ndarray) -> pd.DataFrame:
         n = g["n"].to_numpy()
         reg = np.frombuffer(b"".join(g["sketch"]), np.uint16).reshape(len(g), -1)
         ok = pairs & sized(n[x], n[y], p.percent)
+        if "parts" not in g or g["parts"].iat[0] == 1:
+            ok &= ~_met(reg, x, y, int(g["key"].iat[0]) >> (63 - _band_bits(p)), p)
         for at in range(0, len(x), 64):    # strips of rows: floats for all pairs at once would be most of a worker's memory
             some = slice(at, at + 64)
             if ok[some].any():
@@ -233,16 +262,6 @@ def intersections(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.nd
     return out.astype(np.int64)
 
 
-def unpacked(shingles: Iterable[bytes]) -> list[np.ndarray]:
-    """Sorted sets from 6 bytes a shingle."""
-    out = []
-    for b in shingles:
-        u = np.zeros((len(b) // 6, 8), np.uint8)
-        u[:, 2:] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-        out.append(u.view(np.uint64).ravel())
-    return out
-
-
 def similar(raw: list[np.ndarray], x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
     """Which sets x are similar to which sets y."""
     n = np.array([len(u) for u in raw])
@@ -299,16 +318,16 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id
     rows = materialize(sketches(docs, p, doc_id, text), "sketches")
     nodes = materialize(rows.filter("n > 0 and doc_id is not null").groupBy("fa", "fb")
                         .agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
-    width = 2 * p.rows
-    band = F.transform(F.sequence(F.lit(0), F.lit(p.bands - 1)),
-                       lambda b: F.xxhash64(b, F.substring("sketch", b * width + 1, F.lit(width))))
-    keyed = nodes.select("id", "fa", "n", F.explode(band).alias("key"))
+    keyed = nodes.select("id", "fa", "n", F.explode(_keys(p)).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
     hits = materialize(once(materialize(keyed.join(shared, "key"), "hits")).drop("size"), "hits")
     sketched = nodes.select("id", "fa", "sketch")
 
+    def full(member: DataFrame) -> DataFrame:
+        return sets_of(docs, member.select("id").distinct(), p, doc_id, text)
+
     def confirmed(likely: DataFrame, meet: Callable[..., DataFrame]) -> DataFrame:
-        sets = materialize(sets_of(docs, likely.select("id").distinct(), p, doc_id, text), "sets")
+        sets = materialize(full(likely), "sets")
         return materialize(meet(likely, sets, size, _linked(p), "a long, b long", values).distinct(), "links")
 
     # inside the parts of each bucket; then, of buckets of several parts, across those not yet connected
@@ -316,7 +335,8 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id
     likely = materialize(hits.join(likely, ["key", "id", "fa"]), "likely")
     links = confirmed(materialize(once(likely).drop("size"), "likely"), inside)
     # a bucket may have taken several parts by its registers or, when confirmed, by its shingles
-    left = materialize(unconnected(contracted(hits, links), size, F.greatest(registers, values)), "unconnected")
+    most = F.greatest(registers, values)
+    left = thinned(materialize(unconnected(contracted(hits, links), size, most), "unconnected"), full, size, p.percent, most)
     if not left.isEmpty():
         likely = materialize(across(left, sketched, size, _likely(p), MEMBER, registers).distinct(), "likely")
         links = links.union(confirmed(materialize(left.join(likely, ["key", "id", "fa"]), "likely"), across))

@@ -28,13 +28,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import neardup
-from .buckets import Block, Compare, across, crowded, inside, marked, once, spanning, unconnected
+from .buckets import Block, Compare, across, inside, marked, once, spanning, unconnected
 from .shared import materialize
 from .textbytes import mix, slices
+from .thinning import postings as _postings
+from .thinning import thinned
 
 
 @dataclass(frozen=True)
@@ -88,24 +90,6 @@ def _shortened(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "fa", "prefix").mapInArrow(run, "id long, fa long, prefix binary")
 
 
-def _postings(nodes: DataFrame, rows: int = 500) -> DataFrame:
-    """(token, id, fa, place) of each shingle of each node's prefix."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                b = batch.slice(at, rows)
-                sets = neardup.unpacked(x.as_py() for x in b.column(2))
-                size = np.array([len(u) for u in sets])
-                row = pa.array(np.repeat(np.arange(len(sets)), size))
-                token = np.concatenate(sets).astype(np.int64)
-                place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
-                yield pa.RecordBatch.from_arrays([pa.array(token), *[b.column(k).take(row) for k in range(2)], pa.array(place.astype(np.int32))],
-                                                 names=["token", "id", "fa", "place"])
-
-    return nodes.select("id", "fa", "prefix").mapInArrow(run, "token long, id long, fa long, place int")
-
-
 def chosen(n: int, place: np.ndarray, df: np.ndarray, token: np.ndarray, p: Params) -> list[tuple[int, np.ndarray]]:
     """The levels under which a node is found, its own last, each with the
     indexes of the shingles to look up; none if it has no partner.
@@ -157,19 +141,6 @@ def _lookups(shared: DataFrame, sizes: DataFrame, p: Params) -> DataFrame:
     return held.join(sizes, ["id", "fa"]).select("id", "fa", "n", "held").mapInArrow(run, "key long, id long, fa long, level long, own boolean")
 
 
-def _rarest(sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """(key, id, fa) of the shingles of each set (id, fa, prefix: the full set; n of
-    ``sizes``) that a similar one among them shares for sure: of its n shingles the
-    n - need + 1 that fewest of the sets hold. Those that no other holds need no look."""
-    postings = _postings(sets, 50)
-    df = postings.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    own = Window.partitionBy("id", "fa")
-    held = postings.join(df, "token").join(sizes, ["id", "fa"]).withColumns({
-        "rank": F.row_number().over(own.orderBy("df", "token")), "held": F.count("*").over(own)})
-    need = F.ceil(F.col("n") * percent / 100)
-    return held.filter(F.col("rank") <= F.col("held") - need + 1).select(F.xxhash64("token", F.lit("rare")).alias("key"), "id", "fa")
-
-
 def _asked(hits: DataFrame) -> DataFrame:
     """Lookups in buckets of two and more members that are of somebody's own
     level; of buckets with the same members one. ``size`` is added."""
@@ -280,23 +251,11 @@ def jaccard_components(docs: DataFrame, p: Params = Params(), doc_id: str = "doc
     def verified(member: DataFrame, meet: Callable[..., DataFrame]) -> DataFrame:
         return materialize(meet(member, full(member), p.block, _verified(p), edge, values).distinct(), "links")
 
-    def thinned(left: DataFrame) -> DataFrame:
-        """Members of crowded buckets by the rarest of all their shingles instead."""
-        crowd = materialize(crowded(left, p.block, values), "crowded")
-        if crowd.isEmpty():
-            return left
-        member = materialize(left.join(crowd, "key").select("id", "fa", "n", "level", "component").distinct(), "crowd")
-        sets = full(member).groupBy("id", "fa").agg(F.first("shingles").alias("prefix"))
-        sets = materialize(sets.join(member.select("id", "fa"), ["id", "fa"], "left_semi"), "sets")
-        rare = materialize(once(materialize(_rarest(sets, member.select("id", "fa", "n"), p.percent), "rare")).join(member, ["id", "fa"]), "rare")
-        rare = unconnected(rare, p.block, values, all_parts=True)
-        return materialize(left.join(crowd, "key", "left_anti").unionByName(rare), "unconnected")
-
     first = hits.join(hits.groupBy("id", "fa").agg(F.max_by("key", F.struct("size", "key")).alias("key")), both)
     likely = materialize(inside(first, prefix, p.block, _candidates(p, False), neardup.MEMBER, values).distinct(), "likely")
     links = verified(first.join(likely, both), inside)
     left = materialize(unconnected(neardup.contracted(hits, links), p.block, values, all_parts=True), "unconnected")
-    left = thinned(left)
+    left = thinned(left, full, p.block, p.percent, values)
     if not left.isEmpty():
         # of its keys a member needs those before the bucket's
         keys = lambda rows: rows.groupBy("id", "fa").agg(F.collect_list("key").alias("keys"))

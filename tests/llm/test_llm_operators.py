@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marketweave.llm import chat, components, knn, linededup, mixing, neardup, packing, pii, quality, substring, textbytes, toxicity
+from marketweave.llm import buckets, chat, components, knn, linededup, mixing, neardup, packing, pii, quality, substring, textbytes, toxicity
 from marketweave.llm.queries import word_vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -377,6 +377,42 @@ def test_members_with_a_likely_partner_are_joined_once(spark, monkeypatch):
     assert len(plans) == 6 and not any("Join" in x for x in plans)
 
 
+def test_a_pair_is_confirmed_in_its_first_common_band(spark, monkeypatch):
+    r, sent = random.Random(5), []
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(w if r.random() > 0.02 else f"x{i}_{j}" for j, w in enumerate(base))) for i in range(40)]
+
+    def spied(members, *more, real=neardup.inside):
+        sent.append(members.count())
+        return real(members, *more)
+
+    monkeypatch.setattr(neardup, "inside", spied)
+    got = sorted(tuple(x) for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), neardup.Params(shingle=3, percent=85)).collect())
+    assert got == _brute_components(rows, 3, 85)
+    assert len(sent) == 2 and 2 * sent[1] < sent[0]
+
+
+def test_crowded_buckets_grow_in_proportion(spark, monkeypatch):
+    """Texts of one form, too different to link but for a few, share most bands."""
+    def dealt(n):
+        rows = [(i, " ".join(f"o{i // 2 if i < 8 else i}_{j}" if j % 20 == 0 else f"w{j}" for j in range(200))) for i in range(n)]
+        sent = []
+
+        def spied(frame, *more, real=buckets._run):
+            sent.append(frame.count())
+            return real(frame, *more)
+
+        with monkeypatch.context() as m:
+            m.setattr(buckets, "_run", spied)
+            d = spark.createDataFrame([(i, t + " end" * (i % 2)) for i, t in rows], "doc_id long, text string")
+            got = sorted(tuple(x) for x in neardup.near_duplicates(d, neardup.Params(shingle=3, percent=85, block=8)).collect())
+        assert got == _brute_components([(i, t + " end" * (i % 2)) for i, t in rows], 3, 85)
+        assert [x[2] for x in got[:8]] == [0, 0, 2, 2, 4, 4, 6, 6]
+        return sum(sent)
+
+    assert dealt(80) < 3 * dealt(40)
+
+
 def test_texts_under_one_id_are_linked(spark):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
     rows = [(3, a), (5, a), (5, b), (7, b), (9, c), (9, c), (9, ""), (8, c), (11, d), (12, None), (12, "")]
