@@ -395,7 +395,7 @@ def test_a_pair_is_confirmed_in_its_first_common_band(spark, monkeypatch):
 def test_crowded_buckets_grow_in_proportion(spark, monkeypatch):
     """Texts of one form, too different to link but for a few, share most bands."""
     def dealt(n):
-        rows = [(i, " ".join(f"o{i // 2 if i < 8 else i}_{j}" if j % 20 == 0 else f"w{j}" for j in range(200))) for i in range(n)]
+        rows = [(i, " ".join(f"o{i // 2 if i < 8 else i}_{j}" if j % 16 == 0 else f"w{j}" for j in range(200))) for i in range(n)]
         sent = []
 
         def spied(frame, *more, real=buckets._run):
